@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sojourn.llm import bpe, chat, exact_dedup, media, mixing, toxicity, urls
+from sojourn.llm import bpe, chat, exact_dedup, media, minhash, mixing, toxicity, urls
 from sojourn.llm.common import table
 
 SQL: dict[str, str] = {}
@@ -40,6 +40,10 @@ k as (select doc_id, norm, first_value(doc_id) over (partition by norm order by
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(norm) as text_sha256 from k
 """
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4)
+
+
 FIXED = "<|im_end|><|im_start|>assistant ok"
 
 
