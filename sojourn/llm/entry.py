@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sojourn.llm import bpe, chat, exact_dedup, lm, media, minhash, mixing, toxicity, urls
+from sojourn.llm import bpe, chat, exact_dedup, lm, media, minhash, mixing, repeats, toxicity, urls
 from sojourn.llm.common import table
 
 SQL: dict[str, str] = {}
@@ -44,6 +44,10 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4)
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
