@@ -34,6 +34,11 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def text_key(name: str = "text") -> Column:
+    """Tells rows of one doc_id apart."""
+    return F.xxhash64(text_or_empty(name))
+
+
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = 50_000) -> DataFrame:
     """A broadcast hint only if the counted rows are within the limit; beyond it the join shuffles."""
     return F.broadcast(df) if rows <= limit else df

@@ -41,7 +41,7 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(norm) as te
 """
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4).drop("text_key")
 
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

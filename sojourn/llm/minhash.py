@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sojourn.llm.common import broadcast_if_small, byte_view, materialize, slices, text_or_empty
+from sojourn.llm.common import broadcast_if_small, byte_view, materialize, slices, text_key, text_or_empty
 from sojourn.llm.components import connected_components
 
 ROWS, BANDS, HUBS = 4, 28, 2
@@ -93,7 +93,7 @@ def digest(words: list[bytes]) -> bytes:
 
 
 def sketch(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n, same, sig of each row; sig is null without words."""
+    """doc_id, text_key, n, same, sig of each row; sig is null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -103,10 +103,10 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
                 some = [s for s in sets if len(s)]
                 sig = iter(signatures(some)) if some else iter(())
                 sigs = [next(sig).tobytes() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(w) for w in words], pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n", "same", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(w) for w in words], pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "text_key", "n", "same", "sig"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, same binary, sig binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), text_or_empty().alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_key long, n long, same binary, sig binary")
 
 
 def classes_of(sketches: DataFrame) -> DataFrame:
@@ -181,7 +181,7 @@ def checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept; one row per row of docs.
+    """doc_id, n_shingles, component_id, kept, text_key (a hash of the text); one row per row of docs.
 
     Words are what lies between white space, A-Z lower-cased; a document's set is its distinct k-word shingles. Documents are
     linked if 100 * intersection >= percent * union (percent 80 or more); component_id is the smallest doc_id reachable. Documents
@@ -229,6 +229,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     else:
         named = named.withColumn("least", F.lit(None).cast("long"))
     named = named.select("same", F.coalesce("least", "id").alias("found"))
-    rows = sketches.select("doc_id", "n", "same").join(named, "same", "left")
+    rows = sketches.select("doc_id", "text_key", "n", "same").join(named, "same", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("found"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_key")

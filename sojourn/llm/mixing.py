@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sojourn.llm.common import WORD, broadcast_if_small, materialize, text_or_empty
+from sojourn.llm.common import WORD, broadcast_if_small, materialize, text_key, text_or_empty
 
 WEIGHTS = (1, 2, 3)
 
@@ -55,22 +55,22 @@ def sainte_lague(parties: DataFrame, group: list[str], party: list[str], votes:
 
 
 def mix(docs: DataFrame, seed: int = 7, block: int = 16, shard_docs: int = 20_000, weights: tuple[int, ...] = WEIGHTS, cap: int = 3) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, copies.
+    """doc_id, source, size, source_size, target, taken, copies, text_key (a hash of the text).
 
     size counts the words of the whole text (null: 0). taken is how many words of the document the mix holds, at most `cap`
     times its size; copies is how often the whole document is used if only whole documents can be (its first word decides).
     Null doc_id or source are values like any other; of repeated rows each is a document; empty texts have 0 taken; an empty
     table gives no rows; further columns are ignored. The same rows give the same result in any order and partitioning.
     """
-    sized = materialize(docs.select("doc_id", F.col("source").cast("string").alias("source"), F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size")), "mix-sizes")
+    sized = materialize(docs.select("doc_id", F.col("source").cast("string").alias("source"), F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"), text_key().alias("text_key")), "mix-sizes")
     sources = materialize(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs")), weights, cap), "mix-sources")
     seated = sainte_lague(sources.withColumn("blocks", F.round(F.col("total") / block).cast("long")).withColumn("g", F.lit(0)), ["g"], ["sid"], "target", "blocks", "quota")
     small = broadcast_if_small(sources.select("source", "sid", "docs", "source_size", "target"), sources.count())
-    rows = sized.alias("d").join(small.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("doc_id", "d.source", "size", "sid", "source_size", "target", F.ceil(F.col("docs") / shard_docs).alias("shards"))
+    rows = sized.alias("d").join(small.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("doc_id", "text_key", "d.source", "size", "sid", "source_size", "target", F.ceil(F.col("docs") / shard_docs).alias("shards"))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("shards")))
     shards = rows.groupBy("sid", "shard").agg(F.sum("size").alias("n"))
     plan = sainte_lague(shards.join(seated.select("sid", "quota"), "sid"), ["sid"], ["shard"], "n", "quota", "blocks").select("sid", "shard", "n", "blocks")
-    w = Window.partitionBy("sid", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy("sid", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size", "text_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.withColumn("b", F.sum("size").over(w)).withColumn("a", F.col("b") - F.col("size")).join(plan, ["sid", "shard"], "left")
     words = F.least(F.col("blocks") * block, cap * F.col("n"))
     placed = placed.withColumn("rounds", F.when(F.col("n") > 0, F.floor(words / F.col("n"))).otherwise(0)).withColumn("rest", F.when(F.col("n") > 0, words % F.col("n")).otherwise(0))
@@ -78,4 +78,4 @@ def mix(docs: DataFrame, seed: int = 7, block: int = 16, shard_docs: int = 20_00
     inside = lambda lo, hi: F.greatest(F.least(F.col("b"), hi) - F.greatest(F.col("a"), lo), F.lit(0))
     part = inside(F.col("o"), F.col("z")) + inside(F.col("o") - F.col("n"), F.col("z") - F.col("n"))
     first = ((F.col("a") >= F.col("o")) & (F.col("a") < F.col("z"))) | (F.col("a") < F.col("z") - F.col("n"))
-    return placed.select("doc_id", "source", "size", "source_size", "target", (F.col("rounds") * F.col("size") + part).cast("long").alias("taken"), (F.col("rounds") + first.cast("long")).cast("long").alias("copies"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", (F.col("rounds") * F.col("size") + part).cast("long").alias("taken"), (F.col("rounds") + first.cast("long")).cast("long").alias("copies"), "text_key")

@@ -163,3 +163,17 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataF
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), text_or_empty().alias("text"))
     return rows.mapInArrow(run, SCORED)
+
+
+def keep_clean(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
+    """The rows of docs, all columns, that aren't predicted to be toxic."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample's words
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, model = Words(), sent.value
+        for batch in batches:
+            for b in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+                texts = b.column("text").to_pylist()
+                yield b.filter(pa.array([-np.expm1(-softplus(chances(t or "", model, words)).sum()) < 0.5 for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -53,7 +53,7 @@ def test_components_as_brute_force(spark, k):
     rnd.shuffle(rows)
     rows += [(3, texts[3]), (3, texts[3]), (4, "other text for an id that is there"), (None, texts[5]), (None, "no id and alone here"), (None, "no id and alone, twice")]
     got = minhash.near_duplicates(spark.createDataFrame([(*r, 1, "", "") for r in rows], SCHEMA), k).collect()
-    assert sorted(map(tuple, got), key=str) == brute(rows, k)
+    assert sorted((tuple(r)[:4] for r in got), key=str) == brute(rows, k)
 
 
 def test_one_group_with_many_near_copies(spark):
@@ -67,12 +67,12 @@ def test_one_group_with_many_near_copies(spark):
             w[rnd.randrange(100)] = f"x{rnd.random()}"
         rows.append((i, " ".join(w)))
     got = minhash.near_duplicates(spark.createDataFrame([(*r, 1, "", "") for r in rows], SCHEMA), 4).collect()
-    assert sorted(map(tuple, got), key=str) == brute(rows, 4)
+    assert sorted((tuple(r)[:4] for r in got), key=str) == brute(rows, 4)
 
 
 def test_empty_tables(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
-    assert minhash.near_duplicates(spark.createDataFrame([(1, "", 1, "", "")], SCHEMA)).collect() == [(1, 0, 1, True)]
+    assert minhash.near_duplicates(spark.createDataFrame([(1, "", 1, "", "")], SCHEMA)).drop("text_key").collect() == [(1, 0, 1, True)]
 
 
 def test_connected_components(spark):
