@@ -310,7 +310,7 @@ def _(t):
     return t.documents.select("doc_id", text.needs_translation(F.coalesce("text", F.lit(""))).alias("needed"))
 
 
-@query("date_runs", "select o_orderkey, cast(o_orderdate as date) + ((o_orderkey % 5)::int) as last, o_orderkey % 5 + 1 as n from orders")
+@query("date_runs", "select o_orderkey, (cast(o_orderdate as date) + ((o_orderkey % 5)::int))::timestamp as last, o_orderkey % 5 + 1 as n from orders")
 def _(t):
     days = numeric.date_run(F.col("o_orderdate").cast("date"), (F.col("o_orderkey") % 5 + 1).cast("int"))
     return t.orders.select("o_orderkey", F.element_at(days, -1).cast("timestamp_ntz").alias("last"), F.size(days).cast("long").alias("n"))
