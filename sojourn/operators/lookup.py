@@ -87,7 +87,7 @@ def in_all(keys: DataFrame, key: str, tables: list[DataFrame]) -> DataFrame:
 
 def numbered(df: DataFrame, order: list, name: str = "idx", group: list[str] | None = None) -> DataFrame:
     """Ordinals from 1 within a group. Without a group all rows pass one task: for lists of plans or queries, not facts."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*(group or [F.lit(0)])).orderBy(*order)))
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*(group or [F.lit(0)])).orderBy(*order)).cast("long"))
 
 
 def zipped(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:

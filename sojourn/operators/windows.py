@@ -86,4 +86,4 @@ def first_round(df: DataFrame, group: list[str], ok: Column) -> DataFrame:
 
 
 def ranked(df: DataFrame, order: list, name: str = "rank", group: list[str] | None = None) -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*(group or [F.lit(0)])).orderBy(*order)))
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*(group or [F.lit(0)])).orderBy(*order)).cast("long"))

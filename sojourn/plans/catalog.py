@@ -207,14 +207,14 @@ def _(t):
 # aggregation
 
 
-FLAGS = ("select o_orderkey, o_orderpriority, year(o_orderdate) as y, case when o_orderstatus = 'P' then null else o_orderstatus = 'F' end as a, case when o_totalprice < 20000 then null else o_totalprice > 150000 end as b, month(o_orderdate) > 6 as c from orders")
+FLAGS = ("select o_orderkey, o_orderpriority, year(o_orderdate)::int as y, case when o_orderstatus = 'P' then null else o_orderstatus = 'F' end as a, case when o_totalprice < 20000 then null else o_totalprice > 150000 end as b, month(o_orderdate) > 6 as c from orders")
 
 
 def flags(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", "o_orderpriority", F.year("o_orderdate").alias("y"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus") == "F").alias("a"), F.when(F.col("o_totalprice") >= 20000, F.col("o_totalprice") > 150000).alias("b"), (F.month("o_orderdate") > 6).alias("c"))
 
 
-@query("stratum_true_false", f"with f as ({FLAGS}), u as (select o_orderpriority, 'a' as \"check\", a as ok from f union all select o_orderpriority, 'b', b from f union all select o_orderpriority, 'c', c from f) select o_orderpriority, \"check\", count_if(ok) as passed, count_if(not ok) as failed, count(ok) as applicable, count(*) as rows from u group by 1, 2")
+@query("stratum_true_false", f"with f as ({FLAGS}), u as (select o_orderpriority, 'a' as \"check\", a as ok from f union all select o_orderpriority, 'b', b from f union all select o_orderpriority, 'c', c from f) select o_orderpriority, \"check\", count_if(ok)::bigint as passed, count_if(not ok)::bigint as failed, count(ok) as applicable, count(*) as rows from u group by 1, 2")
 def _(t):
     return agg.true_false(flags(t), ["o_orderpriority"], ["a", "b", "c"])
 
@@ -240,7 +240,7 @@ def _(t):
     return t.lineitem.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n")).agg(r6(F.avg((F.col("n") > 2).cast("int"))).alias("delivery"))
 
 
-@query("fixed_denominator", "select o_orderpriority as split, count_if(o_orderstatus = 'F') as passed, round(count_if(o_orderstatus = 'F') / case o_orderpriority when '1-URGENT' then 2300 when '2-HIGH' then 521 else count_if(o_orderstatus = 'F') end, 6) as rate from orders group by 1")
+@query("fixed_denominator", "select o_orderpriority as split, count_if(o_orderstatus = 'F')::bigint as passed, round(count_if(o_orderstatus = 'F') / case o_orderpriority when '1-URGENT' then 2300 when '2-HIGH' then 521 else count_if(o_orderstatus = 'F') end, 6) as rate from orders group by 1")
 def _(t):
     return agg.fixed_denominator(t.orders, F.col("o_orderpriority"), F.col("o_orderstatus") == "F", {"1-URGENT": 2300, "2-HIGH": 521}).withColumn("rate", r6("rate"))
 
@@ -322,7 +322,7 @@ def _(t):
     return agg.keyword_coverage(docs, "text", {"common": ["the", "der"], "rare": ["license", "idiot"]}, ["lang"]).withColumn("percent", r6("percent"))
 
 
-@query("overlap_histogram", "select event_type, count_if(value >= 0 and value < 60) as low, count_if(value >= 40 and value < 120) as mid, count_if(value >= 80 and value < 1e9) as high from events group by 1")
+@query("overlap_histogram", "select event_type, count_if(value >= 0 and value < 60)::bigint as low, count_if(value >= 40 and value < 120)::bigint as mid, count_if(value >= 80 and value < 1e9)::bigint as high from events group by 1")
 def _(t):
     return agg.bands(t.events, ["event_type"], "value", [("low", 0, 60), ("mid", 40, 120), ("high", 80, 1e9)])
 

@@ -468,7 +468,7 @@ def _(t):
     return groups.field_conflicts(wishes(t), ["g"]).select("g", "field", "conflict")
 
 
-@query("solvable_groups", f"select g, count_if(conflict = 'hard') as hard, count_if(conflict = 'soft') as soft, count_if(conflict = 'hard') = 0 and count_if(conflict = 'soft') >= 2 as solvable from {CONFLICTS} group by 1")
+@query("solvable_groups", f"select g, count_if(conflict = 'hard')::bigint as hard, count_if(conflict = 'soft')::bigint as soft, count_if(conflict = 'hard') = 0 and count_if(conflict = 'soft') >= 2 as solvable from {CONFLICTS} group by 1")
 def _(t):
     return groups.solvable(groups.field_conflicts(wishes(t), ["g"]), ["g"]).drop("score")
 
@@ -564,7 +564,7 @@ def _(t):
     return each.select(F.format_string("%d_%d", "conv_id", "i").alias("custom_id"), "turn", "n")
 
 
-@query("regrouped_results", "select conv_id, count_if(length(text) > 300) as ok, count(*) as n from conversations group by 1")
+@query("regrouped_results", "select conv_id, count_if(length(text) > 300)::bigint as ok, count(*) as n from conversations group by 1")
 def _(t):
     done = t.conversations.where(F.char_length("text") > 300).select("conv_id", "turn").withColumn("done", F.lit(1))
     return t.conversations.select("conv_id", "turn").join(done, ["conv_id", "turn"], "left").groupBy("conv_id").agg(F.count("done").alias("ok"), F.count(F.lit(1)).alias("n"))
