@@ -91,11 +91,11 @@ def blocks_of(docs: DataFrame, path: str) -> DataFrame:
     return dictionary.split_blocks(rows, lambda: splitter(path))
 
 
-def encoder(path: str) -> Callable[[list[str], list[int]], list[list[int]]]:
+def encoder(path: str) -> Callable[[list[str], np.ndarray], tuple[list[list[int]], None]]:
     t = tokenizer(path)
 
-    def answer(words: list[str], _: list[int]) -> list[list[int]]:
-        return [e.ids for i in range(0, len(words), 20_000) for e in t.encode_batch(words[i : i + 20_000], add_special_tokens=False)]
+    def answer(words: list[str], _: np.ndarray) -> tuple[list[list[int]], None]:
+        return [e.ids for i in range(0, len(words), 20_000) for e in t.encode_batch(words[i : i + 20_000], add_special_tokens=False)], None
 
     return answer
 
@@ -117,8 +117,8 @@ def _encoded(docs: DataFrame, path: str, keep_ids: bool) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())][: 4 + keep_ids]
         return pa.table([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + keep_ids])
 
-    found = dictionary.resolve(blocks.drop("counts").withColumn("counts", F.transform("words", lambda _: F.lit(0))), lambda: encoder(path))
-    return dictionary.assemble(blocks.select("block", "doc_ids", "sizes", "codes"), found.drop("first"), build, DIGESTS + ", ids array<int>" * keep_ids)
+    found = dictionary.resolve(blocks, lambda: encoder(path))
+    return dictionary.assemble(blocks.select("block", "doc_ids", "sizes", "codes"), found.drop("summary"), build, DIGESTS + ", ids array<int>" * keep_ids)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:

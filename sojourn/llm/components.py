@@ -26,14 +26,18 @@ def small_star(edges: DataFrame) -> DataFrame:
     return s.select(F.col("v").alias("a"), F.col("m").alias("b")).unionAll(s.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b")
 
 
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Whether each node hangs on one root and no root hangs on another."""
+    ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionAll(edges.select(F.col("b").alias("n"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    seen = ends.groupBy("n").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return seen.where("down > 1 or (down > 0 and up > 0)").isEmpty()
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root: each linked node and the least node that it reaches. Nodes are longs; links may repeat or be loops, and links
-    with a null are none. Each round is written to the shared folder; rounds go on until the links don't change."""
-    state = lambda e: tuple(e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
-    now = materialize(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b").distinct(), "links")
-    seen = state(now)
+    with a null are none. Each round is written to the shared folder; rounds go on until every node hangs on its root alone."""
+    now = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b").distinct()
     while True:
         now = materialize(small_star(large_star(now).distinct()).distinct(), "links")
-        if (got := state(now)) == seen:
+        if _is_forest_of_stars(now):
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        seen = got

@@ -1,15 +1,16 @@
 """Distinct-word tables by blocks of documents.
 
 Texts are split into words once; a block of documents keeps its distinct words and, for each word position, a code into them.
-The blocks are written to the shared folder. Each (word, block) pair is then one row, however often the word occurs: rows are
-dealt by word and sorted, a resolver sees each distinct word once in a stream, and its answers go back to the blocks in packed
-rows. A word's rows number at most the blocks, so frequent words are no hot keys, and nothing is held for a whole word or corpus.
+The blocks are written to the shared warehouse, bucketed, so their codes never move. A block then sends each of its distinct words once, however often it occurs, to the
+word's bucket, packed with the block's other words there; a resolver answers each distinct word of a bucket once, and the answers
+go back to the blocks. A word has one entry per block at most, so frequent words are no hot keys.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +19,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sojourn.llm.common import byte_view, materialize, slices
+from sojourn.llm.common import bucketed, byte_view, slices
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 BLOCKS = "block long, doc_ids array<long>, flags array<boolean>, sizes binary, codes binary, words array<string>, counts array<int>"
 
 
@@ -47,7 +48,7 @@ def split_blocks(docs: DataFrame, words_of: Callable[[], Callable[[str], list[st
                 part = batch.slice(i, j - i)
                 known: dict[str, int] = defaultdict()
                 known.default_factory = known.__len__
-                codes = [np.fromiter(map(known.__getitem__, w), np.int64, len(w)) for w in map(split, part.column("text").to_pylist())]
+                codes = [np.fromiter(map(known.__getitem__, w), np.int32, len(w)) for w in map(split, part.column("text").to_pylist())]
                 flags = part.column("flag").to_pylist()
                 own = [c for c, f in zip(codes, flags) if f]
                 counts = np.bincount(np.concatenate(own), minlength=len(known)) if own else np.zeros(len(known))
@@ -56,86 +57,90 @@ def split_blocks(docs: DataFrame, words_of: Callable[[], Callable[[str], list[st
                 yield pa.RecordBatch.from_arrays([pa.array([row[k]], t) for k, t in kinds.items()], names=list(kinds))
                 block += 1
 
-    return materialize(docs.select("doc_id", "flag", "text").mapInArrow(run, BLOCKS), "blocks")
+    return bucketed(docs.select("doc_id", "flag", "text").mapInArrow(run, BLOCKS), "blocks", "block")
 
 
-def resolve(blocks: DataFrame, resolver: Callable[[], Callable[[list[str], list[int]], np.ndarray]], hold: int = 400_000) -> DataFrame:
-    """Rows (block, at, first, bounds, values): answers for words of blocks, packed, several rows a block.
+def bucket_of(words: list[str], buckets: int) -> np.ndarray:
+    return np.fromiter((crc32(w.encode()) for w in words), np.int64, len(words)) % buckets
 
-    resolver() gives a function from distinct words and their counts over all blocks to a list of integer lists, one a word. at are
-    places in the block's words, bounds the answers' ends within values, first 1 where the word is answered here for the first
-    time, so that sums over it count each distinct word once."""
+
+DEALT = {"bucket": pa.int32(), "block": pa.int64(), "at": pa.binary(), "words": pa.binary(), "counts": pa.binary()}
+ANSWERS = "block long, at binary, ends binary, values binary, summary array<long>"
+
+
+def _deal(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The words of a block by bucket, packed: a few rows for each block, however many words it has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        answer = resolver()
-        place: list[np.ndarray] = []  # block, at of the rows held
-        last, last_total, pending_block, pending_at = None, 0, [], []
-        words: list[str] = []
-        totals: list[int] = []
-        runs: list[int] = []
-
-        def close() -> None:
-            if last is not None:
-                words.append(last)
-                totals.append(last_total)
-                runs.append(len(pending_at))
-                place.append(np.array([pending_block, pending_at], np.int64))
-                pending_block.clear()
-                pending_at.clear()
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if not words:
-                return
-            answers = answer(words, totals)
-            sizes = np.fromiter(map(len, answers), np.int64, len(answers))
-            values = np.concatenate([np.asarray(a, np.int64) for a in answers]) if len(answers) else np.zeros(0, np.int64)
-            start = np.cumsum(sizes) - sizes
-            word = np.repeat(np.arange(len(words)), runs)
-            block, at = np.concatenate(place, axis=1)
-            fresh = np.r_[True, word[1:] != word[:-1]]
-            order = np.argsort(block, kind="stable")
-            block, at, word, fresh = block[order], at[order], word[order], fresh[order]
-            cuts = np.r_[np.flatnonzero(np.r_[True, block[1:] != block[:-1]]), len(block)]
-            rows = []
+        for row in (r for b in batches for r in b.to_pylist()):
+            words, counts, rows = row["words"], np.array(row["counts"], np.int64), []
+            bucket = bucket_of(words, buckets)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=buckets))
             for a, b in zip(cuts[:-1], cuts[1:]):
-                n = sizes[word[a:b]]
-                pick = np.repeat(start[word[a:b]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                rows.append((int(block[a]), pack(at[a:b]), pack(fresh[a:b]), pack(np.cumsum(n)), pack(values[pick])))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), [pa.int64()] + [pa.binary()] * 4)], names=["block", "at", "first", "bounds", "values"])
-            words.clear(), totals.clear(), runs.clear(), place.clear()
+                at = order[a:b]
+                raw = [words[k].encode() for k in at]
+                text = pack(np.fromiter(map(len, raw), np.int64, len(raw)))
+                data = zstandard.ZstdCompressor(level=1).compress(b"".join(raw))
+                rows.append((int(bucket[at[0]]), row["block"], pack(np.diff(at, prepend=0)), len(text).to_bytes(4) + text + data, pack(counts[at])))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 5, DEALT.values())], names=list(DEALT))
+
+    return run
+
+
+def _words(data: bytes) -> list[str]:
+    n = int.from_bytes(data[:4])
+    ends = np.cumsum(unpack(data[4 : 4 + n]))
+    text = zstandard.ZstdDecompressor().decompress(data[4 + n :])
+    return [text[a:b].decode() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+
+def resolve(blocks: DataFrame, resolver: Callable[[], Callable[[list[str], np.ndarray], tuple[list[list[int]], list[int] | None]]], bucket_words: int = 2_000_000) -> DataFrame:
+    """Rows (block, at, ends, values, summary): answers for words of blocks, packed.
+
+    Words are dealt into buckets by their hash; each bucket is read once and its distinct words are answered once. resolver() gives
+    a function from distinct words and their counts over all blocks to a list of integers for each word, and a summary, which is on
+    one row of the bucket. The number of buckets follows the number of words, so a bucket's size is bounded at any scale."""
+    total = blocks.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
+    buckets = max(256, total // bucket_words)
+
+    def answered(held: list[dict], answer: Callable) -> pa.RecordBatch:
+        known: dict[str, int] = defaultdict()
+        known.default_factory = known.__len__
+        codes = [np.fromiter(map(known.__getitem__, w), np.int64, len(w)) for w in (_words(r["words"]) for r in held)]
+        totals = np.bincount(np.concatenate(codes), np.concatenate([unpack(r["counts"]) for r in held])).astype(np.int64)
+        answers, summary = answer(list(known), totals)
+        start = np.r_[0, np.cumsum(np.fromiter(map(len, answers), np.int64, len(answers)))]
+        values = np.fromiter((x for a in answers for x in a), np.int64, int(start[-1]))
+        rows = [(r["block"], r["at"], pack(start[c + 1] - start[c]), pack(pick(start, values, c)), summary if not k else None) for k, (r, c) in enumerate(zip(held, codes))]
+        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["block", "at", "ends", "values", "summary"])
 
-        held = 0
-        for batch in batches:
-            for w, block, at, n in zip(*(batch.column(k).to_pylist() for k in ("word", "block", "at", "n"))):
-                if w != last:
-                    close()
-                    if held >= hold:
-                        yield from flush()
-                        held = 0
-                    last, last_total = w, 0
-                last_total += n
-                pending_block.append(block)
-                pending_at.append(at)
-                held += 1
-        close()
-        yield from flush()
-
-    places = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w")).select(F.col("w.words").alias("word"), "block", "at", F.col("w.counts").alias("n"))
-    return places.repartition(F.col("word")).sortWithinPartitions("word", "block").mapInArrow(run, "block long, at binary, first binary, bounds binary, values binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        answer, held = resolver(), []
+        for row in (r for b in batches for r in b.to_pylist()):
+            if held and row["bucket"] != held[0]["bucket"]:
+                yield answered(held, answer)
+                held = []
+            held.append(row)
+        if held:
+            yield answered(held, answer)
+
+    dealt = blocks.select("block", "words", "counts").mapInArrow(_deal(buckets), "bucket int, block long, at binary, words binary, counts binary")
+    return dealt.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(run, ANSWERS)
 
 
 def gathered(rows: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Start (one more than words) and values of the answers to a block's n words."""
     size, parts = np.zeros(n, np.int64), []
-    for at, bounds, values in zip(*(rows.column(k).to_pylist() for k in ("at", "bounds", "values"))):
-        at, b, v = unpack(at), unpack(bounds), unpack(values)
-        size[at] = np.diff(b, prepend=0)
-        parts.append((at, b, v))
+    for at, ends, values in zip(*(rows.column(k).to_pylist() for k in ("at", "ends", "values"))):
+        at, k = np.cumsum(unpack(at)), unpack(ends)
+        size[at] = k
+        parts.append((at, k, unpack(values)))
     start = np.r_[0, np.cumsum(size)]
     out = np.zeros(start[-1], np.int64)
-    for at, b, v in parts:
-        k = np.diff(b, prepend=0)
-        out[np.repeat(start[at] - (b - k), k) + np.arange(len(v))] = v
+    for at, k, v in parts:
+        out[np.repeat(start[at] - (np.cumsum(k) - k), k) + np.arange(len(v))] = v
     return start, out
 
 

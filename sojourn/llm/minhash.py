@@ -5,8 +5,10 @@
 2. Rows with the same word sequence are one class; only classes are compared.
 3. In a bucket (a band's value) each class is paired with the bucket's first class, not with all others. Pairs whose signatures
    are far apart go, the rest are checked on the full sets, and components are taken.
-4. Buckets whose classes are still in several components get other first classes for `HUBS` rounds, and then every pair of
-   classes from different components that wasn't checked: no link between components is lost, and copies make no square.
+4. Classes of buckets that are still in several components may have links that no first class shows. A link of sets of sizes n and m
+   needs an intersection of a = ceil(0.8 / 1.8 * (n + m)); in any one order of all shingles, two such sets then share one among
+   their first n - a + 1 and m - a + 1. With the rare ones first these are mostly shingles of few classes, so pairs from different
+   components that share one at such places are few, and none of the links between components is lost.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from sojourn.llm.common import broadcast_if_small, byte_view, materialize, slices, text_key, text_or_empty
 from sojourn.llm.components import connected_components
 
-ROWS, BANDS, HUBS = 4, 28, 2
+ROWS, BANDS = 4, 28
 #: Signatures that agree in fewer than this share are not checked: at a similarity of 0.8 six standard deviations below.
 FAR = 0.56
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -180,6 +182,32 @@ def checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInArrow(run, "a long, b long")
 
 
+def first_shingles(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """key (a shingle), node, n, root, place of the places, from 0, that can show a link, in the order of how many of the nodes
+    (node, n, root) have the shingle, the rarest first. Shingles of one node alone only take places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1000):
+                b = batch.slice(i, 1000)
+                parts = [np.frombuffer(v.as_buffer(), np.int64) for v in b.column("shingles")]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("node").to_numpy(), [len(x) for x in parts])), pa.array(np.concatenate(parts))], names=["node", "key"])
+
+    each = sets.join(nodes, "node", "left_semi").select("node", "shingles").mapInArrow(run, "node long, key long")
+    common = each.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    shared = each.join(common, "key").join(nodes, "node")
+    w = Window.partitionBy("node")
+    alone = F.col("n") - F.count(F.lit(1)).over(w)
+    placed = shared.withColumn("place", alone + F.row_number().over(w.orderBy("c", "key")) - 1)
+    return placed.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100)).select("key", "node", "n", "root", "place")
+
+
+def _split(rooted: DataFrame) -> DataFrame:
+    """Rows of buckets whose classes are in several components."""
+    split = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    return rooted.join(split, "key")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, text_key (a hash of the text); one row per row of docs.
 
@@ -193,41 +221,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     classes = materialize(classes_of(sketches), "classes")
     members = materialize(buckets_of(classes), "members")
     sets = full_sets(docs, classes, members.select("node").distinct(), k)
-    columns = lambda d, x: d.select(F.col("key"), *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "root")))
-    roots = links = tested = None
-    for turn in range(HUBS + 2):
-        if roots is None:
-            open_ = members.withColumn("root", F.col("node"))
-        else:
-            own = members.where("size > 2").join(roots.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").withColumn("root", F.coalesce("root", "node")).drop("m")
-            split = own.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-            open_ = materialize(own.join(split, "key"), "open")
-            if open_.isEmpty():
-                break
-        if turn <= HUBS:
-            hub = F.min(F.struct(F.xxhash64(F.lit(turn), "node"), "node", "n", "root")) if turn else F.min(F.struct("node", "n", "root"))
-            hubs = open_.groupBy("key").agg(hub.alias("h")).select("key", F.col("h.node").alias("node"), F.col("h.n").alias("n"), F.col("h.root").alias("root"))
-        else:
-            hubs = open_
-        pairs = columns(open_, "x").join(columns(hubs, "y"), "key").where("root_x <> root_y").where(near("n_x", "n_y", percent))
-        if turn > HUBS:
-            pairs = pairs.where("root_x < root_y")
-        pairs = pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionAll(pairs)
-        if pairs.isEmpty():
-            continue
-        new = materialize(checked(agreeing(pairs, classes), sets, percent), "links-found")
-        links = new if links is None else links.unionAll(new)
-        roots = connected_components(links)
+    first = members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("h")).select("key", F.col("h.node").alias("hub"), F.col("h.n").alias("m"))
+    pairs = members.join(first, "key").where("node <> hub").where(near("n", "m", percent)).select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    tested = materialize(pairs.distinct(), "pairs")
+    links = materialize(checked(agreeing(tested, classes), sets, percent), "links-found")
+    roots = materialize(connected_components(links), "roots")
+    rooted = members.where("size > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = materialize(_split(rooted.select("key", "node", "n", "root")).select("node", "n", "root").distinct(), "open")
+    if not open_.isEmpty():
+        places = materialize(_split(first_shingles(sets, open_, percent)), "places")
+        side = lambda x: places.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "root", "place")))
+        least = F.ceil(percent * (F.col("n_x") + F.col("n_y")) / (100 + percent))
+        shown = (F.col("place_x") <= F.col("n_x") - least) & (F.col("place_y") <= F.col("n_y") - least)
+        more = side("x").join(side("y"), "key").where("root_x < root_y").where(near("n_x", "n_y", percent) & shown)
+        more = more.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+        found = materialize(checked(agreeing(materialize(more, "more-pairs"), classes), sets, percent), "links-found")
+        if not found.isEmpty():
+            roots = materialize(connected_components(links.unionAll(found)), "roots")
     named = classes.select("same", "id", "node")
-    if roots is not None:
-        least = roots.join(classes.select("node", "id"), "node").groupBy("root").agg(F.min("id").alias("least"))
-        named = named.join(roots.join(least, "root").select("node", "least"), "node", "left")
-    else:
-        named = named.withColumn("least", F.lit(None).cast("long"))
+    smallest = roots.join(classes.select("node", "id"), "node").groupBy("root").agg(F.min("id").alias("least"))
+    named = named.join(roots.join(smallest, "root").select("node", "least"), "node", "left")
     named = named.select("same", F.coalesce("least", "id").alias("found"))
     rows = sketches.select("doc_id", "text_key", "n", "same").join(named, "same", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("found"))
