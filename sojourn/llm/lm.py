@@ -1,14 +1,18 @@
 """Language-model scoring: a gated recurrent network with a class-factored output, in numpy.
 
-A word's chance is the network's chance of its class, given all words before it in the document, times the word's share of its
-class. Classes are frequent words on their own, the other words by their last letters and closing punctuation, and the end of a
-text. Shares come from the counts of all training documents; a class keeps the share of its hapax legomena for unknown words.
-The network starts from a bounded sample (`sample_docs`), then every task trains its own copy on its training documents, whole,
-by truncated backpropagation with the state carried from window to window, and the copies are averaged by their tokens.
+A word's chance is the network's chance of its class times its chance within the class, both given all words before it in the
+document. Classes are frequent words on their own, the other words by their last letters and closing punctuation, and the end of
+a text. Within a class the network has a softmax over the class's named words (the `WORDS` most frequent after the heads) and one
+bucket for all its rare words; the vector of a named word or bucket is the same as input and as output. In its bucket a rare word
+has the share of its count, and the bucket keeps the share of its hapax legomena for unknown words. Classes, named words and
+counts come from all training documents. The weights start from a bounded sample (`sample_docs`), then each block of documents
+trains its own copy on its training documents, whole, by truncated backpropagation with the state carried from window to window,
+and the copies are averaged by their tokens.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -20,7 +24,7 @@ from pyspark.sql import functions as F
 from sojourn.llm import dictionary
 from sojourn.llm.common import materialize, text_or_empty
 
-HIDDEN, WINDOW, HEADS, SUFFIXES = 16, 16, 72, 23
+HIDDEN, WINDOW, HEADS, SUFFIXES, WORDS = 16, 16, 72, 23, 2000
 CLASSES = 1 + HEADS + 2 * (SUFFIXES + 1)
 SHAPES = {"x": (CLASSES, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "v": (HIDDEN, CLASSES), "c": (CLASSES,)}
 CLOSING = ".,;:!?)\"'"
@@ -31,11 +35,21 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
+def suffix_of(word: str) -> str:
+    return word.rstrip(CLOSING)[-2:]
+
+
 class Inventory:
-    """The class of a word by its spelling: 0 is the end of a text."""
+    """The class of a word by its spelling: 0 is the end of a text. Its unit is its class, or a number from CLASSES on if it is named."""
 
-    def __init__(self, heads: list[str], suffixes: list[str]) -> None:
+    def __init__(self, heads: list[str], suffixes: list[str], named: list[str] = ()) -> None:
         self.heads, self.suffixes = {w: 1 + i for i, w in enumerate(heads)}, {s: i for i, s in enumerate(suffixes)}
+        self.named = {w: CLASSES + i for i, w in enumerate(named)}
+        self.class_of = np.array([*range(CLASSES), *map(self, named)], np.int64)
+        self.order = np.argsort(self.class_of, kind="stable")  # a class's bucket, then its named words
+        self.starts = np.searchsorted(self.class_of[self.order], np.arange(CLASSES + 1))
+        self.place = np.empty(len(self.order), np.int64)
+        self.place[self.order] = np.arange(len(self.order)) - self.starts[self.class_of[self.order]]
 
     def __call__(self, word: str) -> int:
         if found := self.heads.get(word):
@@ -43,13 +57,11 @@ class Inventory:
         core = word.rstrip(CLOSING)
         return 1 + HEADS + 2 * self.suffixes.get(core[-2:], SUFFIXES) + (core != word)
 
-    @classmethod
-    def of(cls, counts: Counter[str]) -> Inventory:
-        top = sorted(counts.items(), key=lambda x: (-x[1], x[0]))
-        ends: Counter[str] = Counter()
-        for w, n in top[HEADS:]:
-            ends[w.rstrip(CLOSING)[-2:]] += n
-        return cls([w for w, _ in top[:HEADS]], [s for s, _ in sorted(ends.items(), key=lambda x: (-x[1], x[0]))[:SUFFIXES]])
+    def unit(self, word: str) -> int:
+        return self.named.get(word) or self(word)
+
+    def members(self, c: int) -> np.ndarray:
+        return self.order[self.starts[c] : self.starts[c + 1]]
 
 
 Params = dict[str, np.ndarray]
@@ -60,17 +72,28 @@ def fresh(seed: int = 1) -> Params:
     return {k: (rng.normal(0, 0.0 if k == "c" else 0.25 if k == "u" else 0.1, s)).astype(np.float32) for k, s in SHAPES.items()}
 
 
+def shapes(known: Inventory) -> dict[str, tuple[int, ...]]:
+    """With those of the words: a vector and an offset of each unit, and the way from vectors to inputs."""
+    n = len(known.class_of)
+    return SHAPES | {"w": (n, HIDDEN), "b": (n,), "a": (HIDDEN, 3 * HIDDEN)}
+
+
 def flat(p: Params) -> np.ndarray:
-    return np.concatenate([p[k].ravel() for k in SHAPES])
+    return np.concatenate([v.ravel() for v in p.values()])
 
 
-def shaped(values: np.ndarray) -> Params:
-    ends = np.cumsum([np.prod(s) for s in SHAPES.values()])
-    return {k: v.reshape(s).astype(np.float32) for (k, s), v in zip(SHAPES.items(), np.split(values, ends[:-1]))}
+def shaped(values: np.ndarray, known: Inventory) -> Params:
+    ends = np.cumsum([np.prod(s) for s in shapes(known).values()])
+    return {k: v.reshape(s).astype(np.float32) for (k, s), v in zip(shapes(known).items(), np.split(values, ends[:-1]))}
+
+
+def inputs(p: Params, known: Inventory) -> np.ndarray:
+    """What each unit gives to the gates."""
+    return p["x"][known.class_of] + p["w"] @ p["a"]
 
 
 class Lanes:
-    """Sequences of classes side by side, the longest first: inputs begin with the end class, targets end with it."""
+    """Sequences of classes or units side by side, the longest first: inputs begin with the end class, targets end with it."""
 
     def __init__(self, sequences: list[np.ndarray]) -> None:
         self.order = np.argsort([-len(s) for s in sequences], kind="stable")
@@ -91,9 +114,9 @@ class Lanes:
             yield m, given, self.values[np.minimum(at, len(self.values) - 1)], (t + np.arange(n))[:, None] < self.size[:m]
 
 
-def forward(p: Params, h: np.ndarray, given: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
-    """States after each input (time, lane, hidden), and what the way back needs."""
-    x, out, kept, n = p["x"][given], np.empty((*given.shape, HIDDEN), h.dtype), [], HIDDEN
+def forward(p: Params, h: np.ndarray, given: np.ndarray, table: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
+    """States after each input (time, lane, hidden), and what the way back needs. table: inputs of units, if `given` has units."""
+    x, out, kept, n = (p["x"] if table is None else table)[given], np.empty((*given.shape, HIDDEN), h.dtype), [], HIDDEN
     for t in range(len(given)):
         a = h @ p["u"]
         g = x[t, :, : 2 * n] + a[:, : 2 * n]
@@ -120,13 +143,47 @@ def class_logs(p: Params, states: np.ndarray, targets: np.ndarray) -> tuple[np.n
     return (own - np.log(total)).reshape(targets.shape), odds, total
 
 
-def backward(p: Params, kept: list[tuple[np.ndarray, ...]], given: np.ndarray, states: np.ndarray, odds: np.ndarray, total: np.ndarray, targets: np.ndarray, there: np.ndarray) -> Params:
-    """Gradients of the mean loss over the window; the state before it counts as given."""
+def word_logs(p: Params, known: Inventory, states: np.ndarray, targets: np.ndarray, there: np.ndarray, learn: bool = False) -> tuple[np.ndarray, Params, np.ndarray]:
+    """Natural log of each target unit's chance within its class; to learn, gradients of the mean loss by w and b and by the states."""
+    s, units, classes = states.reshape(-1, HIDDEN), targets.ravel(), known.class_of[targets.ravel()]
+    logs, back = np.zeros(len(units), s.dtype), np.zeros_like(s) if learn else s
+    g = {k: np.zeros_like(p[k]) for k in "wb"} if learn else {}
+    scale = s.dtype.type(1 / max(int(there.sum()), 1))
+    on = np.flatnonzero(there.ravel() & (np.diff(known.starts) > 1)[classes])
+    on = on[np.argsort(classes[on].astype(np.uint8), kind="stable")]
+    cuts = np.flatnonzero(np.diff(classes[on], prepend=-1, append=CLASSES))
+    for i, j in zip(cuts[:-1], cuts[1:]):
+        m = known.members(classes[on[i]])
+        w, b, step = p["w"][m].T, p["b"][m], max(1, (1 << 19) // len(m))
+        for k in range(i, j, step):  # odds of a slice take 2 MB
+            at = on[k : min(k + step, j)]
+            own, h = (np.arange(len(at)), known.place[units[at]]), s[at]
+            odds = h @ w
+            odds += b
+            if odds.max() > 60 or odds.min() < -60:  # else exp has room
+                odds -= odds.max(axis=1, keepdims=True)
+            said = odds[own]
+            total = np.exp(odds, out=odds).sum(axis=1)
+            logs[at] = said - np.log(total)
+            if learn:
+                odds[own] -= total
+                weight = (scale / total)[:, None]
+                g["w"][m] += odds.T @ (h * weight)
+                g["b"][m] += weight[:, 0] @ odds
+                back[at] = odds @ w.T * weight
+    return logs.reshape(targets.shape), g, back.reshape(states.shape)
+
+
+def backward(p: Params, kept: list[tuple[np.ndarray, ...]], given: np.ndarray, states: np.ndarray, odds: np.ndarray, total: np.ndarray, targets: np.ndarray, there: np.ndarray, more: np.ndarray | None = None, rows: int = CLASSES) -> Params:
+    """Gradients of the mean loss over the window; the state before it counts as given. more: further gradients by the states.
+    That by x is for as many `rows` as there are inputs."""
     weight = (there.ravel() / max(int(there.sum()), 1)).astype(total.dtype)
     d = np.multiply(odds, (weight / total)[:, None], out=odds)
     d[np.arange(len(d)), targets.ravel()] -= weight
     out = {"v": states.reshape(-1, HIDDEN).T @ d, "c": d.sum(axis=0), "u": np.zeros_like(p["u"])}
     dh_out, n = (d @ p["v"].T).reshape(states.shape), HIDDEN
+    if more is not None:
+        dh_out += more
     dx, dh, da, ut = np.empty((*given.shape, 3 * n), np.float32), np.zeros_like(states[0]), np.empty((given.shape[1], 3 * n), states.dtype), p["u"].T
     for t in range(len(given) - 1, -1, -1):
         h, z, r, new, a = kept[t]
@@ -138,15 +195,27 @@ def backward(p: Params, kept: list[tuple[np.ndarray, ...]], given: np.ndarray, s
         da[:, :n], da[:, n : 2 * n], da[:, 2 * n :] = dz, dr, dn * r
         out["u"] += h.T @ da
         dh = dh * z + da @ ut
-    order = np.argsort(given.ravel().astype(np.uint8), kind="stable")  # classes are under 256
+    order = np.argsort(given.ravel().astype(np.uint16), kind="stable")  # units are under 65536
     own = given.ravel()[order]
     starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-    out["x"] = np.zeros_like(p["x"])
+    out["x"] = np.zeros((rows, 3 * n), p["x"].dtype)
     out["x"][own[starts]] = np.add.reduceat(dx.reshape(-1, 3 * n)[order], starts)
     return out
 
 
-def train(p: Params, sequences: list[np.ndarray], lanes: int, rate: float, epochs: int = 1, seed: int = 0) -> Params:
+def slopes(p: Params, known: Inventory, h: np.ndarray, given: np.ndarray, targets: np.ndarray, there: np.ndarray) -> tuple[Params, np.ndarray]:
+    """Gradients of the mean loss of a window of units by all weights, and the state after it."""
+    states, kept = forward(p, h, given, inputs(p, known))
+    classes = known.class_of[targets]
+    _, odds, total = class_logs(p, states, classes)
+    _, words, more = word_logs(p, known, states, targets, there, learn=True)
+    g = backward(p, kept, given, states, odds, total, classes, there, more, len(known.class_of))
+    by_unit = g["x"]
+    g["x"] = np.add.reduceat(by_unit[known.order], known.starts[:-1])
+    return g | {"w": words["w"] + by_unit @ p["a"].T, "b": words["b"], "a": p["w"].T @ by_unit}, states[-1]
+
+
+def train(p: Params, known: Inventory, sequences: list[np.ndarray], lanes: int, rate: float, epochs: int = 1, seed: int = 0) -> Params:
     """Adam over windows; documents of like length go side by side, and a lane's state goes from window to window."""
     p, by_length, rng = {k: v.copy() for k, v in p.items()}, sorted(sequences, key=len), np.random.default_rng(seed)
     m1, m2, step = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
@@ -155,10 +224,7 @@ def train(p: Params, sequences: list[np.ndarray], lanes: int, rate: float, epoch
         for i in rng.permutation(len(groups)):
             h = np.zeros((len(groups[i]), HIDDEN), np.float32)
             for m, given, targets, there in Lanes(groups[i]).windows():
-                states, kept = forward(p, h[:m], given)
-                h = states[-1]
-                _, odds, total = class_logs(p, states, targets)
-                g = backward(p, kept, given, states, odds, total, targets, there)
+                g, h = slopes(p, known, h[:m], given, targets, there)
                 step += 1
                 scale = min(1.0, 1.0 / (float(np.sqrt(sum((x * x).sum() for x in g.values()))) + 1e-9))
                 for k in p:
@@ -168,16 +234,20 @@ def train(p: Params, sequences: list[np.ndarray], lanes: int, rate: float, epoch
     return p
 
 
-def class_scores(p: Params, sequences: list[np.ndarray]) -> np.ndarray:
-    """Natural log of the chance of each whole sequence of classes and its end."""
+def class_scores(p: Params, sequences: list[np.ndarray], known: Inventory | None = None) -> np.ndarray:
+    """Natural log of the chance of each whole sequence of classes, or of units if there is an inventory, and its end."""
     if not sequences:
         return np.zeros(0)
     lanes, h = Lanes(sequences), np.zeros((len(sequences), HIDDEN), np.float32)
     out = np.zeros(len(sequences))
+    table = inputs(p, known) if known else None
     for m, given, targets, there in lanes.windows():
-        states, _ = forward(p, h[:m], given)
+        states, _ = forward(p, h[:m], given, table)
         h = states[-1]
-        out[:m] += np.where(there, class_logs(p, states, targets)[0], 0.0).sum(axis=0, dtype=np.float64)
+        logs = class_logs(p, states, known.class_of[targets] if known else targets)[0]
+        if known:
+            logs = logs + word_logs(p, known, states, targets, there)[0]
+        out[:m] += np.where(there, logs, 0.0).sum(axis=0, dtype=np.float64)
     result = np.empty(len(sequences))
     result[lanes.order] = out
     return result
@@ -188,54 +258,92 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 10 == 0, F.lit(True))
 
 
-def start(rows: DataFrame, sample_docs: int) -> tuple[Inventory, Params]:
-    """Classes and first weights from at most `sample_docs` whole training documents, chosen by a hash, in one task."""
+def surveyor() -> Callable[[list[str], np.ndarray], tuple[list[list[int]], list[int]]]:
+    """No answers; as a bucket's summary its training counts by suffix and its most frequent training words, as integers."""
+
+    def answer(words: list[str], totals: np.ndarray) -> tuple[list[list[int]], list[int]]:
+        ends: Counter[str] = Counter()
+        for w, n in zip(words, totals.tolist()):
+            ends[suffix_of(w)] += n
+        most = HEADS + WORDS
+        least = max(1, int(np.partition(totals, -most)[-most])) if len(totals) > most else 1
+        top = heapq.nsmallest(most, ((-int(totals[i]), words[i]) for i in np.flatnonzero(totals >= least)))
+        out = []
+        for kind, key, n in [*((1, e, n) for e, n in ends.items() if n), *((0, w, -n) for n, w in top)]:
+            raw = key.encode()
+            out += [kind, n, len(raw), *np.frombuffer(raw + bytes(-len(raw) % 8), "<i8").tolist()]
+        return [[]] * len(words), out
+
+    return answer
+
+
+def survey(blocks: DataFrame) -> Inventory:
+    """Heads, suffixes of the other words and named words, by the counts of all training documents."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for data in (x for b in batches for x in b.column("summary")):
+            values, i, rows = data.values.to_numpy(zero_copy_only=False), 0, []
+            while i < len(values):
+                kind, n, size = values[i : i + 3].tolist()
+                end = i + 3 + -(-size // 8)
+                rows.append((kind, values[i + 3 : end].astype("<i8").tobytes()[:size].decode(), n))
+                i = end
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 3, (pa.int64(), pa.string(), pa.int64()))], names=["kind", "key", "n"])
+
+    summaries = dictionary.resolve(blocks, surveyor).where("summary is not null").select("summary")
+    found = materialize(summaries.mapInArrow(read, "kind long, key string, n long"), "survey")
+    top = [(r.key, r.n) for r in found.where("kind = 0").orderBy(F.desc("n"), "key").limit(HEADS + WORDS).collect()]
+    less = found.sparkSession.createDataFrame([(suffix_of(w), -n) for w, n in top[:HEADS]], "key string, n long")
+    ends = found.where("kind = 1").select("key", "n").unionByName(less).groupBy("key").agg(F.sum("n").alias("n")).where("n > 0")
+    suffixes = [r.key for r in ends.orderBy(F.desc("n"), "key").limit(SUFFIXES).collect()]
+    words = [w for w, _ in top]
+    return Inventory(words[:HEADS], suffixes, words[HEADS:])
+
+
+def start(rows: DataFrame, known: Inventory, mass: np.ndarray, sample_docs: int) -> Params:
+    """First weights from at most `sample_docs` whole training documents, chosen by a hash, in one task. mass: counts of units."""
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = [[w.decode() for w in words_of(t)] for b in batches for t in b.column("text").to_pylist()]
-        known = Inventory.of(Counter(w for t in texts for w in t))
-        sequences = [np.array([known(w) for w in t], np.int64) for t in texts]
-        p = fresh()
-        share = np.bincount(np.concatenate([[0] * len(texts), *sequences]).astype(np.int64), minlength=CLASSES) + 0.5
+        sequences = [np.fromiter((known.unit(w.decode()) for w in words_of(t)), np.int64) for b in batches for t in b.column("text").to_pylist()]
+        p, rng = fresh(), np.random.default_rng(2)
+        share = np.bincount(known.class_of[np.concatenate([[0] * len(sequences), *sequences]).astype(np.int64)], minlength=CLASSES) + 0.5
         p["c"] = np.log(share / share.sum()).astype(np.float32)
-        p = train(p, sequences, 48, 0.01, 2)
-        yield pa.RecordBatch.from_arrays([pa.array([list(known.heads)], pa.list_(pa.string())), pa.array([list(known.suffixes)], pa.list_(pa.string())), pa.array([flat(p).astype(float)], pa.list_(pa.float64()))], names=["heads", "suffixes", "weights"])
+        p |= {"w": rng.normal(0, 0.1, (len(mass), HIDDEN)).astype(np.float32), "b": np.log(mass + 1).astype(np.float32), "a": np.zeros((HIDDEN, 3 * HIDDEN), np.float32)}
+        yield pa.RecordBatch.from_arrays([pa.array([flat(train(p, known, sequences, 48, 0.01, 2)).astype(float)], pa.list_(pa.float64()))], names=["weights"])
 
     sample = rows.where("flag").select("text", F.xxhash64(F.lit(2), "doc_id", "text").alias("n")).orderBy("n").limit(sample_docs).select("text")
-    found = sample.coalesce(1).mapInArrow(learn, "heads array<string>, suffixes array<string>, weights array<double>").collect()
-    if not found:
-        return Inventory([], []), {k: np.zeros(s, np.float32) for k, s in SHAPES.items()}
-    return Inventory(found[0].heads, found[0].suffixes), shaped(np.array(found[0].weights))
+    found = sample.coalesce(1).mapInArrow(learn, "weights array<double>").collect()
+    return shaped(np.array(found[0].weights), known) if found else {k: np.zeros(s, np.float32) for k, s in shapes(known).items()}
 
 
 def averaged(blocks: DataFrame, known: Inventory, p: Params, lanes: int = 512, rate: float = 0.002) -> Params:
-    """Each task trains on its training documents; the copies' mean by tokens. What comes back is as large as the model."""
+    """Each block trains a copy on its training documents; the copies' mean by tokens. What comes back is as large as the model."""
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, weight = np.zeros(sum(int(np.prod(s)) for s in SHAPES.values())), 0
+        total, weight = np.zeros(sum(int(np.prod(s)) for s in shapes(known).values())), 0
         for row in (r for b in batches for r in b.to_pylist()):
-            classes = np.fromiter(map(known, row["words"]), np.int64, len(row["words"]))
-            parts = np.split(classes[dictionary.unpack(row["codes"])], np.cumsum(dictionary.unpack(row["sizes"]))[:-1])
+            units = np.fromiter(map(known.unit, row["words"]), np.int64, len(row["words"]))
+            parts = np.split(units[dictionary.unpack(row["codes"])], np.cumsum(dictionary.unpack(row["sizes"]))[:-1])
             own = [s for s, f in zip(parts, row["flags"]) if f]
             if tokens := sum(len(s) + 1 for s in own):
-                total, weight = total + tokens * flat(train(p, own, lanes, rate, seed=row["block"] & 0xFFFF)).astype(float), weight + tokens
+                total, weight = total + tokens * flat(train(p, known, own, lanes, rate, seed=row["block"] & 0xFFFF)).astype(float), weight + tokens
         if weight:
             yield pa.RecordBatch.from_arrays([pa.array([total / weight], pa.list_(pa.float64())), pa.array([weight], pa.int64())], names=["weights", "tokens"])
 
     copies = blocks.select("block", "flags", "sizes", "codes", "words").mapInArrow(learn, "weights array<double>, tokens long")
     each = copies.select("tokens", F.posexplode("weights").alias("i", "w"))
     mean = each.groupBy("i").agg((F.sum(F.col("w") * F.col("tokens")) / F.sum("tokens")).alias("w")).orderBy("i").collect()
-    return shaped(np.round([r.w for r in mean], 6)) if mean else p
+    return shaped(np.round([r.w for r in mean], 6), known) if mean else p
 
 
 def counter(known: Inventory) -> Callable[[list[str], np.ndarray], tuple[list[list[int]], list[int]]]:
-    """For each word its training count and class; as a bucket's summary its distinct training words, and by class their
-    occurrences and hapax legomena."""
+    """For each word its training count and unit; as a bucket's summary its distinct training words, the occurrences and hapax
+    legomena of each class's bucket, and the occurrences of named words."""
 
     def answer(words: list[str], totals: np.ndarray) -> tuple[list[list[int]], list[int]]:
-        classes = np.fromiter(map(known, words), np.int64, len(words))
-        mass, once = np.bincount(classes, totals, CLASSES), np.bincount(classes, totals == 1, CLASSES)
-        return np.stack([totals, classes], axis=1).tolist(), [int((totals > 0).sum()), *mass.astype(int).tolist(), *once.astype(int).tolist()]
+        units = np.fromiter(map(known.unit, words), np.int64, len(words))
+        mass, once = np.bincount(units, totals, len(known.class_of)).astype(int), np.bincount(units, totals == 1, len(known.class_of)).astype(int)
+        return np.stack([totals, units], axis=1).tolist(), [int((totals > 0).sum()), *mass[:CLASSES].tolist(), *once[:CLASSES].tolist(), *mass[CLASSES:].tolist()]
 
     return answer
 
@@ -250,27 +358,28 @@ def score(docs: DataFrame, sample_docs: int = 1500) -> DataFrame:
     training documents all classes are equally likely. An empty table gives no rows; further columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~held_out()).alias("flag"), text_or_empty().alias("text"))
-    known, p = start(rows, sample_docs)
     blocks = dictionary.split_blocks(rows, lambda: words_of)
+    known = survey(blocks)
     packed = materialize(dictionary.resolve(blocks, lambda: counter(known)), "counts")
-    p = averaged(blocks, known, p)
     sums = {r.i: r.s for r in packed.where("summary is not null").select(F.posexplode("summary").alias("i", "s")).groupBy("i").agg(F.sum("s").alias("s")).collect()}
     ends = blocks.agg(F.coalesce(F.sum(F.size(F.filter("flags", lambda f: f))), F.lit(0))).first()[0]
-    mass, once = (np.array([sums.get(1 + k + i, 0) for i in range(CLASSES)], float) for k in (0, CLASSES))
-    total, distinct = int(mass.sum()) + ends, sums.get(0, 0) + (ends > 0)
+    mass, once, named = (np.array([sums.get(1 + k + i, 0) for i in range(n)], float) for k, n in ((0, CLASSES), (CLASSES, CLASSES), (2 * CLASSES, len(known.named))))
+    p = averaged(blocks, known, start(rows, known, np.r_[mass, named], sample_docs))
+    total, distinct = int(mass.sum() + named.sum()) + ends, sums.get(0, 0) + (ends > 0)
     spare = once + 1
 
     def build(row: dict, found: pa.Table) -> pa.Table:
         sizes, codes = dictionary.unpack(row["sizes"]), dictionary.unpack(row["codes"])
         _, values = dictionary.gathered(found, int(codes.max()) + 1 if len(codes) else 0)
-        count, classes = values[0::2], values[1::2]
+        count, units = values[0::2], values[1::2]
+        bucket = np.minimum(units, CLASSES - 1)
         below = np.log10(total + 0.1 * (distinct + 1))
         base = np.log10(count + 0.1) - below
-        share = np.log10(np.where(count > 0, count, spare[classes]) / (mass + spare)[classes])
+        share = np.where(units < CLASSES, np.log10(np.where(count > 0, count, spare[bucket]) / (mass + spare)[bucket]), 0.0)
         cuts = np.cumsum(sizes)[:-1]
         owner = np.repeat(np.arange(len(sizes)), sizes)
         add = lambda x: np.bincount(owner, x[codes], len(sizes))
-        chain = class_scores(p, np.split(classes[codes], cuts)) / np.log(10)
+        chain = class_scores(p, np.split(units[codes], cuts), known) / np.log(10)
         out = [pa.array(row["doc_ids"], pa.int64()), pa.array([not f for f in row["flags"]]), pa.array(sizes + 1), pa.array((add((count > 0).astype(float)) + (ends > 0)).astype(np.int64)), pa.array(np.full(len(sizes), total, np.int64)), pa.array(add(base) + np.log10(ends + 0.1) - below), pa.array(chain + add(share))]
         return pa.table(out, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 

@@ -91,3 +91,47 @@ def test_nothing_to_learn_from(spark):
     assert lm.score(spark.createDataFrame([], SCHEMA)).collect() == []
     (r,) = lm.score(spark.createDataFrame([(None, "a b", "", "")], SCHEMA)).collect()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (3, 0, 0, 0.0) and r.score < 0
+
+
+def test_words_are_predicted_within_their_class():
+    """Two words of one class, each told by the word before it: the state has to reach the softmax within the class."""
+    known = lm.Inventory([], [], ["aab", "bab", "cab", "dab"])
+    a, b, c, d = map(known.unit, ["aab", "bab", "cab", "dab"])
+    assert len({known(w) for w in known.named}) == 1 and known.unit("other") == known("other")
+    rng = np.random.default_rng(1)
+    p = lm.fresh() | {"w": rng.normal(0, 0.1, (len(known.class_of), lm.HIDDEN)).astype(np.float32), "b": np.zeros(len(known.class_of), np.float32), "a": np.zeros((lm.HIDDEN, 3 * lm.HIDDEN), np.float32)}
+    p = lm.train(p, known, [np.array([a, c] if i % 2 else [b, d]) for i in range(200)], 20, 0.02, 40)
+    right, wrong = lm.class_scores(p, [np.array([a, c]), np.array([a, d])], known)
+    assert right > wrong + 2
+
+
+def test_gradients_of_words():
+    rng = np.random.default_rng(2)
+    known = lm.Inventory(["a"], ["bc"], ["xbc", "ybc", "zbc", "q"])
+    p = {k: rng.normal(0, 0.3, s) for k, s in lm.shapes(known).items()}
+    sequences = [rng.choice([known("a"), known("bc"), *known.named.values()], n) for n in (9, 4, 12, 0)]
+
+    def loss(q):
+        (m, given, targets, there), = lm.Lanes(sequences).windows()
+        states, _ = lm.forward(q, np.zeros((m, lm.HIDDEN)), given, lm.inputs(q, known))
+        logs = lm.class_logs(q, states, known.class_of[targets])[0] + lm.word_logs(q, known, states, targets, there)[0]
+        return -(logs * there).sum() / there.sum(), lm.slopes(q, known, np.zeros((m, lm.HIDDEN)), given, targets, there)[0]
+
+    _, g = loss(p)
+    for k in p:
+        for i in [*rng.integers(0, p[k].size, 6), *np.argsort(-np.abs(g[k]).ravel())[:4]]:
+            e = np.zeros(p[k].size)
+            e[i] = 1e-3
+            slope = (loss(p | {k: p[k] + e.reshape(p[k].shape)})[0] - loss(p | {k: p[k] - e.reshape(p[k].shape)})[0]) / 2e-3
+            assert g[k].ravel()[i] == pytest.approx(slope, abs=2e-5)
+
+
+def test_survey_reads_all_training_documents(spark):
+    """Heads and named words are those of the counts of all documents, whichever a sample holds."""
+    rows = [(i, f"common{i % 90}aa " * 3 + f"rare{i}zz", "", "") for i in range(400)]
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("doc_id", "true as flag", "text")
+    known = lm.survey(lm.dictionary.split_blocks(docs, lambda: lm.words_of))
+    counts = Counter(w for _, t, *_ in rows for w in t.split())
+    top = sorted(counts, key=lambda w: (-counts[w], w))
+    assert list(known.heads) == top[: lm.HEADS] and list(known.named) == top[lm.HEADS : lm.HEADS + lm.WORDS]
+    assert set(known.suffixes) == {"aa", "zz"}
