@@ -8,7 +8,10 @@
    and levels of like size merge.
 3. Spans are gathered by document, and the texts that lose something are read again and cut.
 
-An anchor with very many classes is dealt further by the content that a small range of windows has in common (`hot_classes`).
+An anchor with very many classes is dealt further (`hot_classes`): each class is cut into small ranges of windows. Ranges of equal
+text are counted by hash; where several are equal, all their windows are repeated, with no comparison, and one of them goes on. It
+is dealt by the content that its windows have in common. Where very many different ranges have that in common too, as at the
+edges of a passage with many surroundings, each window is hashed and counted on its own.
 """
 
 from __future__ import annotations
@@ -144,17 +147,18 @@ class Family:
         return out
 
 
-CONTEXT = "shard long, doc_id long, same binary, anchor int, text binary, at int, least int, most int"
+CONTEXT = "shard long, doc_id long, same binary, anchor int, text binary, at int, least int, most int, equal binary"
 SPAN = "doc_id long, same binary, first int, last int"
 
 
 def cut_contexts(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """The contexts (CONTEXT) of wanted classes (doc_id, same, gram, anchor, lo, hi, hot), from the whole texts."""
+    """The contexts (CONTEXT) of wanted classes (doc_id, same, gram, anchor, lo, hi, hot), from the whole texts. Ranges of hot anchors
+    with one `equal` have the same anchor string, offsets and text; others have null."""
     lists = materialize(wanted.groupBy("doc_id", "same").agg(F.collect_list(F.struct("gram", "anchor", "lo", "hi", "hot")).alias("runs")), "wanted-runs")
     rows = texts_of(docs, lists)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int32()]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
         names = [x.split()[0] for x in CONTEXT.split(", ")]
         for batch in (b.slice(i, 100) for b in batches for i in range(0, b.num_rows, 100)):
             out = []
@@ -165,14 +169,15 @@ def cut_contexts(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
                 for x in r["runs"]:
                     a, lo, hi = x["anchor"], x["lo"], x["hi"]
                     if not x["hot"]:
-                        out.append((x["gram"], r["doc_id"], r["same"], a, text[lo : hi + length], a - lo, a - hi, a - lo))
+                        out.append((x["gram"], r["doc_id"], r["same"], a, text[lo : hi + length], a - lo, a - hi, a - lo, None))
                         continue
                     for s in range((a - hi) // RANGE * RANGE, a - lo + 1, RANGE):  # offsets s .. s + RANGE - 1
                         least, most = max(s, a - hi), min(s + RANGE - 1, a - lo)
                         core = text[max(a - s, 0) : a - s - RANGE + 1 + length]
                         shard = int.from_bytes(hashlib.blake2b(core, digest_size=8, salt=s.to_bytes(4), key=x["gram"].to_bytes(8, signed=True)).digest(), signed=True)
-                        out.append((shard, r["doc_id"], r["same"], a, text[a - most : a - least + length], most, least, most))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 8, kinds)], names=names)
+                        own = text[a - most : a - least + length]
+                        out.append((shard, r["doc_id"], r["same"], a, own, most, least, most, digest(b"%d %d %d " % (shard, least, most) + own)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 9, kinds)], names=names)
 
     return rows.mapInArrow(run, CONTEXT)
 
@@ -186,32 +191,91 @@ def texts_of(docs: DataFrame, lists: DataFrame) -> DataFrame:
     return rows.join(broadcast_if_small(lists, n, 2_000), F.col("d").eqNullSafe(F.col("doc_id"))).drop("d")
 
 
-def common_spans(contexts: DataFrame, length: int, batch_contexts: int = 4000) -> DataFrame:
-    """SPAN of windows that contexts of a shard have in common. Shards come whole and in order to a task; its family of levels is
-    dropped when the next shard begins."""
+def same_place(a: str, b: str):
+    """Whether structs a and b are the same anchor of the same text."""
+    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.same") == F.col(f"{b}.same")) & (F.col(f"{a}.anchor") == F.col(f"{b}.anchor"))
+
+
+def equal_ranges(ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """SPAN of the ranges (CONTEXT) that several places have with equal text, and ranges with one place only of each text."""
+    place = F.struct("doc_id", "same", "anchor")
+    counts = ranges.groupBy("equal").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("one")).where("n > 1")
+    marked = materialize(ranges.withColumn("own", place).join(counts, "equal", "left"), "ranges")
+    spans = marked.where("n > 1").select("doc_id", "same", (F.col("anchor") - F.col("most")).alias("first"), (F.col("anchor") - F.col("least")).alias("last"))
+    return spans, marked.where(F.col("n").isNull() | same_place("own", "one")).drop("own", "n", "one")
+
+
+def equal_windows(ranges: DataFrame, length: int) -> DataFrame:
+    """SPAN of single windows that several ranges (CONTEXT) have in common, counted by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, held, shard = Family(length), [], None
-
-        def add() -> pa.RecordBatch:
-            nonlocal family
-            if held[0][0] != shard:
-                family = Family(length)
-            found = family.add([c[1:] for c in held])
-            rows = [(doc, same, a - last, a - first) for (doc, same, a), first, last in found]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 4, [pa.int64(), pa.binary(), pa.int32(), pa.int32()])], names=["doc_id", "same", "first", "last"])
-
-        for batch in batches:
-            for r in (x for i in range(0, batch.num_rows, 1000) for x in batch.slice(i, 1000).to_pylist()):
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
+            rows = []
+            for r in batch.to_pylist():
+                for t in range(r["least"], r["most"] + 1):
+                    at = r["at"] - t
+                    rows.append((digest(b"%d %d " % (r["shard"], t) + r["text"][at : at + length]), r["doc_id"], r["same"], r["anchor"] - t))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 4, [pa.binary(), pa.int64(), pa.binary(), pa.int32()])], names=["window", "doc_id", "same", "first"])
+
+    windows = materialize(ranges.mapInArrow(run, "window binary, doc_id long, same binary, first int"), "windows")
+    several = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return windows.join(several, "window").select("doc_id", "same", "first", F.col("first").alias("last"))
+
+
+def shard_spans(batches: Iterator[pa.RecordBatch], length: int, batch_contexts: int) -> Iterator[pa.RecordBatch]:
+    """SPAN of windows that contexts of a shard have in common; shards come whole and in order. Shards that end within a batch share a
+    family that ends with it; one that goes on has its own, which is dropped when the next shard begins."""
+    family, held, shard = Family(length), [], None
+
+    def found(own: Family, rows: list[tuple]) -> pa.RecordBatch:
+        spans = [(doc, same, a - last, a - first) for (doc, same, a), first, last in own.add([c[1:] for c in rows])]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*spans) if spans else [[]] * 4, [pa.int64(), pa.binary(), pa.int32(), pa.int32()])], names=["doc_id", "same", "first", "last"])
+
+    def flush(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """The rows of the shard that goes on to its family, the others, which are whole, to one of their own."""
+        nonlocal family
+        n = next((i for i, r in enumerate(rows) if r[0] != shard), len(rows))
+        if n:
+            yield found(family, rows[:n])
+        if n < len(rows):
+            family = Family(length)
+            yield found(Family(length), rows[n:])
+
+    for batch in batches:
+        for r in (x for i in range(0, batch.num_rows, 1000) for x in batch.slice(i, 1000).to_pylist()):
+            if len(held) >= batch_contexts:
+                last = held[-1][0]
+                cut = len(held) if r["shard"] != last else next(i for i, x in enumerate(held) if x[0] == last)
+                yield from flush(held[:cut])  # shards that are whole
+                held = held[cut:]
+                if last != shard:
+                    family, shard = Family(length), last
                 if len(held) >= batch_contexts:
-                    yield add()
-                    shard = held[-1][0]
+                    yield from flush(held)
                     held = []
-                held.append((r["shard"], r["text"], r["at"], r["least"], r["most"], (r["doc_id"], r["same"], r["anchor"])))
-        if held:
-            yield add()
+            if not held and r["shard"] != shard:
+                family, shard = Family(length), r["shard"]
+            held.append((r["shard"], r["text"], r["at"], r["least"], r["most"], (r["doc_id"], r["same"], r["anchor"])))
+    if held:
+        yield from flush(held)
+
+
+def common_spans(contexts: DataFrame, length: int, batch_contexts: int = 4000) -> DataFrame:
+    """SPAN of windows that contexts of a shard have in common. Shards come whole and in order to a task."""
+    run = lambda batches: shard_spans(batches, length, batch_contexts)
+    return contexts.drop("equal").repartition(F.col("shard")).sortWithinPartitions("shard").mapInArrow(run, SPAN)
+
 
-    return contexts.repartition(F.col("shard")).sortWithinPartitions("shard").mapInArrow(run, SPAN)
+def found_spans(contexts: DataFrame, length: int, hot: bool, hot_classes: int) -> DataFrame:
+    """SPAN of the windows that contexts (CONTEXT) have in common; hot: whether there may be ranges of hot anchors."""
+    if not hot:
+        return common_spans(contexts, length)
+    contexts = materialize(contexts, "contexts")
+    spans, ranges = equal_ranges(contexts.where("equal is not null"))
+    crowded = materialize(ranges.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_classes).select("shard"), "crowded")
+    crowd = ranges.join(crowded, "shard", "left_semi")
+    rest = contexts.where("equal is null").unionByName(ranges.join(crowded, "shard", "left_anti"))
+    return spans.unionByName(equal_windows(crowd, length)).unionByName(common_spans(rest, length))
 
 
 CUT = "doc_id long, same binary, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>"
@@ -258,7 +322,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, hot_classes: int = 20_000
     open_ = hits.where("classes > 1")
     several = open_.where("members > 1").groupBy("gram", "content", "classes").agg(F.min(F.struct("doc_id", "same", "anchor", "lo", "hi")).alias("r")).select("gram", "classes", "r.*")
     wanted = open_.where("members = 1").select("gram", "classes", "doc_id", "same", "anchor", "lo", "hi").unionByName(several).withColumn("hot", F.col("classes") > hot_classes)
-    found = common_spans(cut_contexts(wanted, docs, length), length)
+    hot = bool(marked.where(F.col("classes") > hot_classes).limit(1).count())
+    found = found_spans(cut_contexts(wanted, docs, length), length, hot, hot_classes)
     all_gone = whole.distinct().groupBy("doc_id", "same").agg(F.sum(F.col("last") - F.col("first") + 1).alias("windows"))
     state = scanned.select("doc_id", "same", "n_bytes", "sha256").withColumn("gone", F.lit(False))
     spans = materialize(whole.unionByName(found), "spans-found")

@@ -87,3 +87,40 @@ def test_runs_cover_all_windows_and_depend_on_them_alone(monkeypatch):
 
 def test_empty(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_contexts_of_a_hot_passage_are_merged(spark, monkeypatch):
+    """One passage in many texts: no shard gets more contexts than the limit, and results are whole."""
+    rnd = random.Random(9)
+    text = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passage, most, real = text(900), [], repeats.common_spans
+    rows = [(i, text(500) + passage + text(500)) for i in range(40)] + [(40, passage[:600]), (41, text(9) + passage[100:700] + "!")]
+
+    def spy(contexts, *more):
+        most.extend(r["count"] for r in contexts.groupBy("shard").count().collect())
+        return real(contexts, *more)
+
+    monkeypatch.setattr(repeats, "common_spans", spy)
+    got = repeats.remove_repeats(spark.createDataFrame([(*r, "", "", "") for r in rows], SCHEMA).repartition(3), hot_classes=10).collect()
+    assert sorted((tuple(r)[:5] for r in got), key=str) == brute(rows, 400)
+    assert max(most) <= 10
+
+
+@pytest.mark.parametrize("batch", [1, 3, 8, 1000])
+def test_families_end_with_their_shard(monkeypatch, batch):
+    rnd, length, kept, real = random.Random(4), 30, [], repeats.Family.add
+    shards, texts = [s for s, n in enumerate([1, 7, 2, 30, 1, 1, 9, 16]) for _ in range(n)], [bytes(rnd.choice(b"ab") for _ in range(60)) for _ in range(6)]
+    rows = [{"shard": s, "doc_id": i, "same": b"", "anchor": 1000, "text": rnd.choice(texts) + bytes([97 + i % 26, 97 + i // 26]), "at": 20, "least": 0, "most": 20} for i, s in enumerate(shards)]
+
+    def add(self, contexts):
+        owners = [shards[c[-1][0]] for c in contexts]
+        old = {shards[o[0]] for level in self.levels for o in level.owner}
+        kept.append(not old or old == set(owners))
+        return real(self, contexts)
+
+    monkeypatch.setattr(repeats.Family, "add", add)
+    got = [tuple(r.values()) for b in repeats.shard_spans(iter([repeats.pa.RecordBatch.from_pylist(rows)]), length, batch) for r in b.to_pylist()]
+    found = {(d, t) for d, _, first, last in got for t in range(1000 - last, 1000 - first + 1)}
+    cut = lambda r, t: r["text"][20 - t : 20 - t + length]
+    want = {(r["doc_id"], t) for r in rows for t in range(21) if any(o is not r and o["shard"] == r["shard"] and cut(o, t) == cut(r, t) for o in rows)}
+    assert want <= found and all(kept)
