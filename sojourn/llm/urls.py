@@ -1,7 +1,7 @@
 """URL filters: rules on host and path, and gradient-boosted trees on lexical features for what no rule fits.
 
-The trees are trained on URLs that the rules label, at most `sample_urls` of them; suffix statistics come from the same sample,
-so both are bounded. Judging is a projection and one broadcast join over all rows.
+Suffix statistics come from all rows that the rules label. The trees alone are trained on a sample of the labelled URLs, at most
+`sample_urls` different ones. Judging is a projection and one join over all rows, a broadcast if the suffixes are counted few.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sojourn.llm.common import materialize
+from sojourn.llm.common import broadcast_if_small, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -62,8 +62,8 @@ def parsed(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     return out.select("page_id", "host", "path", F.col("judged.rule").alias("rule"), F.col("judged.verdict").alias("ruled"), *(c.alias(k) for k, c in lexical(F.col("url"), F.col("host"), F.col("path")).items()))
 
 
-def with_suffixes(rows: DataFrame, suffixes: DataFrame, rate: float) -> DataFrame:
-    joined = rows.join(F.broadcast(suffixes), "suffix", "left")  # one row at most for each sampled URL
+def with_suffixes(rows: DataFrame, suffixes: DataFrame, count: int, rate: float) -> DataFrame:
+    joined = rows.join(broadcast_if_small(suffixes, count), "suffix", "left")
     return joined.withColumn("suffix_rate", F.coalesce("suffix_rate", F.lit(rate))).withColumn("suffix_count", F.coalesce("suffix_count", F.lit(0.0)))
 
 
@@ -79,17 +79,20 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, sample_ur
     if labelled is not None:
         named = labelled.select(F.col("block").cast("double").alias("page_id"), "url").where("page_id is not null")
         source = parsed(named, []).withColumnRenamed("page_id", "label")
-    chosen = source.select(F.xxhash64(F.lit(3), "host", "path", "length", "entropy").alias("n"), "label", "suffix", *FEATURES[:-2])
-    sample = materialize(chosen.orderBy(*chosen.columns).limit(sample_urls), "url-sample")
-    total = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("label"), F.lit(0.0)).alias("rate")).first()
+    counts = materialize(source.groupBy("suffix").agg(F.sum("label").alias("blocked"), F.count("label").alias("n")), "url-suffixes")
+    total = counts.agg(F.count(F.lit(1)).alias("suffixes"), F.coalesce(F.sum("blocked") / F.sum("n"), F.lit(0.0)).alias("rate")).first()
     if total.rate in (0.0, 1.0):
         scored = rows.withColumn("chance", F.lit(total.rate))
     else:
-        share = (F.sum("label") + 5 * total.rate) / (F.count(F.lit(1)) + 5)
-        suffixes = materialize(sample.groupBy("suffix").agg(share.alias("suffix_rate"), F.log1p(F.count(F.lit(1))).alias("suffix_count")), "url-suffixes")
+        share = (F.col("blocked") + 5 * total.rate) / (F.col("n") + 5)
+        suffixes = counts.select("suffix", share.alias("suffix_rate"), F.log1p("n").alias("suffix_count"))
+        learned = ["label", "suffix", *FEATURES[:-2]]
+        chosen = source.select(F.xxhash64(F.lit(3), "host", "path", *learned).alias("n"), *learned)
+        first = chosen.select("n").distinct().orderBy("n").limit(sample_urls)  # copies of a URL count once
+        sample = materialize(chosen.join(F.broadcast(first), "n", "left_semi").distinct().orderBy("n", *learned).limit(sample_urls), "url-sample")
         columns = VectorAssembler(inputCols=FEATURES, outputCol="features")
-        data = columns.transform(with_suffixes(sample, suffixes, total.rate)).select("label", "features").coalesce(1)
+        data = columns.transform(with_suffixes(sample, suffixes, total.suffixes, total.rate)).select("label", "features").coalesce(1)
         model = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=32, stepSize=0.3, seed=3).fit(data)
-        scored = model.transform(columns.transform(with_suffixes(rows, suffixes, total.rate))).withColumn("chance", vector_to_array("probability")[1])
+        scored = model.transform(columns.transform(with_suffixes(rows, suffixes, total.suffixes, total.rate))).withColumn("chance", vector_to_array("probability")[1])
     verdict = F.coalesce("ruled", F.when(F.col("chance") >= 0.5, "block").otherwise("allow"))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.when(F.col("rule").isNull(), F.col("chance")).alias("chance"))

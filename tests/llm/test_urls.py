@@ -51,3 +51,22 @@ def test_one_label_or_none(spark):
     assert urls.judge(empty).collect() == []
     only = spark.createDataFrame([(1, "http://a.org/", "", "", ""), (2, "http://b.net/es/", "", "", "")], SCHEMA)
     assert {r.page_id: r.verdict for r in urls.judge(only).collect()} == {1: "block", 2: "block"}
+
+
+def test_hot_urls_and_suffixes_outside_the_sample(spark):
+    """Copies of hot URLs don't fill the sample, and suffix rates are those of all labelled rows."""
+    hot = [("http://hot.com/" + "abcdefghij"[i % 10] * (i + 1), 0) for i in range(40)]
+    rare = [(f"http://x{i}.net/es/page{i}.htm", 1) for i in range(20)]
+    labelled = spark.createDataFrame(hot * 100 + rare, "url string, block int")
+    test = spark.createDataFrame([(1, "http://y.net/es/page77.htm", "", "", ""), (2, "http://hot.com/aaaa", "", "", "")], SCHEMA)
+    got = {r.page_id: r for r in urls.judge(test, rules=[], labelled=labelled, sample_urls=60).collect()}
+    assert got[1].verdict == "block" and got[2].verdict == "allow"
+
+
+def test_rates_do_not_depend_on_the_sample(spark, monkeypatch):
+    seen = []
+    real = urls.with_suffixes
+    monkeypatch.setattr(urls, "with_suffixes", lambda rows, suffixes, *more: seen.append({r.suffix: r.suffix_count for r in suffixes.collect()}) or real(rows, suffixes, *more))
+    labelled = spark.createDataFrame([(f"http://h{i}.org/{i}.x{i % 30}", i % 2) for i in range(300)], "url string, block int")
+    urls.judge(spark.createDataFrame([], SCHEMA), rules=[], labelled=labelled, sample_urls=20)
+    assert len(seen[0]) == 30 and {round(v, 6) for v in seen[0].values()} == {2.397895}
