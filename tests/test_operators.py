@@ -159,3 +159,26 @@ def test_streams(spark, tmp_path):
     q = resume.windowed(stream, "ts", ["k"], "v", "1 hour").writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(map(tuple, spark.table("w").collect())) == sorted(map(tuple, resume.windowed(df, "ts", ["k"], "v", "1 hour").collect()))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_itinerary_misses_no_candidate(spark, seed):
+    """Against all choices, with binding budgets and many items that are neither among the best nor among the cheapest."""
+    import random
+    from itertools import combinations, product
+
+    rnd, quotas = random.Random(seed), {"hotel": 1, "meal": 2}
+    items = [(trip, kind, i, float(rnd.randint(1, 60)), rnd.randint(0, 90)) for trip in (1, 2, 3) for kind, n in (("hotel", 60), ("meal", 40)) for i in range(n)]
+    items += [(4, "hotel", i, 30.0 + i, 300 + 10 * i) for i in range(20)] + [(4, "hotel", 100 + i, 1.0 + i / 10, 2) for i in range(20)] + [(4, "hotel", 200, 20.0, 100), (4, "meal", 1, 2.0, 3), (4, "meal", 2, 2.0, 3), (5, "hotel", 1, 1.0, 1)]
+    budgets = {1: 12.0, 2: 25.0, 3: 2.0, 4: 25.0, 5: 99.0}
+    df = spark.createDataFrame(items, "trip int, kind string, item int, cost double, preference int")
+    got = search.itinerary(df, spark.createDataFrame(list(budgets.items()), "trip int, budget double"), quotas).collect()
+    for trip, budget in budgets.items():
+        own = {k: [(i, c, 100 * p - 100 * c) for t, kind, i, c, p in items if (t, kind) == (trip, k)] for k in quotas}
+        values = [h[2] + a[2] + b[2] for h, (a, b) in product(own["hotel"], combinations(own["meal"], 2)) if h[1] + a[1] + b[1] <= budget]
+        rows = [r for r in got if r.trip == trip]
+        assert {r.status for r in rows} == {"optimal" if values else "infeasible"}
+        if values:
+            picked = [next(x for x in own[r.kind] if x[0] == r.item) for r in rows]
+            assert sorted(r.kind for r in rows) == ["hotel", "meal", "meal"] and len({(r.kind, r.item) for r in rows}) == 3
+            assert sum(x[1] for x in picked) <= budget and sum(x[2] for x in picked) == max(values)
