@@ -182,3 +182,11 @@ def test_itinerary_misses_no_candidate(spark, seed):
             picked = [next(x for x in own[r.kind] if x[0] == r.item) for r in rows]
             assert sorted(r.kind for r in rows) == ["hotel", "meal", "meal"] and len({(r.kind, r.item) for r in rows}) == 3
             assert sum(x[1] for x in picked) <= budget and sum(x[2] for x in picked) == max(values)
+
+
+def test_conflicts_of_all_pairs_of_a_nation(spark, tmp_path):
+    from sojourn.plans import catalog, catalog_more  # noqa: F401
+
+    spark.createDataFrame([(1, k) for k in (3, 10, 200, 5000)] + [(2, 4)], "c_nationkey int, c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    got = catalog.QUERIES["persona_conflicts"](spark, str(tmp_path)).collect()
+    assert {(r.a, r.b) for r in got} == {(3, 10), (3, 200), (3, 5000), (10, 200), (10, 5000), (200, 5000)}
