@@ -117,8 +117,9 @@ def opponents(pool: DataFrame, group: str, key: str, score: str, vectors: str, w
 
 
 def spread(pool: DataFrame, group: str, key: str, score: str, vectors: str, k: int, balance: float = 0.6, candidates: int | None = None) -> DataFrame:
-    """As `opponents`, by balance * score - (1 - balance) * greatest cosine similarity with those chosen."""
-    cut = top(pool.select(group, key, score, vectors), [group], score, key, candidates or 10 * k)
+    """As `opponents`, by balance * score - (1 - balance) * greatest cosine similarity with those chosen. Groups are cut to
+    their best `candidates` before: 500, or k if that is more, as the original preselects."""
+    cut = top(pool.select(group, key, score, vectors), [group], score, key, candidates or max(500, k))
 
     def select(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([score, key], ascending=[False, True], kind="stable").reset_index(drop=True)

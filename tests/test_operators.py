@@ -184,6 +184,12 @@ def test_itinerary_misses_no_candidate(spark, seed):
             assert sum(x[1] for x in picked) <= budget and sum(x[2] for x in picked) == max(values)
 
 
+def test_spread_sees_beyond_ten_times_k(spark):
+    rows = [(1, i, 1.0 - i / 1e4, [1.0, 0.0]) for i in range(80)] + [(1, 80, 0.99, [0.0, 1.0])]
+    got = personas.spread(spark.createDataFrame(rows, "g int, k int, s double, v array<double>"), "g", "k", "s", "v", 2).orderBy("place").collect()
+    assert [r.k for r in got] == [0, 80]
+
+
 def test_conflicts_of_all_pairs_of_a_nation(spark, tmp_path):
     from sojourn.plans import catalog, catalog_more  # noqa: F401
 
