@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -92,10 +93,11 @@ def blocks_of(docs: DataFrame, path: str) -> DataFrame:
 
 
 def encoder(path: str) -> Callable[[list[str], np.ndarray], tuple[list[list[int]], None]]:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     t = tokenizer(path)
 
     def answer(words: list[str], _: np.ndarray) -> tuple[list[list[int]], None]:
-        return [e.ids for i in range(0, len(words), 20_000) for e in t.encode_batch(words[i : i + 20_000], add_special_tokens=False)], None
+        return [e.ids for i in range(0, len(words), 1000) for e in t.encode_batch(words[i : i + 1000], add_special_tokens=False)], None
 
     return answer
 
@@ -105,17 +107,24 @@ def _encoded(docs: DataFrame, path: str, keep_ids: bool) -> DataFrame:
 
     def build(row: dict, found: pa.Table) -> pa.Table:
         table = pieces(path)
-        sizes, codes = dictionary.unpack(row["sizes"]), dictionary.unpack(row["codes"])
+        sizes, codes = dictionary.unpack(row["sizes"]), dictionary.unpack_codes(row["codes"])
         start, ids = dictionary.gathered(found, int(codes.max()) + 1 if len(codes) else 0)
         length = np.fromiter(map(len, table), np.int64, len(table))
         begin, every = np.r_[0, np.cumsum(length)], np.frombuffer(b"".join(table), np.uint8)
-        out, ends = [], np.cumsum(sizes)
-        for doc, a, b in zip(row["doc_ids"], ends - sizes, ends):
+        ends, docs = np.cumsum(sizes), len(sizes)
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + keep_ids]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())][: 4 + keep_ids]
+
+        def digest(doc: int | None, a: int, b: int) -> tuple:
             own = dictionary.pick(start, ids, codes[a:b])
             text = dictionary.pick(begin, every, own).tobytes().decode("utf-8", errors="replace")
-            out.append((doc, len(own), hashlib.sha256(own.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), own.astype(np.int32) if keep_ids else None))
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())][: 4 + keep_ids]
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + keep_ids])
+            return doc, len(own), hashlib.sha256(own.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), own.astype(np.int32) if keep_ids else None
+
+        parts = []
+        for i in range(0, docs, 250):
+            rows = [digest(*x) for x in zip(row["doc_ids"][i : i + 250], (ends - sizes)[i : i + 250], ends[i : i + 250])]
+            parts.append(pa.table([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=names))
+        return pa.concat_tables(parts)
 
     found = dictionary.resolve(blocks, lambda: encoder(path))
     return dictionary.assemble(blocks.select("block", "doc_ids", "sizes", "codes"), found.drop("summary"), build, DIGESTS + ", ids array<int>" * keep_ids)

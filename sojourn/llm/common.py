@@ -19,6 +19,17 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
 
 
+#: Arrow batches that carry texts or sets to Python workers: memory of a task doesn't depend on how long the rows are.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes, unless they are smaller already."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there and lost executors cost nothing."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
@@ -51,6 +62,13 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int = 50_000) -> DataFra
     return F.broadcast(df) if rows <= limit else df
 
 
+def least_hashes(df: DataFrame, order: Column, count: int, most: int) -> DataFrame:
+    """The `most` rows of df, which has `count` rows, that come first by `order`, an evenly spread hash; with the hash as `n`. What
+    can't be among them is dropped where it lies, so the sort sees about twice as many rows, however many tasks there are."""
+    limit = int(-(2**63) + 2**64 * min(1.0, (2 * most + 100) / max(count, 1))) - 1
+    return df.withColumn("n", order).where(F.col("n") <= F.lit(max(limit, -(2**63)))).orderBy("n").limit(most)
+
+
 def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column end to end, and where each row starts (one more than rows). Nulls are empty."""
     column = column.cast(pa.large_binary())

@@ -19,9 +19,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sojourn.llm.common import bucketed, byte_view, slices
+from sojourn.llm.common import bound_batches, bucketed, byte_view, slices
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 10 << 20
 BLOCKS = "block long, doc_ids array<long>, flags array<boolean>, sizes binary, codes binary, words array<string>, counts array<int>"
 
 
@@ -30,9 +30,36 @@ def pack(values: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
-def unpack(data: bytes) -> np.ndarray:
+def unpack_codes(data: bytes) -> np.ndarray:
+    """The integers as they were packed, of 32 bits."""
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4").ravel()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    return unpack_codes(data).view("<u4").astype(np.int64)
+
+
+class Block:
+    """What is kept of the documents of a block so far: their words' codes and the distinct words, not their texts."""
+
+    def __init__(self, number: int) -> None:
+        self.number, self.size, self.ids, self.flags, self.codes = number, 0, [], [], []
+        self.known: dict[str, int] = defaultdict()
+        self.known.default_factory = self.known.__len__
+
+    def add(self, doc: int | None, flag: bool, words: list[str], size: int) -> None:
+        self.ids.append(doc)
+        self.flags.append(flag)
+        self.codes.append(np.fromiter(map(self.known.__getitem__, words), np.int32, len(words)))
+        self.size += size
+
+    def row(self) -> pa.RecordBatch:
+        sizes, codes = np.array([len(c) for c in self.codes]), np.concatenate(self.codes)
+        counts = np.bincount(codes[np.repeat(self.flags, sizes)], minlength=len(self.known))
+        row = {"block": self.number, "doc_ids": self.ids, "flags": self.flags, "sizes": pack(sizes), "codes": pack(codes), "words": list(self.known), "counts": counts.astype(np.int32)}
+        kinds = {"block": pa.int64(), "doc_ids": pa.list_(pa.int64()), "flags": pa.list_(pa.bool_()), "sizes": pa.binary(), "codes": pa.binary(), "words": pa.list_(pa.string()), "counts": pa.list_(pa.int32())}
+        return pa.RecordBatch.from_arrays([pa.array([row[k]], t) for k, t in kinds.items()], names=list(kinds))
 
 
 def split_blocks(docs: DataFrame, words_of: Callable[[], Callable[[str], list[str]]], most: int = BLOCK_BYTES) -> DataFrame:
@@ -41,22 +68,20 @@ def split_blocks(docs: DataFrame, words_of: Callable[[], Callable[[str], list[st
     counts has each word's occurrences in documents whose flag is true."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, block = words_of(), TaskContext.get().partitionId() << 32
+        split, block = words_of(), Block(TaskContext.get().partitionId() << 32)
         for batch in batches:
             _, starts = byte_view(batch.column("text"))
-            for i, j in slices(starts, most):
+            for i, j in slices(starts, 1 << 20):
                 part = batch.slice(i, j - i)
-                known: dict[str, int] = defaultdict()
-                known.default_factory = known.__len__
-                codes = [np.fromiter(map(known.__getitem__, w), np.int32, len(w)) for w in map(split, part.column("text").to_pylist())]
-                flags = part.column("flag").to_pylist()
-                own = [c for c, f in zip(codes, flags) if f]
-                counts = np.bincount(np.concatenate(own), minlength=len(known)) if own else np.zeros(len(known))
-                row = {"block": block, "doc_ids": part.column("doc_id").to_pylist(), "flags": flags, "sizes": pack(np.array([len(c) for c in codes])), "codes": pack(np.concatenate(codes)), "words": list(known), "counts": counts.astype(np.int32)}
-                kinds = {"block": pa.int64(), "doc_ids": pa.list_(pa.int64()), "flags": pa.list_(pa.bool_()), "sizes": pa.binary(), "codes": pa.binary(), "words": pa.list_(pa.string()), "counts": pa.list_(pa.int32())}
-                yield pa.RecordBatch.from_arrays([pa.array([row[k]], t) for k, t in kinds.items()], names=list(kinds))
-                block += 1
-
+                for doc, flag, text, size in zip(*(part.column(c).to_pylist() for c in ("doc_id", "flag", "text")), np.diff(starts[i : j + 1]).tolist()):
+                    if block.ids and block.size + size > most:
+                        yield block.row()
+                        block = Block(block.number + 1)
+                    block.add(doc, flag, split(text), size)
+        if block.ids:
+            yield block.row()
+
+    bound_batches(docs.sparkSession)
     return bucketed(docs.select("doc_id", "flag", "text").mapInArrow(run, BLOCKS), "blocks", "block")
 
 
@@ -151,9 +176,10 @@ def pick(start: np.ndarray, values: np.ndarray, codes: np.ndarray) -> np.ndarray
 
 
 def assemble(blocks: DataFrame, packed: DataFrame, build: Callable[[dict, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """build(block row, its packed rows) for each block; a block and its answers are bounded by BLOCK_BYTES of text."""
+    """build(block row, its packed rows) for each block; a block and its answers are bounded by BLOCK_BYTES of text. The chunks of
+    the tables that it makes go on one by one."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        return pa.concat_tables([build(row, right) for row in left.to_pylist()])
+        return pa.concat_tables([build(left.slice(i, 1).to_pylist()[0], right) for i in range(left.num_rows)])
 
     return blocks.groupBy("block").cogroup(packed.groupBy("block")).applyInArrow(run, schema)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sojourn.llm.common import broadcast_if_small, byte_view, materialize, slices, text_key, text_or_empty
+from sojourn.llm.common import bound_batches, broadcast_if_small, byte_view, materialize, slices, text_key, text_or_empty
 from sojourn.llm.components import connected_components
 
 ROWS, BANDS = 4, 28
@@ -217,6 +217,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     with it, or null. Rows that share a doc_id but not the text are nodes of their own. An empty table gives no rows; further
     columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     sketches = materialize(sketch(docs, k), "sketch")
     classes = materialize(classes_of(sketches), "classes")
     members = materialize(buckets_of(classes), "members")

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sojourn.llm.common import materialize, text_or_empty
+from sojourn.llm.common import bound_batches, materialize, text_or_empty
 
 #: Words and sentence ends; a sentence is what lies between two ends.
 TOKEN = re.compile(r"\w+|[.!?\n]")
@@ -148,6 +148,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataF
 
     Null and empty texts are one empty sentence. Equal texts have equal scores; null ids stay; further columns are ignored."""
     spark = docs.sparkSession
+    bound_batches(spark)
     sent = spark.sparkContext.broadcast(model)  # bounded by the sample's words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,6 +168,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataF
 
 def keep_clean(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
     """The rows of docs, all columns, that aren't predicted to be toxic."""
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample's words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
