@@ -1,7 +1,7 @@
 """Content-chosen anchors: positions of a text that any long repeated string shares with its copies, wherever it lies.
 
-Every window of `length` bytes has one anchor: the start of its leftmost k-gram of least hash. The choice depends on nothing but
-the window's bytes, so equal windows have anchors with equal k-grams at equal offsets. Successive windows mostly share their
+A text is an array of units, bytes or 64-bit hashes of words. Every window of `length` units has one anchor: the start of its leftmost k-gram of least hash. The choice depends on nothing but
+the window's units, so equal windows have anchors with equal k-grams at equal offsets. Successive windows mostly share their
 anchor; such a run of window starts is one entry.
 """
 
@@ -25,10 +25,10 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
-    """A 64-bit hash of the k bytes from each position on."""
+    """A 64-bit hash of the k units from each position on."""
     n = len(data)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(BYTE[data] * _powers(STEP, n), out=sums[1:])
+    np.cumsum((BYTE[data] if data.dtype == np.uint8 else data) * _powers(STEP, n), out=sums[1:])
     x = (sums[k:] - sums[: n - k + 1]) * _powers(BACK, n - k + 1)
     x ^= x >> np.uint64(32)
     x *= MIX

@@ -64,7 +64,7 @@ def test_family_over_batches(batch):
             b[rnd.randrange(120)] = rnd.choice(b"cd")
         b[50:60] = base[50:60]
         contexts.append((bytes(b), 50, rnd.randint(0, 5), rnd.randint(6, 20), i))
-    family, found = repeats.Family(length), set()
+    family, found = repeats.Family(repeats.Units(length, 1)), set()
     for i in range(0, len(contexts), batch):
         found |= {(o, t) for o, first, last in family.add(contexts[i : i + batch]) for t in range(first, last + 1)}
     want = {(i, t) for x, a, lo, hi, i in contexts for t in range(lo, hi + 1) if any(j != i and l2 <= t <= h2 and y[a - t : a - t + length] == x[a - t : a - t + length] for y, _, l2, h2, j in contexts)}
@@ -119,8 +119,58 @@ def test_families_end_with_their_shard(monkeypatch, batch):
         return real(self, contexts)
 
     monkeypatch.setattr(repeats.Family, "add", add)
-    got = [tuple(r.values()) for b in repeats.shard_spans(iter([repeats.pa.RecordBatch.from_pylist(rows)]), length, batch) for r in b.to_pylist()]
+    got = [tuple(r.values()) for b in repeats.shard_spans(iter([repeats.pa.RecordBatch.from_pylist(rows)]), repeats.Units(length, 1), batch) for r in b.to_pylist()]
     found = {(d, t) for d, _, first, last in got for t in range(1000 - last, 1000 - first + 1)}
     cut = lambda r, t: r["text"][20 - t : 20 - t + length]
     want = {(r["doc_id"], t) for r in rows for t in range(21) if any(o is not r and o["shard"] == r["shard"] and cut(o, t) == cut(r, t) for o in rows)}
     assert want <= found and all(kept)
+
+
+def brute_passages(rows, words):
+    """Words of each (id, text) in windows that another (id, text) has too."""
+    docs = sorted({(d, t or "") for d, t in rows}, key=str)
+    where = defaultdict(set)
+    split = [t.encode().split() for _, t in docs]
+    for i, w in enumerate(split):
+        for p in range(len(w) - words + 1):
+            where[tuple(w[p : p + words])].add(i)
+    out = {}
+    for (d, t), (i, w) in zip(docs, enumerate(split)):
+        hit = np.zeros(len(w), bool)
+        for p in range(len(w) - words + 1):
+            if len(where[tuple(w[p : p + words])]) > 1:
+                hit[p : p + words] = True
+        out[d, t] = int(hit.sum()), int((np.diff(hit.astype(int), prepend=0) == 1).sum())
+    return out
+
+
+def wordy(seed):
+    rnd = random.Random(seed)
+    text = lambda n: " ".join(rnd.choice(["the", "of", "a", "Été", "rain", "in"]) + rnd.choice("abcdefgh") for _ in range(n))
+    passage, line = text(90), text(20)
+    out = [None, "", "one", passage, " ".join([line] * 9), text(5) + " " + " ".join([line] * 9), text(60), passage + "\n" + passage]
+    out += [text(rnd.randint(0, 90)) + " " + " ".join(passage.split()[rnd.randint(0, 40) : rnd.randint(60, 90)]) + "\t" + text(rnd.randint(0, 90)) for _ in range(30)]
+    return out + [" ".join([text(20), *[text(3)] * 30])]
+
+
+@pytest.mark.parametrize("hot", [2000, 3])
+def test_passages_across_documents(spark, hot):
+    rows = list(enumerate(wordy(3))) + [(3, wordy(3)[3]), (None, wordy(3)[3]), (5, "an id that is there")]
+    docs = spark.createDataFrame([(*r, "", "", "") for r in rows], SCHEMA).repartition(3)
+    got = {(r.doc_id, r.same): (r.passage_words, r.n_passages) for r in repeats.shared_passages(docs, 31, hot).collect()}
+    want = {(d, repeats.digest(t.encode())): x for (d, t), x in brute_passages(rows, 31).items() if x[0]}
+    assert got == want and len(want) > 20
+    every = repeats.remove_repeats(docs, passage_words=31).collect()
+    assert sorted((str(r.doc_id), r.passage_words) for r in every) == sorted((str(d), brute_passages(rows, 31)[d, t or ""][0]) for d, t in rows)
+
+
+def test_index_takes_batches(spark):
+    rows = list(enumerate(corpus(2)))
+    docs = spark.createDataFrame([(*r, "", "", "") for r in rows], SCHEMA)
+    index, spans = repeats.RepeatIndex(spark, repeats.byte_units()), None
+    for k in range(5):
+        own = index.add(docs.where(f"doc_id % 5 = {k}"))
+        spans = own if spans is None else spans.unionByName(own)
+    got = {r.doc_id: r.units for r in repeats.covered(spans, 400).collect()}
+    assert got == {d: n for d, _, n, *_ in brute(rows, 400) if n}
+    assert len(index.levels) <= 3
