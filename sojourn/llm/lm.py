@@ -5,9 +5,9 @@ document. Classes are frequent words on their own, the other words by their last
 a text. Within a class the network has a softmax over the class's named words (the `WORDS` most frequent after the heads) and one
 bucket for all its rare words; the vector of a named word or bucket is the same as input and as output. In its bucket a rare word
 has the share of its count, and the bucket keeps the share of its hapax legomena for unknown words. Classes, named words and
-counts come from all training documents. The weights start from a bounded sample (`sample_docs`), then each block of documents
-trains its own copy on its training documents, whole, by truncated backpropagation with the state carried from window to window,
-and the copies are averaged by their tokens.
+counts come from all training documents. The weights start from a bounded sample (`sample_docs`); then training documents are dealt
+into groups by a hash, each group trains its own copy on its documents, whole, by truncated backpropagation with the state carried
+from window to window, and the copies are averaged by their tokens. Groups don't depend on how the table is laid out.
 """
 
 from __future__ import annotations
@@ -15,17 +15,21 @@ from __future__ import annotations
 import heapq
 from collections import Counter
 from collections.abc import Callable, Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sojourn.llm import dictionary
-from sojourn.llm.common import materialize, text_or_empty
+from sojourn.llm.common import least_hashes, materialize, text_or_empty
 
-HIDDEN, WINDOW, HEADS, SUFFIXES, WORDS = 16, 16, 72, 23, 2000
-CLASSES = 1 + HEADS + 2 * (SUFFIXES + 1)
+HIDDEN, WINDOW, LONGEST, HEADS, SUFFIXES, OTHERS, WORDS = 16, 16, 64, 72, 23, 4, 2000
+#: Tokens of a group that trains a copy.
+GROUP_TOKENS = 4_000_000
+CLASSES = 1 + HEADS + 2 * (SUFFIXES + OTHERS)
 SHAPES = {"x": (CLASSES, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "v": (HIDDEN, CLASSES), "c": (CLASSES,)}
 CLOSING = ".,;:!?)\"'"
 
@@ -55,7 +59,12 @@ class Inventory:
         if found := self.heads.get(word):
             return found
         core = word.rstrip(CLOSING)
-        return 1 + HEADS + 2 * self.suffixes.get(core[-2:], SUFFIXES) + (core != word)
+        return self.ending(core[-2:], core != word)
+
+    def ending(self, suffix: str, closed: bool) -> int:
+        """The class of words by suffix and closing punctuation; suffixes that aren't known are dealt by a hash."""
+        known = self.suffixes.get(suffix)
+        return 1 + HEADS + 2 * (SUFFIXES + crc32(suffix.encode()) % OTHERS if known is None else known) + closed
 
     def unit(self, word: str) -> int:
         return self.named.get(word) or self(word)
@@ -100,13 +109,14 @@ class Lanes:
         own = [sequences[i] for i in self.order]
         self.size = np.array([len(s) + 1 for s in own])
         self.first = np.cumsum(self.size) - self.size
-        self.values = np.concatenate([x for s in own for x in (s, [0])] + [np.zeros(WINDOW, np.int64)]).astype(np.int64)
+        self.values = np.concatenate([x for s in own for x in (s, [0])] + [np.zeros(LONGEST, np.int64)]).astype(np.int64)
 
     def windows(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """Lanes still open, inputs and targets (time, lane), and which targets are there."""
-        for t in range(0, int(self.size[0]), WINDOW):
+        """Lanes still open, inputs and targets (time, lane), and which targets are there. Windows are longer when few lanes are open."""
+        t, n = 0, 0
+        while (t := t + n) < self.size[0]:
             m = int(np.searchsorted(-self.size, -t))
-            n = min(WINDOW, int(self.size[0]) - t)
+            n = min(LONGEST, max(WINDOW, 8192 // m), int(self.size[0]) - t)
             at = self.first[:m] + t + np.arange(n)[:, None]
             given = self.values[np.maximum(at - 1, 0)]
             if t == 0:
@@ -131,15 +141,20 @@ def forward(p: Params, h: np.ndarray, given: np.ndarray, table: np.ndarray | Non
     return out, kept
 
 
+def highest(w: np.ndarray, b: np.ndarray) -> float:
+    """No state gives larger odds, in logs, nor smaller ones below zero: states lie between -1 and 1."""
+    return float((np.abs(w).sum(axis=0) + np.abs(b)).max())
+
+
 def class_logs(p: Params, states: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Natural log of each target's chance, and all classes' odds with their sums: chances are odds over sums."""
     s = states.reshape(-1, HIDDEN) @ p["v"]
     s += p["c"]
-    if s.size and s.max() > 60:  # else exp has room
+    if s.size and highest(p["v"], p["c"]) > 60:  # else exp has room
         s -= s.max(axis=1, keepdims=True)
     own = s[np.arange(len(s)), targets.ravel()]
     odds = np.exp(s, out=s)
-    total = odds.sum(axis=1)
+    total = odds @ np.ones(s.shape[1], s.dtype)
     return (own - np.log(total)).reshape(targets.shape), odds, total
 
 
@@ -154,16 +169,17 @@ def word_logs(p: Params, known: Inventory, states: np.ndarray, targets: np.ndarr
     cuts = np.flatnonzero(np.diff(classes[on], prepend=-1, append=CLASSES))
     for i, j in zip(cuts[:-1], cuts[1:]):
         m = known.members(classes[on[i]])
-        w, b, step = p["w"][m].T, p["b"][m], max(1, (1 << 19) // len(m))
+        w, b, step, ones = p["w"][m].T, p["b"][m], max(1, (1 << 15) // len(m)), np.ones(len(m), s.dtype)
+        high = highest(w, b) > 60
         for k in range(i, j, step):  # odds of a slice take 2 MB
             at = on[k : min(k + step, j)]
             own, h = (np.arange(len(at)), known.place[units[at]]), s[at]
             odds = h @ w
             odds += b
-            if odds.max() > 60 or odds.min() < -60:  # else exp has room
+            if high:  # else exp has room
                 odds -= odds.max(axis=1, keepdims=True)
             said = odds[own]
-            total = np.exp(odds, out=odds).sum(axis=1)
+            total = np.exp(odds, out=odds) @ ones
             logs[at] = said - np.log(total)
             if learn:
                 odds[own] -= total
@@ -234,22 +250,22 @@ def train(p: Params, known: Inventory, sequences: list[np.ndarray], lanes: int,
     return p
 
 
-def class_scores(p: Params, sequences: list[np.ndarray], known: Inventory | None = None) -> np.ndarray:
-    """Natural log of the chance of each whole sequence of classes, or of units if there is an inventory, and its end."""
-    if not sequences:
-        return np.zeros(0)
-    lanes, h = Lanes(sequences), np.zeros((len(sequences), HIDDEN), np.float32)
-    out = np.zeros(len(sequences))
-    table = inputs(p, known) if known else None
-    for m, given, targets, there in lanes.windows():
-        states, _ = forward(p, h[:m], given, table)
-        h = states[-1]
-        logs = class_logs(p, states, known.class_of[targets] if known else targets)[0]
-        if known:
-            logs = logs + word_logs(p, known, states, targets, there)[0]
-        out[:m] += np.where(there, logs, 0.0).sum(axis=0, dtype=np.float64)
-    result = np.empty(len(sequences))
-    result[lanes.order] = out
+def class_scores(p: Params, sequences: list[np.ndarray], known: Inventory | None = None, side_by_side: int = 512) -> np.ndarray:
+    """Natural log of the chance of each whole sequence of classes, or of units if there is an inventory, and its end. So many
+    documents of like length go side by side."""
+    result, table = np.empty(len(sequences)), inputs(p, known) if known else None
+    order = np.argsort([len(s) for s in sequences], kind="stable")
+    for i in range(0, len(order), side_by_side):
+        own = order[i : i + side_by_side]
+        lanes, h, out = Lanes([sequences[j] for j in own]), np.zeros((len(own), HIDDEN), np.float32), np.zeros(len(own))
+        for m, given, targets, there in lanes.windows():
+            states = forward(p, h[:m], given, table)[0]
+            h = states[-1]
+            logs = class_logs(p, states, known.class_of[targets] if known else targets)[0]
+            if known:
+                logs = logs + word_logs(p, known, states, targets, there)[0]
+            out[:m] += np.where(there, logs, 0.0).sum(axis=0, dtype=np.float64)
+        result[own[lanes.order]] = out
     return result
 
 
@@ -259,49 +275,79 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def surveyor() -> Callable[[list[str], np.ndarray], tuple[list[list[int]], list[int]]]:
-    """No answers; as a bucket's summary its training counts by suffix and its most frequent training words, as integers."""
+    """For each word its training count. As a bucket's summary, in integers: of words by suffix and whether punctuation closes them
+    their occurrences and hapax legomena, the most frequent words, and how many distinct words there are."""
 
     def answer(words: list[str], totals: np.ndarray) -> tuple[list[list[int]], list[int]]:
-        ends: Counter[str] = Counter()
+        every, once = Counter(), Counter()
         for w, n in zip(words, totals.tolist()):
-            ends[suffix_of(w)] += n
+            if n:
+                key = suffix_of(w), CLOSED if w.endswith(tuple(CLOSING)) else PLAIN
+                every[key] += n
+                once[key] += n == 1
         most = HEADS + WORDS
         least = max(1, int(np.partition(totals, -most)[-most])) if len(totals) > most else 1
         top = heapq.nsmallest(most, ((-int(totals[i]), words[i]) for i in np.flatnonzero(totals >= least)))
         out = []
-        for kind, key, n in [*((1, e, n) for e, n in ends.items() if n), *((0, w, -n) for n, w in top)]:
+        for kind, key, n, k in [*((kind, e, n, once[e, kind]) for (e, kind), n in every.items()), *((TOP, w, -n, 0) for n, w in top), (DISTINCT, "", int((totals > 0).sum()), 0)]:
             raw = key.encode()
-            out += [kind, n, len(raw), *np.frombuffer(raw + bytes(-len(raw) % 8), "<i8").tolist()]
-        return [[]] * len(words), out
+            out += [kind, n, k, len(raw), *np.frombuffer(raw + bytes(-len(raw) % 8), "<i8").tolist()]
+        return totals.reshape(-1, 1).tolist(), out
 
     return answer
 
 
-def survey(blocks: DataFrame) -> Inventory:
-    """Heads, suffixes of the other words and named words, by the counts of all training documents."""
+TOP, PLAIN, CLOSED, DISTINCT = range(4)
+
+
+class Counts:
+    """The inventory, occurrences of each unit, hapax legomena of each class's bucket, and how many distinct words there are."""
+
+    def __init__(self, known: Inventory, units: np.ndarray, once: np.ndarray, distinct: int) -> None:
+        self.known, self.units, self.once, self.distinct = known, units, once, distinct
+
+
+def survey(packed: DataFrame) -> Counts:
+    """Heads, suffixes of the other words and named words, by the counts of all training documents (what `surveyor` gave)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for data in (x for b in batches for x in b.column("summary")):
             values, i, rows = data.values.to_numpy(zero_copy_only=False), 0, []
             while i < len(values):
-                kind, n, size = values[i : i + 3].tolist()
-                end = i + 3 + -(-size // 8)
-                rows.append((kind, values[i + 3 : end].astype("<i8").tobytes()[:size].decode(), n))
+                kind, n, once, size = values[i : i + 4].tolist()
+                end = i + 4 + -(-size // 8)
+                rows.append((kind, values[i + 4 : end].astype("<i8").tobytes()[:size].decode(), n, once))
                 i = end
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 3, (pa.int64(), pa.string(), pa.int64()))], names=["kind", "key", "n"])
-
-    summaries = dictionary.resolve(blocks, surveyor).where("summary is not null").select("summary")
-    found = materialize(summaries.mapInArrow(read, "kind long, key string, n long"), "survey")
-    top = [(r.key, r.n) for r in found.where("kind = 0").orderBy(F.desc("n"), "key").limit(HEADS + WORDS).collect()]
-    less = found.sparkSession.createDataFrame([(suffix_of(w), -n) for w, n in top[:HEADS]], "key string, n long")
-    ends = found.where("kind = 1").select("key", "n").unionByName(less).groupBy("key").agg(F.sum("n").alias("n")).where("n > 0")
-    suffixes = [r.key for r in ends.orderBy(F.desc("n"), "key").limit(SUFFIXES).collect()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 4, (pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=["kind", "key", "n", "once"])
+
+    found = materialize(packed.where("summary is not null").select("summary").mapInArrow(read, "kind long, key string, n long, once long"), "survey")
+    spark = found.sparkSession
+    top = [(r.key, r.n) for r in found.where(F.col("kind") == TOP).orderBy(F.desc("n"), "key").limit(HEADS + WORDS).collect()]
+    taken = [(CLOSED if w.endswith(tuple(CLOSING)) else PLAIN, suffix_of(w), -n, -(n == 1), i < HEADS) for i, (w, n) in enumerate(top)]
+    less = spark.createDataFrame(taken, "kind long, key string, n long, once long, head boolean")  # at most HEADS + WORDS rows
+    ends = found.where(F.col("kind").isin(PLAIN, CLOSED)).withColumn("head", F.lit(True)).unionByName(less)
+    order = ends.where("head").groupBy("key").agg(F.sum("n").alias("n")).where("n > 0").orderBy(F.desc("n"), "key")
+    suffixes = [r.key for r in order.limit(SUFFIXES).collect()]
     words = [w for w, _ in top]
-    return Inventory(words[:HEADS], suffixes, words[HEADS:])
-
-
-def start(rows: DataFrame, known: Inventory, mass: np.ndarray, sample_docs: int) -> Params:
-    """First weights from at most `sample_docs` whole training documents, chosen by a hash, in one task. mass: counts of units."""
+    known = Inventory(words[:HEADS], suffixes, words[HEADS:])
+    units, once = np.zeros(len(known.class_of), np.int64), np.zeros(CLASSES, np.int64)
+    for w, n in top:
+        units[known.unit(w)] = n
+        if w in known.heads:
+            once[known.heads[w]] = n == 1
+    rest = F.crc32(F.col("key").cast("binary")) % OTHERS  # few groups: named suffixes, or what the others are dealt by
+    named = F.col("key").isin(suffixes)
+    sums = ends.groupBy(F.when(named, F.col("key")).alias("suffix"), F.when(~named, rest).alias("other"), "kind")
+    for r in sums.agg(F.sum("n").alias("n"), F.sum("once").alias("once"), F.min("key").alias("key")).collect():
+        c = known.ending(r.key, r.kind == CLOSED)
+        units[c], once[c] = r.n, r.once
+    distinct = found.where(F.col("kind") == DISTINCT).agg(F.sum("n")).first()[0] or 0
+    return Counts(known, units, once, distinct)
+
+
+def start(rows: DataFrame, counts: Counts, docs: int, sample_docs: int) -> Params:
+    """First weights from at most `sample_docs` whole training documents of `docs`, chosen by a hash, in one task."""
+    known, mass = counts.known, counts.units
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequences = [np.fromiter((known.unit(w.decode()) for w in words_of(t)), np.int64) for b in batches for t in b.column("text").to_pylist()]
@@ -311,67 +357,76 @@ def start(rows: DataFrame, known: Inventory, mass: np.ndarray, sample_docs: int)
         p |= {"w": rng.normal(0, 0.1, (len(mass), HIDDEN)).astype(np.float32), "b": np.log(mass + 1).astype(np.float32), "a": np.zeros((HIDDEN, 3 * HIDDEN), np.float32)}
         yield pa.RecordBatch.from_arrays([pa.array([flat(train(p, known, sequences, 48, 0.01, 2)).astype(float)], pa.list_(pa.float64()))], names=["weights"])
 
-    sample = rows.where("flag").select("text", F.xxhash64(F.lit(2), "doc_id", "text").alias("n")).orderBy("n").limit(sample_docs).select("text")
-    found = sample.coalesce(1).mapInArrow(learn, "weights array<double>").collect()
+    sample = least_hashes(rows.where("flag").select("doc_id", "text"), F.xxhash64(F.lit(2), "doc_id", "text"), docs, sample_docs)
+    found = sample.select("text").coalesce(1).mapInArrow(learn, "weights array<double>").collect()
     return shaped(np.array(found[0].weights), known) if found else {k: np.zeros(s, np.float32) for k, s in shapes(known).items()}
 
 
-def averaged(blocks: DataFrame, known: Inventory, p: Params, lanes: int = 512, rate: float = 0.002) -> Params:
-    """Each block trains a copy on its training documents; the copies' mean by tokens. What comes back is as large as the model."""
+def averaged(blocks: DataFrame, known: Inventory, p: Params, tokens: int, lanes: int = 512, rate: float = 0.002, group_tokens: int = GROUP_TOKENS) -> Params:
+    """Training documents are dealt by a hash of id and units into groups of about `group_tokens`; each group trains a copy on its
+    documents in the order of id and units. The copies' mean by tokens; what comes back is as large as the model."""
+    groups = max(1, tokens // group_tokens)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in (r for b in batches for r in b.to_pylist()):
+            units = np.fromiter(map(known.unit, row["words"]), "<u2", len(row["words"]))
+            parts = np.split(units[dictionary.unpack_codes(row["codes"])], np.cumsum(dictionary.unpack(row["sizes"]))[:-1])
+            own = [(doc, u.tobytes()) for doc, u, f in zip(row["doc_ids"], parts, row["flags"]) if f]
+            of = [xxhash.xxh3_64_intdigest(u, seed=(doc or 0) % 2**64) % groups for doc, u in own]
+            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array([d for d, _ in own], pa.int64()), pa.array([u for _, u in own], pa.binary())], names=["group", "doc_id", "units"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, weight = np.zeros(sum(int(np.prod(s)) for s in shapes(known).values())), 0
-        for row in (r for b in batches for r in b.to_pylist()):
-            units = np.fromiter(map(known.unit, row["words"]), np.int64, len(row["words"]))
-            parts = np.split(units[dictionary.unpack(row["codes"])], np.cumsum(dictionary.unpack(row["sizes"]))[:-1])
-            own = [s for s, f in zip(parts, row["flags"]) if f]
-            if tokens := sum(len(s) + 1 for s in own):
-                total, weight = total + tokens * flat(train(p, known, own, lanes, rate, seed=row["block"] & 0xFFFF)).astype(float), weight + tokens
+        now, held = None, []
+
+        def close() -> None:
+            nonlocal total, weight
+            n = sum(len(s) + 1 for s in held)
+            total, weight = total + n * flat(train(p, known, held, lanes, rate, seed=now)).astype(float), weight + n
+
+        for b in batches:
+            for group, u in zip(b.column("group").to_pylist(), b.column("units")):
+                if held and group != now:
+                    close()
+                    held = []
+                now = group
+                held.append(np.frombuffer(u.as_buffer(), "<u2"))
+        if held:
+            close()
         if weight:
             yield pa.RecordBatch.from_arrays([pa.array([total / weight], pa.list_(pa.float64())), pa.array([weight], pa.int64())], names=["weights", "tokens"])
 
-    copies = blocks.select("block", "flags", "sizes", "codes", "words").mapInArrow(learn, "weights array<double>, tokens long")
-    each = copies.select("tokens", F.posexplode("weights").alias("i", "w"))
+    dealt = blocks.select("block", "doc_ids", "flags", "sizes", "codes", "words").mapInArrow(deal, "group long, doc_id long, units binary")
+    ordered = dealt.repartition(F.col("group")).sortWithinPartitions("group", "doc_id", "units")
+    each = ordered.mapInArrow(learn, "weights array<double>, tokens long").select("tokens", F.posexplode("weights").alias("i", "w"))
     mean = each.groupBy("i").agg((F.sum(F.col("w") * F.col("tokens")) / F.sum("tokens")).alias("w")).orderBy("i").collect()
     return shaped(np.round([r.w for r in mean], 6), known) if mean else p
 
 
-def counter(known: Inventory) -> Callable[[list[str], np.ndarray], tuple[list[list[int]], list[int]]]:
-    """For each word its training count and unit; as a bucket's summary its distinct training words, the occurrences and hapax
-    legomena of each class's bucket, and the occurrences of named words."""
-
-    def answer(words: list[str], totals: np.ndarray) -> tuple[list[list[int]], list[int]]:
-        units = np.fromiter(map(known.unit, words), np.int64, len(words))
-        mass, once = np.bincount(units, totals, len(known.class_of)).astype(int), np.bincount(units, totals == 1, len(known.class_of)).astype(int)
-        return np.stack([totals, units], axis=1).tolist(), [int((totals > 0).sum()), *mass[:CLASSES].tolist(), *once[:CLASSES].tolist(), *mass[CLASSES:].tolist()]
-
-    return answer
-
-
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(docs: DataFrame, sample_docs: int = 1500) -> DataFrame:
+def score(docs: DataFrame, sample_docs: int = 1500, group_tokens: int = GROUP_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's chance). One row per row.
 
     Null and empty texts have one token, the end. Null ids are held out. Repeated rows count as often as they are there. Without
-    training documents all classes are equally likely. An empty table gives no rows; further columns are ignored.
+    training documents all classes are equally likely. An empty table gives no rows; further columns are ignored. The same rows
+    give the same scores, up to rounding, however they are partitioned.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~held_out()).alias("flag"), text_or_empty().alias("text"))
     blocks = dictionary.split_blocks(rows, lambda: words_of)
-    known = survey(blocks)
-    packed = materialize(dictionary.resolve(blocks, lambda: counter(known)), "counts")
-    sums = {r.i: r.s for r in packed.where("summary is not null").select(F.posexplode("summary").alias("i", "s")).groupBy("i").agg(F.sum("s").alias("s")).collect()}
+    packed = materialize(dictionary.resolve(blocks, surveyor), "counts")
+    counts = survey(packed)
+    known, distinct = counts.known, counts.distinct
     ends = blocks.agg(F.coalesce(F.sum(F.size(F.filter("flags", lambda f: f))), F.lit(0))).first()[0]
-    mass, once, named = (np.array([sums.get(1 + k + i, 0) for i in range(n)], float) for k, n in ((0, CLASSES), (CLASSES, CLASSES), (2 * CLASSES, len(known.named))))
-    p = averaged(blocks, known, start(rows, known, np.r_[mass, named], sample_docs))
-    total, distinct = int(mass.sum() + named.sum()) + ends, sums.get(0, 0) + (ends > 0)
-    spare = once + 1
+    total, distinct = int(counts.units.sum()) + ends, distinct + (ends > 0)
+    p = averaged(blocks, known, start(rows, counts, ends, sample_docs), total, group_tokens=group_tokens)
+    mass, spare = counts.units[:CLASSES].astype(float), counts.once + 1.0
 
     def build(row: dict, found: pa.Table) -> pa.Table:
-        sizes, codes = dictionary.unpack(row["sizes"]), dictionary.unpack(row["codes"])
-        _, values = dictionary.gathered(found, int(codes.max()) + 1 if len(codes) else 0)
-        count, units = values[0::2], values[1::2]
+        sizes, codes = dictionary.unpack(row["sizes"]), dictionary.unpack_codes(row["codes"])
+        _, count = dictionary.gathered(found, len(row["words"]))
+        units = np.fromiter(map(known.unit, row["words"]), np.int64, len(row["words"]))
         bucket = np.minimum(units, CLASSES - 1)
         below = np.log10(total + 0.1 * (distinct + 1))
         base = np.log10(count + 0.1) - below
@@ -383,4 +438,4 @@ def score(docs: DataFrame, sample_docs: int = 1500) -> DataFrame:
         out = [pa.array(row["doc_ids"], pa.int64()), pa.array([not f for f in row["flags"]]), pa.array(sizes + 1), pa.array((add((count > 0).astype(float)) + (ends > 0)).astype(np.int64)), pa.array(np.full(len(sizes), total, np.int64)), pa.array(add(base) + np.log10(ends + 0.1) - below), pa.array(chain + add(share))]
         return pa.table(out, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return dictionary.assemble(blocks.select("block", "doc_ids", "flags", "sizes", "codes"), packed.drop("summary"), build, SCORED)
+    return dictionary.assemble(blocks.select("block", "doc_ids", "flags", "sizes", "codes", "words"), packed.drop("summary"), build, SCORED)

@@ -76,15 +76,32 @@ def test_scores(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held) * 0.8
 
 
-def test_chances_of_known_words_sum_to_one_at_most():
-    known = lm.Inventory(["a"], ["bc"])
-    words, totals = ["a", "abc", "xbc", "new"], np.array([5, 1, 2, 0])
-    answers, summary = lm.counter(known)(words, totals)
-    mass, once = np.array(summary[1 : 1 + lm.CLASSES]), np.array(summary[1 + lm.CLASSES :])
-    share = Counter()
-    for count, c in answers:
-        share[c] += count / (mass[c] + once[c] + 1)
-    assert all(v < 1 for v in share.values()) and summary[0] == 3
+def blocks_of(spark, rows):
+    return lm.dictionary.split_blocks(spark.createDataFrame(rows, SCHEMA).selectExpr("doc_id", "true as flag", "coalesce(text, '') as text"), lambda: lm.words_of)
+
+
+def test_chances_of_known_words_sum_to_one_at_most(spark):
+    text = " ".join(f"w{i}{'ab'[i % 2]}{'c.'[i % 2]} " * (1 + i % 4) for i in range(2500))
+    blocks = blocks_of(spark, [(1, text, "", ""), (2, "a, a, a, once", "", "")])
+    counts = lm.survey(lm.dictionary.resolve(blocks, lm.surveyor))
+    own = Counter(w.decode() for w in lm.words_of(text + " a, a, a, once"))
+    share, once, units = Counter(), Counter(), Counter()
+    for w, n in own.items():
+        u = counts.known.unit(w)
+        units[u] += n
+        if u < lm.CLASSES:
+            once[u] += n == 1
+            share[u] += n / (counts.units[u] + counts.once[u] + 1)
+    assert counts.distinct == len(own) and all(v < 1 for v in share.values())
+    assert counts.units.tolist() == [units[u] for u in range(len(counts.units))] and counts.once.tolist() == [once[u] for u in range(lm.CLASSES)]
+
+
+def test_scores_do_not_depend_on_the_layout(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{j}x" for j in rng.integers(0, 50, rng.integers(1, 60))), "", "") for i in range(120)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    one, other = ({r.doc_id: r.score for r in lm.score(d, 40, 1500).collect()} for d in (docs.coalesce(1), docs.orderBy("text").repartition(7)))
+    assert one == pytest.approx(other, rel=1e-4)
 
 
 def test_nothing_to_learn_from(spark):
@@ -129,8 +146,7 @@ def test_gradients_of_words():
 def test_survey_reads_all_training_documents(spark):
     """Heads and named words are those of the counts of all documents, whichever a sample holds."""
     rows = [(i, f"common{i % 90}aa " * 3 + f"rare{i}zz", "", "") for i in range(400)]
-    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("doc_id", "true as flag", "text")
-    known = lm.survey(lm.dictionary.split_blocks(docs, lambda: lm.words_of))
+    known = lm.survey(lm.dictionary.resolve(blocks_of(spark, rows), lm.surveyor)).known
     counts = Counter(w for _, t, *_ in rows for w in t.split())
     top = sorted(counts, key=lambda w: (-counts[w], w))
     assert list(known.heads) == top[: lm.HEADS] and list(known.named) == top[lm.HEADS : lm.HEADS + lm.WORDS]
