@@ -36,6 +36,14 @@ def result(df: DataFrame, ok: Column, reason: Column) -> DataFrame:
     return df.select("plan", ok.alias("ok"), F.when(~ok, reason).alias("reason"))
 
 
+def first_fault(days: DataFrame, faults: list[tuple[Column, str]], plans: DataFrame) -> DataFrame:
+    """The reason of the earliest day's first fault; plans without one are ok."""
+    reason = F.coalesce(*(F.when(bad, F.lit(why)) for bad, why in faults))
+    bad = days.withColumn("_r", reason).where(F.col("_r").isNotNull()).groupBy("plan").agg(F.min(F.struct("day", "_r")).alias("_b"))
+    j = plans.select("plan").join(bad, "plan", "left")
+    return result(j, F.col("_b").isNull(), F.format_string("day %s: %s", F.col("_b.day"), F.col("_b._r")))
+
+
 def day_cities(days: DataFrame) -> DataFrame:
     """plan, cities: the route, two entries for a day of travel."""
     ft = text.from_to(F.col("current_city"))
@@ -92,9 +100,10 @@ def within_city(days: DataFrame, keep_tail: bool = True) -> DataFrame:
     return result(days.select("plan").distinct().join(first, "plan", "left"), F.col("b").isNull(), F.format_string("day %s: %s is elsewhere", F.col("b.day"), F.col("b.kind")))
 
 
-def within_sandbox(days: DataFrame, entities: DataFrame, flights: DataFrame, keep_tail: bool = True) -> DataFrame:
-    """entities (kind: restaurant, attraction, accommodation; name, city), flights (flight_number, origin, dest): what a plan names is
-    there. Names are found within a city, flights by number and cities."""
+def within_sandbox(days: DataFrame, entities: DataFrame, flights: DataFrame, keep_tail: bool = True, distances: DataFrame | None = None) -> DataFrame:
+    """entities (kind: restaurant, attraction, accommodation; name, city), flights (flight_number, origin, dest), distances (origin,
+    destination, km): what a plan names is there. Names are found within a city, flights by number and cities, and where distances
+    are given, cars and taxis by a known one."""
     kind = F.when(F.col("kind").isin(*MEALS), "restaurant").otherwise(F.col("kind"))
     named = slots(days, keep_tail).withColumn("kind", kind).select("plan", "day", "kind", F.col("name").alias("_n"), "city")
     found = lookup.containing(named, entities, ["kind", "city"], "name", "_n").select("plan", "day", "kind", "_n", "city").distinct()
@@ -102,21 +111,44 @@ def within_sandbox(days: DataFrame, entities: DataFrame, flights: DataFrame, kee
     ft = text.from_to(F.col("transportation"))
     legs = days.where(F.col("transportation").contains("Flight Number")).select("plan", "day", text.flight_number(F.col("transportation")).alias("flight_number"), ft["origin"].alias("origin"), ft["destination"].alias("dest"))
     gone = lookup.unknown(legs, flights, ["flight_number", "origin", "dest"]).select("plan", "day", F.lit("flight").alias("kind"))
+    if distances is not None:
+        low = F.lower("transportation")
+        drives = days.where(low.rlike("self-driving|taxi") & ~low.contains("flight number")).select("plan", "day", *(F.coalesce(F.trim(text.before_parenthesis(ft[c])), F.lit("-")).alias(c) for c in ("origin", "destination")))
+        far = drives.join(distances.where("km is not null").select("origin", "destination"), ["origin", "destination"], "left_anti")
+        gone = gone.unionByName(far.select("plan", "day", F.lit("ground").alias("kind")))
     first = lost.unionByName(gone).groupBy("plan").agg(F.min(F.struct("day", "kind")).alias("b"))
     return result(days.select("plan").distinct().join(first, "plan", "left"), F.col("b").isNull(), F.format_string("day %s: unknown %s", F.col("b.day"), F.col("b.kind")))
 
 
-def not_absent(days: DataFrame, queries: DataFrame) -> DataFrame:
-    """As many days as asked, all fields there, and half of the six slots of each day filled."""
-    cols = ["transportation", *MEALS, "attraction", "accommodation"]
-    n = sum((filled(F.col(c)).cast("int") for c in cols), F.lit(0))
-    there = F.lit(True)
-    for c in ["current_city", *cols]:
-        there &= F.col(c).isNotNull()
-    a = days.groupBy("plan").agg(F.count(F.lit(1)).alias("got"), F.sum(n).alias("full"), F.bool_and(there).alias("keys")).join(queries, "plan")
-    tests = [(F.col("got") != F.col("days"), "wrong number of days"), (~F.col("keys"), "a field is missing"), (F.col("full") * 2 < F.col("days") * len(cols), "too many empty slots")]
+SLOTS = ["transportation", *MEALS, "attraction", "accommodation"]
+
+
+def not_absent(days: DataFrame, queries: DataFrame, fields: list[str] = SLOTS) -> DataFrame:
+    """queries (plan, org, days, visiting_city_number): as many days and cities as asked, no field missing, transport on days of travel,
+    attractions on the others, lodging but for the last day, meals on days without travel, and half of the slots of all days filled;
+    a day's number and city count as filled, too. With points among the fields: never none, and each stop with a distance."""
+    d = days.join(queries.select("plan", F.col("days").alias("n")), "plan").where("day <= n")
+    full = sum((filled(F.col(c)).cast("int") for c in [*fields, "current_city"]), F.lit(1))
+    city, empty = F.col("current_city"), lambda c: ~filled(F.col(c))
+    null = F.lit(False)
+    for c in fields:
+        null |= F.col(c).isNull()
+    faults = [
+        (null, "a field is missing"), (city.rlike("from |to ") & empty("transportation"), "no transport"), (~city.rlike("from | to ") & empty("attraction"), "no attraction"),
+        ((F.col("day") != F.col("n")) & empty("accommodation"), "no lodging"), ((empty("breakfast") | empty("lunch") | empty("dinner")) & ~city.rlike("from "), "no meal"),
+    ]
+    if "points" in fields:
+        stops = F.filter(F.split("points", ";"), lambda p: p.contains("nearest transit:"))
+        bare = F.exists(stops, lambda p: p.rlike(r"nearest transit:.*,\s*-?\s*(m.*)?$"))
+        faults = [faults[0], (filled(F.col("points")) & bare, "a stop without a distance"), *faults[1:], (empty("points"), "no points")]
+    each = first_fault(d, faults, days.select("plan").distinct())
+    sums = d.groupBy("plan").agg(F.sum(full).alias("full"))
+    got = days.groupBy("plan").agg(F.count(F.lit(1)).alias("got"))
+    cities = visiting_cities(days, queries).select("plan", F.col("ok").alias("cities"))
+    j = each.join(got, "plan").join(sums, "plan", "left").join(cities, "plan").join(queries.select("plan", F.col("days").alias("n")), "plan")
+    tests = [(F.col("got") != F.col("n"), F.lit("wrong number of days")), (~F.col("cities"), F.lit("wrong number of cities")), (~F.col("ok"), F.col("reason")), (F.coalesce("full", F.lit(0)) * 2 < F.col("n") * len(fields), F.lit("too many empty slots"))]
     reason = F.coalesce(*(F.when(bad, why) for bad, why in tests))
-    return result(a.withColumn("_r", reason), F.col("_r").isNull(), F.col("_r"))
+    return result(j.withColumn("_r", reason), F.col("_r").isNull(), F.col("_r"))
 
 
 def visiting_cities(days: DataFrame, queries: DataFrame) -> DataFrame:
@@ -170,23 +202,27 @@ def lodging_of(days: DataFrame, lodgings: DataFrame, values: list[str]) -> DataF
 
 
 def room_rule(days: DataFrame, queries: DataFrame, lodgings: DataFrame) -> DataFrame:
-    """Null without a wish; else no lodging's rules forbid it."""
+    """Null without a wish; else no lodging's rules forbid it. Lodgings that aren't found forbid nothing."""
     rules = F.create_map(*(F.lit(x) for kv in FORBIDDEN.items() for x in kv))
-    j = lodging_of(days, lodgings, ["house_rules"]).join(queries.select("plan", "house_rule"), "plan")
-    a = j.groupBy("plan").agg(F.bool_and(~F.coalesce(F.contains("house_rules", rules[F.col("house_rule")]), F.lit(False))).alias("_ok"), F.max("house_rule").alias("w"))
+    own = lodging_of(days, lodgings, ["house_rules"])
+    j = queries.select("plan", F.col("house_rule").alias("w")).join(own, "plan", "left")
+    a = j.groupBy("plan").agg(F.bool_and(~F.coalesce(F.contains("house_rules", rules[F.col("w")]), F.lit(False))).alias("_ok"), F.max("w").alias("w"))
     return result(a, F.when(F.col("w").isNotNull(), F.col("_ok")), F.concat(F.lit("the lodging forbids "), F.col("w")))
 
 
-#: The room types that answer a wish.
+#: The room types that answer a wish, in the coarser and the finer table of lodgings.
 ROOMS = {"not shared room": ["Entire home/apt", "Private room"], "shared room": ["Shared room"], "private room": ["Private room"], "entire room": ["Entire home/apt"]}
+FINE_ROOMS = {"not shared room": ["entire_room", "private_room"], "shared room": ["shared_room"], "private room": ["private_room"], "entire room": ["entire_room"]}
 
 
-def room_type(days: DataFrame, queries: DataFrame, lodgings: DataFrame) -> DataFrame:
-    j = lodging_of(days, lodgings, ["room_type"]).join(queries.select("plan", F.col("room_type").alias("w")), "plan")
-    allowed = F.lit(False)
-    for wish, kinds in ROOMS.items():
+def room_type(days: DataFrame, queries: DataFrame, lodgings: DataFrame, rooms: dict[str, list[str]] = ROOMS) -> DataFrame:
+    """Null without a wish; else no lodging found is of another type."""
+    own = lodging_of(days, lodgings, ["room_type"])
+    j = queries.select("plan", F.col("room_type").alias("w")).join(own, "plan", "left")
+    allowed = F.lit(True)
+    for wish, kinds in rooms.items():
         allowed = F.when(F.col("w") == wish, F.col("room_type").isin(*kinds)).otherwise(allowed)
-    a = j.groupBy("plan").agg(F.bool_and(F.coalesce(allowed, F.lit(False))).alias("_ok"), F.max("w").alias("w"))
+    a = j.groupBy("plan").agg(F.bool_and(F.coalesce(allowed, F.lit(True))).alias("_ok"), F.max("w").alias("w"))
     return result(a, F.when(F.col("w").isNotNull(), F.col("_ok")), F.concat(F.lit("not a "), F.col("w")))
 
 
@@ -246,3 +282,8 @@ def together(checks: dict[str, DataFrame], plans: DataFrame) -> DataFrame:
     for name, c in checks.items():
         out = out.join(c.select("plan", F.struct("ok", "reason").alias(name)), "plan", "left")
     return out
+
+
+def first_failure(checks: list[str]) -> Column:
+    """The name of the first check of `together` that fails, in the given order; null if none does."""
+    return F.coalesce(*(F.when(~F.coalesce(F.col(f"{c}.ok"), F.lit(True)), F.lit(c)) for c in checks))
