@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,11 +72,13 @@ def covers(got: Column, wanted: Column) -> Column:
 
 def nearest_rank(df: DataFrame, group: list[str], value: str, shares: list[float]) -> DataFrame:
     """Quantiles that are values: the one at place round(share * (n - 1)), half to even, in order."""
-    rows = df.where(F.col(value).isNotNull())
+    each = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))  # a group's distinct values with counts
     w = Window.partitionBy(*(group or [F.lit(0)]))
-    placed = rows.withColumn("_i", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    cols = [F.max(F.when(F.col("_i") == F.bround(F.lit(p) * (F.col("_n") - 1)), F.col(value))).alias(f"q{int(p * 100)}") for p in shares]
-    return placed.groupBy(*group).agg(F.min("_n").alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), *cols)
+    upto = F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = each.withColumn("_to", upto).withColumn("_n", F.sum("_c").over(w))
+    at = lambda p: F.bround(F.lit(p) * (F.col("_n") - 1))
+    cols = [F.max(F.when((at(p) < F.col("_to")) & (at(p) >= F.col("_to") - F.col("_c")), F.col(value))).alias(f"q{int(p * 100)}") for p in shares]
+    return placed.groupBy(*group).agg(F.min("_n").alias("n"), (F.sum(F.col(value) * F.col("_c")) / F.sum("_c")).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), *cols)
 
 
 def variation(df: DataFrame, group: list[str], value: str) -> DataFrame:
@@ -101,7 +105,7 @@ def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
 def keyword_coverage(df: DataFrame, text: str, groups: dict[str, list[str]], group: list[str]) -> DataFrame:
     """Percent of texts that have one of each list's words, and a class: high from 50, medium from 20."""
     low = F.lower(F.col(text))
-    hit = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
+    hit = lambda words: reduce(lambda a, w: a | low.contains(w), words, F.lit(False))
     marks = df.select(*group, *(hit(w).alias(n) for n, w in groups.items()))
     out = unpivoted(marks, group, list(groups)).groupBy(*group, "check").agg((F.avg(F.col("ok").cast("double")) * 100).alias("percent"))
     return out.withColumn("level", F.when(F.col("percent") >= 50, "high").when(F.col("percent") >= 20, "medium").otherwise("low"))

@@ -57,7 +57,7 @@ def reasonable_cities(days: DataFrame, queries: DataFrame, states: DataFrame) ->
     for more than three days cities between in the state asked for."""
     routes = day_cities(days).join(queries, "plan")
     inside = F.slice(F.col("cities"), F.lit(2), F.greatest(F.size("cities") - 2, F.lit(0)))
-    known = routes.select("plan", F.explode(F.array_distinct("cities")).alias("city")).join(F.broadcast(states), "city", "left")
+    known = routes.select("plan", F.explode(F.array_distinct("cities")).alias("city")).join(states, "city", "left")
     strange = known.groupBy("plan").agg(F.count_if(F.col("state").isNull()).alias("strange"), F.map_from_entries(F.collect_list(F.struct("city", F.coalesce("state", F.lit("")).alias("state")))).alias("of"))
     r = routes.join(strange, "plan").withColumn("away", (F.col("days") > 3) & F.exists(inside, lambda c: (c != F.col("org")) & (F.col("of")[c] != F.col("dest"))))
     tests = [(F.try_element_at(F.col("cities"), F.lit(1)) != F.col("org"), "the trip doesn't start at the origin"), (~windows.closed_loop(F.col("cities")), "the trip isn't a closed loop"), (~windows.sequence_ok(F.col("cities")), "the city sequence is invalid"), (F.col("strange") > 0, "a city is unknown"), (F.col("away"), "a city is outside the state")]

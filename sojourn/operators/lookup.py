@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sojourn.operators import windows
+
 from sojourn.functions import text
 
 
@@ -67,6 +69,23 @@ def containing(left: DataFrame, right: DataFrame, on: list[str], text_column: st
     return left.join(right, on).where(F.contains(F.col(text_column), F.col(name)))
 
 
+def holding(texts: DataFrame, passages: DataFrame, text_column: str, passage: str, words: int = 8) -> DataFrame:
+    """Pairs of a text and a passage that it holds, letter by letter. A passage's words but for the first and last stand in such a text
+    whole, so both sides meet by the hash of the passage's first inner words, up to `words` of them: texts are cut into runs of as
+    many words as some passage has there. Passages of fewer than three words are compared with all texts."""
+    inner = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    p = passages.withColumn("_w", inner(F.col(passage)))
+    p = p.withColumn("_k", F.least(F.lit(words), F.size("_w") - 2))
+    keyed = p.where("_k > 0").withColumn("_h", F.xxhash64(F.slice("_w", F.lit(2), F.col("_k"))))
+    lengths = [r["_k"] for r in keyed.select("_k").distinct().collect()]  # `words` values at most
+    t = texts.withColumn("_t", inner(F.col(text_column)))
+    runs = lambda n: F.when(F.size("_t") >= n, F.transform(F.sequence(F.lit(1), F.size("_t") - n + 1), lambda i: F.xxhash64(F.slice("_t", i, n)))).otherwise(F.array().cast("array<bigint>"))
+    cut = t.withColumn("_h", F.explode(F.array_distinct(F.concat(*(runs(n) for n in lengths))) if lengths else F.array().cast("array<bigint>"))).drop("_t")
+    met = cut.join(keyed.drop("_w", "_k"), "_h").where(F.contains(text_column, passage)).drop("_h")
+    short = texts.join(p.where("_k <= 0").drop("_w", "_k"), F.contains(F.col(text_column), F.col(passage)))
+    return met.unionByName(short.select(*met.columns))
+
+
 def within_band(left: DataFrame, right: DataFrame, on: list[str], a: Column, b: Column, tolerance: float) -> DataFrame:
     return left.join(right, on).where(F.abs(a - b) <= tolerance)
 
@@ -86,8 +105,10 @@ def in_all(keys: DataFrame, key: str, tables: list[DataFrame]) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: list, name: str = "idx", group: list[str] | None = None) -> DataFrame:
-    """Ordinals from 1 within a group. Without a group all rows pass one task: for lists of plans or queries, not facts."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*(group or [F.lit(0)])).orderBy(*order)).cast("long"))
+    """Ordinals from 1 within a group, or without one over all rows, in ascending order."""
+    if not group:
+        return windows.global_rank(df, [(F.col(c) if isinstance(c, str) else c, False) for c in order], name)
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("long"))
 
 
 def zipped(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:

@@ -53,10 +53,9 @@ def _(t):
 
 @query("lookup_plain_key", "select n_nationkey, n_name from nation where n_name = 'GERMANY' or n_name = (select n_name from nation where n_nationkey = 3)")
 def _(t):
-    name = t.nation.where("n_nationkey = 3").select("n_name").first()[0]
     rows = t.nation.withColumn("noted", F.concat("n_name", F.lit("(region)")))
-    found = lookup.by_plain_key(rows, "noted", f"{name}(state)").unionByName(lookup.by_plain_key(rows, "noted", "GERMANY"))
-    return found.select("n_nationkey", "n_name").distinct()
+    asked = t.nation.where("n_nationkey = 3 or n_name = 'GERMANY'").select(F.concat("n_name", F.lit("(state)")).alias("asked"))
+    return rows.join(asked, text.before_parenthesis(F.col("noted")) == text.before_parenthesis(F.col("asked")), "left_semi").select("n_nationkey", "n_name")
 
 
 @query("lookup_any_case", "select c_custkey from customer where lower(trim(c_mktsegment)) = 'building' and c_nationkey = 5")
@@ -113,9 +112,9 @@ def _(t):
     return t.part.where(lookup.parse_predicate("p_size >= 40, p_brand contains 3, p_name ~contains x")).select("p_partkey", "p_size")
 
 
-@query("missing_and_extra", "select c_custkey as key, 'missing' as side from customer where c_custkey not in (select o_custkey from orders) union all select distinct o_custkey, 'extra' from orders where o_custkey not in (select c_custkey from customer)")
+@query("missing_and_extra", "select c_custkey as key, 'missing' as side from customer where c_custkey not in (select o_custkey + 20 from orders) union all select distinct o_custkey + 20, 'extra' from orders where o_custkey + 20 not in (select c_custkey from customer)")
 def _(t):
-    a, b = t.customer.select(F.col("c_custkey").alias("key")), t.orders.select(F.col("o_custkey").alias("key")).distinct()
+    a, b = t.customer.select(F.col("c_custkey").alias("key")), t.orders.select((F.col("o_custkey") + 20).alias("key")).distinct()
     return lookup.unknown(a, b, ["key"]).withColumn("side", F.lit("missing")).unionByName(lookup.unknown(b, a, ["key"]).withColumn("side", F.lit("extra")))
 
 
@@ -134,15 +133,20 @@ def _(t):
     return lookup.known(t.orders.withColumnRenamed("o_custkey", "c_custkey"), t.customer.where("c_acctbal > 5000"), ["c_custkey"]).select("o_orderkey")
 
 
-@query("anti_unknown", "select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+@query("anti_unknown", "select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT' and o_orderstatus = 'F')")
 def _(t):
-    return lookup.unknown(t.customer, t.orders.withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"]).select("c_custkey")
+    return lookup.unknown(t.customer, t.orders.where("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'").withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"]).select("c_custkey")
 
 
-@query("contains_join", "select a.p_partkey, b.p_partkey as other from part a join part b on a.p_brand = b.p_brand and a.p_size = b.p_size and contains(a.p_name, substr(b.p_name, 1, 4)) where a.p_partkey < b.p_partkey")
+@query("contains_join", "select d.doc_id, b.item_id from documents d join benchmark b on contains(d.text, b.text)")
 def _(t):
-    right = t.part.select(F.col("p_partkey").alias("other"), "p_brand", "p_size", F.substring("p_name", 1, 4).alias("head"))
-    return lookup.containing(t.part.select("p_partkey", "p_brand", "p_size", "p_name"), right, ["p_brand", "p_size"], "p_name", "head").where("p_partkey < other").select("p_partkey", "other")
+    return lookup.holding(t.documents.select("doc_id", "text"), t.benchmark.select("item_id", F.col("text").alias("passage")), "text", "passage").select("doc_id", "item_id")
+
+
+@query("named_within_city", "select a.p_partkey, b.p_partkey as other from part a join part b on a.p_brand = b.p_brand and a.p_size = b.p_size and contains(a.p_name, string_split(b.p_name, ' ')[1]) where a.p_partkey <> b.p_partkey")
+def _(t):
+    right = t.part.select(F.col("p_partkey").alias("other"), "p_brand", "p_size", F.substring_index("p_name", " ", 1).alias("head"))
+    return lookup.containing(t.part.select("p_partkey", "p_brand", "p_size", "p_name"), right, ["p_brand", "p_size"], "p_name", "head").where("p_partkey <> other").select("p_partkey", "other")
 
 
 @query("band_join", "select a.s_suppkey as a, b.s_suppkey as b from supplier a join supplier b using (s_nationkey) where a.s_suppkey < b.s_suppkey and abs(a.s_acctbal - b.s_acctbal) <= 500")
@@ -156,7 +160,7 @@ def _(t):
 def _(t):
     facts = t.lineitem.select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 40).alias("first"), (F.col("l_suppkey") % 40).alias("second"))
     dim = t.nation.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"))
-    return lookup.either_key(facts, F.broadcast(dim), "first", "second", "k", "name").select("l_orderkey", "l_linenumber", "name")
+    return lookup.either_key(facts, dim, "first", "second", "k", "name").select("l_orderkey", "l_linenumber", "name")
 
 
 @query("state_fanout", "select r_name, n_name, count(s_suppkey) as suppliers from region join nation on n_regionkey = r_regionkey left join supplier on s_nationkey = n_nationkey where r_name in ('ASIA', 'EUROPE') group by 1, 2")
@@ -190,9 +194,9 @@ def _(t):
     return out.select("s_nationkey", *(F.col("members")[i].alias(n) for i, n in enumerate("abc")))
 
 
-@query("index_aligned_merge", "select o_orderkey, count(*) as n, string_agg(p_brand, ',' order by l_linenumber, l_partkey) as brands from lineitem join part on p_partkey = l_partkey join orders on o_orderkey = l_orderkey where o_orderkey < 2000 group by 1")
+@query("index_aligned_merge", "select o_orderkey, count(*) as n, string_agg(p_brand, ',' order by l_linenumber, l_partkey) as brands from lineitem join part on p_partkey = l_partkey join orders on o_orderkey = l_orderkey group by 1")
 def _(t):
-    lists = t.lineitem.where("l_orderkey < 2000").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("parts"))
+    lists = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("parts"))
     each = lists.select(F.col("l_orderkey").alias("o_orderkey"), F.posexplode("parts").alias("i", "p")).select("o_orderkey", "i", F.col("p.l_partkey").alias("p_partkey"))
     merged = each.join(t.part.select("p_partkey", "p_brand"), "p_partkey").groupBy("o_orderkey").agg(F.array_sort(F.collect_list(F.struct("i", "p_brand"))).alias("b"))
     return merged.select("o_orderkey", F.size("b").cast("long").alias("n"), F.array_join(F.col("b.p_brand"), ",").alias("brands"))
@@ -394,7 +398,7 @@ def _(t):
 
 @query("multi_key_rank", "select s_suppkey, row_number() over (order by s_acctbal desc, s_name desc, s_suppkey) as rank from supplier")
 def _(t):
-    return windows.ranked(t.supplier, [F.desc("s_acctbal"), F.desc("s_name"), "s_suppkey"]).select("s_suppkey", F.col("rank").cast("long").alias("rank"))
+    return windows.global_rank(t.supplier, [(F.col("s_acctbal"), True), (F.col("s_name"), True), (F.col("s_suppkey"), False)]).select("s_suppkey", F.col("rank").cast("long").alias("rank"))
 
 
 @query("first_duplicate", "with l as (select l_orderkey, l_linenumber, row_number() over (partition by l_orderkey, l_suppkey order by l_linenumber) > 1 as again from lineitem) select l_orderkey, min(l_linenumber) filter (again) as repeated from l group by 1")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -54,7 +54,7 @@ def examples(spark: SparkSession, path: str, stem: str, known: list[str]) -> Dat
     """id, query, other known fields and the rest as a map; rows without a query go, a missing id is made of stem and place."""
     rows = spark.read.text(path).withColumn("row_id", F.monotonically_increasing_id()).where(F.trim("value") != "")
     rows = rows.withColumn("m", F.from_json("value", "map<string,string>")).where(F.col("m")["query"].isNotNull())
-    placed = rows.withColumn("_i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("row_id")) - 1)
+    placed = windows.global_rank(rows, [(F.col("row_id"), False)], "_i").withColumn("_i", (F.col("_i") - 1).cast("int"))
     made = F.coalesce(F.col("m")["id"], F.format_string(f"{stem}_%05d", "_i"))
     return placed.select(made.alias("id"), *(F.col("m")[k].alias(k) for k in known), F.map_filter("m", lambda k, v: ~k.isin("id", *known)).alias("metadata"))
 
@@ -91,7 +91,7 @@ def write_rows(df: DataFrame, path: str) -> None:
 
 def numbered_documents(df: DataFrame, order: list, name: str) -> DataFrame:
     """document, body: a numbered name and the JSON of each row."""
-    placed = windows.ranked(df, order, "_i")
+    placed = windows.global_rank(df, [(F.col(c), False) for c in order], "_i")
     return placed.select(F.format_string(f"{name}_%d.json", "_i").alias("document"), F.to_json(F.struct(*df.columns)).alias("body"))
 
 

@@ -67,8 +67,8 @@ def test_sandbox_and_presence(spark, days, queries):
 
 def test_wishes(spark, days, queries):
     lod = lodgings(spark)
-    assert ok(c.room_rule(days, queries, lod)) == {1: True, 2: False}
-    assert ok(c.room_type(days, queries, lod)) == {1: True, 2: False}
+    assert ok(c.room_rule(days, queries, lod)) == {1: True, 2: False, 3: None}
+    assert ok(c.room_type(days, queries, lod)) == {1: True, 2: False, 3: None}
     assert ok(c.transport_ban(days, queries)) == {1: True, 2: False}
     restaurants = spark.createDataFrame([(1, "Bar A", "Peoria", "Greek, Thai"), (2, "Bar A", "Peoria", "French")], "row_id int, name string, city string, cuisines string")
     values = c.cuisine_values(days, queries, restaurants)
