@@ -2,7 +2,8 @@
 
 Each source's target is its share of all words by weight, at most `cap` times its size, the excess shared again by weight.
 Blocks of `block` words are given to sources by the highest quotients target / (2k + 1), then each source's blocks to its
-shards by the same rule; a shard holds about `shard_docs` documents, so a source with a third of all rows is many tasks.
+shards by the same rule; a shard holds about `shard_docs` documents, or more if shards would else outnumber a shard's documents by
+far, so a source with a third of all rows is many tasks.
 Inside a shard the documents lie in seeded order and a run of blocks, starting at a seeded block and going round, is taken.
 No quotient list grows with the number of blocks: seats that are certain come from a divisor, and only about two candidates
 for each party are ranked.
@@ -54,7 +55,7 @@ def sainte_lague(parties: DataFrame, group: list[str], party: list[str], votes:
     return c.groupBy(*group, *party).agg(*(F.first(x).alias(x) for x in keep), (F.first("_lo") + won).cast("long").alias(out))
 
 
-def mix(docs: DataFrame, seed: int = 7, block: int = 16, shard_docs: int = 20_000, weights: tuple[int, ...] = WEIGHTS, cap: int = 3) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 7, block: int = 16, shard_docs: int = 2_000, weights: tuple[int, ...] = WEIGHTS, cap: int = 3) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, copies, text_key (a hash of the text).
 
     size counts the words of the whole text (null: 0). taken is how many words of the document the mix holds, at most `cap`
@@ -66,8 +67,8 @@ def mix(docs: DataFrame, seed: int = 7, block: int = 16, shard_docs: int = 20_00
     sources = materialize(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs")), weights, cap), "mix-sources")
     seated = sainte_lague(sources.withColumn("blocks", F.round(F.col("total") / block).cast("long")).withColumn("g", F.lit(0)), ["g"], ["sid"], "target", "blocks", "quota")
     small = broadcast_if_small(sources.select("source", "sid", "docs", "source_size", "target"), sources.count())
-    rows = sized.alias("d").join(small.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("doc_id", "text_key", "d.source", "size", "sid", "source_size", "target", F.ceil(F.col("docs") / shard_docs).alias("shards"))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("shards")))
+    rows = sized.alias("d").join(small.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("doc_id", "text_key", "d.source", "size", "sid", "source_size", "target", F.ceil(F.col("docs") / F.greatest(F.lit(shard_docs), 10 * F.sqrt("docs"))).alias("shards"))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_key"), F.col("shards")))
     shards = rows.groupBy("sid", "shard").agg(F.sum("size").alias("n"))
     plan = sainte_lague(shards.join(seated.select("sid", "quota"), "sid"), ["sid"], ["shard"], "n", "quota", "blocks").select("sid", "shard", "n", "blocks")
     w = Window.partitionBy("sid", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size", "text_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
