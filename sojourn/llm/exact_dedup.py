@@ -48,8 +48,8 @@ def dedup(docs: DataFrame, chunk_hash: Callable[[Column], Column] = F.xxhash64)
         lists = places.join(told, ["h", "chunk"]).groupBy("text_sha256").agg(F.sort_array(F.collect_list(F.struct("at", "ordinal"))).alias("ordinals"))
         recipes = recipes.join(lists, "text_sha256", "left").withColumn("ordinals", F.coalesce("ordinals", F.array().cast("array<struct<at:int,ordinal:int>>")))
         keys.append("ordinals")
-    best = F.max(F.struct("points", (-F.col("doc_id")).alias("least")))
-    groups = recipes.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_size"), best.alias("best")).where("group_size > 1").select(*keys, "group_size", (-F.col("best.least")).alias("best_id"))
-    rows = recipes.join(groups, keys, "left")
+    best = F.min(F.struct((-F.col("points")).alias("points"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id")))
+    groups = recipes.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_size"), best.alias("best")).where("group_size > 1").select(*keys, "group_size", F.col("best.id").alias("best_id"))
+    rows = recipes.join(materialize(groups, "dedup-groups"), keys, "left")  # groups lie apart, so the join of a large one can be split
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("best_id"))
     return rows.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256", F.size("recipe").cast("long").alias("n_chunks"))
