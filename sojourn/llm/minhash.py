@@ -38,7 +38,7 @@ def _multipliers(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = x = xxhash.xxh3_64_intdigest(word)
         return x
@@ -125,7 +125,7 @@ def buckets_of(classes: DataFrame) -> DataFrame:
     width = 2 * ROWS
     parts = F.array(*(F.xxhash64(F.lit(i), F.substring("sig", 1 + width * i, width)) for i in range(BANDS)))
     keys = classes.select("node", "n", F.explode(parts).alias("key"))
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")  # apart, so a large bucket's join can be split
     return keys.join(shared, "key").select("key", "node", "n", "size")
 
 
@@ -152,7 +152,7 @@ def full_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, k: int) ->
     wanted ids are few enough to send, else both sides are dealt by id."""
     wanted = materialize(classes.select("node", "id", "same").join(nodes, "node", "left_semi"), "wanted")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).alias("d")
-    ids = broadcast_if_small(wanted.alias("w"), wanted.count(), 1_000_000)
+    ids = broadcast_if_small(wanted.alias("w"), wanted.count(), 100)
     found = rows.join(ids, F.col("d.doc_id").eqNullSafe(F.col("w.id"))).select("node", "same", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,20 +166,33 @@ def full_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, k: int) ->
     return materialize(found.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"]), "sets")
 
 
-def checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that the full sets confirm."""
+def checked(pairs: DataFrame, sets: DataFrame, percent: int, most: int = 500) -> DataFrame:
+    """Pairs (a, b) that the full sets confirm. The set of a goes once for each `most` of its pairs, ahead of the sets of their b, so
+    neither a long document nor one with very many pairs is more than a few sets in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, hub = None, None
         for p in batches:
-            ok = []
-            for x, y in zip(p.column("x"), p.column("y")):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([p.column("a"), p.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    side = lambda n, s: sets.select(F.col("node").alias(n), F.col("shingles").alias(s))
-    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInArrow(run, "a long, b long")
+            a, b = [], []
+            for x, y, s in zip(p.column("a").to_pylist(), p.column("b").to_pylist(), p.column("shingles")):
+                own = np.frombuffer(s.as_buffer(), np.uint64)
+                if y is None:
+                    of, hub = x, own.copy()
+                    continue
+                both = len(hub) + len(own) - len(np.union1d(hub, own)) if of == x else 0
+                if 100 * both >= percent * (len(hub) + len(own) - both):
+                    a.append(x)
+                    b.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    pairs = materialize(pairs, "to-check")
+    parts = materialize(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / most).alias("parts")), "parts")
+    own = sets.select(F.col("node"), "shingles")
+    hubs = parts.join(own, parts["a"] == own["node"]).select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "shingles")
+    dealt = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")))
+    members = dealt.join(own, dealt["b"] == own["node"]).select("a", "part", "b", "shingles")
+    rows = hubs.unionByName(members).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return rows.select("a", "b", "shingles").mapInArrow(run, "a long, b long")
 
 
 def first_shingles(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -194,7 +207,7 @@ def first_shingles(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("node").to_numpy(), [len(x) for x in parts])), pa.array(np.concatenate(parts))], names=["node", "key"])
 
     each = sets.join(nodes, "node", "left_semi").select("node", "shingles").mapInArrow(run, "node long, key long")
-    common = each.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    common = materialize(each.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "common")
     shared = each.join(common, "key").join(nodes, "node")
     w = Window.partitionBy("node")
     alone = F.col("n") - F.count(F.lit(1)).over(w)
@@ -205,7 +218,7 @@ def first_shingles(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
 def _split(rooted: DataFrame) -> DataFrame:
     """Rows of buckets whose classes are in several components."""
     split = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    return rooted.join(split, "key")
+    return rooted.join(materialize(split, "split"), "key")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -222,7 +235,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     classes = materialize(classes_of(sketches), "classes")
     members = materialize(buckets_of(classes), "members")
     sets = full_sets(docs, classes, members.select("node").distinct(), k)
-    first = members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("h")).select("key", F.col("h.node").alias("hub"), F.col("h.n").alias("m"))
+    first = materialize(members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("h")).select("key", F.col("h.node").alias("hub"), F.col("h.n").alias("m")), "hubs")
     pairs = members.join(first, "key").where("node <> hub").where(near("n", "m", percent)).select(F.col("hub").alias("a"), F.col("node").alias("b"))
     tested = materialize(pairs.distinct(), "pairs")
     links = materialize(checked(agreeing(tested, classes), sets, percent), "links-found")
