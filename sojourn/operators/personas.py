@@ -135,3 +135,20 @@ def spread(pool: DataFrame, group: str, key: str, score: str, vectors: str, k: i
 
     kinds = dict(pool.dtypes)
     return cut.groupBy(group).applyInPandas(select, f"{group} {kinds[group]}, {key} {kinds[key]}, place long")
+
+
+def _jaccard(a: Column, b: Column) -> Column:
+    return F.coalesce(numeric.jaccard(F.coalesce(a, F.array().cast("array<string>")), F.coalesce(b, F.array().cast("array<string>"))), F.lit(0.0))
+
+
+def feature_similarity(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """How alike two travellers (experiences, scenery, budget, season) are, 1 at most."""
+    equal = lambda k: F.coalesce(a[k] == b[k], F.lit(False))
+    return F.least(0.6 * _jaccard(a["experiences"], b["experiences"]) + 0.4 * _jaccard(a["scenery"], b["scenery"]) + F.when(equal("budget"), 0.2).otherwise(0.0) + F.when(equal("season"), 0.1).otherwise(0.0), F.lit(1.0))
+
+
+def rule_score(trip_budget: Column, trip_season: Column, who: dict[str, Column]) -> Column:
+    """How well a traveller fits a trip by rule: budget 2 or, one step off, 1; season 1; a little for many interests."""
+    off = F.abs(trip_budget - who["budget"])
+    size = lambda k: F.least(F.greatest(F.size(who[k]), F.lit(0)), F.lit(4))
+    return F.coalesce(F.when(off == 0, 2.0).when(off == 1, 1.0), F.lit(0.0)) + F.when(trip_season == who["season"], 1.0).otherwise(0.0) + 0.05 * size("experiences") + 0.03 * size("scenery")
