@@ -67,7 +67,7 @@ class Words(dict):
     """A word's 64-bit hash, kept for a bounded number of words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = x = xxhash.xxh3_64_intdigest(word)
         return x
@@ -246,9 +246,9 @@ def texts_of(docs: DataFrame, lists: DataFrame) -> DataFrame:
     """lists (doc_id, same, ...) with the text of their doc_id. Rows of docs that aren't wanted go before the join while the wanted
     ids are few enough to send; ids may stand for several texts, of which readers take the one with the digest `same`."""
     rows = docs.select(F.col("doc_id").cast("long").alias("d"), text_or_empty().alias("text"))
-    if (n := lists.count()) <= 1_000_000:
+    if (n := lists.count()) <= 500_000:  # ids alone: 16 MB
         rows = rows.join(F.broadcast(lists.select("doc_id").distinct()), F.col("d").eqNullSafe(F.col("doc_id")), "left_semi")
-    return rows.join(broadcast_if_small(lists, n, 2_000), F.col("d").eqNullSafe(F.col("doc_id"))).drop("d")
+    return rows.join(broadcast_if_small(lists, n, 16_000), F.col("d").eqNullSafe(F.col("doc_id"))).drop("d")
 
 
 def same_place(a: str, b: str):
