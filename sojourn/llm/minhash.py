@@ -166,7 +166,7 @@ def full_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, k: int) ->
     return materialize(found.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"]), "sets")
 
 
-def checked(pairs: DataFrame, sets: DataFrame, percent: int, most: int = 500) -> DataFrame:
+def checked(pairs: DataFrame, sets: DataFrame, percent: int, most: int = 100) -> DataFrame:
     """Pairs (a, b) that the full sets confirm. The set of a goes once for each `most` of its pairs, ahead of the sets of their b, so
     neither a long document nor one with very many pairs is more than a few sets in a task."""
 
