@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from sojourn.functions import numeric, text
-from sojourn.operators import constraints, groups, leaderboard, personas, preferences, search, windows
+from sojourn.operators import constraints, groups, leaderboard, personas, preferences, prepare, search, windows
 from sojourn.plans.catalog import Tables, query, r6
 from sojourn.plans.preparing import drawn
 from sojourn.sources import tables
@@ -162,6 +162,50 @@ def _(t):
     return search.greedy_trips(trips, table(0), table(100), table(-500)).drop("city")
 
 
+GREEDY = f"""with q as (select c_custkey as trip, [3, 5, 7][(c_custkey % 3)::int + 1] as days, [concat('c', c_custkey % 25), concat('c', (c_custkey + 1) % 25), concat('c', (c_custkey + 2) % 25), concat('c', (c_custkey + 3) % 25)] as cities from customer),
+d as (select *, unnest(range(1, days + 1)) as day from q), l as (select *, case when day % 2 = 1 then cities[((day - 1) // 2)::int + 1] end as o, case when day % 2 = 1 then case when day = days then cities[1] else cities[((day - 1) // 2)::int + 2] end end as t, concat('d', (trip + day) % 4) as date from d),
+m as (select *, coalesce(t, cities[(day // 2)::int + 1]) as city from l),
+f as (select concat('c', p_partkey % 25) as o, concat('c', (p_partkey * 7) % 25) as t, concat('d', p_partkey % 4) as date, arg_min(concat('F', p_partkey), (p_size, p_partkey)) as number, min(p_size) as price from part group by 1, 2, 3),
+g as (select concat('c', n_nationkey) as o, concat('c', n_nationkey + 1) as t, n_nationkey * 30 as km from nation),
+s as (select concat('c', s_nationkey % 23) as city, s_name as name, abs(s_acctbal) as price, s_suppkey as row_id, row_number() over (partition by s_nationkey % 23 order by s_suppkey) as i, count(*) over (partition by s_nationkey % 23) as n from supplier),
+b as (select city, arg_min(name, (price, row_id)) as name from s group by 1),
+x as (select m.*, f.number, case when f.price is not null and f.price <= coalesce(floor(km * 0.05), 1e9) then concat('Flight Number: ', f.number) when km is not null then 'Self-driving' end as way, b.name as meal, s.name as sight from m left join f using (o, t, date) left join g using (o, t) left join b using (city) left join s on s.city = m.city and s.i = {drawn("'4'", "m.trip", "m.day")} % s.n + 1)
+select trip, day::int as day, case when o is not null then concat('from ', o, ' to ', t) else city end as current_city, case when o is not null and way is not null then concat(way, ', from ', o, ' to ', t) else '-' end as transportation, case when meal is not null then concat(meal, ', ', city) else '-' end as lunch, case when sight is not null then concat(sight, ', ', city) else '-' end as attraction, case when meal is not null and day < days then concat(meal, ', ', city) else '-' end as accommodation, concat_ws(',', case when o is not null and way is null then 'transportation' end, case when meal is null then 'meal' end, case when sight is null then 'attraction' end, case when day < days and meal is null then 'accommodation' end) as fault from x"""
+
+
+@query("greedy_plans", GREEDY)
+def _(t):
+    k = F.col("c_custkey")
+    cities = F.array(*(F.concat(F.lit("c"), (k + i) % 25) for i in range(4)))
+    trips = t.customer.select(k.alias("trip"), F.get(F.array(F.lit(3), F.lit(5), F.lit(7)), (k % 3).cast("int")).alias("days"), cities.alias("cities"), F.transform(F.sequence(F.lit(1), F.lit(7)), lambda d: F.concat(F.lit("d"), (k + d) % 4)).alias("dates"))
+    p = F.col("p_partkey")
+    flights = t.part.select(p.alias("row_id"), F.concat(F.lit("F"), p).alias("flight_number"), F.concat(F.lit("c"), p % 25).alias("origin"), F.concat(F.lit("c"), (p * 7) % 25).alias("dest"), F.concat(F.lit("d"), p % 4).alias("date"), F.col("p_size").alias("price"))
+    n = F.col("n_nationkey")
+    roads = t.nation.select(F.concat(F.lit("c"), n).alias("origin"), F.concat(F.lit("c"), n + 1).alias("destination"), (n * 30).alias("km"))
+    places = t.supplier.select(F.concat(F.lit("c"), F.col("s_nationkey") % 23).alias("city"), F.col("s_name").alias("name"), F.abs("s_acctbal").alias("price"), F.col("s_suppkey").alias("row_id"))
+    return search.greedy_plans(trips, flights, roads, places, places, places, 4).drop("breakfast", "dinner")
+
+
+WORTH = "100 * pref - 100 * price"
+SOLVED = f"""with t as (select n_nationkey as trip, concat('c', n_nationkey % 5) as o, concat('c', (n_nationkey + 1) % 5) as d from nation),
+x as (select p_partkey as item, concat('c', p_partkey % 5) as o, concat('c', (p_partkey + case when p_partkey % 2 = 0 then 1 else 4 end) % 5) as d, p_size::double as price, concat('k', p_partkey % 3) as category, case when p_partkey % 4 = 0 then 'Private room' else 'Shared room' end as room from part),
+c as (select trip, 'outbound' as kind, item, price, 0 as pref from t join x using (o, d) union all select trip, 'return', item, price, 0 from t join x on x.o = t.d and x.d = t.o union all select trip, 'hotel', item, price * 3, case when room = 'Private room' then 20 else 0 end from t join x on x.o = t.d union all select trip, 'origin_restaurant', item, price, case when category = 'k1' then 10 else 1 end from t join x on x.o = t.o union all select trip, 'restaurant', item, price, case when category = 'k1' then 10 else 1 end from t join x on x.o = t.d union all select trip, 'attraction', item, 15.0, 1 from t join x on x.o = t.d),
+r as (select *, row_number() over (partition by trip, kind order by {WORTH} desc, item) as n from c),
+w as (select * from r where n <= case kind when 'restaurant' then 8 when 'attraction' then 6 else 1 end)
+select trip, kind, item from w where trip in (select trip from w group by 1 having count(*) = 18) union all select trip, null, null from t where trip not in (select trip from w group by 1 having count(*) = 18)"""
+
+
+@query("solved_trips", SOLVED)
+def _(t):
+    n, p = F.col("n_nationkey"), F.col("p_partkey")
+    city = lambda c, i: F.concat(F.lit("c"), (c + i) % 5)
+    trips = t.nation.select(n.alias("trip"), city(n, 0).alias("org"), city(n, 1).alias("dest"), F.lit(3).alias("days"), F.lit(1e9).alias("budget"), F.array(F.lit("k1")).alias("preferred"), F.lit("private").alias("room_type"))
+    part = t.part.select(p.alias("name"), city(p, 0).alias("city"), city(p, 0).alias("origin"), F.when(p % 2 == 0, city(p, 1)).otherwise(city(p, 4)).alias("dest"), F.col("p_size").cast("double").alias("price"), F.concat(F.lit("k"), p % 3).alias("cuisines"), F.lit("").alias("house_rules"))
+    found = prepare.candidates(trips, part, part, part, part)
+    rooms = F.when(F.col("kind") == "hotel", F.when(F.col("item") % 4 == 0, "Private room").otherwise("Shared room"))
+    return search.solved_trips(found.withColumn("room_type", rooms), trips.drop("org", "dest")).select("trip", "kind", "item")
+
+
 # travellers and groups
 
 
