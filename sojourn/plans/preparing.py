@@ -27,7 +27,7 @@ def _(t):
     k = F.col("c_custkey")
     trips = t.customer.select(k.alias("trip"), F.when(k % 3 == 0, k % 4 + 1).alias("people_number"), F.expr(ASK).alias("query"), F.round(F.abs("c_acctbal"), 0).cast("long").alias("budget"), F.lit(3).alias("days"), F.when(k % 2 == 1, F.create_map(F.lit("pace"), F.lit("slow"))).otherwise(F.create_map(F.lit("cuisine"), F.lit("Thai"))).alias("wishes"))
     out = prepare.normalized_trips(trips, [2, 3, 5])
-    return out.select("trip", "people_source", "people", "upsampled", "budget_final", F.size("wishes").alias("keys"))
+    return out.select("trip", "people_source", F.col("people").cast("long").alias("people"), "upsampled", "budget_final", F.size("wishes").alias("keys"))
 
 
 @query("chosen_strategies", "with f as (select c_custkey, c_custkey % 7 = 0 as tight, c_custkey % 3 = 0 as short, c_custkey % 4 = 0 as large, c_custkey % 5 = 0 as several, c_custkey % 11 as days from customer), s as (select *, 10 * tight::int as b, 5 * short::int + 3 * (short and not large)::int - 2 * large::int as p, 8 * large::int as l, 1 + 4 * several::int + 3 * (not short and days <= 7)::int as a from f) select c_custkey, case greatest(b, p, l, a) when b then 'budget_war' when p then 'pace_war' when l then 'taste_war' else 'adaptive' end as strategy from s")
@@ -55,7 +55,7 @@ def _(t):
     return j.select(F.col("k").alias("a"), "b", r6(alike).alias("alike"))
 
 
-@query("rule_scores", f"with f as (select c_custkey, len({TASTE.format(k='c_custkey', m=2)}) as e, len({TASTE.format(k='c_custkey', m=4)}) as s, case when c_custkey % 6 > 0 then c_custkey % 4 end as b, case when c_custkey % 5 > 0 then c_custkey % 3 end as n from customer) select c_custkey, round(coalesce(case abs(1 - b) when 0 then 2 when 1 then 1 end, 0) + coalesce((n = 2)::int, 0) + 0.05 * least(e, 4) + 0.03 * least(s, 4), 6) as score from f")
+@query("rule_scores", f"with f as (select c_custkey, len({TASTE.format(k='c_custkey', m=2)}) as e, len({TASTE.format(k='c_custkey', m=4)}) as s, case when c_custkey % 6 > 0 then c_custkey % 4 end as b, case when c_custkey % 5 > 0 then c_custkey % 3 end as n from customer) select c_custkey, round(coalesce(case abs(1 - b) when 0 then 2 when 1 then 1 end, 0) + coalesce((n = 2)::int, 0) + 0.05::double * least(e, 4) + 0.03::double * least(s, 4), 6) as score from f")
 def _(t):
     k = F.col("c_custkey")
     who = {"experiences": taste(k, 2), "scenery": taste(k, 4), "budget": F.when(k % 6 > 0, k % 4), "season": F.when(k % 5 > 0, k % 3)}
@@ -118,7 +118,7 @@ def made_queries(t, level: str):
 MINUTES = "least(45 + floor(abs(s_acctbal) / 100 / 5), 90)::bigint"
 
 
-@query("trip_candidates", f"with t as (select n_nationkey as trip, concat('city', n_nationkey % 5) as o, concat('city', (n_nationkey + 1) % 5) as d from nation), x as (select s_name as name, concat('city', s_nationkey % 5) as city, concat('city', (s_nationkey + 1) % 5) as dest, round(abs(s_acctbal) / 100, 2) as price from supplier) select trip, 'outbound' as kind, name as item, price, null::bigint as minutes from t join x on city = o and dest = d union all select trip, 'return', name, price, null from t join x on city = d and dest = o union all select trip, 'hotel', name, price, null from t join x on city = d union all select trip, 'restaurant', name, price, least(45 + floor(price / 5), 90) from t join x on city = d union all select trip, 'origin_restaurant', name, price, least(45 + floor(price / 5), 90) from t join x on city = o union all select trip, 'attraction', name, 15.0, 90 from t join x on city = d")
+@query("trip_candidates", f"with t as (select n_nationkey as trip, concat('city', n_nationkey % 5) as o, concat('city', (n_nationkey + 1) % 5) as d from nation), x as (select s_name as name, concat('city', s_nationkey % 5) as city, concat('city', (s_nationkey + 1) % 5) as dest, round(abs(s_acctbal) / 100, 2) as price from supplier) select trip, 'outbound' as kind, name as item, price, null::bigint as minutes from t join x on city = o and dest = d union all select trip, 'return', name, price, null from t join x on city = d and dest = o union all select trip, 'hotel', name, price, null from t join x on city = d union all select trip, 'restaurant', name, price, least(45 + floor(price / 5), 90)::bigint from t join x on city = d union all select trip, 'origin_restaurant', name, price, least(45 + floor(price / 5), 90)::bigint from t join x on city = o union all select trip, 'attraction', name, 15.0, 90 from t join x on city = d")
 def _(t):
     trips = t.nation.select(F.col("n_nationkey").alias("trip"), F.concat(F.lit("City"), F.col("n_nationkey") % 5, F.lit(" (ST)")).alias("org"), F.concat(F.lit("CITY"), (F.col("n_nationkey") + 1) % 5).alias("dest"))
     rows = t.supplier.select(F.col("s_name").alias("name"), F.concat(F.lit("City"), F.col("s_nationkey") % 5).alias("city"), F.concat(F.lit("city"), (F.col("s_nationkey") + 1) % 5).alias("dest"), F.round(F.abs("s_acctbal") / 100, 2).alias("price"), F.lit("x").alias("house_rules"), F.lit("y").alias("cuisines"))
@@ -127,7 +127,7 @@ def _(t):
 
 @query("solved_plan_rows", "with d as (select o_custkey as trip, row_number() over (partition by o_custkey order by o_orderkey) as day, count(*) over (partition by o_custkey) as days, o_orderkey as k from orders) select trip, day, case when day = days and day > 1 and trip % 4 > 0 or (day = 1 and days = 1 and trip % 3 = 0 and trip % 4 > 0) then concat('from B to A') when day = 1 then 'from A to B' else 'B' end as current_city, case when day = 1 and trip % 3 > 0 then concat('Flight Number: F', trip % 9, ', from A to B') when day = days and trip % 4 > 0 then concat('Flight Number: R', trip % 9, ', from B to A') else '-' end as transportation, case when k % 5 = 0 then '-' else concat('R', k % 7, case when day = 1 then ', A' else ', B' end) end as breakfast, case when k % 3 = 0 then '-' when k % 3 = 1 then concat('S', k % 6, ', B;') else concat('S', k % 6, ', B;T', k % 4, ', B;') end as attraction, case when day < days then concat('H', trip % 5, ', B') else '-' end as accommodation from d")
 def _(t):
-    d = t.orders.selectExpr("o_custkey as trip", "row_number() over (partition by o_custkey order by o_orderkey) as day", "count(*) over (partition by o_custkey) as days", "o_orderkey as k")
+    d = t.orders.selectExpr("o_custkey as trip", "cast(row_number() over (partition by o_custkey order by o_orderkey) as bigint) as day", "count(*) over (partition by o_custkey) as days", "o_orderkey as k")
     solved = d.selectExpr("trip", "day", "days", "'A' as org", "'B' as dest", "case when trip % 3 > 0 then concat('F', trip % 9) end as outbound", "case when trip % 4 > 0 then concat('R', trip % 9) end as back", "concat('H', trip % 5) as hotel", "case when k % 5 > 0 then concat('R', k % 7) end as breakfast", "'x' as lunch", "'y' as dinner", "case k % 3 when 0 then array() when 1 then array(concat('S', k % 6)) else array(concat('S', k % 6), concat('T', k % 4)) end as attractions")
     return prepare.plan_rows(solved).drop("lunch", "dinner")
 

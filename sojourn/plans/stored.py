@@ -81,7 +81,7 @@ def _(t):
 def _(t):
     path = folder(t, "documents")
     t.nation.select("n_nationkey", "n_name").write.option("maxRecordsPerFile", 1).json(path)
-    docs = tables.documents(t.spark, path, "n_nationkey long, n_name string")
+    docs = tables.documents(t.spark, path, "n_nationkey int, n_name string")
     each = docs.groupBy("file").agg(F.count(F.lit(1)).cast("int").alias("files"))
     return docs.join(each, "file").select("n_nationkey", "n_name", "files")
 
@@ -216,7 +216,7 @@ def _(t):
     return t.customer.select(k, F.array_join(personas.decoded(codes, [f"n{i}" for i in range(8)], 3), ",").alias("names"))
 
 
-@query("adaptive_weights", "with f as (select c_custkey as k, c_custkey % 5 < 2 as tight, c_custkey % 6 < 4 as short, 1 + c_custkey % 7 >= 4 as many from customer) select k, case when tight then 3.0 else 1.0 end as budget, case when short then 3.5 else 1.0 end as pace, case when many then 2.0 when short then 2.5 else 1.0 end as taste, 1.0 as rest from f")
+@query("adaptive_weights", "with f as (select c_custkey as k, c_custkey % 5 < 2 as tight, c_custkey % 6 < 4 as short, 1 + c_custkey % 7 >= 4 as many from customer) select k, case when tight then 3.0 else 1.0 end::double as budget, case when short then 3.5 else 1.0 end::double as pace, case when many then 2.0 when short then 2.5 else 1.0 end::double as taste, 1.0::double as rest from f")
 def _(t):
     k = F.col("c_custkey")
     people, days = 1 + k % 7, k % 6
@@ -274,7 +274,7 @@ def _(t):
     return constraints.stop_near(points, stops).select(F.col("plan").alias("p_partkey"), "ok")
 
 
-@query("priced_distances", "select n_nationkey, case n_nationkey % 3 when 0 then floor((n_nationkey * 37 + 5) * 0.05) when 1 then n_nationkey * 37 + 5 end as cost from nation")
+@query("priced_distances", "select n_nationkey, case n_nationkey % 3 when 0 then floor((n_nationkey * 37 + 5) * 0.05) when 1 then n_nationkey * 37 + 5 end::bigint as cost from nation")
 def _(t):
     k = F.col("n_nationkey")
     said = F.concat(F.format_number(k * 37 + 5, 0), F.lit(" km"))
@@ -311,6 +311,6 @@ def _(t):
     return preferences.judged(rows).select("trip", "kind", "ok")
 
 
-@query("visit_lengths", "select p_partkey, least(45 + floor(p_retailprice / 5), 90) as minutes from part")
+@query("visit_lengths", "select p_partkey, least(45 + floor(p_retailprice / 5), 90)::bigint as minutes from part")
 def _(t):
     return t.part.select("p_partkey", numeric.visit_minutes(F.col("p_retailprice")).alias("minutes"))

@@ -49,7 +49,7 @@ LEG = "regexp_matches(transportation, 'Self-driving|Taxi')"
 
 
 def days(t: Tables) -> DataFrame:
-    rows = t.orders.selectExpr("o_custkey as plan", "row_number() over (partition by o_custkey order by o_orderkey) as day", "count(*) over (partition by o_custkey) as n", "o_orderkey as k")
+    rows = t.orders.selectExpr("o_custkey as plan", "cast(row_number() over (partition by o_custkey order by o_orderkey) as bigint) as day", "count(*) over (partition by o_custkey) as n", "o_orderkey as k")
     return rows.selectExpr("plan", "day", "n", "k", *(f"{v} as {k}" for k, v in TEXTS.items())).withColumn("days", F.col("n"))
 
 
