@@ -85,8 +85,8 @@ def split_blocks(docs: DataFrame, words_of: Callable[[], Callable[[str], list[st
     return bucketed(docs.select("doc_id", "flag", "text").mapInArrow(run, BLOCKS), "blocks", "block")
 
 
-def bucket_of(words: list[str], buckets: int) -> np.ndarray:
-    return np.fromiter((crc32(w.encode()) for w in words), np.int64, len(words)) % buckets
+def bucket_of(words: list[bytes], buckets: int) -> np.ndarray:
+    return np.fromiter(map(crc32, words), np.int64, len(words)) % buckets
 
 
 DEALT = {"bucket": pa.int32(), "block": pa.int64(), "at": pa.binary(), "words": pa.binary(), "counts": pa.binary()}
@@ -97,17 +97,17 @@ def _deal(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     """The words of a block by bucket, packed: a few rows for each block, however many words it has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in (r for b in batches for r in b.to_pylist()):
-            words, counts, rows = row["words"], np.array(row["counts"], np.int64), []
+        for block, listed, counted in (x for b in batches for x in zip(b.column("block").to_pylist(), b.column("words"), b.column("counts"))):
+            words, counts, rows = listed.values.cast(pa.binary()).to_pylist(), counted.values.to_numpy().astype(np.int64), []
             bucket = bucket_of(words, buckets)
             order = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=buckets))
             for a, b in zip(cuts[:-1], cuts[1:]):
                 at = order[a:b]
-                raw = [words[k].encode() for k in at]
+                raw = [words[k] for k in at]
                 text = pack(np.fromiter(map(len, raw), np.int64, len(raw)))
                 data = zstandard.ZstdCompressor(level=1).compress(b"".join(raw))
-                rows.append((int(bucket[at[0]]), row["block"], pack(np.diff(at, prepend=0)), len(text).to_bytes(4) + text + data, pack(counts[at])))
+                rows.append((int(bucket[at[0]]), block, pack(np.diff(at, prepend=0)), len(text).to_bytes(4) + text + data, pack(counts[at])))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 5, DEALT.values())], names=list(DEALT))
 
     return run

@@ -146,16 +146,31 @@ def highest(w: np.ndarray, b: np.ndarray) -> float:
     return float((np.abs(w).sum(axis=0) + np.abs(b)).max())
 
 
-def class_logs(p: Params, states: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Natural log of each target's chance, and all classes' odds with their sums: chances are odds over sums."""
-    s = states.reshape(-1, HIDDEN) @ p["v"]
-    s += p["c"]
-    if s.size and highest(p["v"], p["c"]) > 60:  # else exp has room
-        s -= s.max(axis=1, keepdims=True)
-    own = s[np.arange(len(s)), targets.ravel()]
-    odds = np.exp(s, out=s)
-    total = odds @ np.ones(s.shape[1], s.dtype)
-    return (own - np.log(total)).reshape(targets.shape), odds, total
+def class_logs(p: Params, states: np.ndarray, targets: np.ndarray, there: np.ndarray | None = None, rows: int = 1024) -> tuple[np.ndarray, Params, np.ndarray | None]:
+    """Natural log of each target's chance; with `there`, which targets count, also gradients of their mean loss by v and c and by the
+    states. Goes by slices of rows, so that odds stay in a core's cache."""
+    flat_states, flat_targets, ones = states.reshape(-1, HIDDEN), targets.ravel(), np.ones(CLASSES, states.dtype)
+    logs, high = np.empty(len(flat_targets), states.dtype), highest(p["v"], p["c"]) > 60
+    g = {k: np.zeros_like(p[k]) for k in "vc"} if there is not None else {}
+    back = np.empty_like(flat_states) if there is not None else None
+    weight = None if there is None else (there.ravel() / max(int(there.sum()), 1)).astype(states.dtype)
+    for i in range(0, len(flat_targets), rows):
+        h, own = flat_states[i : i + rows], flat_targets[i : i + rows]
+        at, s = np.arange(len(own)), h @ p["v"]
+        s += p["c"]
+        if high:  # else exp has room
+            s -= s.max(axis=1, keepdims=True)
+        said = s[at, own]
+        total = np.exp(s, out=s) @ ones
+        logs[i : i + rows] = said - np.log(total)
+        if there is not None:
+            w = weight[i : i + rows]
+            s *= (w / total)[:, None]
+            s[at, own] -= w
+            g["v"] += h.T @ s
+            g["c"] += np.ones(len(own), s.dtype) @ s
+            back[i : i + rows] = s @ p["v"].T
+    return logs.reshape(targets.shape), g, None if back is None else back.reshape(states.shape)
 
 
 def word_logs(p: Params, known: Inventory, states: np.ndarray, targets: np.ndarray, there: np.ndarray, learn: bool = False) -> tuple[np.ndarray, Params, np.ndarray]:
@@ -163,14 +178,13 @@ def word_logs(p: Params, known: Inventory, states: np.ndarray, targets: np.ndarr
     s, units, classes = states.reshape(-1, HIDDEN), targets.ravel(), known.class_of[targets.ravel()]
     logs, back = np.zeros(len(units), s.dtype), np.zeros_like(s) if learn else s
     g = {k: np.zeros_like(p[k]) for k in "wb"} if learn else {}
-    scale = s.dtype.type(1 / max(int(there.sum()), 1))
+    scale, high = s.dtype.type(1 / max(int(there.sum()), 1)), highest(p["w"].T, p["b"]) > 60
     on = np.flatnonzero(there.ravel() & (np.diff(known.starts) > 1)[classes])
     on = on[np.argsort(classes[on].astype(np.uint8), kind="stable")]
     cuts = np.flatnonzero(np.diff(classes[on], prepend=-1, append=CLASSES))
     for i, j in zip(cuts[:-1], cuts[1:]):
         m = known.members(classes[on[i]])
         w, b, step, ones = p["w"][m].T, p["b"][m], max(1, (1 << 15) // len(m)), np.ones(len(m), s.dtype)
-        high = highest(w, b) > 60
         for k in range(i, j, step):  # odds of a slice take 2 MB
             at = on[k : min(k + step, j)]
             own, h = (np.arange(len(at)), known.place[units[at]]), s[at]
@@ -190,16 +204,10 @@ def word_logs(p: Params, known: Inventory, states: np.ndarray, targets: np.ndarr
     return logs.reshape(targets.shape), g, back.reshape(states.shape)
 
 
-def backward(p: Params, kept: list[tuple[np.ndarray, ...]], given: np.ndarray, states: np.ndarray, odds: np.ndarray, total: np.ndarray, targets: np.ndarray, there: np.ndarray, more: np.ndarray | None = None, rows: int = CLASSES) -> Params:
-    """Gradients of the mean loss over the window; the state before it counts as given. more: further gradients by the states.
-    That by x is for as many `rows` as there are inputs."""
-    weight = (there.ravel() / max(int(there.sum()), 1)).astype(total.dtype)
-    d = np.multiply(odds, (weight / total)[:, None], out=odds)
-    d[np.arange(len(d)), targets.ravel()] -= weight
-    out = {"v": states.reshape(-1, HIDDEN).T @ d, "c": d.sum(axis=0), "u": np.zeros_like(p["u"])}
-    dh_out, n = (d @ p["v"].T).reshape(states.shape), HIDDEN
-    if more is not None:
-        dh_out += more
+def backward(p: Params, kept: list[tuple[np.ndarray, ...]], given: np.ndarray, states: np.ndarray, slope: np.ndarray, rows: int = CLASSES) -> Params:
+    """Gradients by u and x of a loss whose slope by the states is given; the state before the window counts as given. That by x is for
+    as many `rows` as there are inputs."""
+    dh_out, n, out = slope, HIDDEN, {"u": np.zeros_like(p["u"])}
     dx, dh, da, ut = np.empty((*given.shape, 3 * n), np.float32), np.zeros_like(states[0]), np.empty((given.shape[1], 3 * n), states.dtype), p["u"].T
     for t in range(len(given) - 1, -1, -1):
         h, z, r, new, a = kept[t]
@@ -223,9 +231,9 @@ def slopes(p: Params, known: Inventory, h: np.ndarray, given: np.ndarray, target
     """Gradients of the mean loss of a window of units by all weights, and the state after it."""
     states, kept = forward(p, h, given, inputs(p, known))
     classes = known.class_of[targets]
-    _, odds, total = class_logs(p, states, classes)
+    _, own, slope = class_logs(p, states, classes, there)
     _, words, more = word_logs(p, known, states, targets, there, learn=True)
-    g = backward(p, kept, given, states, odds, total, classes, there, more, len(known.class_of))
+    g = own | backward(p, kept, given, states, slope + more, len(known.class_of))
     by_unit = g["x"]
     g["x"] = np.add.reduceat(by_unit[known.order], known.starts[:-1])
     return g | {"w": words["w"] + by_unit @ p["a"].T, "b": words["b"], "a": p["w"].T @ by_unit}, states[-1]
@@ -243,14 +251,15 @@ def train(p: Params, known: Inventory, sequences: list[np.ndarray], lanes: int,
                 g, h = slopes(p, known, h[:m], given, targets, there)
                 step += 1
                 scale = min(1.0, 1.0 / (float(np.sqrt(sum((x * x).sum() for x in g.values()))) + 1e-9))
+                move = rate * min(1.0, int(there.sum()) / (lanes * WINDOW))  # windows of few tokens, as at the end of a long text, move little
                 for k in p:
                     m1[k] = 0.9 * m1[k] + 0.1 * scale * g[k]
                     m2[k] = 0.999 * m2[k] + 0.001 * (scale * g[k]) ** 2
-                    p[k] = p[k] - rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)
+                    p[k] = p[k] - move * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)
     return p
 
 
-def class_scores(p: Params, sequences: list[np.ndarray], known: Inventory | None = None, side_by_side: int = 512) -> np.ndarray:
+def class_scores(p: Params, sequences: list[np.ndarray], known: Inventory | None = None, side_by_side: int = 1024) -> np.ndarray:
     """Natural log of the chance of each whole sequence of classes, or of units if there is an inventory, and its end. So many
     documents of like length go side by side."""
     result, table = np.empty(len(sequences)), inputs(p, known) if known else None
@@ -345,35 +354,45 @@ def survey(packed: DataFrame) -> Counts:
     return Counts(known, units, once, distinct)
 
 
+def coded(blocks: DataFrame, known: Inventory, groups: int) -> DataFrame:
+    """group, doc_id, units (16 bits each) of training documents, dealt into groups by a hash of id and units."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in (r for b in batches for r in b.to_pylist()):
+            units = np.fromiter(map(known.unit, row["words"]), "<u2", len(row["words"]))
+            parts = np.split(units[dictionary.unpack_codes(row["codes"])], np.cumsum(dictionary.unpack(row["sizes"]))[:-1])
+            own = [(doc, u.tobytes()) for doc, u, f in zip(row["doc_ids"], parts, row["flags"]) if f]
+            of = [xxhash.xxh3_64_intdigest(u, seed=(doc or 0) % 2**64) % groups for doc, u in own]
+            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array([d for d, _ in own], pa.int64()), pa.array([u for _, u in own], pa.binary())], names=["group", "doc_id", "units"])
+
+    return blocks.select("doc_ids", "flags", "sizes", "codes", "words").mapInArrow(deal, "group long, doc_id long, units binary")
+
+
+def sequence(units: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(units.as_buffer(), "<u2")
+
+
 def start(rows: DataFrame, counts: Counts, docs: int, sample_docs: int) -> Params:
-    """First weights from at most `sample_docs` whole training documents of `docs`, chosen by a hash, in one task."""
+    """First weights from at most `sample_docs` of the `docs` whole training documents (what `coded` gave), chosen by a hash, in one
+    task."""
     known, mass = counts.known, counts.units
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sequences = [np.fromiter((known.unit(w.decode()) for w in words_of(t)), np.int64) for b in batches for t in b.column("text").to_pylist()]
+        sequences = [sequence(u) for b in batches for u in b.column("units")]
         p, rng = fresh(), np.random.default_rng(2)
         share = np.bincount(known.class_of[np.concatenate([[0] * len(sequences), *sequences]).astype(np.int64)], minlength=CLASSES) + 0.5
         p["c"] = np.log(share / share.sum()).astype(np.float32)
         p |= {"w": rng.normal(0, 0.1, (len(mass), HIDDEN)).astype(np.float32), "b": np.log(mass + 1).astype(np.float32), "a": np.zeros((HIDDEN, 3 * HIDDEN), np.float32)}
-        yield pa.RecordBatch.from_arrays([pa.array([flat(train(p, known, sequences, 48, 0.01, 2)).astype(float)], pa.list_(pa.float64()))], names=["weights"])
+        yield pa.RecordBatch.from_arrays([pa.array([flat(train(p, known, sequences, 48, 0.01, 3)).astype(float)], pa.list_(pa.float64()))], names=["weights"])
 
-    sample = least_hashes(rows.where("flag").select("doc_id", "text"), F.xxhash64(F.lit(2), "doc_id", "text"), docs, sample_docs)
-    found = sample.select("text").coalesce(1).mapInArrow(learn, "weights array<double>").collect()
+    sample = least_hashes(rows.select("doc_id", "units"), F.xxhash64(F.lit(2), "doc_id", "units"), docs, sample_docs)
+    found = sample.select("units").coalesce(1).mapInArrow(learn, "weights array<double>").collect()
     return shaped(np.array(found[0].weights), known) if found else {k: np.zeros(s, np.float32) for k, s in shapes(known).items()}
 
 
-def averaged(blocks: DataFrame, known: Inventory, p: Params, tokens: int, lanes: int = 512, rate: float = 0.002, group_tokens: int = GROUP_TOKENS) -> Params:
-    """Training documents are dealt by a hash of id and units into groups of about `group_tokens`; each group trains a copy on its
-    documents in the order of id and units. The copies' mean by tokens; what comes back is as large as the model."""
-    groups = max(1, tokens // group_tokens)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in (r for b in batches for r in b.to_pylist()):
-            units = np.fromiter(map(known.unit, row["words"]), "<u2", len(row["words"]))
-            parts = np.split(units[dictionary.unpack_codes(row["codes"])], np.cumsum(dictionary.unpack(row["sizes"]))[:-1])
-            own = [(doc, u.tobytes()) for doc, u, f in zip(row["doc_ids"], parts, row["flags"]) if f]
-            of = [xxhash.xxh3_64_intdigest(u, seed=(doc or 0) % 2**64) % groups for doc, u in own]
-            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array([d for d, _ in own], pa.int64()), pa.array([u for _, u in own], pa.binary())], names=["group", "doc_id", "units"])
+def averaged(rows: DataFrame, known: Inventory, p: Params, lanes: int = 512, rate: float = 0.002) -> Params:
+    """Each group of rows (what `coded` gave) trains a copy on its documents in the order of id and units. The copies' mean by tokens;
+    what comes back is as large as the model."""
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, weight = np.zeros(sum(int(np.prod(s)) for s in shapes(known).values())), 0
@@ -390,14 +409,13 @@ def averaged(blocks: DataFrame, known: Inventory, p: Params, tokens: int, lanes:
                     close()
                     held = []
                 now = group
-                held.append(np.frombuffer(u.as_buffer(), "<u2"))
+                held.append(sequence(u))
         if held:
             close()
         if weight:
             yield pa.RecordBatch.from_arrays([pa.array([total / weight], pa.list_(pa.float64())), pa.array([weight], pa.int64())], names=["weights", "tokens"])
 
-    dealt = blocks.select("block", "doc_ids", "flags", "sizes", "codes", "words").mapInArrow(deal, "group long, doc_id long, units binary")
-    ordered = dealt.repartition(F.col("group")).sortWithinPartitions("group", "doc_id", "units")
+    ordered = rows.repartition(F.col("group")).sortWithinPartitions("group", "doc_id", "units")
     each = ordered.mapInArrow(learn, "weights array<double>, tokens long").select("tokens", F.posexplode("weights").alias("i", "w"))
     mean = each.groupBy("i").agg((F.sum(F.col("w") * F.col("tokens")) / F.sum("tokens")).alias("w")).orderBy("i").collect()
     return shaped(np.round([r.w for r in mean], 6), known) if mean else p
@@ -420,7 +438,8 @@ def score(docs: DataFrame, sample_docs: int = 1500, group_tokens: int = GROUP_TO
     known, distinct = counts.known, counts.distinct
     ends = blocks.agg(F.coalesce(F.sum(F.size(F.filter("flags", lambda f: f))), F.lit(0))).first()[0]
     total, distinct = int(counts.units.sum()) + ends, distinct + (ends > 0)
-    p = averaged(blocks, known, start(rows, counts, ends, sample_docs), total, group_tokens=group_tokens)
+    learning = materialize(coded(blocks, known, max(1, total // group_tokens)), "coded")
+    p = averaged(learning, known, start(learning, counts, ends, sample_docs))
     mass, spare = counts.units[:CLASSES].astype(float), counts.once + 1.0
 
     def build(row: dict, found: pa.Table) -> pa.Table:
