@@ -82,10 +82,10 @@ def format_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
 
 
 def parse_segment(segment: str) -> tuple[str, str]:
-    """Role and text of a rendered turn; placeholders stay in the text."""
-    end = segment.index("\n")
-    if not (segment.startswith(START) and segment.endswith(END + "\n")):
-        raise ValueError("not a rendered turn")
+    """Role and text of a rendered turn; placeholders stay in the text. What isn't a rendered turn is a text without a role."""
+    end = segment.find("\n")
+    if end < 0 or not (segment.startswith(START) and segment.endswith(END + "\n") and end < len(segment) - len(END) - 1):
+        return "", segment
     return unescape_role(segment[len(START) : end]), unescape(segment[end + 1 : -len(END) - 1])
 
 

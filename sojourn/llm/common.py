@@ -30,17 +30,35 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+#: What this process has written between steps: paths, and names of bucketed tables.
+WRITTEN: list[tuple[str, str | None]] = []
+
+
+def forget(spark: SparkSession) -> int:
+    """Delete the tables between steps that this process wrote; call it when results that read them are written. How many went."""
+    for path, name in WRITTEN:
+        if name:
+            spark.sql(f"drop table if exists {name}")
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    n = len(WRITTEN)
+    WRITTEN.clear()
+    return n
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there and lost executors cost nothing."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    WRITTEN.append((path, None))
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def bucketed(df: DataFrame, label: str, key: str) -> DataFrame:
-    """Write df to the shared warehouse in buckets of key and read it back: a grouping by key then needn't move it again."""
+    """Write df to the shared folder in buckets of key and read it back: a grouping by key then needn't move it again."""
     spark, name = df.sparkSession, f"{label}_{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).saveAsTable(name)
+    WRITTEN.append((f"{shared_dir(spark)}/{name}", name))
+    df.write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).saveAsTable(name)
     return spark.table(name)
 
 
@@ -57,9 +75,9 @@ def text_key(name: str = "text") -> Column:
     return F.xxhash64(text_or_empty(name))
 
 
-def broadcast_if_small(df: DataFrame, rows: int, limit: int = 50_000) -> DataFrame:
-    """A broadcast hint only if the counted rows are within the limit; beyond it the join shuffles."""
-    return F.broadcast(df) if rows <= limit else df
+def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int = 200, most: int = 32 << 20) -> DataFrame:
+    """A broadcast hint only if the counted rows, of so many bytes each, are within `most` bytes; beyond it the join shuffles."""
+    return F.broadcast(df) if rows * row_bytes <= most else df
 
 
 def least_hashes(df: DataFrame, order: Column, count: int, most: int) -> DataFrame:

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sojourn.llm.common import bound_batches, materialize, text_or_empty
+from sojourn.llm.common import bound_batches, least_hashes, materialize, text_or_empty
 
 #: Words and sentence ends; a sentence is what lies between two ends.
 TOKEN = re.compile(r"\w+|[.!?\n]")
@@ -27,7 +27,7 @@ class Words(dict):
     """A word's feature: 63 bits of its hash, -1 for a sentence end. Emptied at a bound, so memory doesn't grow with a corpus."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = x = -1 if word in ENDS else xxhash.xxh3_64_intdigest(word.encode(errors="surrogatepass")) >> 1
         return x
@@ -122,9 +122,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 6000) -> tuple[
     """The model from at most `sample_docs` labelled rows, chosen by a hash of their ids. Of several labels of an id the largest
     counts; null labels count as none. What comes to the driver is bounded by the words of the sample."""
     own = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    chosen = materialize(own.orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(sample_docs), "toxic-sample")
+    chosen = materialize(least_hashes(own, F.xxhash64(F.lit(5), "doc_id"), own.count(), sample_docs).select("doc_id", "toxic"), "toxic-sample")
     texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")  # at most sample_docs ids
-    texts = texts.withColumn("n", F.xxhash64(F.lit(6), "doc_id", "text")).orderBy("n", "doc_id").limit(2 * sample_docs)
+    texts = texts.withColumn("n", F.xxhash64(F.lit(6), "doc_id", "text")).orderBy("n", "doc_id").limit(sample_docs)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [b for b in batches]

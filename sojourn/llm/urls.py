@@ -1,6 +1,6 @@
 """URL filters: rules on host and path, and gradient-boosted trees on lexical features for what no rule fits.
 
-Suffix statistics come from all rows that the rules label. The trees alone are trained on a sample of the labelled URLs, at most
+Suffix statistics come from all rows that the rules label; a URL that trains doesn't count in its own. The trees alone are trained on a sample of the labelled URLs, at most
 `sample_urls` different ones. Judging is a projection and one join over all rows, a broadcast if the suffixes are counted few.
 """
 
@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sojourn.llm.common import broadcast_if_small, materialize
+from sojourn.llm.common import broadcast_if_small, least_hashes, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -88,10 +88,13 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, sample_ur
         suffixes = counts.select("suffix", share.alias("suffix_rate"), F.log1p("n").alias("suffix_count"))
         learned = ["label", "suffix", *FEATURES[:-2]]
         chosen = source.select(F.xxhash64(F.lit(3), "host", "path", *learned).alias("n"), *learned)
-        first = chosen.select("n").distinct().orderBy("n").limit(sample_urls)  # copies of a URL count once
+        different = chosen.agg(F.approx_count_distinct("n", 0.02)).first()[0]
+        first = least_hashes(chosen.select(F.col("n").alias("h")).distinct(), F.col("h"), different, sample_urls).select("n")  # copies of a URL count once
         sample = materialize(chosen.join(F.broadcast(first), "n", "left_semi").distinct().orderBy("n", *learned).limit(sample_urls), "url-sample")
         columns = VectorAssembler(inputCols=FEATURES, outputCol="features")
-        data = columns.transform(with_suffixes(sample, suffixes, total.suffixes, total.rate)).select("label", "features").coalesce(1)
+        others = suffixes.withColumn("suffix_rate", F.col("suffix_rate") * (F.expm1("suffix_count") + 5))  # a URL's own label is no feature of it
+        data = with_suffixes(sample, others, total.suffixes, total.rate).withColumn("suffix_rate", (F.col("suffix_rate") - F.col("label")) / (F.expm1("suffix_count") + 4))
+        data = columns.transform(data).select("label", "features").coalesce(1)
         model = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=32, stepSize=0.3, seed=3).fit(data)
         scored = model.transform(columns.transform(with_suffixes(rows, suffixes, total.suffixes, total.rate))).withColumn("chance", vector_to_array("probability")[1])
     verdict = F.coalesce("ruled", F.when(F.col("chance") >= 0.5, "block").otherwise("allow"))

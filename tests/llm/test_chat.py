@@ -45,3 +45,9 @@ def test_typed_parts(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert chat.read_back(chat.format_turns(df.withColumn("parts", chat.text_part(df.text)))).collect() == []
+
+
+def test_malformed_segments_are_texts_without_role(spark):
+    df = spark.createDataFrame([(1, 0, "no turn at all"), (1, 1, "<|im_start|>user"), (1, 2, "<|im_start|>user\nhi<|im_end|>\n")], "conv_id long, turn long, segment string").selectExpr("*", "cast(null as long) as loss_start", "cast(null as long) as loss_end")
+    (row,) = chat.read_back(df).collect()
+    assert row.n_turns == 3 and row.loss_chars == 0 and chat.parse_segment("x\ny") == ("", "x\ny")
