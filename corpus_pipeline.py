@@ -33,12 +33,12 @@ def once(docs: DataFrame, judged: DataFrame, key: Column) -> DataFrame:
     odd = materialize(counts.where("not kept or rows > 1").select(F.col("doc_id").alias("_id"), F.col("_key").alias("_k"), "kept"), "dropped")
     n = odd.count()
     same = lambda o: docs["doc_id"].eqNullSafe(o["_id"]) & (docs["_key"] == o["_k"])
-    few = broadcast_if_small(odd, n, 1_000_000)
+    few = broadcast_if_small(odd, n, 100)
     out = docs.join(few, same(odd), "left_anti")
     again = odd.where("kept")
     if not again.isEmpty():
         order = Window.partitionBy("doc_id", "_key").orderBy(F.char_length("text").desc(), "text", *(c for c in COLUMNS if c != "text"))
-        rows = docs.join(broadcast_if_small(again, n, 1_000_000), same(again), "left_semi").withColumn("_n", F.row_number().over(order))
+        rows = docs.join(broadcast_if_small(again, again.count(), 100), same(again), "left_semi").withColumn("_n", F.row_number().over(order))
         out = out.unionByName(rows.where("_n = 1").drop("_n"))
     return out.select(*COLUMNS)
 
@@ -61,7 +61,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     used = materialize(used.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_key").alias("_k"), "copies"), "mix-copies")
     rows = docs.select(*COLUMNS, text_key().alias("_key"))
     match = rows["doc_id"].eqNullSafe(used["_id"]) & rows["source"].eqNullSafe(used["_source"]) & (rows["_key"] == used["_k"])
-    joined = rows.join(broadcast_if_small(used, used.count(), 1_000_000), match)
+    joined = rows.join(broadcast_if_small(used, used.count(), 100), match)
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
