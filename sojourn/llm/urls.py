@@ -1,6 +1,7 @@
 """URL filters: rules on host and path, and gradient-boosted trees on lexical features for what no rule fits.
 
-Suffix statistics come from all rows that the rules label; a URL that trains doesn't count in its own. The trees alone are trained on a sample of the labelled URLs, at most
+Suffix statistics come from all rows that the rules label; a URL that trains has those of the other folds of URLs, so that its own
+label is no part of what it learns from. The trees alone are trained on a sample of the labelled URLs, at most
 `sample_urls` different ones. Judging is a projection and one join over all rows, a broadcast if the suffixes are counted few.
 """
 
@@ -16,6 +17,7 @@ from sojourn.llm.common import broadcast_if_small, least_hashes, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+FOLDS = 5
 FEATURES = ["length", "host_length", "labels", "depth", "digits", "entropy", "params", "hyphens", "suffix_rate", "suffix_count"]
 
 
@@ -79,21 +81,24 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, sample_ur
     if labelled is not None:
         named = labelled.select(F.col("block").cast("double").alias("page_id"), "url").where("page_id is not null")
         source = parsed(named, []).withColumnRenamed("page_id", "label")
-    counts = materialize(source.groupBy("suffix").agg(F.sum("label").alias("blocked"), F.count("label").alias("n")), "url-suffixes")
+    source = source.withColumn("fold", F.pmod(F.xxhash64(F.lit(4), "host", "path"), F.lit(FOLDS)))
+    folds = materialize(source.groupBy("suffix", "fold").agg(F.sum("label").alias("blocked"), F.count("label").alias("n")), "url-suffixes")
+    counts = folds.groupBy("suffix").agg(F.sum("blocked").alias("blocked"), F.sum("n").alias("n"))
     total = counts.agg(F.count(F.lit(1)).alias("suffixes"), F.coalesce(F.sum("blocked") / F.sum("n"), F.lit(0.0)).alias("rate")).first()
     if total.rate in (0.0, 1.0):
         scored = rows.withColumn("chance", F.lit(total.rate))
     else:
-        share = (F.col("blocked") + 5 * total.rate) / (F.col("n") + 5)
-        suffixes = counts.select("suffix", share.alias("suffix_rate"), F.log1p("n").alias("suffix_count"))
-        learned = ["label", "suffix", *FEATURES[:-2]]
+        share = lambda blocked, n: (blocked + 5 * total.rate) / (n + 5)
+        suffixes = counts.select("suffix", share(F.col("blocked"), F.col("n")).alias("suffix_rate"), F.log1p("n").alias("suffix_count"))
+        learned = ["label", "suffix", "fold", *FEATURES[:-2]]
         chosen = source.select(F.xxhash64(F.lit(3), "host", "path", *learned).alias("n"), *learned)
         different = chosen.agg(F.approx_count_distinct("n", 0.02)).first()[0]
         first = least_hashes(chosen.select(F.col("n").alias("h")).distinct(), F.col("h"), different, sample_urls).select("n")  # copies of a URL count once
         sample = materialize(chosen.join(F.broadcast(first), "n", "left_semi").distinct().orderBy("n", *learned).limit(sample_urls), "url-sample")
         columns = VectorAssembler(inputCols=FEATURES, outputCol="features")
-        others = suffixes.withColumn("suffix_rate", F.col("suffix_rate") * (F.expm1("suffix_count") + 5))  # a URL's own label is no feature of it
-        data = with_suffixes(sample, others, total.suffixes, total.rate).withColumn("suffix_rate", (F.col("suffix_rate") - F.col("label")) / (F.expm1("suffix_count") + 4))
+        whole = counts.select("suffix", F.col("blocked").alias("b"), F.col("n").alias("m"))
+        others = folds.join(whole, "suffix").select("suffix", "fold", share(F.col("b") - F.col("blocked"), F.col("m") - F.col("n")).alias("suffix_rate"), F.log1p("m").alias("suffix_count"))
+        data = sample.join(others, ["suffix", "fold"])
         data = columns.transform(data).select("label", "features").coalesce(1)
         model = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=32, stepSize=0.3, seed=3).fit(data)
         scored = model.transform(columns.transform(with_suffixes(rows, suffixes, total.suffixes, total.rate))).withColumn("chance", vector_to_array("probability")[1])

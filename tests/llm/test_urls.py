@@ -70,3 +70,18 @@ def test_rates_do_not_depend_on_the_sample(spark, monkeypatch):
     labelled = spark.createDataFrame([(f"http://h{i}.org/{i}.x{i % 30}", i % 2) for i in range(300)], "url string, block int")
     urls.judge(spark.createDataFrame([], SCHEMA), rules=[], labelled=labelled, sample_urls=20)
     assert len(seen[0]) == 30 and {round(v, 6) for v in seen[0].values()} == {2.397895}
+
+
+def test_labels_of_suffixes_hold_out(spark):
+    """Endings that tell the label in nine of ten rows: held-out URLs are judged by them, and a URL's own label gives nothing away."""
+    rnd = random.Random(8)
+    bad = {"biz": 0.95, "zip": 0.9, "org": 0.05, "edu": 0.1}
+    rows = []
+    for i in range(3000):
+        end = rnd.choice(list(bad))
+        rows.append((f"http://h{rnd.randrange(10**6)}.{end}/p{i % 7}", int(rnd.random() < bad[end])))
+    labelled = spark.createDataFrame(rows[:2000], "url string, block int")
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows[2000:])], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in urls.judge(pages, [], labelled=labelled).collect()}
+    right = sum((got[i] == "block") == bool(b) for i, (_, b) in enumerate(rows[2000:]))
+    assert right > 850
