@@ -433,7 +433,7 @@ def _(t):
 def _(t):
     p = travellers(t)
     b = p.select(F.col("c_custkey").alias("b"), F.col("v").alias("y"), "c_nationkey")
-    j = p.join(b, "c_nationkey").where(F.col("b") > F.col("c_custkey"))
+    j = p.where("c_custkey % 50 = 0").join(b, "c_nationkey").where(F.col("b") != F.col("c_custkey"))  # queries: ids divisible by 50
     return j.select(F.col("c_custkey").alias("a"), "b", r6(personas.conflict(F.col("v"), F.col("y"), personas.weights("budget_war"))).alias("conflict"))
 
 

@@ -244,6 +244,29 @@ def _(t):
     return groups.solvable(groups.field_conflicts(wishes, ["g"]), ["g"]).select("g", r6("score").alias("score"))
 
 
+CHOSEN = "select s_nationkey as g, s_suppkey as m, 'f' || (i % 3) || '.' || i as field, (s_suppkey * (i + 1)) % 3 as value, 4 + (s_suppkey * 7 + i) % 5 as alpha from supplier, range(4) r(i)"
+
+
+@query("best_combinations", f"with w as ({CHOSEN}), m as (select distinct g, m from w), k as (select a.g, a.m as a, b.m as b, c.m as c from m a join m b on a.g = b.g and a.m < b.m join m c on b.g = c.g and b.m < c.m), f as (select k.g, a, b, c, field, count(*) as n, count(distinct value) as v, sum(alpha) as x, sum(alpha * alpha) as x2 from k join w on w.g = k.g and w.m in (a, b, c) group by 1, 2, 3, 4, 5), s as (select g, a, b, c, count(*) as soft, count(distinct split_part(field, '.', 1)) as y, sum(n) as n, sum(x) as x, sum(x2) as x2 from f where n >= 2 and v > 1 group by 1, 2, 3, 4), z as (select *, round(soft + 2.0 * y + 0.5 * sqrt(greatest(x2 / n - power(x / n, 2), 0)), 9) as score from s where soft >= 2) select g, arg_max(concat_ws(',', a, b, c), (score, -a, -b, -c)) as members, round(max(score), 6) as score from z group by 1")
+def _(t):
+    k = F.col("s_suppkey")
+    rows = t.supplier.select(F.col("s_nationkey").alias("g"), k.alias("m"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i"))
+    wishes = rows.select("g", "m", F.concat(F.lit("f"), F.col("i") % 3, F.lit("."), "i").alias("field"), ((F.col("m") * (F.col("i") + 1)) % 3).alias("value"), (4 + (F.col("m") * 7 + F.col("i")) % 5).alias("alpha"))
+    return groups.best_combination(wishes, "g", "m", 3).select("g", F.array_join("members", ",").alias("members"), r6("score").alias("score"))
+
+
+FAR = "sqrt(power(({0}.k % 4 - {1}.k % 4) / 3.0, 2) + power(({0}.k % 3 - {1}.k % 3) / 2.0, 2)) / sqrt(22.0)"
+OPPONENTS = "with p as (select c_nationkey as g, c_custkey as k, (c_custkey * 7) % 101 / 10.0 as s from customer), a as (select g, arg_max(k, (s, -k)) as k from p group by 1), f as (select p.*, {a} as x from p join a using (g) where p.k <> a.k), b as (select g, arg_max(k, (round(0.6 * s + 0.4 * x, 12), -k)) as k from f group by 1), h as (select f.g, f.k, s, least(x, {b}) as x from f join b using (g) where f.k <> b.k), c as (select g, arg_max(k, (round(0.6 * s + 0.4 * x, 12), -k)) as k from h group by 1) select g, k, 1::bigint as place from a union all select g, k, 2 from b union all select g, k, 3 from c".format(a=FAR.format("p", "a"), b=FAR.format("f", "b"))
+
+
+@query("opponents_of_groups", OPPONENTS)
+def _(t):
+    k = F.col("c_custkey")
+    v = F.array((k % 4) / 3.0, F.lit(0.0), F.lit(0.0), F.lit(0.0), (k % 3) / 2.0, F.lit(0.0), *(F.lit(1.0) for _ in range(16)))
+    pool = t.customer.select(F.col("c_nationkey").alias("g"), k.alias("k"), ((k * 7) % 101 / 10.0).alias("s"), v.alias("v"))
+    return personas.opponents(pool, "g", "k", "s", "v", [1.0] * 22, 3, candidates=0)
+
+
 @query("validated_constraints", "select o_orderkey, array_to_string(list_filter([case when o_orderkey % 7 = 0 then 'invalid field' end, case when o_orderkey % 11 = 0 then 'invalid op' end, case when o_orderkey % 7 > 0 and o_orderkey % 11 > 0 and o_totalprice < 1000 then 'infeasible' end, case when o_orderkey % 7 > 0 and o_orderkey % 11 > 0 and o_totalprice >= 300000 then 'no_op' end], lambda e: e is not null), ',') as errors from orders")
 def _(t):
     k = F.col("o_orderkey")

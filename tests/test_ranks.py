@@ -24,3 +24,15 @@ def test_holding(spark):
     b = spark.createDataFrame(list(enumerate(passages)), "j int, passage string")
     got = {(r.i, r.j) for r in lookup.holding(a, b, "text", "passage").select("i", "j").collect()}
     assert got == {(i, j) for i, t in enumerate(texts) for j, p in enumerate(passages) if t is not None and p in t}
+
+
+def test_combinations_by_place(spark):
+    import itertools
+
+    from sojourn.operators import groups
+
+    rows = [(g, m) for g, n in ((1, 6), (2, 3), (3, 2), (4, 40)) for m in range(n)]
+    got = groups.some_combinations(spark.createDataFrame(rows, "g int, m int"), "g", "m", 3, 500).collect()
+    by = {g: [tuple(r.members) for r in got if r.g == g] for g in (1, 2, 3, 4)}
+    assert sorted(by[1]) == list(itertools.combinations(range(6), 3)) and by[2] == [(0, 1, 2)] and by[3] == []
+    assert len(set(by[4])) == 500 and set(by[4]) <= set(itertools.combinations(range(40), 3))
