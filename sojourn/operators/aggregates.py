@@ -153,3 +153,44 @@ def repeated_lines(df: DataFrame, text: str, key: str, n: int) -> DataFrame:
 def satisfaction(df: DataFrame, group: list[str], alpha: str, ok: str) -> DataFrame:
     """Satisfied share by importance."""
     return df.groupBy(*group).agg((F.sum(F.when(F.col(ok), F.col(alpha)).otherwise(0)) / F.nullif(F.sum(alpha), F.lit(0))).alias("satisfaction"))
+
+
+def applicable(df: DataFrame, strata: list[str], checks: list[str]) -> DataFrame:
+    """How often each check applies in a stratum, and its rows."""
+    return df.groupBy(*strata).agg(*(F.count(c).alias(c) for c in checks), F.count(F.lit(1)).alias("rows"))
+
+
+def delivery(days: DataFrame, plan: str, least: int = 0) -> DataFrame:
+    """The share of plans with more than `least` days. One row."""
+    return days.groupBy(plan).agg(F.count(F.lit(1)).alias("_n")).agg(F.avg((F.col("_n") > least).cast("double")).alias("delivery"))
+
+
+def elsewhere(df: DataFrame, key: str, value: str, own: str, name: str) -> DataFrame:
+    """How many different values a key has besides its own."""
+    return df.where(F.col(value) != F.col(own)).groupBy(key).agg(F.count_distinct(value).alias(name))
+
+
+def within_limits(df: DataFrame, key: str, value: str, least: float, most: float, mean: float) -> DataFrame:
+    """Whether all of a key's values reach `least`, none passes `most`, and their mean is within `mean`."""
+    return df.groupBy(key).agg((F.min(value) >= least).alias("floor_ok"), (F.max(value) <= most).alias("cap_ok"), (F.avg(value) <= mean).alias("mean_ok"))
+
+
+def quantiles(df: DataFrame, group: list[str], value: str, shares: list[float]) -> DataFrame:
+    """Quantiles between values, by linear interpolation."""
+    q = df.groupBy(*group).agg(F.percentile(value, F.array(*map(F.lit, shares))).alias("_q"))
+    return q.select(*group, *(F.col("_q")[i].alias(f"q{int(p * 100)}") for i, p in enumerate(shares)))
+
+
+def ratios(df: DataFrame, group: list[str], conditions: dict[str, Column]) -> DataFrame:
+    """The share of rows where each condition holds; rows where it is null don't count."""
+    return df.groupBy(*group).agg(*(F.avg(c.cast("double")).alias(n) for n, c in conditions.items()))
+
+
+def with_total(df: DataFrame, strata: list[str], rates: dict[str, Column]) -> DataFrame:
+    """Rates of each stratum and, with nulls, of all rows."""
+    return df.rollup(*strata).agg(*(F.avg(c.cast("double")).alias(n) for n, c in rates.items()), F.count(F.lit(1)).alias("rows"))
+
+
+def stops(df: DataFrame, group: str, route: str) -> DataFrame:
+    """How often a group's commonest route comes again."""
+    return df.groupBy(group, route).agg(F.count(F.lit(1)).alias("_n")).groupBy(group).agg((F.max("_n") - 1).alias("stops"))

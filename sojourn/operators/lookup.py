@@ -156,3 +156,26 @@ def is_stated(*values: Column) -> Column:
     for v in values:
         out = out | F.coalesce(~F.trim(v).isin("", "-", "[]", "None"), F.lit(False))
     return out
+
+
+def among(df: DataFrame, column: str, values: list, measure: str, least: float) -> DataFrame:
+    """Rows of some values that reach a measure, as flights of some dates or lodgings for so many guests."""
+    return df.where(F.col(column).isin(*values) & (F.col(measure) >= least))
+
+
+def fanned_out(areas: DataFrame, places: DataFrame, area: str, facts: DataFrame, place: str) -> DataFrame:
+    """Facts of every place of the areas; places without facts stay, with nulls."""
+    return areas.join(places, area).join(facts, place, "left")
+
+
+def index_merged(lists: DataFrame, key: str, items: str, dim: DataFrame, on: str, value: str) -> DataFrame:
+    """The values of a key's items in the items' order: key, merged; items that aren't found are left out."""
+    each = lists.select(key, F.posexplode(items).alias("_i", on))
+    found = each.join(dim.select(on, F.col(value).alias("_v")), on)
+    return found.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_v"))), lambda s: s["_v"]).alias("merged"))
+
+
+def hydrated(ids: DataFrame, log: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
+    """ids with the value of their last row of a log, if there is one."""
+    last = log.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias(value))
+    return ids.join(last, key, "left")

@@ -73,7 +73,7 @@ def _(t):
 
 @query("isin_threshold", "select o_orderkey, o_totalprice from orders where o_orderpriority in ('1-URGENT', '2-HIGH') and o_totalprice >= 100000")
 def _(t):
-    return t.orders.where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH") & (F.col("o_totalprice") >= 100000)).select("o_orderkey", "o_totalprice")
+    return lookup.among(t.orders, "o_orderpriority", ["1-URGENT", "2-HIGH"], "o_totalprice", 100000).select("o_orderkey", "o_totalprice")
 
 
 @query("not_contains_filter", "select p_partkey, p_name from part where not contains(p_name, 'a') and not contains(p_type, 'E')")
@@ -165,8 +165,9 @@ def _(t):
 
 @query("state_fanout", "select r_name, n_name, count(s_suppkey) as suppliers from region join nation on n_regionkey = r_regionkey left join supplier on s_nationkey = n_nationkey where r_name in ('ASIA', 'EUROPE') group by 1, 2")
 def _(t):
-    cities = t.region.where(F.col("r_name").isin("ASIA", "EUROPE")).join(t.nation, F.col("n_regionkey") == F.col("r_regionkey"))
-    return cities.join(t.supplier, F.col("s_nationkey") == F.col("n_nationkey"), "left").groupBy("r_name", "n_name").agg(F.count("s_suppkey").alias("suppliers"))
+    areas = t.region.where(F.col("r_name").isin("ASIA", "EUROPE")).withColumnRenamed("r_regionkey", "n_regionkey")
+    out = lookup.fanned_out(areas, t.nation, "n_regionkey", t.supplier.withColumnRenamed("s_nationkey", "n_nationkey"), "n_nationkey")
+    return out.groupBy("r_name", "n_name").agg(F.count("s_suppkey").alias("suppliers"))
 
 
 @query("in_all_dimensions", "select n_nationkey from nation where n_nationkey in (select s_nationkey from supplier where s_acctbal > 9000) and n_nationkey in (select c_nationkey from customer where c_acctbal > 9900)")
@@ -196,16 +197,15 @@ def _(t):
 
 @query("index_aligned_merge", "select o_orderkey, count(*) as n, string_agg(p_brand, ',' order by l_linenumber, l_partkey) as brands from lineitem join part on p_partkey = l_partkey join orders on o_orderkey = l_orderkey group by 1")
 def _(t):
-    lists = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("parts"))
-    each = lists.select(F.col("l_orderkey").alias("o_orderkey"), F.posexplode("parts").alias("i", "p")).select("o_orderkey", "i", F.col("p.l_partkey").alias("p_partkey"))
-    merged = each.join(t.part.select("p_partkey", "p_brand"), "p_partkey").groupBy("o_orderkey").agg(F.array_sort(F.collect_list(F.struct("i", "p_brand"))).alias("b"))
-    return merged.select("o_orderkey", F.size("b").cast("long").alias("n"), F.array_join(F.col("b.p_brand"), ",").alias("brands"))
+    lists = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda s: s["l_partkey"]).alias("parts"))
+    merged = lookup.index_merged(lists, "o_orderkey", "parts", t.part, "p_partkey", "p_brand")
+    return merged.select("o_orderkey", F.size("merged").cast("long").alias("n"), F.array_join("merged", ",").alias("brands"))
 
 
 @query("hydrated_ids", "select c_custkey, last_order from customer left join (select o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) as last_order from orders where o_orderstatus = 'F' group by 1) on o_custkey = c_custkey")
 def _(t):
-    last = t.orders.where("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("last_order"))
-    return t.customer.join(last, F.col("o_custkey") == F.col("c_custkey"), "left").select("c_custkey", "last_order")
+    log = t.orders.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("last_order"), "o_orderdate")
+    return lookup.hydrated(t.customer.select("c_custkey"), log, "c_custkey", ["o_orderdate", "last_order"], "last_order")
 
 
 # aggregation
@@ -236,12 +236,12 @@ def _(t):
 
 @query("applicability_counts", f"with f as ({FLAGS}) select y, count(a) as a, count(b) as b, count(c) as c, count(*) as rows from f group by 1")
 def _(t):
-    return flags(t).groupBy("y").agg(*(F.count(c).alias(c) for c in "abc"), F.count(F.lit(1)).alias("rows"))
+    return agg.applicable(flags(t), ["y"], ["a", "b", "c"])
 
 
 @query("delivery_rate", "select round(avg((n > 2)::int), 6) as delivery from (select l_orderkey, count(*) as n from lineitem group by 1)")
 def _(t):
-    return t.lineitem.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n")).agg(r6(F.avg((F.col("n") > 2).cast("int"))).alias("delivery"))
+    return agg.delivery(t.lineitem, "l_orderkey", 2).select(r6("delivery").alias("delivery"))
 
 
 @query("fixed_denominator", "select o_orderpriority as split, count_if(o_orderstatus = 'F')::bigint as passed, round(count_if(o_orderstatus = 'F') / case o_orderpriority when '1-URGENT' then 2300 when '2-HIGH' then 521 else count_if(o_orderstatus = 'F') end, 6) as rate from orders group by 1")
@@ -271,7 +271,7 @@ def _(t):
 @query("distinct_minus_origin", "select o_custkey, count(distinct s_nationkey) as nations from orders join lineitem on l_orderkey = o_orderkey join supplier on s_suppkey = l_suppkey join customer on c_custkey = o_custkey where s_nationkey <> c_nationkey group by 1")
 def _(t):
     j = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey")).join(t.customer, F.col("c_custkey") == F.col("o_custkey"))
-    return j.where("s_nationkey <> c_nationkey").groupBy("o_custkey").agg(F.count_distinct("s_nationkey").alias("nations"))
+    return agg.elsewhere(j, "o_custkey", "s_nationkey", "c_nationkey", "nations")
 
 
 @query("coverage_set", "select l_orderkey, list_has_all(list(distinct l_returnflag), ['N', 'R']) as ok, case when not list_contains(list(distinct l_returnflag), 'N') then 'N' when not list_contains(list(distinct l_returnflag), 'R') then 'R' end as missing from lineitem group by 1")
@@ -283,9 +283,7 @@ def _(t):
 
 @query("list_thresholds", "select l_orderkey, min(l_quantity) >= 5 as floor_ok, max(l_quantity) <= 45 as cap_ok, avg(l_quantity) <= 25 as mean_ok from lineitem group by 1")
 def _(t):
-    lists = t.lineitem.groupBy("l_orderkey").agg(F.collect_list("l_quantity").alias("q"))
-    mean = F.aggregate("q", F.lit(0.0), lambda s, x: s + x) / F.size("q")
-    return lists.select("l_orderkey", (F.array_min("q") >= 5).alias("floor_ok"), (F.array_max("q") <= 45).alias("cap_ok"), (mean <= 25).alias("mean_ok"))
+    return agg.within_limits(t.lineitem, "l_orderkey", "l_quantity", 5, 45, 25)
 
 
 @query("cv_consistency", "select l_suppkey, round(stddev_pop(l_extendedprice) / avg(l_extendedprice) * 100, 6) as cv, case when stddev_pop(l_extendedprice) / avg(l_extendedprice) * 100 < 20 then 'consistent' when stddev_pop(l_extendedprice) / avg(l_extendedprice) * 100 <= 40 then 'moderate' else 'varied' end as kind from lineitem group by 1")
@@ -310,14 +308,14 @@ def _(t):
 
 @query("interp_quantiles", "select event_type, round(quantile_cont(value, 0.25), 6) as q25, round(quantile_cont(value, 0.75), 6) as q75 from events group by 1")
 def _(t):
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.75)))
-    return t.events.groupBy("event_type").agg(q.alias("q")).select("event_type", r6(F.col("q")[0]).alias("q25"), r6(F.col("q")[1]).alias("q75"))
+    return agg.quantiles(t.events, ["event_type"], "value", [0.25, 0.75]).select("event_type", r6("q25").alias("q25"), r6("q75").alias("q75"))
 
 
 @query("keyword_ratios", "select event_type, round(avg((value > 50)::int), 6) as high, round(avg((value > 50 or user_id % 2 = 0)::int), 6) as either from events group by 1")
 def _(t):
-    hi, even = F.coalesce(F.col("value") > 50, F.lit(False)), F.col("user_id") % 2 == 0
-    return t.events.groupBy("event_type").agg(r6(F.avg(F.when(F.col("value").isNotNull(), hi.cast("int")))).alias("high"), r6(F.avg(F.when(F.col("value").isNotNull() | even, (hi | even).cast("int")))).alias("either"))
+    high = F.col("value") > 50
+    out = agg.ratios(t.events, ["event_type"], {"high": high, "either": high | (F.col("user_id") % 2 == 0)})
+    return out.select("event_type", r6("high").alias("high"), r6("either").alias("either"))
 
 
 @query("keyword_coverage", "with d as (select lang, lower(coalesce(text, '')) as t from documents), c as (select lang, 'common' as \"check\", contains(t, 'the') or contains(t, 'der') as ok from d union all select lang, 'rare', contains(t, 'license') or contains(t, 'idiot') from d) select lang, \"check\", round(avg(ok::int) * 100, 6) as percent, case when avg(ok::int) * 100 >= 50 then 'high' when avg(ok::int) * 100 >= 20 then 'medium' else 'low' end as level from c group by 1, 2")
@@ -358,8 +356,8 @@ def _(t):
 
 @query("grouping_sets_rates", f"with f as ({FLAGS}) select y, round(avg((coalesce(a, true) and coalesce(b, true))::int), 6) as rate, count(*) as rows from f group by grouping sets ((), (y))")
 def _(t):
-    ok = (F.coalesce("a", F.lit(True)) & F.coalesce("b", F.lit(True))).cast("int")
-    return flags(t).rollup("y").agg(r6(F.avg(ok)).alias("rate"), F.count(F.lit(1)).alias("rows"))
+    ok = F.coalesce("a", F.lit(True)) & F.coalesce("b", F.lit(True))
+    return agg.with_total(flags(t), ["y"], {"rate": ok}).withColumn("rate", r6("rate"))
 
 
 @query("line_dedupe", "with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as p from documents where text is not null) select line, count(*) as rows from l where trim(line) <> '' group by 1 order by min((doc_id, p)) limit 5")
@@ -369,7 +367,7 @@ def _(t):
 
 @query("route_max_stops", "select user_id, max(n) - 1 as stops from (select user_id, event_type, count(*) as n from events group by 1, 2) group by 1")
 def _(t):
-    return t.events.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n")).groupBy("user_id").agg((F.max("n") - 1).alias("stops"))
+    return agg.stops(t.events, "user_id", "event_type")
 
 
 @query("weighted_satisfaction", "select o_orderpriority, round(sum(case when o_orderstatus = 'F' then o_orderkey % 11 else 0 end) / nullif(sum(o_orderkey % 11), 0), 6) as satisfaction from orders group by 1")

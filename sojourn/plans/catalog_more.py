@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sojourn.functions import numeric, text
-from sojourn.operators import constraints, groups, leaderboard, personas, preferences, search, windows
+from sojourn.operators import constraints, groups, leaderboard, personas, preferences, prepare, search, windows
 from sojourn.plans.catalog import query, r6
 from sojourn.streaming import resume
 
@@ -561,20 +561,19 @@ def _(t):
 @query("flattened_requests", "select conv_id || '_' || (row_number() over (partition by conv_id order by turn) - 1) as custom_id, turn, count(*) over (partition by conv_id) as n from conversations")
 def _(t):
     lists = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
-    each = lists.select("conv_id", F.posexplode("turns").alias("i", "turn"), F.size("turns").cast("long").alias("n"))
-    return each.select(F.format_string("%d_%d", "conv_id", "i").alias("custom_id"), "turn", "n")
+    return prepare.flattened(lists, "conv_id", "turns").select("custom_id", F.col("item").alias("turn"), "n")
 
 
 @query("regrouped_results", "select conv_id, count_if(length(text) > 300)::bigint as ok, count(*) as n from conversations group by 1")
 def _(t):
-    done = t.conversations.where(F.char_length("text") > 300).select("conv_id", "turn").withColumn("done", F.lit(1))
-    return t.conversations.select("conv_id", "turn").join(done, ["conv_id", "turn"], "left").groupBy("conv_id").agg(F.count("done").alias("ok"), F.count(F.lit(1)).alias("n"))
+    asked = t.conversations.select("conv_id", F.concat_ws("_", "conv_id", "turn").alias("custom_id"))
+    replies = t.conversations.select(F.concat_ws("_", "conv_id", "turn").alias("custom_id"), (F.char_length("text") > 300).alias("success"))
+    return prepare.regrouped(asked, replies, "conv_id").withColumnRenamed("kept", "ok")
 
 
 @query("plan_text", "select l_orderkey, string_agg(l_linenumber || ':' || l_partkey, '; ' order by l_linenumber, l_partkey) as text from lineitem group by 1")
 def _(t):
-    lines = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("x"))
-    return lines.select("l_orderkey", F.array_join(F.transform("x", lambda s: F.concat_ws(":", s["l_linenumber"], s["l_partkey"])), "; ").alias("text"))
+    return prepare.rendered(t.lineitem, "l_orderkey", ["l_linenumber", "l_partkey"], ["l_linenumber", "l_partkey"])
 
 
 @query("cost_within_budget", "select o_orderkey, sum(ceil(l_quantity / 4) * l_extendedprice / 100) <= max(o_totalprice) / 10 as ok from orders join lineitem on l_orderkey = o_orderkey group by 1")
