@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sojourn.functions import numeric, text
 from sojourn.operators import constraints, groups, leaderboard, personas, preferences, prepare, search, windows
-from sojourn.plans.catalog import Tables, query, r6
+from sojourn.plans.catalog import SQL, Tables, query, r6
 from sojourn.plans.preparing import drawn
 from sojourn.sources import tables
 from sojourn.streaming import resume
@@ -337,3 +337,38 @@ def _(t):
 @query("visit_lengths", "select p_partkey, least(45 + floor(p_retailprice / 5), 90)::bigint as minutes from part")
 def _(t):
     return t.part.select("p_partkey", numeric.visit_minutes(F.col("p_retailprice")).alias("minutes"))
+
+
+# SQL of queries that are registered elsewhere
+
+
+def greedy_sql(base: str, group: str, key: str, carried: str, apart: str, worth: str, k: int, cut: int) -> str:
+    """SQL of a choice of k in turn: base (group, key, s and `carried` columns), the distance `apart` of rows {0} and {1}, and what a row
+    is `worth` by its score s and least distance x; groups are cut to their best rows first."""
+    parts = [f"r0 as (select *, null::double as x from ({base}) qualify row_number() over (partition by {group} order by s desc, {key}) <= {cut})"]
+    for i in range(k):
+        value = "s" if i == 0 else worth
+        parts.append(f"c{i} as (select * from r{i} qualify row_number() over (partition by {group} order by {value} desc, s desc, {key}) = 1)")
+        parts.append(f"r{i + 1} as (select a.{group}, a.{key}, a.s, {', '.join(f'a.{c}' for c in carried.split(', '))}, least(coalesce(a.x, 1e9), {apart.format('a', 'b')}) as x from r{i} a join c{i} b using ({group}) where a.{key} <> b.{key})")
+    return f"with {', '.join(parts)} " + " union all ".join(f"select {group}, {key}, {i + 1}::bigint as place from c{i}" for i in range(k))
+
+
+SQL["mmr_select"] = greedy_sql("select label, vec_id, embedding[1]::double as s, embedding::double[] as v from embeddings", "label", "vec_id", "v", "1 - list_cosine_similarity({0}.v, {1}.v)", "0.6 * s - 0.4 * (1 - x)", 5, 500)
+HOT = "list_filter(range(8), lambda i: (c_custkey + i * {}) % 3 = 0)"
+ALIKE = "case when len({0}.{2}) + len({1}.{2}) = 0 then 0.0 else len(list_intersect({0}.{2}, {1}.{2})) / len(list_distinct(list_concat({0}.{2}, {1}.{2}))) end"
+LEVELS = "select c_nationkey, c_custkey, (c_custkey % 4) / 3.0::double as b, case when c_custkey % 5 <= 3 then (c_custkey % 5) / 3.0::double else 0.0 end as n, (c_custkey % 3) / 2.0::double as p, {0} as e, {1} as h".format(HOT.format(2), HOT.format(4))
+FITS = "case abs(c_custkey % 4 - 1) when 0 then 2.5 when 1 then 1.5 when 2 then 0.5 else 0 end::double + case when c_custkey % 5 = 2 then 1.5 else 0.3 end::double + (c_custkey % 3) / 2.0::double * 0.8 + least((len({0}) + len({1})) * 0.15::double, 1.0)".format(HOT.format(2), HOT.format(4))
+SQL["conflict_select"] = greedy_sql(f"{LEVELS}, {FITS} as s from customer", "c_nationkey", "c_custkey", "b, n, p, e, h", "(sqrt(2 * power({0}.b - {1}.b, 2) + power({0}.n - {1}.n, 2) + 3 * power({0}.p - {1}.p, 2)) + 8 * (1 - (" + ALIKE.format("{0}", "{1}", "e") + ")) + 8 * (1 - (" + ALIKE.format("{0}", "{1}", "h") + "))) / sqrt(22.0)", "0.6 * s + 0.4 * x", 4, 40)
+SQL["greedy_trips"] = SQL["greedy_days"].replace("select d.trip, d.day,", "select d.trip, d.trip as city, d.day,")
+SQL["grounded_rows"] = f"with s as (select s_nationkey as city, s_name, s_suppkey, row_number() over (partition by s_nationkey order by s_name, s_suppkey) as i, count(*) over (partition by s_nationkey) as n from supplier) select n_nationkey as plan, 1 as day, city, s_name, s_suppkey from nation join s on city = n_nationkey and i = {drawn(chr(39) + '5' + chr(39), 'n_nationkey', '1')} % n + 1"
+SQL["best_combo"] = """with w as (select s_nationkey as g, s_suppkey as m, 'f.' || (i % 3) || '.' || i as field, (s_suppkey * (i + 1)) % 3 as value, (s_suppkey * 7 + i * 5) % 10 as alpha from supplier, range(5) r(i)), m as (select distinct g, m from w),
+k as (select a.g, a.m as a, b.m as b, c.m as c from m a join m b on a.g = b.g and a.m < b.m join m c on b.g = c.g and b.m < c.m),
+f as (select k.g, a, b, c, field, count_if(alpha >= 9) as h, count(distinct value) filter (alpha >= 9) as hv, count_if(alpha >= 4 and alpha < 9) as n, count(distinct value) filter (alpha >= 4 and alpha < 9) as v, sum(alpha) filter (alpha >= 4 and alpha < 9) as x, sum(alpha * alpha) filter (alpha >= 4 and alpha < 9) as x2 from k join w on w.g = k.g and w.m in (a, b, c) group by 1, 2, 3, 4, 5),
+t as (select *, h >= 2 and hv > 1 as hard, not (h >= 2 and hv > 1) and n >= 2 and v > 1 as soft from f),
+z as (select g, a, b, c, round(count_if(soft) + 2.0 * count(distinct split_part(field, '.', 1)) filter (soft) + 0.5 * sqrt(greatest(sum(x2) filter (soft) / sum(n) filter (soft) - power(sum(x) filter (soft) / sum(n) filter (soft), 2), 0)), 9) as score from t group by 1, 2, 3, 4 having count_if(hard) = 0 and count_if(soft) >= 2)
+select g, arg_max(concat_ws(',', a, b, c), (score, -a, -b, -c)) as members, round(max(score), 6) as score from z group by 1"""
+SQL["persona_conflicts"] = f"with c as ({LEVELS} from customer) select a.c_custkey as a, b.c_custkey as b, round((sqrt(9 * power(a.b - b.b, 2) + 0.25 * power(a.n - b.n, 2) + power(a.b - b.b, 2) + 2.25 * power(a.p - b.p, 2) + 2 * power(a.p - b.p, 2)) + 8 * (1 - ({ALIKE.format('a', 'b', 'e')})) + 8 * (1 - ({ALIKE.format('a', 'b', 'h')}))) / sqrt(9 + 0.25 + 1 + 2.25 + 18), 6) as conflict from c a join c b using (c_nationkey) where a.c_custkey % 50 = 0 and b.c_custkey <> a.c_custkey"
+SQL["select_within_budget"] = """with c as (select s_nationkey as trip, case when s_suppkey % 2 = 0 then 'hotel' else 'meal' end as kind, s_suppkey as item, round(abs(s_acctbal) / 100, 2) as cost, s_suppkey % 20 as preference from supplier),
+p as (select h.trip, h.item as hotel, m.item as meal, 100 * h.preference - 100 * h.cost + 100 * m.preference - 100 * m.cost as value, h.cost + m.cost as cost from c h join c m on h.trip = m.trip and h.kind = 'hotel' and m.kind = 'meal' where h.cost + m.cost <= h.trip * 10.0 + 20),
+b as (select trip, arg_max(hotel, (value, -cost, -hotel, -meal)) as hotel, arg_max(meal, (value, -cost, -hotel, -meal)) as meal from p group by 1)
+select trip, 'hotel' as kind, hotel as item, 'optimal' as status from b union all select trip, 'meal', meal, 'optimal' from b union all select distinct trip, null, null, 'infeasible' from c where trip not in (select trip from b)"""
