@@ -60,7 +60,7 @@ def byte_units(length: int = 400) -> Units:
 
 def word_units(length: int = 51) -> Units:
     """Passages of over 50 words that several documents have."""
-    return Units(length, max(1, length // 3), True, True)
+    return Units(length, max(1, length // 5), True, True)
 
 
 class Words(dict):
@@ -85,7 +85,7 @@ def digest(data: bytes) -> bytes:
 
 
 def scan(docs: DataFrame, units: Units) -> DataFrame:
-    """doc_id, same (digest of the text), n_bytes, sha256, and of each run: gram, content, anchor, lo, hi."""
+    """doc_id, same (digest of the text), n_bytes, sha256 (null for words), and of each run: gram, content, anchor, lo, hi."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds, known = [pa.int64(), pa.binary(), pa.int64(), pa.string(), *[pa.list_(pa.int64())] * 2, *[pa.list_(pa.int32())] * 3], Words()
@@ -97,8 +97,9 @@ def scan(docs: DataFrame, units: Units) -> DataFrame:
                 own, w = units_of(text, units, known), units.width
                 grams, at, lo, hi = anchors.runs(own, units.length, units.gram)
                 raw = own.tobytes()
-                content = np.frombuffer(b"".join(hashlib.blake2b(raw[x * w : (y + units.length) * w], digest_size=8, salt=(z - x).to_bytes(4)).digest() for x, y, z in zip(lo.tolist(), hi.tolist(), at.tolist())), np.int64)
-                rows.append((doc, digest(text), len(text), hashlib.sha256(text).hexdigest(), grams.view(np.int64), content, at.astype(np.int32), lo.astype(np.int32), hi.astype(np.int32)))
+                content = np.fromiter((xxhash.xxh3_64_intdigest(raw[x * w : (y + units.length) * w], z - x) for x, y, z in zip(lo.tolist(), hi.tolist(), at.tolist())), np.uint64, len(lo)).view(np.int64)
+                sha256 = None if units.words else hashlib.sha256(text).hexdigest()
+                rows.append((doc, digest(text), len(text), sha256, grams.view(np.int64), content, at.astype(np.int32), lo.astype(np.int32), hi.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["doc_id", "same", "n_bytes", "sha256", "gram", "content", "anchor", "lo", "hi"])
 
     bound_batches(docs.sparkSession)
