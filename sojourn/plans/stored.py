@@ -372,3 +372,4 @@ SQL["select_within_budget"] = """with c as (select s_nationkey as trip, case whe
 p as (select h.trip, h.item as hotel, m.item as meal, 100 * h.preference - 100 * h.cost + 100 * m.preference - 100 * m.cost as value, h.cost + m.cost as cost from c h join c m on h.trip = m.trip and h.kind = 'hotel' and m.kind = 'meal' where h.cost + m.cost <= h.trip * 10.0 + 20),
 b as (select trip, arg_max(hotel, (value, -cost, -hotel, -meal)) as hotel, arg_max(meal, (value, -cost, -hotel, -meal)) as meal from p group by 1)
 select trip, 'hotel' as kind, hotel as item, 'optimal' as status from b union all select trip, 'meal', meal, 'optimal' from b union all select distinct trip, null, null, 'infeasible' from c where trip not in (select trip from b)"""
+SQL["weighted_pick"] = f"with k as (select s_nationkey, s_suppkey, ln(({drawn(chr(39) + '42' + chr(39), 's_suppkey')} + 1) / 4294967297.0) / (abs(s_acctbal) + 0.1) as x from supplier) select s_nationkey, arg_max(s_suppkey, (x, -s_suppkey)) as s_suppkey from k group by 1"
