@@ -176,10 +176,12 @@ def pick(start: np.ndarray, values: np.ndarray, codes: np.ndarray) -> np.ndarray
 
 
 def assemble(blocks: DataFrame, packed: DataFrame, build: Callable[[dict, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """build(block row, its packed rows) for each block; a block and its answers are bounded by BLOCK_BYTES of text. The chunks of
+    """build(block row, its packed rows) for each block, whose words, if they are among its columns, are an Arrow array; a block and its answers are bounded by BLOCK_BYTES of text. The chunks of
     the tables that it makes go on one by one."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        return pa.concat_tables([build(left.slice(i, 1).to_pylist()[0], right) for i in range(left.num_rows)])
+        rows = left.drop_columns([c for c in ("words",) if c in left.column_names]).to_pylist()
+        words = [w.values for w in left.column("words")] if "words" in left.column_names else [None] * len(rows)
+        return pa.concat_tables([build(row | {"words": w}, right) for row, w in zip(rows, words)])
 
     return blocks.groupBy("block").cogroup(packed.groupBy("block")).applyInArrow(run, schema)

@@ -19,6 +19,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ from sojourn.llm.common import least_hashes, materialize, text_or_empty
 
 HIDDEN, WINDOW, LONGEST, HEADS, SUFFIXES, OTHERS, WORDS = 16, 16, 64, 72, 23, 4, 2000
 #: Tokens of a group that trains a copy.
-GROUP_TOKENS = 4_000_000
+GROUP_TOKENS = 8_000_000
 CLASSES = 1 + HEADS + 2 * (SUFFIXES + OTHERS)
 SHAPES = {"x": (CLASSES, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "v": (HIDDEN, CLASSES), "c": (CLASSES,)}
 CLOSING = ".,;:!?)\"'"
@@ -69,6 +70,19 @@ class Inventory:
     def unit(self, word: str) -> int:
         return self.named.get(word) or self(word)
 
+    def units(self, words: pa.Array) -> np.ndarray:
+        """`unit` of many words at once."""
+        core = pc.utf8_rtrim(words, characters=CLOSING)
+        closed = pc.not_equal(core, words).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = pc.utf8_slice_codeunits(core, start=-2).dictionary_encode()
+        first = np.array([self.ending(e, False) for e in ends.dictionary.to_pylist()], np.int64)
+        out = first[ends.indices.to_numpy(zero_copy_only=False)] + closed if len(words) else np.zeros(0, np.int64)
+        own = {**self.heads, **self.named}
+        at = pc.index_in(words, value_set=pa.array(list(own), pa.string())).to_numpy(zero_copy_only=False)
+        found = ~np.isnan(at.astype(float))
+        out[found] = np.array(list(own.values()), np.int64)[at[found].astype(np.int64)]
+        return out
+
     def members(self, c: int) -> np.ndarray:
         return self.order[self.starts[c] : self.starts[c + 1]]
 
@@ -358,8 +372,8 @@ def coded(blocks: DataFrame, known: Inventory, groups: int) -> DataFrame:
     """group, doc_id, units (16 bits each) of training documents, dealt into groups by a hash of id and units."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in (r for b in batches for r in b.to_pylist()):
-            units = np.fromiter(map(known.unit, row["words"]), "<u2", len(row["words"]))
+        for row, words in ((r, w.values) for b in batches for r, w in zip(b.drop_columns(["words"]).to_pylist(), b.column("words"))):
+            units = known.units(words).astype("<u2")
             parts = np.split(units[dictionary.unpack_codes(row["codes"])], np.cumsum(dictionary.unpack(row["sizes"]))[:-1])
             own = [(doc, u.tobytes()) for doc, u, f in zip(row["doc_ids"], parts, row["flags"]) if f]
             of = [xxhash.xxh3_64_intdigest(u, seed=(doc or 0) % 2**64) % groups for doc, u in own]
@@ -390,7 +404,7 @@ def start(rows: DataFrame, counts: Counts, docs: int, sample_docs: int) -> Param
     return shaped(np.array(found[0].weights), known) if found else {k: np.zeros(s, np.float32) for k, s in shapes(known).items()}
 
 
-def averaged(rows: DataFrame, known: Inventory, p: Params, lanes: int = 512, rate: float = 0.002) -> Params:
+def averaged(rows: DataFrame, known: Inventory, p: Params, lanes: int = 1024, rate: float = 0.002) -> Params:
     """Each group of rows (what `coded` gave) trains a copy on its documents in the order of id and units. The copies' mean by tokens;
     what comes back is as large as the model."""
 
@@ -445,7 +459,7 @@ def score(docs: DataFrame, sample_docs: int = 1500, group_tokens: int = GROUP_TO
     def build(row: dict, found: pa.Table) -> pa.Table:
         sizes, codes = dictionary.unpack(row["sizes"]), dictionary.unpack_codes(row["codes"])
         _, count = dictionary.gathered(found, len(row["words"]))
-        units = np.fromiter(map(known.unit, row["words"]), np.int64, len(row["words"]))
+        units = known.units(row["words"])
         bucket = np.minimum(units, CLASSES - 1)
         below = np.log10(total + 0.1 * (distinct + 1))
         base = np.log10(count + 0.1) - below

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sojourn.llm import lm
@@ -150,3 +151,13 @@ def test_survey_reads_all_training_documents(spark):
     top = sorted(counts, key=lambda w: (-counts[w], w))
     assert list(known.heads) == top[: lm.HEADS] and list(known.named) == top[lm.HEADS : lm.HEADS + lm.WORDS]
     assert set(known.suffixes) == {"aa", "zz"}
+
+
+def test_units_of_many_words_are_those_of_each():
+    rng = np.random.default_rng(6)
+    letters = list("abcé.,)\u2019ßж日") + ["\U0001f600"]
+    words = ["".join(rng.choice(letters, rng.integers(0, 6))) for _ in range(3000)] + ["", ".", "a", "ab", "ab."]
+    known = lm.Inventory(["ab", "é."], ["ab", "жa", "日"], ["abc", "a.", "\U0001f600"])
+    assert known.units(pa.array(words, pa.string())).tolist() == [known.unit(w) for w in words]
+    assert known.units(pa.array([], pa.string())).tolist() == []
+    assert lm.Inventory([], []).units(pa.array(["x", ""])).tolist() == [lm.Inventory([], []).unit(w) for w in ("x", "")]
