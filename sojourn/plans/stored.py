@@ -367,7 +367,7 @@ f as (select k.g, a, b, c, field, count_if(alpha >= 9) as h, count(distinct valu
 t as (select *, h >= 2 and hv > 1 as hard, not (h >= 2 and hv > 1) and n >= 2 and v > 1 as soft from f),
 z as (select g, a, b, c, round(count_if(soft) + 2.0 * count(distinct split_part(field, '.', 1)) filter (soft) + 0.5 * sqrt(greatest(sum(x2) filter (soft) / sum(n) filter (soft) - power(sum(x) filter (soft) / sum(n) filter (soft), 2), 0)), 9) as score from t group by 1, 2, 3, 4 having count_if(hard) = 0 and count_if(soft) >= 2)
 select g, arg_max(concat_ws(',', a, b, c), (score, -a, -b, -c)) as members, round(max(score), 6) as score from z group by 1"""
-SQL["persona_conflicts"] = f"with c as ({LEVELS} from customer) select a.c_custkey as a, b.c_custkey as b, round((sqrt(9 * power(a.b - b.b, 2) + 0.25 * power(a.n - b.n, 2) + power(a.b - b.b, 2) + 2.25 * power(a.p - b.p, 2) + 2 * power(a.p - b.p, 2)) + 8 * (1 - ({ALIKE.format('a', 'b', 'e')})) + 8 * (1 - ({ALIKE.format('a', 'b', 'h')}))) / sqrt(9 + 0.25 + 1 + 2.25 + 18), 6) as conflict from c a join c b using (c_nationkey) where a.c_custkey % 50 = 0 and b.c_custkey <> a.c_custkey"
+SQL["persona_conflicts"] = f"with c as ({LEVELS} from customer) select a.c_custkey as a, b.c_custkey as b, round((sqrt(9 * power(a.b - b.b, 2) + 0.25 * power(a.n - b.n, 2) + power(a.b - b.b, 2) + 2.25 * power(a.p - b.p, 2) + 2 * power(a.p - b.p, 2)) + 8 * (1 - ({ALIKE.format('a', 'b', 'e')})) + 8 * (1 - ({ALIKE.format('a', 'b', 'h')}))) / sqrt(9 + 0.25 + 1 + 2.25 + 18), 6) as conflict from c a join c b using (c_nationkey) where b.c_custkey > a.c_custkey"
 SQL["select_within_budget"] = """with c as (select s_nationkey as trip, case when s_suppkey % 2 = 0 then 'hotel' else 'meal' end as kind, s_suppkey as item, round(abs(s_acctbal) / 100, 2) as cost, s_suppkey % 20 as preference from supplier),
 p as (select h.trip, h.item as hotel, m.item as meal, 100 * h.preference - 100 * h.cost + 100 * m.preference - 100 * m.cost as value, h.cost + m.cost as cost from c h join c m on h.trip = m.trip and h.kind = 'hotel' and m.kind = 'meal' where h.cost + m.cost <= h.trip * 10.0 + 20),
 b as (select trip, arg_max(hotel, (value, -cost, -hotel, -meal)) as hotel, arg_max(meal, (value, -cost, -hotel, -meal)) as meal from p group by 1)
