@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from zlib import crc32
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sojourn.llm import bpe, chat, exact_dedup, lm, media, minhash, mixing, repeats, toxicity, urls
+from sojourn.llm import alignment, bpe, chat, exact_dedup, lm, media, minhash, mixing, packing, repeats, runs, toxicity, urls
 from sojourn.llm.common import table
 
 SQL: dict[str, str] = {}
@@ -80,5 +82,28 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))).drop("offending")
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path
+    return alignment.align(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))[0].drop("groups")
+
+
+def op12_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
+
+
+def planted(doc_id: int | None, n: int) -> np.ndarray | None:
+    """The contract's rearrangement of the words of every tenth document or so, by a hash of its id; none without an id."""
+    if doc_id is None or not n or (h := crc32(str(doc_id).encode())) % 10:
+        return None
+    g = h // 10
+    a = g % n
+    period, at = 1 + (n - a) // (3 + g % 8), np.arange(n)
+    return np.where(at < a, at, a + (at - a) % period)
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.find_runs(table(spark, sf_dir, "documents"), arrange=planted))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}

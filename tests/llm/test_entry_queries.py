@@ -20,6 +20,9 @@ COLUMNS = {
     "op7_repeats": ("documents", "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, passage_words bigint, n_passages bigint"),
     "op8_lm": ("documents", "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"),
     "op9_chat": ("conversations", "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"),
+    "op11_align": ("documents", "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"),
+    "op12_pack": ("documents", "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"),
+    "op13_runs": ("documents", "doc_id bigint, n_runs bigint, start bigint, length bigint, period bigint, exponent_milli bigint, runs_sha256 string, collapsed_sha256 string"),
     "op10_toxicity": ("documents", "doc_id bigint, held_out boolean, score double, predicted int"),
 }
 
@@ -38,6 +41,8 @@ def test_query(spark, name):
         assert len(got) == source.select("conv_id").distinct().count() + 1
         assert fixed.loss_sha256 == hashlib.sha256(text.encode()).hexdigest() and fixed.loss_chars == len(text) and fixed.n_turns == 2
         assert fixed.turns_sha256 == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest()
+    elif name == "op12_pack":
+        assert {r[0] for r in got} == {r[0] for r in source.select("doc_id").collect()}
     else:
         assert sorted(r[0] for r in got) == sorted(r[0] for r in source.select(schema.split()[0]).collect())
     if name in entry.SQL:
