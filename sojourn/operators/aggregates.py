@@ -125,7 +125,7 @@ def aggregate_rules(rules: DataFrame) -> DataFrame:
     """Rules (group, attr, operator, number, items, flag, priority) as one per group, attr and operator: the least of upper bounds, the
     most of lower ones, the weighted mean of equalities, the intersection of allowed lists or, if that is empty, their union with a
     conflict, the union of banned lists, the majority of flags."""
-    both = F.aggregate(F.slice("_lists", 2, 1_000_000), F.get(F.col("_lists"), F.lit(0)), F.array_intersect)
+    both = F.aggregate(F.slice("_lists", F.lit(2), F.size("_lists")), F.get(F.col("_lists"), F.lit(0)), F.array_intersect)
     union = F.array_sort(F.array_distinct(F.flatten("_lists")))
     a = rules.groupBy("group", "attr", "operator").agg(F.min("number").alias("_min"), F.max("number").alias("_max"), weighted_mean(F.col("number"), F.col("priority")).alias("_mean"), F.collect_list("items").alias("_lists"), (F.count_if("flag") * 2 > F.count("flag")).alias("_major"))
     op = F.col("operator")

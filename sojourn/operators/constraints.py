@@ -165,16 +165,6 @@ def meal_gaps(visits: DataFrame, least: float = 4.0) -> DataFrame:
     return result(a, F.coalesce(F.col("gap") >= least, F.lit(True)), F.lit("meals too close"))
 
 
-def stays_in_points(days: DataFrame) -> DataFrame:
-    """points begin and end at the lodging; on a day without one, at the last before."""
-    d = windows.carried(days, ["plan"], ["day"], F.when(filled(F.col("accommodation")), F.col("accommodation")), "lodging")
-    names = text.poi_names(F.col("points"))
-    home = F.coalesce(text.name_city(F.col("lodging"))["name"], F.lit("-"))
-    ok = F.contains(F.try_element_at(names, F.lit(-1)), home) | ~filled(F.col("accommodation"))
-    first = d.withColumn("_ok", F.coalesce(ok, F.lit(True))).groupBy("plan").agg(F.min(F.when(~F.col("_ok"), F.col("day"))).alias("bad"))
-    return result(first, F.col("bad").isNull(), F.format_string("day %s doesn't end at the lodging", "bad"))
-
-
 def flight_margin(legs: DataFrame, least: int = 30) -> DataFrame:
     """legs (plan, edge minutes of the first or last visit, flight minutes): so many minutes apart, whichever comes first."""
     a = legs.groupBy("plan").agg(F.min(F.abs(F.col("edge") - F.col("flight"))).alias("gap"))

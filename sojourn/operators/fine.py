@@ -65,8 +65,8 @@ def poi_sequence(days: DataFrame) -> DataFrame:
     """The points of a day begin and end where the traveller sleeps. On days 3 and 5 of a week, or day 3 of five days, they lead from
     the lodging before to the new one; on other days of such trips their ends are free. Attractions and meals of the day are among
     the points, events are not. Half an hour lies between a flight's arrival and the first point (days 1, 3 of over three and 5 of
-    over five), and between the last point of the last day and the departure."""
-    d = lodgings_in_turn(asked_days(days)).withColumn("_last", F.max("day").over(Window.partitionBy("plan")))
+    over five), and between the last point of the plan's last day and the departure."""
+    d = lodgings_in_turn(asked_days(days.withColumn("_last", F.max("day").over(Window.partitionBy("plan")))))
     points = F.split("points", ";")
     first, last = F.get(points, F.lit(0)), F.try_element_at(points, F.lit(-1))
     day, n, home, inside = F.col("day"), F.col("days"), F.col("home"), lambda x: F.contains("points", x)
@@ -79,7 +79,7 @@ def poi_sequence(days: DataFrame) -> DataFrame:
     arrival, departure = (minutes_of(F.regexp_extract("transportation", rf"{k} Time: ([^,]*)", 1)) for k in ("Arrival", "Departure"))
     lands = (day == 1) | ((n > 3) & (day == 3)) | ((n > 5) & (day == 5))
     faults = [
-        (moves & F.col("before").isNotNull() & ~moved, "doesn't lead from lodging to lodging"),
+        (moves & F.coalesce(F.col("before") != "", F.lit(False)) & ~moved, "doesn't lead from lodging to lodging"),
         (~n.isin(5, 7) & ~sleeps, "ends away from the lodging"),
         (F.exists(items(F.col("event")), lambda x: inside(before_last_comma(x))), "holds an event"),
         (missing("attraction"), "lacks an attraction"),
@@ -90,16 +90,31 @@ def poi_sequence(days: DataFrame) -> DataFrame:
     return first_fault(d, faults, days.select("plan").distinct())
 
 
-def meal_gaps(days: DataFrame, least: float = 4.0) -> DataFrame:
-    """From the end of a meal to the start of the next of the day's meals lie so many hours, where both are among the points."""
-    points = F.split("points", ";")
+def clock(s: Column) -> Column:
+    """Hours of 'h:m'; null if it isn't one."""
+    parts = F.split(s, ":")
+    return F.trim(F.get(parts, F.lit(0))).try_cast("int") + F.trim(F.get(parts, F.lit(1))).try_cast("int") / 60
+
+
+def meal_times(meal: Column, points: Column) -> Column:
+    """struct(from, to), in hours, of the first point with the meal's name; null if none has it, its fields null if they can't be read."""
+    own = F.get(F.filter(F.split(points, ";"), lambda p: F.contains(p, before_last_comma(meal)) & ~p.isin("", "-")), F.lit(0))
+    parts = F.split(F.coalesce(F.get(F.split(own, "from"), F.lit(1)), F.lit("")), "to")
+    return F.when((meal != "-") & own.isNotNull(), F.struct(clock(F.get(parts, F.lit(0))).alias("from"), clock(F.substring_index(F.get(parts, F.lit(1)), ",", 1)).alias("to")))
+
 
-    def at(meal: str, pattern: str) -> Column:
-        own = F.get(F.filter(points, lambda p: F.contains(p, before_last_comma(F.col(meal))) & filled(p)), F.lit(0))
-        return F.when(F.col(meal) != "-", minutes_of(F.regexp_extract(own, pattern, 1)))
+def meals_apart(meals: list[Column], points: Column, least: float) -> tuple[list[Column], list[Column]]:
+    """Whether each meal's time is there but can't be read, and whether each meal but the first starts too soon after the one before."""
+    times = [meal_times(m, points) for m in meals]
+    unread = [F.coalesce(t.isNotNull() & (t["from"].isNull() | t["to"].isNull()), F.lit(False)) for t in times]
+    return unread, [F.coalesce(b["from"] - a["to"] < least, F.lit(False)) for a, b in zip(times, times[1:])]
 
-    start, end = ({m: at(m, p) for m in MEALS} for p in (r"from\s*(\d{1,2}:\d{2})", r"to\s*(\d{1,2}:\d{2})"))
-    faults = [(F.coalesce(start[b] - end[a] < least * 60, F.lit(False)), f"{a} and {b} too close") for a, b in zip(MEALS, MEALS[1:])]
+
+def meal_gaps(days: DataFrame, least: float = 4.0) -> DataFrame:
+    """From the end of a meal to the start of the next of the day's meals lie so many hours, where both are among the points; a meal
+    among the points whose time can't be read fails the plan."""
+    unread, close = meals_apart([F.col(m) for m in MEALS], F.col("points"), least)
+    faults = [*((bad, f"no time of {m}") for m, bad in zip(MEALS, unread)), *((bad, f"{a} and {b} too close") for a, b, bad in zip(MEALS, MEALS[1:], close))]
     return first_fault(asked_days(days), faults, days.select("plan").distinct())
 
 
@@ -116,22 +131,38 @@ def named_slots(days: DataFrame) -> DataFrame:
     return rows.select("plan", "day", "kind", before_last_comma(F.col("v")).alias("_n"), after_last_comma(F.col("v")).alias("city"))
 
 
+def stop_places(days: DataFrame) -> DataFrame:
+    """days with `lies`, the cities where a day's points may lie: on days of moving (3 of 5; 3 and 5 of 7) either end of the last leg so
+    far, on the last of 3, 5 or 7 days the city that it leaves, else the city that was named last; null for trips of other lengths."""
+    turn = Window.partitionBy("plan").orderBy("day")
+    at, own, move = text.from_to(F.col("current_city")), text.from_to(F.col("transportation")), F.lower("transportation")
+    plain = lambda c: F.trim(text.before_parenthesis(c))
+    end = lambda c: F.when(move.contains("flight number"), F.coalesce(plain(at[c]), own[c])).when(move.rlike("self-driving|taxi"), F.coalesce(plain(at[c]), F.lit("-"))).otherwise(at[c])
+    leg = F.last(F.when(filled(F.col("transportation")), F.array(end("origin"), end("destination"))), ignorenulls=True).over(turn)
+    one = lambda c: F.when(filled(F.col(c)), F.array(c)).otherwise(F.array().cast("array<string>"))
+    named = F.concat(*map(one, MEALS), items(F.col("attraction")), items(F.col("event")), one("accommodation"))
+    city = F.last(after_last_comma(F.try_element_at(named, F.lit(-1))), ignorenulls=True).over(turn)
+    leaves = F.trim(F.substring_index(F.substring_index("current_city", "from ", -1), " to ", 1))
+    n, day = F.col("days"), F.col("day")
+    moving = ((n == 5) & (day == 3)) | ((n == 7) & day.isin(3, 5))
+    lies = F.when(moving, leg).when(day == n, F.array(leaves)).otherwise(F.array(city))
+    return days.withColumn("lies", F.when(n.isin(3, 5, 7), F.coalesce(F.array_compact(lies), F.array().cast("array<string>"))))
+
+
 def stated_stops(days: DataFrame) -> DataFrame:
-    """plan, day, days, poi, stop_name, distance, cities (where the point may lie) of points with 'nearest transit: stop, 120m away'."""
+    """plan, day, poi, stop_name, distance (null without a comma), lies of points with 'nearest transit: stop, 120m away'."""
     p = F.explode(F.filter(items(F.col("points")), lambda x: x.contains("nearest transit:")))
-    rows = days.select("plan", "day", "days", "current_city", p.alias("p"))
+    rows = stop_places(days).select("plan", "day", "lies", p.alias("p"))
     info = F.trim(F.element_at(F.split("p", "nearest transit:"), 2))
     head = F.trim(F.regexp_replace(F.trim(F.element_at(F.split("p", "nearest transit:"), 1)), r".$", ""))
-    ft = text.from_to(F.col("current_city"))
-    here = F.when(ft["origin"].isNull(), F.array("current_city")).when(F.col("day") == F.col("days"), F.array(ft["origin"])).otherwise(F.array(ft["origin"], ft["destination"]))
     far = F.coalesce(F.trim(F.substring_index(after_last_comma(info), "m", 1)).try_cast("double"), F.lit(0.0))
-    return rows.select("plan", "day", before_last_comma(head).alias("poi"), before_last_comma(info).alias("stop_name"), F.when(info.contains(","), far).alias("distance"), F.transform(here, lambda c: F.trim(text.before_parenthesis(c))).alias("cities"))
+    return rows.select("plan", "day", "lies", before_last_comma(head).alias("poi"), before_last_comma(info).alias("stop_name"), F.when(info.contains(","), far).alias("distance"))
 
 
 def within_sandbox(days: DataFrame, entities: DataFrame, flights: DataFrame, distances: DataFrame, stops: DataFrame, tolerance: float = 5.0) -> DataFrame:
     """entities (kind: restaurant, attraction, accommodation, event; name, city), flights (flight_number, origin, dest), distances
     (origin, destination, km), stops (poi, city, stop, stop_distance): names are found within their city, flights by number and
-    cities, cars and taxis by a known distance, stops by point, city, name and a distance within the tolerance."""
+    cities, cars and taxis by a known distance, stops by point, city (see stop_places), name and a distance within the tolerance."""
     d = asked_days(days)
     named = named_slots(d)
     found = lookup.containing(named, entities, ["kind", "city"], "name", "_n").select("plan", "day", "kind", "_n", "city").distinct()
@@ -145,8 +176,11 @@ def within_sandbox(days: DataFrame, entities: DataFrame, flights: DataFrame, dis
     known = distances.where("km is not null").select(F.col("origin").alias("a"), F.col("destination").alias("b"))
     far = drives.join(known, ["a", "b"], "left_anti").select("plan", "day", F.lit("ground").alias("kind"))
     said = stated_stops(d)
-    each = said.withColumn("city", F.explode("cities")).join(stops, ["poi", "city"]).where(F.contains("stop", "stop_name") & (F.abs(F.col("stop_distance") - F.col("distance")) <= tolerance))
-    odd = said.drop("cities").join(each.select("plan", "day", "poi", "stop_name", "distance").distinct(), ["plan", "day", "poi", "stop_name", "distance"], "left_anti").select("plan", "day", F.lit("stop").alias("kind"))
+    asked = said.where("lies is not null and distance is not null")
+    near = F.contains("stop", "stop_name") & (F.abs(F.col("stop_distance") - F.col("distance")) <= tolerance)
+    met = asked.withColumn("city", F.explode("lies")).join(stops, ["poi", "city"]).where(near).select("plan", "day", "poi", "stop_name", "distance").distinct()
+    odd = asked.drop("lies").join(met, ["plan", "day", "poi", "stop_name", "distance"], "left_anti").unionByName(said.where("distance is null").drop("lies"))
+    odd = odd.select("plan", "day", F.lit("stop").alias("kind"))
     bad = lost.unionByName(gone).unionByName(far).unionByName(odd).groupBy("plan").agg(F.min(F.struct("day", "kind")).alias("b"))
     return result(days.select("plan").distinct().join(bad, "plan", "left"), F.col("b").isNull(), F.format_string("day %s: unknown %s", F.col("b.day"), F.col("b.kind")))
 

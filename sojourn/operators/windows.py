@@ -28,7 +28,7 @@ def first_repeat(df: DataFrame, group: list[str], order: list[str], value: str,
 
 
 def sequence_ok(cities: Column) -> Column:
-    """Whether a route is valid: three stops at least, no stop visited again but the first as the last, no stop between them of a
+    """Whether a route is valid: three stops at least, no stop visited again but by the last entry alone, no stop between the ends of a
     single entry. Runs are found by folding; cities is the list of entries."""
     runs_ = F.aggregate(
         cities,
@@ -40,7 +40,9 @@ def sequence_ok(cities: Column) -> Column:
     ends_apart = F.size(F.array_intersect(inner, F.array(F.try_element_at(names, F.lit(1)), F.try_element_at(names, F.lit(-1))))) == 0
     distinct = F.size(F.array_distinct(inner)) == F.size(inner)
     middle = F.slice(runs_, F.lit(2), F.greatest(F.size(runs_) - 2, F.lit(0)))
-    return F.when(F.size(cities) < 3, False).otherwise(distinct & ends_apart & F.forall(middle, lambda r: r["n"] > 1))
+    last = F.try_element_at(runs_, F.lit(-1))
+    stays_again = (last["n"] > 1) & F.array_contains(F.slice(names, F.lit(1), F.greatest(F.size(names) - 1, F.lit(0))), last["city"])
+    return F.when(F.size(cities) < 3, False).otherwise(distinct & ends_apart & ~F.coalesce(stays_again, F.lit(False)) & F.forall(middle, lambda r: r["n"] > 1))
 
 
 def closed_loop(cities: Column) -> Column:

@@ -26,7 +26,7 @@ TEXTS = {
     "attraction": f"case when k % 19 = 0 then '-' else concat('A', {SIGHT}, ', c', {AWAY}, ';A', k % 3, ', c', {AWAY}) end",
     "accommodation": f"case when day = n and k % 3 > 0 then '-' else concat('L', (plan + {SPARE}) % 5, ', c', {AWAY}) end",
     "event": f"case when k % 5 = 0 then concat('E', {EVENT}, ', c', {AWAY}) else '-' end",
-    "points": f"concat('L', plan % 5, ', stay from 08:00 to 08:30;R', k % 11, ', visit from 09:00 to 1', case when k % 41 = 0 then 1 else 0 end, ':00', case when k % 4 = 0 then concat(', nearest transit: Stop', k % 5, ', ', (k % 9) * 50 + 20 * {SPARE}, 'm away') else '' end, ';A', {SIGHT}, ', visit from 12:00 to 13:00;A', k % 3, ', visit from 13:30 to 14:00;R', {LUNCH}, ', visit from 14:30 to 15:00;R', (k + 5) % 10, ', visit from 19:30 to 20:00', case when k % 37 = 0 then ';E1, visit from 20:00 to 21:00' else '' end, ';L', (plan + {SPARE}) % 5, ', stay from 21:00 to 22:00')",
+    "points": f"concat('L', plan % 5, ', stay from 08:00 to 08:30;R', k % 11, ', visit from ', case when k % 53 = 0 then 'nine to ten' when k % 41 = 0 then '09:00 to 11:00' else '09:00 to 10:00' end, case when k % 4 = 0 then concat(', nearest transit: Stop', k % 5, ', ', (k % 9) * 50 + 20 * {SPARE}, 'm away') else '' end, ';A', {SIGHT}, ', visit from 12:00 to 13:00;A', k % 3, ', visit from 13:30 to 14:00;R', {LUNCH}, ', visit from 14:30 to 15:00;R', (k + 5) % 10, ', visit from 19:30 to 20:00', case when k % 37 = 0 then ';E1, visit from 20:00 to 21:00' else '' end, ';L', (plan + {SPARE}) % 5, ', stay from 21:00 to 22:00')",
 }
 ASKED = {"org": "concat('c', plan % 5)", "dest": "case when plan % 3 = 0 then 's0' else 's1' end", "visiting_city_number": "1 + cast(plan % 7 = 0 as int)", "people_number": "1 + plan % 5", "budget": "1000.0 + plan * 37 % 9000", "house_rule": "case plan % 4 when 0 then 'smoking' when 1 then 'pets' when 2 then 'visitors' end", "room_type": "case plan % 3 when 0 then 'shared room' when 1 then 'not shared room' end", "ban": "case plan % 5 when 0 then 'no flight' when 1 then 'no self-driving' end"}
 
@@ -92,7 +92,7 @@ ISLANDS = "i as (select plan, g, city, count(*) as m from (select *, sum(fresh)
 STATE = "case when {} in ('c0', 'c1', 'c2') then 's0' else 's1' end"
 
 
-@query("visiting_city_constraint", f"with {D}, {Q}, {CITIES}, {ISLANDS}, bad as (select w.plan from w join q using (plan) where first <> org or first <> last or entries < 3 union select plan from i join w using (plan) where g > 1 and g < top and (m = 1 or city = first or city = last) union select plan from i join w using (plan) where g > 1 and g < top group by plan having count(*) <> count(distinct city) union select plan from (select *, row_number() over (partition by plan order by day, i) as r, count(*) over (partition by plan) as t from c) join q using (plan) where days > 3 and r > 1 and r < t and city <> org and {STATE.format('city')} <> dest) select p.plan, p.plan not in (from bad) as ok from {PLANS}")
+@query("visiting_city_constraint", f"with {D}, {Q}, {CITIES}, {ISLANDS}, bad as (select w.plan from w join q using (plan) where first <> org or first <> last or entries < 3 union select plan from i join w using (plan) where g > 1 and g < top and (m = 1 or city = first or city = last) union select plan from i join w using (plan) where g > 1 and g < top group by plan having count(*) <> count(distinct city) union select a.plan from i a join w using (plan) join i b using (plan) where a.g = top and a.m > 1 and b.g < top and b.city = a.city union select plan from (select *, row_number() over (partition by plan order by day, i) as r, count(*) over (partition by plan) as t from c) join q using (plan) where days > 3 and r > 1 and r < t and city <> org and {STATE.format('city')} <> dest) select p.plan, p.plan not in (from bad) as ok from {PLANS}")
 def _(t):
     states = t.nation.where("n_nationkey < 5").selectExpr("concat('c', n_nationkey) as city", "case when n_nationkey < 3 then 's0' else 's1' end as state")
     return constraints.reasonable_cities(days(t), asked(t), states).select("plan", "ok")
@@ -121,7 +121,10 @@ def _(t):
 AT = "case when current_city like 'from%' then substr(current_city, 6, 2) else concat('c', plan % 5) end"
 TO = "case when current_city like 'from%' then right(current_city, 2) else concat('c', (plan + 1) % 5) end"
 EVENTS = f"select plan from d where event <> '-' and not exists (select 1 from e where e.kind = 'event' and e.city = concat('c', {AWAY}) and contains(e.name, concat('E', {EVENT})))"
-STOPS = f"select plan from d where k % 4 = 0 and not exists (select 1 from part where p_partkey % 11 = k % 11 and abs((p_partkey % 9) * 50 + 3 - ((k % 9) * 50 + 20 * {SPARE})) <= 5 and (concat('c', p_partkey % 5) = case when current_city like 'from%' then substr(current_city, 6, 2) else current_city end or (day <> n and current_city like 'from%' and concat('c', p_partkey % 5) = right(current_city, 2))))"
+CARRIED = ", ".join(f"last_value(case when transportation <> '-' then case when current_city like 'from%' then {at} when contains(transportation, 'Flight') then {own} else '-' end end ignore nulls) over (partition by plan order by day) as {name}" for name, at, own in (("a", "substr(current_city, 6, 2)", "concat('c', plan % 5)"), ("b", "right(current_city, 2)", f"concat('c', {AWAY})")))
+MOVING = "((n = 5 and day = 3) or (n = 7 and day in (3, 5)))"
+LIES = f"case when {MOVING} then a when day <> n then concat('c', {AWAY}) when current_city like 'from%' then substr(current_city, 6, 2) else current_city end, case when {MOVING} then b else '' end"
+STOPS = f"select plan from (select *, {CARRIED} from d) d where k % 4 = 0 and n in (3, 5, 7) and not exists (select 1 from part where p_partkey % 11 = k % 11 and abs((p_partkey % 9) * 50 + 3 - ((k % 9) * 50 + 20 * {SPARE})) <= 5 and concat('c', p_partkey % 5) in ({LIES}))"
 
 
 @query("fine_sandbox_constraint", verdict(f"{MISSING} union {EVENTS} union {STOPS} union select plan from d where contains(transportation, 'Flight Number') and (concat('F', {FLIGHT}), {AT}, {TO}) not in (select (flight_number, origin, dest) from f) union select plan from d where {LEG} and (not current_city like 'from%' or (substr(current_city, 6, 2), right(current_city, 2)) not in (select (origin, destination) from g))", D, S, KNOWN, F_SQL, KM))
@@ -164,7 +167,7 @@ TIMED = f"t as (select *, string_split(points, ';') as x from d), u as (select *
 HOURS = ", ".join(f"60 * try_cast(regexp_extract({c}, '{p}\\s*(\\d+):(\\d+)', 1) as int) + try_cast(regexp_extract({c}, '{p}\\s*(\\d+):(\\d+)', 2) as int) as {c}_{p}" for c in "ble" for p in ("from", "to"))
 
 
-@query("meal_gap_constraint", verdict("select plan from h where (breakfast <> '-' and l_from - b_to < 240) or (dinner not in ('', '-') and e_from - l_to < 240) or (dinner = '' and 480 - l_to < 240)", D, TIMED.format(HOURS)))
+@query("meal_gap_constraint", verdict("select plan from h where (breakfast <> '-' and (b_from is null or b_to is null or l_from - b_to < 240)) or (dinner not in ('', '-') and e_from - l_to < 240) or (dinner = '' and 480 - l_to < 240)", D, TIMED.format(HOURS)))
 def _(t):
     return fine.meal_gaps(days(t)).select("plan", "ok")
 
@@ -178,7 +181,7 @@ def _(t):
     return fine.poi_sequence(days(t)).select("plan", "ok")
 
 
-@query("city_sequences", f"with {D}, {CITIES}, {ISLANDS}, bad as (select plan from w where entries < 3 union select plan from i join w using (plan) where g > 1 and g < top and (m = 1 or city = first or city = last) union select plan from i join w using (plan) where g > 1 and g < top group by plan having count(*) <> count(distinct city)) select p.plan, p.plan not in (from bad) as ok from {PLANS}")
+@query("city_sequences", f"with {D}, {CITIES}, {ISLANDS}, bad as (select plan from w where entries < 3 union select plan from i join w using (plan) where g > 1 and g < top and (m = 1 or city = first or city = last) union select plan from i join w using (plan) where g > 1 and g < top group by plan having count(*) <> count(distinct city) union select a.plan from i a join w using (plan) join i b using (plan) where a.g = top and a.m > 1 and b.g < top and b.city = a.city) select p.plan, p.plan not in (from bad) as ok from {PLANS}")
 def _(t):
     return constraints.day_cities(days(t)).select("plan", windows.sequence_ok(F.col("cities")).alias("ok"))
 

@@ -62,7 +62,6 @@ def test_sandbox_and_presence(spark, days, queries):
     assert got[1].ok and not got[2].ok and "restaurant" in got[2].reason
     assert ok(c.not_absent(days, queries)) == {1: True, 2: False}
     assert ok(c.minimum_nights(days, lodgings(spark))) == {1: True, 2: False}
-    assert ok(c.stays_in_points(days)) == {1: True, 2: False}
 
 
 def test_wishes(spark, days, queries):
