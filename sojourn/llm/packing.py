@@ -11,7 +11,9 @@ is one.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,16 +22,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from sojourn.llm.bpe import byte_letters
 from sojourn.llm.common import bound_batches, materialize, text_or_empty
 
-#: Words of a task whose ids are remembered; then it forgets them all.
-KNOWN = 300_000
+#: Words and parts of a task whose ids are remembered; then it forgets them all.
+KNOWN = 500_000
 SHARD_PIECES = 100_000
 
 
+#: Words of ASCII and Latin letters, whose lower case and normal form are the same everywhere; the vocabulary's rule for splitting them.
+PLAIN = re.compile("[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+", re.ASCII)
+
+
+class PartIds(dict):
+    """Ids of a word's parts, from the vocabulary's model alone."""
+
+    def __init__(self, tokenizer: Tokenizer) -> None:
+        super().__init__()
+        self.model, self.letters = tokenizer.model, {b: c for c, b in byte_letters().items()}
+
+    def __missing__(self, part: str) -> bytes:
+        found = self.model.tokenize(part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.letters))
+        ids = self[part] = array("I", [t.id for t in found]).tobytes()
+        return ids
+
+
 class WordIds(dict):
     """Ids of words between ASCII white space, as 32-bit little-endian bytes, encoded once. The vocabulary drops white space and no rule of
-    its own goes on over it, so words give the ids of the text."""
+    its own goes on over it, so words give the ids of the text. Plain words are cut into parts here; others go through the library whole."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -37,22 +58,30 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-
-    def add(self, words: list[bytes]) -> None:
-        for i in range(0, len(words), 1000):
-            part = words[i : i + 1000]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)):
-                self[w] = np.array(e.ids, "<u4").tobytes()
+        self.parts, self.marks = PartIds(self.tokenizer), [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def whole(self, word: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode()
+        if word.isascii() or PLAIN.fullmatch(text):
+            parts = self.parts
+            ids = b"".join([parts[p] for p in PARTS.findall(text.lower())])
+        else:
+            ids = self.whole(word)
+        if len(word) <= 100:
+            self[word] = ids
+        return ids
 
     def of(self, text: bytes) -> bytes:
+        if len(self) + len(self.parts) > KNOWN:
+            self.clear()
+            self.parts.clear()
         words = text.split()
-        try:
-            return b"".join([self[w] for w in words])
-        except KeyError:
-            if len(self) > KNOWN:
-                self.clear()
-            self.add([w for w in dict.fromkeys(words) if w not in self])
-            return b"".join([self[w] for w in words])
+        if any(m in text for m in self.marks):
+            self.update({w: self.whole(w) for w in set(words) if any(m in w for m in self.marks)})
+        return b"".join([self[w] for w in words])
 
 
 PIECES = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "ids": pa.list_(pa.int32())}

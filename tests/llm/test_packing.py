@@ -44,8 +44,8 @@ def check(docs, rows, most=4096, closing=1):
 
 def odd_texts():
     rnd = random.Random(3)
-    parts = ["\n", "  ", "a b", "\t", "\r\n", "\x0b\x85 ", "　z", "é€\U0001f600", "<|endoftext|>", "<|startoftext|> x", "\x1c", "\x1f!", "don't", "I'LL", "1234", "日本語", "!!", "\x00", "ß", "Σ ΑΣ ΟΔΟΣ", "İ", "́ ", "Å", "ﬁ", "‍", "the", " of"]
-    return [None, "", " ", "word " * 20_000, "x" * 9_000, "Ab, c! " * 6000] + ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 60))) for _ in range(150)]
+    parts = ["\n", "  ", "a b", "\t", "\r\n", "\x0b\x85 ", "　z", "é€\U0001f600", "<|endoftext|>", "<|startoftext|> x", "\x1c", "\x1f!", "don't", "I'LL", "1234", "日本語", "!!", "\x00", "ß", "Σ ΑΣ ΟΔΟΣ", "İ", "́ ", "Å", "ﬁ", "‍", "the", " of", "Ça", "ÉTÉ", "naïve", "Straße", "ÿÿ×÷µ", "'S", "we'LL'd", "<|", "|>", "a1b2!"]
+    return [None, "", " ", "word " * 20_000, "x" * 9_000, "Ab, c! " * 6000] + ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 60))) for _ in range(300)]
 
 
 @pytest.mark.parametrize(("most", "shard"), [(4096, 100_000), (64, 40)])
