@@ -3,7 +3,7 @@
 Both token sequences spell the same bytes. The transducer's state is the side that is ahead and its bytes that the other side hasn't
 spelt yet; the next token always comes from the side behind, and a group closes whenever no bytes are left over. Transitions by
 state and token are remembered. Neither vocabulary has a token that goes on over the start of white space before a word, so texts
-are aligned by such words: each distinct word of a block of documents once.
+are aligned by such words: each distinct word of a block of documents once, and each part of words once (see Words).
 
 How often an id pair ends together over all documents needs one grouping by pair. Where two tokens end together one is a suffix of the
 other, so there are at most as many pairs as the two vocabularies' tokens have bytes (some half a million for 50,000 and 32,000 tokens):
@@ -12,10 +12,13 @@ that table, and no more, goes to all tasks.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,66 +29,71 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sojourn.llm.bpe import byte_letters
+from sojourn.llm.bpe import PATTERN, RARE, byte_letters
 from sojourn.llm.common import bound_batches, byte_view, materialize, slices, text_or_empty
 from sojourn.llm.dictionary import pack, unpack, unpack_codes
 
 BLOCK_BYTES = 8 << 20
-#: Words of a task that are remembered from block to block; then it forgets them all.
-KNOWN = 100_000
+#: Parts of words of a task that are remembered from block to block; then it forgets them all.
+KNOWN = 400_000
 #: White space before a word, and the word; a space or line feed ends it, other white space doesn't. Spaces at the text's end go with the last word.
 WORDS = regex.compile(r"\s*\S+(?:[^\S ]\s*\S+)*(?:\s+\Z)?|\s+")
 #: Code points that are white space to some libraries only: a text with them is one word.
 ODD = regex.compile("[\x1c-\x1f\x85\u180e\u200b\u2060\ufeff]")
+SPLIT = regex.compile(PATTERN).findall
 PAIR = 1 << 20
 
 
 class Transducer:
-    """States are numbered from 0 (nothing left over); `ahead` tells which side's bytes `left` holds."""
+    """States are numbered from 0 (nothing left over); `ahead` tells which side's bytes `left` holds, and next[state] remembers the
+    states after tokens: -1 if a token's bytes contradict those left over."""
 
     def __init__(self, a: list[bytes], b: list[bytes], most: int = 1 << 20) -> None:
         self.tokens, self.most = (a, b), most
         self.clear()
 
     def clear(self) -> None:
-        self.ahead, self.left = [1], [b""]
+        self.ahead, self.left, self.next, self.size = [1], [b""], [{}], 0
         self.number = {(1, b""): 0}
-        self.memo: dict[int, int] = {}
 
     def step(self, state: int, token: int) -> int:
-        """The state after the next token of the side behind; -1 if its bytes contradict those left over."""
+        """The state after the next token of the side behind."""
         ahead, left = self.ahead[state], self.left[state]
         new = self.tokens[1 - ahead][token]
         short, long_ = sorted((left, new), key=len)
-        if not long_.startswith(short):
-            return -1
-        rest = long_[len(short) :]
-        key = (1, b"") if not rest else (ahead if long_ is left else 1 - ahead, rest)
-        if key not in self.number:
-            self.number[key] = len(self.left)
-            self.ahead.append(key[0])
-            self.left.append(key[1])
-        return self.number[key]
+        found = -1
+        if long_.startswith(short):
+            rest = long_[len(short) :]
+            key = (1, b"") if not rest else (ahead if long_ is left else 1 - ahead, rest)
+            found = self.number.setdefault(key, len(self.left))
+            if found == len(self.left):
+                self.ahead.append(key[0])
+                self.left.append(rest)
+                self.next.append({})
+        self.next[state][token] = found
+        self.size += 1
+        return found
 
     def cuts(self, a: list[int], b: list[int]) -> list[tuple[int, int]] | None:
         """Tokens of either side up to the end of each group; None if the two sides spell different bytes."""
-        if len(self.memo) > self.most:
+        if self.size > self.most:
             self.clear()
-        memo, ahead, sides, at, out, state = self.memo, self.ahead, (a, b), [0, 0], [], 0
-        while at[0] < len(a) or at[1] < len(b):
-            side = 1 - ahead[state]
-            if at[side] == len(sides[side]):
-                return None
-            token = sides[side][at[side]]
-            at[side] += 1
-            key = state * PAIR + token
-            state = memo.get(key, -2)
-            if state == -2:
-                state = memo[key] = self.step(key // PAIR, token)
-            if state < 0:
-                return None
+        following, ahead, n, m, i, j, out, state = self.next, self.ahead, len(a), len(b), 0, 0, [], 0
+        while i < n or j < m:
+            if ahead[state]:
+                if i == n:
+                    return None
+                token, i = a[i], i + 1
+            else:
+                if j == m:
+                    return None
+                token, j = b[j], j + 1
+            after = following[state].get(token)
+            state = self.step(state, token) if after is None else after
             if not state:
-                out.append((at[0], at[1]))
+                out.append((i, j))
+            elif state < 0:
+                return None
         return None if state else out
 
 
@@ -99,15 +107,20 @@ def _sides(a_path: str, b_path: str) -> tuple:
     pieces = [b.id_to_piece(i) for i in range(b.get_piece_size())]
     if max(len(left), len(pieces)) > PAIR:
         raise ValueError("a vocabulary has more ids than a pair's code can hold")
+    if not set(letters) <= set(names.values()):
+        raise ValueError("the byte-level vocabulary lacks a byte")
     if any(regex.search("[^▁]▁", p) for p in pieces):
         raise ValueError("a piece goes on over a space: texts can't be aligned word by word")
     right = [bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-    return a, b, left, right
+    joined = {p[i : i + 2] for p in (p.replace("▁", " ") for i, p in enumerate(pieces) if not b.is_byte(i)) for i in range(len(p) - 1)}
+    if any("\n" in p for p in joined):
+        raise ValueError("a piece has a line feed: parts of words can't be encoded apart")
+    return a, b, left, right, joined
 
 
 def pair_bound(a_path: str, b_path: str) -> int:
     """More pairs than this can't end together: one token of a pair is a suffix of the other."""
-    _, _, left, right = _sides(a_path, b_path)
+    _, _, left, right, _ = _sides(a_path, b_path)
     tails: dict[bytes, int] = {}
     for t in right:
         tails[t] = tails.get(t, 0) + 1
@@ -118,35 +131,80 @@ def pair_bound(a_path: str, b_path: str) -> int:
 
 
 class Words:
-    """Aligned words of a task: groups as text, tokens of either side, codes of the pairs that end together; None where the bytes differ."""
+    """Aligned words of a task: groups as text, numbers of tokens of either side, codes of the pairs that end together (64-bit integers
+    as bytes); None where the bytes differ.
+
+    A word is cut into parts where the first vocabulary splits and no piece of the second has the two characters next to each other:
+    neither has a token over such a place. Parts are encoded and aligned once."""
 
     def __init__(self, a_path: str, b_path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.a, self.b, self.left, self.right = _sides(a_path, b_path)
-        self.transducer = Transducer(self.left, self.right)
+        self.a, self.b, self.left, self.right, self.joined = _sides(a_path, b_path)
+        self.transducer, self.model, self.split = Transducer(self.left, self.right), self.a.model, self.a.pre_tokenizer
+        self.letters = {b: c for c, b in byte_letters().items()}
+        self.space = self.letters[32]
+        self.names = [[str(i) for i in range(len(side))] for side in (self.left, self.right)]
         self.known: dict[str, tuple | None] = {}
+        self.parts: dict[str, tuple | None] = {}
+
+    def cut(self, word: str) -> list[tuple[str, list[str]]]:
+        """The parts of a word, each with how the first vocabulary splits it."""
+        split = SPLIT(word) if word.isascii() or not RARE.search(word) else [word[a:b] for _, (a, b) in self.split.pre_tokenize_str(word)]
+        if len(split) == 1 or "▁" in word:
+            return [(word, split)]
+        out, begin = [], 0
+        for k in range(1, len(split)):
+            if split[k - 1][-1] + split[k][0] not in self.joined:
+                out.append(("".join(split[begin:k]), split[begin:k]))
+                begin = k
+        return [*out, ("".join(split[begin:]), split[begin:])]
+
+    def first_ids(self, split: list[str]) -> list[int]:
+        ids = []
+        for s in split:
+            spelt = s.replace(" ", self.space) if s.isascii() and s.isprintable() else s.encode().decode("latin-1").translate(self.letters)
+            ids += [t.id for t in self.model.tokenize(spelt)]
+        return ids
 
     def add(self, words: list[str]) -> None:
-        """Encode and align words that aren't known yet; each begins with a space, which the second side adds itself."""
-        for i in range(0, len(words), 1000):
-            part = words[i : i + 1000]
-            left = self.a.encode_batch(part, add_special_tokens=False)
-            right = self.b.encode([w[1:] for w in part], num_threads=1)
-            for w, x, y in zip(part, left, right):
-                self.known[w] = self.aligned(w, x.ids, y)
-
-    def aligned(self, word: str, a: list[int], b: list[int]) -> tuple | None:
-        cuts = self.transducer.cuts(a, b) if b"".join([self.left[i] for i in a]) == word.encode() else None
+        """Encode and align words that aren't known yet."""
+        parts, todo, cut = self.parts, {}, []
+        for w in words:
+            own = self.cut(w)
+            cut.append(own)
+            for k, split in own:
+                if k not in parts:
+                    todo[k] = split
+        items = iter(todo.items())
+        while own := list(islice(items, 1000)):
+            # the model adds a space in front: it is the part's own, or a line feed, which no piece has, keeps it apart
+            plain = [k[0] == " " and k != " " for k, _ in own]
+            other = self.b.encode([k[1:] if p else "\n" + k for (k, _), p in zip(own, plain)], num_threads=1)
+            for (k, split), p, ids in zip(own, plain, other):
+                parts[k] = self.aligned(self.first_ids(split), ids if p else ids[2:])
+        for w, own in zip(words, cut):
+            if len(own) == 1:
+                self.known[w] = parts[w]
+                continue
+            found = [parts[k] for k, _ in own]
+            self.known[w] = None if None in found else (";".join([e[0] for e in found]), sum([e[1] for e in found]), sum([e[2] for e in found]), b"".join([e[3] for e in found]))
+
+    def aligned(self, a: list[int], b: list[int]) -> tuple | None:
+        """Groups of a part; the first vocabulary has all bytes, so it always spells the text, and the other side has to agree."""
+        cuts = self.transducer.cuts(a, b)
         if cuts is None:
             return None
-        ids, other = list(map(str, a)), list(map(str, b))
-        spans = zip([(0, 0), *cuts], cuts)
-        groups = ";".join([f"{','.join(ids[i:k])}|{','.join(other[j:m])}" for (i, j), (k, m) in spans])
-        return groups, len(a), len(b), [a[k - 1] * PAIR + b[m - 1] for k, m in cuts]
+        names, other = self.names
+        ids, more, groups, i, j = [names[x] for x in a], [other[x] for x in b], [], 0, 0
+        for k, m in cuts:
+            groups.append(f"{','.join(ids[i:k])}|{','.join(more[j:m])}")
+            i, j = k, m
+        return ";".join(groups), len(a), len(b), array("q", [a[k - 1] * PAIR + b[m - 1] for k, m in cuts]).tobytes()
 
     def forget(self) -> None:
-        if len(self.known) > KNOWN:
-            self.known.clear()
+        self.known.clear()
+        if len(self.parts) > KNOWN:
+            self.parts.clear()
 
 
 def words_of(text: str) -> list[str]:
@@ -167,34 +225,40 @@ class Block:
     def __init__(self, number: int, words: Words, keep: bool) -> None:
         self.number, self.words, self.keep, self.size = number, words, keep, 0
         self.code: dict[str, int] = {}
-        self.entries: list[tuple | None] = []
+        self.entries: list[tuple] = []
+        self.texts: list[str] = []
+        self.broken: set[int] = set()
         self.ids, self.codes, self.digests, self.groups = [], [], [], []
 
     def add(self, doc: int | None, text: str, size: int) -> None:
-        own = words_of(text) if text else []
-        fresh = [w for w in dict.fromkeys(own) if w not in self.code]
-        self.words.add([w for w in fresh if w not in self.words.known])
-        for w in fresh:
-            self.code[w] = len(self.entries)
-            self.entries.append(self.words.known[w])
-        codes = [self.code[w] for w in own]
-        found = [self.entries[c] for c in codes]
-        if not codes or None in found:
-            codes, groups = [], ""
-        else:
-            groups = ";".join([e[0] for e in found])
+        own, code = words_of(text) if text else [], self.code
+        fresh = [w for w in dict.fromkeys(own) if w not in code]
+        if fresh:
+            known = self.words.known
+            self.words.add([w for w in fresh if w not in known])
+            for w in fresh:
+                code[w] = len(self.entries)
+                entry = known[w]
+                if entry is None:
+                    self.broken.add(len(self.entries))
+                self.entries.append(entry or ("", 0, 0, b""))
+                self.texts.append(self.entries[-1][0])
+        codes = [code[w] for w in own]
+        if not self.broken.isdisjoint(codes):
+            codes = []
+        texts = self.texts
+        groups = ";".join([texts[c] for c in codes])
         self.ids.append(doc)
-        self.codes.append(np.array(codes, np.int64))
+        self.codes.append(np.array(codes, np.int32))
         self.digests.append(hashlib.sha256(groups.encode()).hexdigest() if codes else "")
         self.groups.append(groups if self.keep else None)
         self.size += size
 
     def row(self) -> pa.RecordBatch:
-        entries = [e or ("", 0, 0, []) for e in self.entries]
-        links = [p for e in entries for p in e[3]]
-        pairs, links = np.unique(np.array(links, np.int64), return_inverse=True)
+        entries = self.entries
+        pairs, links = np.unique(np.frombuffer(b"".join([e[3] for e in entries]), np.int64), return_inverse=True)
         sizes, codes = np.array([len(c) for c in self.codes]), np.concatenate(self.codes)
-        ends = np.fromiter((len(e[3]) for e in entries), np.int64, len(entries))
+        ends = np.fromiter((len(e[3]) // 8 for e in entries), np.int64, len(entries))
         often = np.repeat(np.bincount(codes, minlength=len(entries)), ends)
         counts = np.bincount(links, often, minlength=len(pairs)).astype(np.int64)
         a, b = (np.fromiter((e[k] for e in entries), np.int64, len(entries)) for k in (1, 2))
@@ -204,6 +268,7 @@ class Block:
 
 def _blocks(docs: DataFrame, a_path: str, b_path: str, keep: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # millions of small tuples, and no cycles among them
         words = Words(a_path, b_path)
         block = Block(TaskContext.get().partitionId() << 32, words, keep)
         for batch in batches:
@@ -218,6 +283,7 @@ def _blocks(docs: DataFrame, a_path: str, b_path: str, keep: bool) -> DataFrame:
                     block.add(doc, text, size)
         if block.ids:
             yield block.row()
+        gc.enable()
 
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
