@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sojourn.operators.steps import kept
+
 
 def unpivoted(df: DataFrame, keys: list[str], checks: list[str]) -> DataFrame:
     """keys, check, ok: one row per check, null where it doesn't apply."""
@@ -70,15 +73,50 @@ def covers(got: Column, wanted: Column) -> Column:
     return F.when(F.size(wanted) > 0, F.struct((F.size(left) == 0).alias("ok"), F.get(left, F.lit(0)).alias("missing")))
 
 
+def values_at(df: DataFrame, group: list[str], value: str, places: Callable[[Column], dict[str, Column]], few: int = 100_000, cuts: int = 256, passes: int = 8) -> DataFrame:
+    """group, name, at: of each group the value at each place from 0 in ascending order; places(n) names them by the group's n rows.
+
+    A pass cuts what is open of a group into `cuts` ranges of about as many rows, by a sketch that is merged over tasks; the range of
+    the place and those beside it stay open, if an exact count of what lies below and within confirms that it is there. When what is
+    open has at most `few` different values, or after so many passes, they are put in order by their counts. Nulls don't count; ties are exact."""
+    rows = kept(df.where(F.col(value).isNotNull()).select(*group, F.col(value).alias("_v")), "values")
+    kind = dict(rows.dtypes)["_v"]
+    whole = rows.groupBy(*group).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    named = F.explode(F.array(*(F.struct(F.lit(k).alias("name"), p.cast("long").alias("p")) for k, p in places(F.col("_n")).items())))
+    state = whole.select(*group, "_lo", "_hi", "_n", named.alias("_t")).select(*group, "_t.name", "_t.p", "_lo", "_hi", F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_open"))
+    state = kept(state, "places")
+    open_rows = lambda s: rows.join(s, group).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+    wide = (F.col("_open") > few) & (F.col("_lo") < F.col("_hi"))
+    shares = F.array(*(F.lit(i / cuts) for i in range(cuts + 1)))
+    for _ in range(passes):
+        if state.where(wide).isEmpty():
+            break
+        sketch = open_rows(state.where(wide)).groupBy(*group, "name").agg(F.percentile_approx("_v", shares, F.lit(20 * cuts)).alias("_q"))
+        at = F.floor((F.col("p") - F.col("_below")) * cuts / F.col("_open")).cast("int")
+        pick = lambda i: F.get("_q", F.greatest(F.lit(0), F.least(F.lit(cuts), i)))
+        asked = state.where(wide).join(sketch, [*group, "name"]).withColumn("_a", pick(at - 1).cast(kind)).withColumn("_z", pick(at + 2).cast(kind)).drop("_q")
+        asked = kept(asked, "brackets")
+        counts = open_rows(asked).groupBy(*group, "name").agg(F.count_if(F.col("_v") < F.col("_a")).alias("_under"), F.count_if(F.col("_v").between(F.col("_a"), F.col("_z"))).alias("_in"))
+        inside = F.col("p").between(F.col("_below") + F.col("_under"), F.col("_below") + F.col("_under") + F.col("_in") - 1)
+        moved = asked.join(counts, [*group, "name"]).select(*group, "name", "p", *(F.when(inside, a).otherwise(b).alias(c) for c, a, b in (("_lo", F.col("_a"), F.col("_lo")), ("_hi", F.col("_z"), F.col("_hi")), ("_below", F.col("_below") + F.col("_under"), F.col("_below")), ("_open", F.col("_in"), F.col("_open")))))
+        state = kept(moved.unionByName(state.where(~wide)), "places")
+    counts = open_rows(state).groupBy(*group, "name", "p", "_below", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.col("_below") + F.sum("_c").over(Window.partitionBy(*group, "name").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return counts.withColumn("_to", upto).where((F.col("p") < F.col("_to")) & (F.col("p") >= F.col("_to") - F.col("_c"))).select(*group, "name", F.col("_v").alias("at"))
+
+
+def _spread_out(found: DataFrame, group: list[str], names: list[str]) -> DataFrame:
+    return found.groupBy(*group).agg(*(F.max(F.when(F.col("name") == n, F.col("at"))).alias(n) for n in names))
+
+
 def nearest_rank(df: DataFrame, group: list[str], value: str, shares: list[float]) -> DataFrame:
-    """Quantiles that are values: the one at place round(share * (n - 1)), half to even, in order."""
-    each = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))  # a group's distinct values with counts
-    w = Window.partitionBy(*(group or [F.lit(0)]))
-    upto = F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    placed = each.withColumn("_to", upto).withColumn("_n", F.sum("_c").over(w))
-    at = lambda p: F.bround(F.lit(p) * (F.col("_n") - 1))
-    cols = [F.max(F.when((at(p) < F.col("_to")) & (at(p) >= F.col("_to") - F.col("_c")), F.col(value))).alias(f"q{int(p * 100)}") for p in shares]
-    return placed.groupBy(*group).agg(F.min("_n").alias("n"), (F.sum(F.col(value) * F.col("_c")) / F.sum("_c")).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), *cols)
+    """Quantiles that are values: the one at place round(share * (n - 1)), half to even, in order; without group, one row."""
+    if not group:
+        return nearest_rank(df.withColumn("_all", F.lit(0)), ["_all"], value, shares).drop("_all")
+    names = [f"q{int(p * 100)}" for p in shares]
+    found = values_at(df, group, value, lambda n: {k: F.bround(F.lit(p) * (n - 1)) for k, p in zip(names, shares)})
+    rest = df.where(F.col(value).isNotNull()).groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"))
+    return rest.join(_spread_out(found, group, names), group).select(*group, "n", "mean", "least", "most", *names)
 
 
 def variation(df: DataFrame, group: list[str], value: str) -> DataFrame:
@@ -176,9 +214,16 @@ def within_limits(df: DataFrame, key: str, value: str, least: float, most: float
 
 
 def quantiles(df: DataFrame, group: list[str], value: str, shares: list[float]) -> DataFrame:
-    """Quantiles between values, by linear interpolation."""
-    q = df.groupBy(*group).agg(F.percentile(value, F.array(*map(F.lit, shares))).alias("_q"))
-    return q.select(*group, *(F.col("_q")[i].alias(f"q{int(p * 100)}") for i, p in enumerate(shares)))
+    """Quantiles between values, by linear interpolation; without group, one row."""
+    if not group:
+        return quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, shares).drop("_all")
+    names = [f"q{int(p * 100)}" for p in shares]
+    places = lambda n: {f"{k}_{e}": f(F.lit(p) * (n - 1)) for k, p in zip(names, shares) for e, f in (("a", F.floor), ("b", F.ceil))}
+    found = _spread_out(values_at(df, group, value, places), group, [f"{k}_{e}" for k in names for e in "ab"])
+    sizes = df.where(F.col(value).isNotNull()).groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    wide = found.join(sizes, group)
+    part = lambda p: F.lit(p) * (F.col("_n") - 1) - F.floor(F.lit(p) * (F.col("_n") - 1))
+    return wide.select(*group, *((F.col(f"{k}_a") + part(p) * (F.col(f"{k}_b") - F.col(f"{k}_a"))).alias(k) for k, p in zip(names, shares)))
 
 
 def ratios(df: DataFrame, group: list[str], conditions: dict[str, Column]) -> DataFrame:

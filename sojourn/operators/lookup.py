@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sojourn.operators import windows
+from sojourn.operators.steps import kept
 
 from sojourn.functions import text
 
@@ -64,9 +65,24 @@ def unknown(facts: DataFrame, dim: DataFrame, on: list[str]) -> DataFrame:
     return facts.join(dim.select(*on), on, "left_anti")
 
 
-def containing(left: DataFrame, right: DataFrame, on: list[str], text_column: str, name: str) -> DataFrame:
-    """Equal in `on`, and the text has the name in it: hashed on the first, filtered on the second."""
-    return left.join(right, on).where(F.contains(F.col(text_column), F.col(name)))
+def _grams(c: Column, sizes: list[int]) -> Column:
+    """All different runs of so many letters, and the empty one."""
+    runs = lambda n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array(F.lit("")), *map(runs, sizes)))
+
+
+def containing(left: DataFrame, right: DataFrame, on: list[str], text_column: str, name: str, q: int = 3) -> DataFrame:
+    """Equal in `on`, and right's text has left's name in it. Texts are indexed by their runs of q letters (a shorter name's own length);
+    each different name looks among the texts of its rarest run, so the texts of a hot key are split by runs and few of them are
+    compared. Names with a run that no text has match nothing. Empty names match every text of their key."""
+    names = left.select(*on, F.col(name).alias("_name")).where(F.col("_name").isNotNull()).distinct()
+    each = names.withColumn("_gram", F.explode(F.when(F.length("_name") < q, F.array("_name")).otherwise(F.array_remove(_grams(F.col("_name"), [q]), ""))))
+    texts = right.withColumn("_gram", F.explode(_grams(F.col(text_column), list(range(1, q + 1)))))
+    often = texts.groupBy(*on, "_gram").agg(F.count(F.lit(1)).alias("_often"))
+    found = each.join(often, [*on, "_gram"], "left").groupBy(*on, "_name").agg(F.min_by("_gram", "_often").alias("_gram"), F.count_if(F.col("_often").isNull()).alias("_lost")).where("_lost = 0").drop("_lost")
+    looked = left.withColumn("_name", F.col(name)).join(found, [*on, "_name"])
+    met = looked.join(texts, [*on, "_gram"]).where(F.contains(F.col(text_column), F.col(name)))
+    return met.drop("_gram", "_name")
 
 
 def holding(texts: DataFrame, passages: DataFrame, text_column: str, passage: str, words: int = 8) -> DataFrame:
@@ -87,7 +103,12 @@ def holding(texts: DataFrame, passages: DataFrame, text_column: str, passage: st
 
 
 def within_band(left: DataFrame, right: DataFrame, on: list[str], a: Column, b: Column, tolerance: float) -> DataFrame:
-    return left.join(right, on).where(F.abs(a - b) <= tolerance)
+    """Equal in `on`, and a of left within the tolerance of b of right. Values meet by bands twice as wide as the tolerance, each of left's
+    also in the two beside its own, so rows that are compared are near each other; nulls meet nothing."""
+    width = F.lit(2.0 * tolerance if tolerance > 0 else 1.0)
+    own = left.withColumn("_a", a).withColumn("_band", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: F.floor(F.col("_a") / width) + i)))
+    other = right.withColumn("_b", b).withColumn("_band", F.floor(F.col("_b") / width))
+    return own.join(other, [*on, "_band"]).where(F.abs(F.col("_a") - F.col("_b")) <= tolerance).drop("_a", "_b", "_band")
 
 
 def either_key(facts: DataFrame, dim: DataFrame, first: str, second: str, key: str, value: str) -> DataFrame:
@@ -122,6 +143,48 @@ def least_distance(points: DataFrame, group: str, key: str, distance) -> DataFra
     return points.join(other, (F.col(group) == F.col("_g")) & (F.col(key) < F.col(f"other_{key}"))).groupBy(group).agg(F.min(distance).alias("least"))
 
 
+def nearest_pair(points: DataFrame, group: str, key: str, coordinates: list[str], crowd: int = 32, part_rows: int = 10_000) -> DataFrame:
+    """group, least: the least straight distance of two points of a group, null for groups of one point. Points with a null coordinate
+    aren't looked at.
+
+    Neighbours along the coordinates give a first bound, which is the side of a grid's cells: nearer points lie in the same cell or in
+    one beside it. While a cell holds more than `crowd` points, the least distance is smaller than its side by what so many points can
+    keep apart, or by their neighbours, and the grid is made finer; then points are compared with those of the cells around them."""
+    n = len(coordinates)
+    rows = points.select(group, key, *(F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(coordinates)))
+    axes = [f"_c{i}" for i in range(n)]
+    for c in axes:
+        rows = rows.where(F.col(c).isNotNull())
+    rows = rows.join(rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n")), group)
+    rows = kept(rows.withColumn("_part", F.pmod(F.xxhash64(key), F.ceil(F.col("_n") / part_rows))), "points")
+    apart = lambda a, b: F.sqrt(sum((F.pow(x - y, F.lit(2)) for x, y in zip(a, b)), F.lit(0.0)))
+
+    def neighbours(table: DataFrame, by: list[str]) -> DataFrame:
+        w = Window.partitionBy(group, *by).orderBy(*axes, key)
+        return table.withColumn("_d", apart([F.col(c) for c in axes], [F.lag(c).over(w) for c in axes]))
+
+    bound = kept(neighbours(rows, ["_part"]).groupBy(group).agg(F.min("_d").alias("_b")), "bounds")
+    cells = [F.floor(F.col(c) / (F.col("_b") * 1.000001)).alias(f"_g{i}") for i, c in enumerate(axes)]
+    names = [f"_g{i}" for i in range(n)]
+    while True:
+        placed = rows.join(bound.where("_b > 0"), group).select(group, key, *axes, "_b", *cells)
+        full = placed.groupBy(group, *names).agg(F.count(F.lit(1)).alias("_m"), F.min("_b").alias("_b")).where(F.col("_m") > crowd)
+        full = kept(full, "crowded")
+        if full.isEmpty():
+            break
+        most = F.col("_b") * 1.000001 * (n**0.5) / (F.ceil(F.pow(F.col("_m"), F.lit(1.0 / n)) - 1e-9) - 1)
+        inside = neighbours(placed.drop("_b").join(full.withColumn("_most", most), [group, *names]), names)
+        finer = inside.groupBy(group).agg(F.least(F.min("_most"), F.min("_d")).alias("_f"))
+        bound = kept(bound.join(finer, group, "left").select(group, F.least("_b", F.coalesce("_f", "_b")).alias("_b")), "bounds")
+    around = placed
+    for g in names:
+        around = around.withColumn(g, F.explode(F.array(F.col(g) - 1, F.col(g), F.col(g) + 1)))
+    other = placed.select(group, *names, F.col(key).alias("_k"), *(F.col(c).alias(f"{c}o") for c in axes))
+    near = around.join(other, [group, *names]).where(F.col(key) < F.col("_k"))
+    least = near.groupBy(group).agg(F.min(apart([F.col(c) for c in axes], [F.col(f"{c}o") for c in axes])).alias("_l"))
+    return bound.join(least, group, "left").select(group, F.when(F.col("_l").isNull(), F.col("_b")).otherwise(F.least("_l", "_b")).alias("least"))
+
+
 def combinations(members: DataFrame, group: str, key: str, k: int) -> DataFrame:
     """Every k members of a group, their keys ascending in an array; groups must be small."""
     out = members.select(group, F.array(key).alias("members"))

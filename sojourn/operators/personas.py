@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sojourn.functions import numeric
+from sojourn.operators.greedy import chosen_in_turn
 from sojourn.operators.prepare import draw
 
 #: The places of a vector. 0-2 are hard, 3-5 behaviour, 6-13 experiences, 14-21 scenery.
@@ -87,28 +86,13 @@ def weighted_pick(df: DataFrame, group: list[str], weight: str, key: str, seed:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("_k"), key))).where("_n = 1").drop("_n", "_k")
 
 
-def in_passes(pool: DataFrame, group: str, key: str, score: str, vectors: str, k: int, value: Callable, apart: Callable) -> DataFrame:
-    """k of each group in order, each of the highest value(score, least distance to those chosen); the first of the highest score. One
-    pass over the groups for each choice, by windows that spill, so no group is held in memory."""
-    w = Window.partitionBy(group)
-    rows = pool.select(group, key, F.col(score).cast("double").alias("_s"), F.col(vectors).alias("_v"), F.lit(None).cast("long").alias("place"), F.lit(None).cast("double").alias("_x"))
-    for i in range(1, k + 1):
-        worth = F.col("_s") if i == 1 else value(F.col("_s"), F.col("_x"))
-        best = F.min_by(F.struct(F.col(key).alias("k"), F.col("_v").alias("v")), F.when(F.col("place").isNull(), F.struct(-worth, F.col(key)))).over(w)
-        far = apart(F.col("_v"), F.col("_b.v"))
-        rows = rows.withColumn("_b", best)
-        rows = rows.withColumn("place", F.when(F.col("place").isNull() & (F.col(key) == F.col("_b.k")), F.lit(i).cast("long")).otherwise(F.col("place")))
-        rows = rows.withColumn("_x", F.least(F.coalesce("_x", far), far)).drop("_b")
-    return rows.where("place is not null").select(group, key, "place")
-
-
 def opponents(pool: DataFrame, group: str, key: str, score: str, vectors: str, w: list[float], k: int, balance: float = 0.6, candidates: int | None = None) -> DataFrame:
     """k of each group in order: first the best, then, again and again, that of the highest
     balance * score + (1 - balance) * least conflict with those chosen. Groups are cut to their best `candidates` (10 k) before; 0
-    cuts none, and then the choice is made in passes over whole groups, which may be of any size."""
+    cuts none, and then whole groups, of any size, are chosen from in parts (see greedy)."""
     if candidates == 0:
         far = F.array(*(F.lit(float(x)) for x in w))
-        return in_passes(pool, group, key, score, vectors, k, lambda s, least: balance * s + (1 - balance) * least, lambda a, b: conflict(a, b, far))
+        return chosen_in_turn(pool, group, key, score, vectors, k, lambda s, least: balance * s + (1 - balance) * least, lambda a, b: conflict(a, b, far))
     cut = top(pool.select(group, key, score, vectors), [group], score, key, candidates or 10 * k)
     weight = np.array(w)
     most = max(1e-6, float(np.sqrt((weight**2).sum())))
@@ -142,7 +126,7 @@ def spread(pool: DataFrame, group: str, key: str, score: str, vectors: str, k: i
     """As `opponents`, by balance * score - (1 - balance) * greatest cosine similarity with those chosen. Groups are cut to
     their best `candidates` before: 500, or k if that is more, as the original preselects; 0 cuts none, as in `opponents`."""
     if candidates == 0:
-        return in_passes(pool, group, key, score, vectors, k, lambda s, least: balance * s - (1 - balance) * (1 - least), numeric.cosine_distance)
+        return chosen_in_turn(pool, group, key, score, vectors, k, lambda s, least: balance * s - (1 - balance) * (1 - least), numeric.cosine_distance)
     cut = top(pool.select(group, key, score, vectors), [group], score, key, candidates or max(500, k))
 
     def select(rows: pd.DataFrame) -> pd.DataFrame:

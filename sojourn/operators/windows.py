@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sojourn.operators.steps import kept
+
 
 def runs(df: DataFrame, group: list[str], order: list[str], value: str) -> DataFrame:
     """Runs of equal values: group, run, value, length."""
@@ -87,58 +89,15 @@ def first_round(df: DataFrame, group: list[str], ok: Column) -> DataFrame:
     return df.where(ok).groupBy(*group).agg(F.min("round").alias("round"))
 
 
-def bounded_sample(df: DataFrame, keys: list[Column], share: float, most: int) -> list:
-    """At most `most` rows of keys; which ones doesn't matter to results, only to how evenly work is dealt."""
-    return df.select(*(k.alias(f"k{i}") for i, k in enumerate(keys))).sample(share, 7).limit(most).distinct().collect()
-
-
-def global_rank(df: DataFrame, keys: list[tuple[Column, bool]], name: str = "rank", ranges: int = 32) -> DataFrame:
-    """Ordinals from 1 over all rows by keys (column, whether descending), nulls last: rows are dealt into ranges between sampled
-    bounds, ranked within each, and moved by the sizes of the ranges before. Rows of equal keys share a range; keys should tell rows
-    apart."""
-    columns = [k for k, _ in keys]
-    rows = df.count()
-    found = bounded_sample(df, columns, min(1.0, 64 * ranges / max(rows, 1)), 128 * ranges) if rows > 10_000 else []
-
-    def after(bound: list) -> Column:
-        """Whether a row lies at or after the bound."""
-        out = F.lit(True)
-        for (c, down), b in reversed(list(zip(keys, bound))):
-            if b is None:
-                out = c.isNull() & out
-            else:
-                more = c < F.lit(b) if down else c > F.lit(b)
-                out = c.isNull() | more | ((c == F.lit(b)) & out)
-        return out
-
-    def place(row: list) -> tuple:
-        return tuple((v is None, _Reversed(v) if down and v is not None else v) for v, (_, down) in zip(row, keys))
-
-    bounds = sorted((list(r) for r in found), key=place)
-    step = max(1, len(bounds) // ranges)
-    part = sum((after(b).cast("int") for b in bounds[step::step]), F.lit(0))
+def global_rank(df: DataFrame, keys: list[tuple[Column, bool]], name: str = "rank", range_rows: int = 1_000_000, ranges: int = 32) -> DataFrame:
+    """Ordinals from 1 over all rows by keys (column, whether descending), nulls last: rows are dealt by Spark into ranges of some
+    `range_rows` (or `ranges` of them, if that is more), written once, ranked within each, and moved by the sizes of the ranges before. Rows of
+    equal keys share a range; keys should tell rows apart."""
     order = [k.desc_nulls_last() if down else k.asc_nulls_last() for k, down in keys]
-    dealt = df.withColumn("_part", part)
-    sizes = {r["_part"]: r["count"] for r in dealt.groupBy("_part").count().collect()}
-    starts, total = {}, 0
-    for p in sorted(sizes):
-        starts[p], total = total, total + sizes[p]
-    offset = F.create_map(*(F.lit(x) for p, n in starts.items() for x in (p, n)))[F.col("_part")] if starts else F.lit(0)
-    return dealt.withColumn(name, (F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + offset).cast("long")).drop("_part")
-
-
-class _Reversed:
-    """Orders values the other way round."""
-
-    def __init__(self, value) -> None:
-        self.value = value
-
-    def __lt__(self, other: "_Reversed") -> bool:
-        return other.value < self.value
-
-    def __eq__(self, other: object) -> bool:
-        return isinstance(other, _Reversed) and other.value == self.value
-
-
-def ranked(df: DataFrame, order: list, name: str = "rank", group: list[str] | None = None) -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*(group or [F.lit(0)])).orderBy(*order)).cast("long"))
+    rows = kept(df, "rows")
+    parts = max(ranges, -(-rows.count() // range_rows))
+    dealt = kept(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    starts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_c")).select("_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return dealt.withColumn(name, own).join(starts, "_part").withColumn(name, (F.col(name) + F.col("_start")).cast("long")).select(*(c for c in df.columns if c != name), name)

@@ -1,11 +1,14 @@
-"""Searches over customers' trips: exact itineraries."""
+"""Searches: exact itineraries, the best combinations of members, nearest points, and groups that a leader and opponents make."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sojourn.operators import itineraries
-from sojourn.plans.catalog import Tables, query
+from sojourn.operators import groups, itineraries, lookup, retrieval
+from sojourn.plans import stored
+from sojourn.plans.catalog import Tables, query, r6
+from sojourn.plans.catalog_more import travellers
+from sojourn.plans.preparing import drawn
 
 KINDS = ["outbound", "return", "hotel", "origin_restaurant", "restaurant", "attraction", "hotel", "return"]
 KIND = "case l_partkey % 8 " + " ".join(f"when {i} then '{k}'" for i, k in enumerate(KINDS)) + " end"
@@ -54,3 +57,43 @@ def _(t: Tables):
     rows = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).selectExpr(*(f"{v} as {k}" for k, v in CANDIDATE.items()))
     trips = rows.groupBy("trip").agg(F.count_if(F.col("kind") == "restaurant").alias("restaurants"), F.count_if(F.col("kind") == "attraction").alias("sights")).selectExpr("trip", *(f"{v} as {k}" for k, v in TRIP.items()))
     return itineraries.itineraries(rows, trips).select("trip", "status", "worth").distinct()
+
+
+CHOSEN = "select s_suppkey % 4 as g, s_suppkey as m, 'f' || (i % 3) || '.' || i as field, (s_suppkey * (i + 1)) % 3 as value, case when (s_suppkey + i) % 11 = 0 then 9 else 4 + (s_suppkey * 7 + i) % 5 end as alpha from supplier, range(4) r(i)"
+
+
+@query("exact_combinations", f"with w as ({CHOSEN}), m as (select distinct g, m from w), k as (select a.g, a.m as a, b.m as b, c.m as c from m a join m b on a.g = b.g and a.m < b.m join m c on b.g = c.g and b.m < c.m), f as (select k.g, a, b, c, field, count_if(alpha >= 9) as h, count(distinct value) filter (alpha >= 9) as hv, count_if(alpha < 9) as n, count(distinct value) filter (alpha < 9) as v, sum(alpha) filter (alpha < 9) as x, sum(alpha * alpha) filter (alpha < 9) as x2 from k join w on w.g = k.g and w.m in (a, b, c) group by 1, 2, 3, 4, 5), t as (select *, h >= 2 and hv > 1 as hard, not (h >= 2 and hv > 1) and n >= 2 and v > 1 as soft from f), z as (select g, a, b, c, round(count_if(soft) + 2.0 * count(distinct split_part(field, '.', 1)) filter (soft) + 0.5 * sqrt(greatest(sum(x2) filter (soft) / sum(n) filter (soft) - power(sum(x) filter (soft) / sum(n) filter (soft), 2), 0)), 9) as score from t group by 1, 2, 3, 4 having count_if(hard) = 0 and count_if(soft) >= 2) select g, round(max(score), 6) as score from z group by 1")
+def _(t: Tables):
+    k = F.col("s_suppkey")
+    rows = t.supplier.select((k % 4).alias("g"), k.alias("m"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i"))
+    alpha = F.when((F.col("m") + F.col("i")) % 11 == 0, 9).otherwise(4 + (F.col("m") * 7 + F.col("i")) % 5)
+    wishes = rows.select("g", "m", F.concat(F.lit("f"), F.col("i") % 3, F.lit("."), "i").alias("field"), ((F.col("m") * (F.col("i") + 1)) % 3).alias("value"), alpha.alias("alpha"))
+    return groups.best_combination(wishes, "g", "m", 3, exact=True).select("g", r6("score").alias("score"))
+
+
+@query("nearest_points", "select a.c_nationkey, round(min(sqrt(power(a.c_acctbal - b.c_acctbal, 2) + power((a.c_custkey - b.c_custkey) * 10.0, 2))), 6) as least from customer a join customer b on a.c_nationkey = b.c_nationkey and a.c_custkey < b.c_custkey group by 1")
+def _(t: Tables):
+    points = t.customer.select("c_nationkey", "c_custkey", "c_acctbal", (F.col("c_custkey") * 10.0).alias("y"))
+    return lookup.nearest_pair(points, "c_nationkey", "c_custkey", ["c_acctbal", "y"]).where("least is not null").select("c_nationkey", r6("least").alias("least"))
+
+
+LEADER = f"arg_max({{0}}, (ln(({drawn(chr(39) + '42' + chr(39), 'c_custkey')} + 1) / 4294967297.0) / (s + 0.1), -c_custkey))"
+DISTANCE = "(sqrt(power({0}.b - {1}.b, 2) + power({0}.n - {1}.n, 2) + power({0}.b - {1}.b, 2) + 2 * power({0}.p - {1}.p, 2) + power({0}.p - {1}.p, 2)) + 8 * (1 - (" + stored.ALIKE.format("{0}", "{1}", "e") + ")) + 8 * (1 - (" + stored.ALIKE.format("{0}", "{1}", "h") + "))) / sqrt(22.0)"
+
+
+def led_groups(cut: int, k: int) -> str:
+    """SQL of groups of k: the best `cut` by fit, a leader drawn by weight among ten, and others in turn."""
+    own = "c_nationkey, c_custkey, b, n, p, e, h, s"
+    out = [f"r0 as (select * from ({stored.LEVELS}, {stored.FITS} as s from customer) qualify row_number() over (partition by c_nationkey order by s desc, c_custkey) <= {cut})", "ten as (select * from r0 qualify row_number() over (partition by c_nationkey order by s desc, c_custkey) <= 10)", f"c0 as (select * from r0 where (c_nationkey, c_custkey) in (select (c_nationkey, {LEADER.format('c_custkey')}) from ten group by c_nationkey))"]
+    for i in range(1, k):
+        before = "(select *, 1e9 as x from r0)" if i == 1 else f"r{i - 1}"
+        out.append(f"r{i} as (select {', '.join(f'a.{c}' for c in own.split(', '))}, least(a.x, {DISTANCE.format('a', 'z')}) as x from {before} a join c{i - 1} z using (c_nationkey) where a.c_custkey <> z.c_custkey)")
+        out.append(f"c{i} as (select * from r{i} qualify row_number() over (partition by c_nationkey order by round(0.6 * s + 0.4 * x, 12) desc, c_custkey) = 1)")
+    return f"with {', '.join(out)} " + " union all ".join(f"select c_nationkey as trip, c_custkey as key, {i + 1}::bigint as place from c{i}" for i in range(k))
+
+
+@query("led_groups", led_groups(40, 4))
+def _(t: Tables):
+    rows = travellers(t).select(F.col("c_nationkey").alias("trip"), F.col("c_custkey").alias("key"), "v", "budget", "season")
+    trips = t.nation.select(F.col("n_nationkey").alias("trip"), F.lit(1).alias("trip_budget"), F.lit(2).alias("trip_season"), F.lit(9e5).alias("budget"), F.lit(2).alias("people"), F.lit(3).alias("days"), F.lit(1).alias("cities"))
+    return retrieval.conflicting_groups(rows, trips, 4, strategy="default")

@@ -124,7 +124,7 @@ def _(t):
     log = folder(t, "log")
     for _ in range(2):  # a restart adds nothing that is there
         resume.append_log(stream, lambda b: b, log, f"{path}-checkpoint").awaitTermination()
-    return t.spark.read.parquet(log)
+    return resume.committed(t.spark, log, "o_orderkey long, o_totalprice double")
 
 
 # choices

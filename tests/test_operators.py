@@ -154,13 +154,42 @@ def test_streams(spark, tmp_path):
     for _ in range(2):  # a second run finds nothing new
         q = resume.append_log(stream, lambda b: b.withColumn("done", F.lit(True)), str(tmp_path / "log"), str(tmp_path / "ck"))
         q.awaitTermination()
-    log = spark.read.parquet(str(tmp_path / "log"))
+    log = resume.committed(spark, str(tmp_path / "log"), "id long, k long, v double, ts timestamp, done boolean")
     assert log.count() == 10 and resume.not_done(df.unionByName(df.withColumn("id", F.lit(99)).limit(1)), log, "id").count() == 1
     q = resume.windowed(stream, "ts", ["k"], "v", "1 hour").writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(map(tuple, spark.table("w").collect())) == sorted(map(tuple, resume.windowed(df, "ts", ["k"], "v", "1 hour").collect()))
 
 
+def test_log_holds_each_batch_once(spark, tmp_path, monkeypatch):
+    """A batch whose write succeeds but which fails before the checkpoint knows is written again; half-written batches don't count."""
+    from pyspark.sql import DataFrameWriter
+
+    schema, log = "id long", str(tmp_path / "log")
+    spark.range(10).coalesce(2).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    write, fails = DataFrameWriter.parquet, [True]
+
+    def fail_after(self, path, *rest, **more):
+        write(self, path, *rest, **more)
+        if "/log/" in path and fails:
+            fails.clear()
+            raise RuntimeError("lost")
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", fail_after)
+    with pytest.raises(Exception, match="lost"):
+        resume.append_log(stream, lambda b: b, log, str(tmp_path / "ck")).awaitTermination()
+    assert resume.committed(spark, log, schema).count() == 5
+    for _ in range(2):
+        resume.append_log(stream, lambda b: b, log, str(tmp_path / "ck")).awaitTermination()
+    assert sorted(r.id for r in resume.committed(spark, log, schema).collect()) == list(range(10))
+    spark.range(90, 95).write.parquet(f"{log}/batch=00000000000000000077")
+    (tmp_path / "log/batch=00000000000000000077/_SUCCESS").unlink()
+    assert resume.committed(spark, log, schema).count() == 10
+    assert resume.resumed(spark.range(8, 12), log, schema, "id").count() == 2
+    assert resume.committed(spark, str(tmp_path / "none"), schema).collect() == []
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_itinerary_misses_no_candidate(spark, seed):
     """Against all choices, with binding budgets and many items that are neither among the best nor among the cheapest."""
