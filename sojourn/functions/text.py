@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sojourn.functions import literals
+
 
 def _or_null(c: Column) -> Column:
     return F.when(c != "", c)
@@ -104,10 +106,8 @@ def party_size(s: Column) -> Column:
 
 
 def literal_list(s: Column, kind: str = "array<string>") -> Column:
-    """A list written as JSON or as a Python literal; null if it is neither."""
-    t = F.trim(s)
-    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.replace(t, F.lit("'"), F.lit('"')), r"\bNone\b", "null"), r"\bTrue\b", "true"), r"\bFalse\b", "false")
-    return F.coalesce(F.from_json(t, kind), F.from_json(plain, kind))
+    """A list written as JSON or as a literal, with quotes of either kind, escapes, tuples and sets; null if it is neither."""
+    return F.from_json(literals.parsed(s), kind)
 
 
 def strip_fence(s: Column) -> Column:
@@ -162,6 +162,12 @@ def is_iso_date(s: Column) -> Column:
     return s.rlike(r"^\d{4}-\d{2}-\d{2}$")
 
 
+def city_error(city: Column, cities: Column) -> Column:
+    """Why a city isn't one of a list of cities, as a text; null if it is."""
+    named = F.concat(F.lit("["), F.array_join(F.transform(cities, lambda c: F.concat(F.lit("'"), c, F.lit("'"))), ", "), F.lit("]"))
+    return F.when(~F.coalesce(F.array_contains(cities, city), F.lit(False)), F.concat(F.coalesce(city, F.lit("None")), F.lit(" is not valid city in "), named, F.lit(".")))
+
+
 #: Ordered words of an error text and its class.
 ERROR_CLASSES = [
     ("parse_error", "parse_error"),

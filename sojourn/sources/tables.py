@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from sojourn.functions import literals
 from sojourn.operators import windows
 
 
@@ -100,9 +101,6 @@ def first_rows(df: DataFrame, order: list[Column | str], n: int = 20) -> DataFra
 
 
 def parsed_cells(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Each cell as JSON text: what it says as JSON, else as a literal (single quotes, None, True, False), else the text itself."""
-    def one(c: str) -> Column:
-        literal = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.replace(F.col(c), F.lit("'"), F.lit('"')), r"\bNone\b", "null"), r"\bTrue\b", "true"), r"\bFalse\b", "false")
-        return F.coalesce(F.to_json(F.try_parse_json(c)), F.to_json(F.try_parse_json(literal)), F.to_json(F.array(F.col(c))).substr(F.lit(2), F.length(F.to_json(F.array(F.col(c)))) - 2))
-
-    return df.select(*(one(c).alias(c) if c in columns else F.col(c) for c in df.columns))
+    """Each cell as JSON text: what it says as JSON, else as a literal (quotes of both kinds, escapes, tuples, sets, None, True, False), else
+    the text itself."""
+    return df.select(*(literals.value(F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns))
