@@ -112,12 +112,12 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
 
 
 def classes_of(sketches: DataFrame) -> DataFrame:
-    """node, id, same, n, sig of each distinct word sequence. node is its smallest doc_id, or where another class or no class has
-    that id a negative hash of the class."""
-    own = sketches.where("n > 0").groupBy("same").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    """node, id, text_key, same, n, sig of each distinct word sequence. node is its smallest doc_id, or where another class or no class has
+    that id a negative hash of the class; text_key is that of a row with this id."""
+    own = sketches.where("n > 0").groupBy("same").agg(F.min("doc_id").alias("id"), F.coalesce(F.min_by("text_key", "doc_id"), F.min("text_key")).alias("text_key"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     other = -F.abs(F.xxhash64("same"))
     place = F.row_number().over(Window.partitionBy(F.coalesce("id", other)).orderBy("same"))
-    return own.withColumn("place", place).select(F.when(F.col("id").isNotNull() & (F.col("place") == 1), F.col("id")).otherwise(other).alias("node"), "id", "same", "n", "sig")
+    return own.withColumn("place", place).select(F.when(F.col("id").isNotNull() & (F.col("place") == 1), F.col("id")).otherwise(other).alias("node"), "id", "text_key", "same", "n", "sig")
 
 
 def buckets_of(classes: DataFrame) -> DataFrame:
@@ -149,11 +149,11 @@ def agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def full_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """node, shingles (sorted hashes as bytes) of the given nodes, from the whole texts. Texts are read where they lie while the
-    wanted ids are few enough to send, else both sides are dealt by id."""
-    wanted = materialize(classes.select("node", "id", "same").join(nodes, "node", "left_semi"), "wanted")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).alias("d")
+    wanted ones are few enough to send, else both sides are dealt by id and text."""
+    wanted = materialize(classes.select("node", "id", "text_key", "same").join(nodes, "node", "left_semi"), "wanted")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), text_or_empty().alias("text")).alias("d")
     ids = broadcast_if_small(wanted.alias("w"), wanted.count(), 100)
-    found = rows.join(ids, F.col("d.doc_id").eqNullSafe(F.col("w.id"))).select("node", "same", "text")
+    found = rows.join(ids, F.col("d.doc_id").eqNullSafe(F.col("w.id")) & (F.col("d.text_key") == F.col("w.text_key"))).select("node", "same", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()

@@ -84,6 +84,15 @@ def digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
+def text_digest(text: bytes) -> bytes:
+    """`same` of a text: as same_of gives it in columns."""
+    return hashlib.md5(text).digest()
+
+
+def same_of():
+    return F.unhex(F.md5(F.col("text").cast("binary")))
+
+
 def scan(docs: DataFrame, units: Units) -> DataFrame:
     """doc_id, same (digest of the text), n_bytes, sha256 (null for words), and of each run: gram, content, anchor, lo, hi."""
 
@@ -99,7 +108,7 @@ def scan(docs: DataFrame, units: Units) -> DataFrame:
                 raw = own.tobytes()
                 content = np.fromiter((xxhash.xxh3_64_intdigest(raw[x * w : (y + units.length) * w], z - x) for x, y, z in zip(lo.tolist(), hi.tolist(), at.tolist())), np.uint64, len(lo)).view(np.int64)
                 sha256 = None if units.words else hashlib.sha256(text).hexdigest()
-                rows.append((doc, digest(text), len(text), sha256, grams.view(np.int64), content, at.astype(np.int32), lo.astype(np.int32), hi.astype(np.int32)))
+                rows.append((doc, text_digest(text), len(text), sha256, grams.view(np.int64), content, at.astype(np.int32), lo.astype(np.int32), hi.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["doc_id", "same", "n_bytes", "sha256", "gram", "content", "anchor", "lo", "hi"])
 
     bound_batches(docs.sparkSession)
@@ -223,8 +232,6 @@ def cut_contexts(wanted: DataFrame, docs: DataFrame, units: Units) -> DataFrame:
             out = []
             for r in batch.to_pylist():
                 text = r["text"].encode()
-                if digest(text) != r["same"]:
-                    continue
                 text = units_of(text, units, known).tobytes()
                 part = lambda i, j: text[i * w : j * w]  # noqa: B023, E731
                 for x in r["runs"]:
@@ -244,12 +251,13 @@ def cut_contexts(wanted: DataFrame, docs: DataFrame, units: Units) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, lists: DataFrame) -> DataFrame:
-    """lists (doc_id, same, ...) with the text of their doc_id. Rows of docs that aren't wanted go before the join while the wanted
-    ids are few enough to send; ids may stand for several texts, of which readers take the one with the digest `same`."""
+    """lists (doc_id, same, ...) with their texts, once for each (doc_id, same): an id, or no id, may stand for any number of texts. Rows of
+    docs that aren't wanted go before the join while the wanted ids are few enough to send."""
     rows = docs.select(F.col("doc_id").cast("long").alias("d"), text_or_empty().alias("text"))
     if (n := lists.count()) <= 500_000:  # ids alone: 16 MB
         rows = rows.join(F.broadcast(lists.select("doc_id").distinct()), F.col("d").eqNullSafe(F.col("doc_id")), "left_semi")
-    return rows.join(broadcast_if_small(lists, n, 16_000), F.col("d").eqNullSafe(F.col("doc_id"))).drop("d")
+    rows = rows.withColumn("s", same_of())
+    return rows.join(broadcast_if_small(lists, n, 16_000), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("s") == F.col("same"))).drop("d", "s")
 
 
 def same_place(a: str, b: str):
@@ -359,8 +367,6 @@ def cut_texts(spans: DataFrame, docs: DataFrame, length: int) -> DataFrame:
             out = []
             for r in batch.to_pylist():
                 text = r["text"].encode()
-                if digest(text) != r["same"]:
-                    continue
                 step = np.zeros(len(text) + 1, np.int32)
                 np.add.at(step, [x["first"] for x in r["runs"]], 1)
                 np.add.at(step, [x["last"] + length for x in r["runs"]], -1)

@@ -104,7 +104,8 @@ def chances(text: str, model: tuple[np.ndarray, np.ndarray, float], words: Words
 
 
 def spans(text: str) -> list[tuple[int, int]]:
-    """Start and end (code points) of each sentence that has a word, in the order of `chances`."""
+    """Start and end (code points) of each sentence that has a word, in the order of `chances`. Lower case may have more code points,
+    but no other sentences."""
     out, at = [], 0
     for m in re.finditer(r"[.!?\n]|\Z", text):
         if re.search(r"\w", text[at : m.start()]):
@@ -158,7 +159,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataF
                 texts = b.column("text").to_pylist()
                 z = [chances(t, model, words) for t in texts]
                 p = np.array([-np.expm1(-softplus(x).sum()) for x in z])
-                bad = [[{"start": s, "end": e, "score": float(1 / (1 + np.exp(-v)))} for (s, e), v in zip(spans(t.lower()), x) if v >= 0] if (x >= 0).any() else [] for t, x in zip(texts, z)]
+                bad = [[{"start": s, "end": e, "score": float(1 / (1 + np.exp(-v)))} for (s, e), v in zip(spans(t), x) if v >= 0] if (x >= 0).any() else [] for t, x in zip(texts, z)]
                 kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(bad, kind)], names=["doc_id", "held_out", "score", "predicted", "offending"])
 

@@ -92,3 +92,22 @@ def test_connected_components(spark):
             root[b] = a
     got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in root}
+
+
+@pytest.mark.parametrize("doc", [7, None])
+def test_one_id_for_many_texts(spark, doc):
+    rnd = random.Random(9)
+    words = [f"w{i}" for i in range(200)]
+    bases = [[rnd.choice(words) for _ in range(60)] for _ in range(4)]
+    rows = []
+    for i in range(40):
+        w = list(bases[i % 4])
+        w[rnd.randrange(60)] = f"x{i}"
+        rows.append((doc, " ".join(w)))
+    table = spark.createDataFrame([(d, t, 1, "", "") for d, t in rows], SCHEMA).repartition(4)
+    got = minhash.near_duplicates(table, 4)
+    want = brute(rows, 4)
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got.collect()) == sorted((str(w[0]), w[1], str(w[2])) for w in want)
+    classes = minhash.classes_of(minhash.sketch(table, 4))
+    sets = minhash.full_sets(table, classes, classes.select("node"), 4)
+    assert sets.count() == len({t for _, t in rows})

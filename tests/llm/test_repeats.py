@@ -158,7 +158,7 @@ def test_passages_across_documents(spark, hot):
     rows = list(enumerate(wordy(3))) + [(3, wordy(3)[3]), (None, wordy(3)[3]), (5, "an id that is there")]
     docs = spark.createDataFrame([(*r, "", "", "") for r in rows], SCHEMA).repartition(3)
     got = {(r.doc_id, r.same): (r.passage_words, r.n_passages) for r in repeats.shared_passages(docs, 31, hot).collect()}
-    want = {(d, repeats.digest(t.encode())): x for (d, t), x in brute_passages(rows, 31).items() if x[0]}
+    want = {(d, repeats.text_digest(t.encode())): x for (d, t), x in brute_passages(rows, 31).items() if x[0]}
     assert got == want and len(want) > 20
     every = repeats.remove_repeats(docs, passage_words=31).collect()
     assert sorted((str(r.doc_id), r.passage_words) for r in every) == sorted((str(d), brute_passages(rows, 31)[d, t or ""][0]) for d, t in rows)
@@ -174,3 +174,16 @@ def test_index_takes_batches(spark):
     got = {r.doc_id: r.units for r in repeats.covered(spans, 400).collect()}
     assert got == {d: n for d, _, n, *_ in brute(rows, 400) if n}
     assert len(index.levels) <= 3
+
+
+@pytest.mark.parametrize("doc", [7, None])
+def test_one_id_for_many_texts(spark, doc):
+    """Texts of one id, or of none, are read once each: the rows that are read again don't grow with the square of their number."""
+    rnd = random.Random(8)
+    passage = "".join(rnd.choice("abcdefgh ") for _ in range(600))
+    rows = [(doc, "".join(rnd.choice("abcdefgh ") for _ in range(500)) + passage[: rnd.randint(450, 600)]) for _ in range(40)]
+    table = spark.createDataFrame([(d, t, "", "", "") for d, t in rows], SCHEMA).repartition(4)
+    got = repeats.remove_repeats(table)
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()), key=str) == brute(rows, 400)
+    lists = table.select("doc_id", repeats.same_of().alias("same"))
+    assert repeats.texts_of(table, lists).count() == 40

@@ -69,3 +69,12 @@ def test_without_labels(spark):
     docs = spark.createDataFrame([(1, "a", "", ""), (2, "b", "", "")], SCHEMA)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r.predicted for r in toxicity.score(docs, toxicity.train(docs, none)).collect()] == [0, 0]
+
+
+def test_offsets_of_letters_that_grow_in_lower_case(spark):
+    """Lower case of U+0130 has two code points; sentences are told in those of the text."""
+    words = toxicity.Words()
+    model = (np.array(sorted(words[w] for w in ("scum",))), np.array([9.0]), -4.0)
+    text = "İİİ. scum here! İ ok"
+    row = toxicity.score(spark.createDataFrame([(1, text, "", "")], SCHEMA), model).first()
+    assert [(x.start, x.end) for x in row.offending] == [(4, 14)] and len(toxicity.chances(text, model, words)) == len(toxicity.spans(text)) == 3
