@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sojourn.operators import profiles
+from sojourn.operators import constraints, prepare, profiles
+from sojourn.operators.steps import shared_folder
 from sojourn.plans.catalog import Tables, query
 from sojourn.sources import tables
+from sojourn.streaming import resume
 
 LITERAL = """case c_custkey % 4 when 0 then concat('{''name'': "O''', c_custkey, '", ''k'': (', c_nationkey, ', None, True)}') when 1 then concat('(''a'', ', c_nationkey, ')') when 2 then concat('["say \\\\"', c_custkey, '\\\\"", ''x'']') else concat('{''b', c_nationkey, ''', ''a''}') end"""
 SAID = """case c_custkey % 4 when 0 then concat('{"k":[', c_nationkey, ',null,true],"name":"O''', c_custkey, '"}') when 1 then concat('["a",', c_nationkey, ']') when 2 then concat('["say \\"', c_custkey, '\\"","x"]') else concat('["a","b', c_nationkey, '"]') end"""
@@ -68,3 +72,47 @@ def _(t: Tables):
     value = F.when(o % 3 == 0, F.when(o % 13 == 0, '"x"').otherwise(((o % 60) / 10).cast("string"))).when(o % 3 == 1, cuisine).otherwise(F.when(o % 5 == 0, '"7:30"').otherwise('"07:30"'))
     wishes = t.orders.select("o_orderkey", (F.col("o_custkey") % 25).alias("k"), field.alias("field"), F.lit(">=").alias("op"), value.alias("value"), (o % 2 == 0).alias("hard"), F.lit(0.9).alias("alpha"), F.when(o % 7 == 0, 0.4).otherwise(0.1).alias("beta"), F.when(o % 11 == 0, "bad").otherwise("good enough").alias("description"))
     return profiles.wish_faults(wishes, profiled(t), "k", strict=True).select("o_orderkey", F.array_join("faults", ",").alias("faults"))
+
+
+# what is kept of runs
+
+
+@query("notebook", "select 0 as note, 'suppliers of nation 3, again' as title, (select count(*) from supplier where s_nationkey = 3) as rows union all select 1, 'customers', (select count(*) from customer)")
+def _(t: Tables):
+    book = prepare.Notebook(t.spark, f"notes_{uuid.uuid4().hex[:8]}")
+    book.write(t.supplier, "suppliers")
+    book.write(t.customer.select("c_custkey"), "customers")
+    book.update(0, t.supplier.where("s_nationkey = 3").select("s_suppkey"), "suppliers of nation 3, again")
+    parts = [book.read(n["index"]).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n["index"]).alias("note"), F.lit(n["note"]).alias("title"), "rows") for n in book.list()]
+    return parts[0].unionByName(parts[1])
+
+
+@query("row_by_place", "select o_orderkey, o_custkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 1 offset 41")
+def _(t: Tables):
+    got = prepare.nth_row(t.orders, [(F.col("o_totalprice"), True), (F.col("o_orderkey"), False)], 41, ["o_orderkey"], ["o_custkey", "o_totalprice"])
+    return got.select("meta.o_orderkey", "references.o_custkey", "references.o_totalprice")
+
+
+@query("written_artefacts", "select 'regions' as kind, r_regionkey as key, r_name as name from region union all select 'nations', n_nationkey, n_name from nation")
+def _(t: Tables):
+    kinds = {"regions": t.region.select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("name")), "nations": t.nation.select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"))}
+    paths = prepare.write_artefacts(kinds, shared_folder(t.spark, "artefacts"))
+    parts = [t.spark.read.schema("key long, name string").json(p).select(F.lit(k).alias("kind"), "key", "name") for k, p in paths.items()]
+    return parts[0].unionByName(parts[1])
+
+
+@query("resumed_run", "select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 300000)")
+def _(t: Tables):
+    """A run over customers goes on with those that its log, the large orders, hasn't; it would stop if its examples had changed."""
+    examples = t.customer.select("c_custkey")
+    prepare.check_resumable({"model": "m", "seed": 1}, {"model": "m", "seed": 2}, examples, t.customer.select("c_custkey"), "c_custkey", ("model",))
+    return resume.not_done(examples, t.orders.where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+@query("wished_cuisines", "with r as (select p_partkey as row_id, concat('R', p_partkey % 11) as name, concat('c', p_partkey % 5) as city, p_partkey % 3 as k from part where p_partkey % 11 < 11), m as (select o_custkey as plan, o_orderkey as day, 0 as place, concat('R', o_orderkey % 11) as name, concat('c', o_orderkey % 5) as city from orders union all select o_custkey, o_orderkey, 1, concat('R', (o_orderkey + 3) % 11), concat('c', (o_orderkey + 1) % 5) from orders), h as (select plan, day, min(place) as place from m where city = 'c0' group by 1, 2), f as (select m.plan, m.day, m.place, arg_min(r.k, r.row_id) as k from m left join h using (plan, day) join r on r.city = m.city and contains(r.name, m.name) where h.place is null or m.place < h.place group by 1, 2, 3), g as (select plan, list(distinct concat('K', k)) as got from f group by 1) select q.plan, len(list_intersect(['K0', concat('K', q.plan % 3)], coalesce(got, []))) = len(list_distinct(['K0', concat('K', q.plan % 3)])) as ok from (select distinct o_custkey as plan from orders) q left join g using (plan)")
+def _(t: Tables):
+    o, meal = F.col("o_orderkey"), lambda i: F.concat(F.lit("R"), (F.col("o_orderkey") + 3 * i) % 11, F.lit(", c"), (F.col("o_orderkey") + i) % 5)
+    days = t.orders.select(F.col("o_custkey").alias("plan"), o.alias("day"), meal(0).alias("breakfast"), meal(1).alias("lunch"), F.lit("-").alias("dinner"), F.lit("-").alias("attraction"), F.lit("-").alias("accommodation"))
+    asked = days.select("plan").distinct().select("plan", F.lit("c0").alias("org"), F.array_distinct(F.array(F.lit("K0"), F.concat(F.lit("K"), F.col("plan") % 3))).alias("cuisine"))
+    table = t.part.selectExpr("p_partkey as row_id", "concat('R', p_partkey % 11) as name", "concat('c', p_partkey % 5) as city", "concat('Tea, K', p_partkey % 3) as cuisines")
+    return constraints.covered(constraints.cuisine_values(days, asked, table), asked, "cuisine").select("plan", "ok")
