@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from sojourn.functions import text
 from sojourn.operators import constraints, fine, lookup, windows
 from sojourn.operators.constraints import MEALS
+from sojourn.operators.steps import kept
 
 SOFT = ["reasonable_city", "restaurants", "attractions", "minimum_nights", "transport", "within_city", "within_sandbox", "not_absent"]
 HARD = ["cost", "room_rule", "cuisine", "room_type", "transport_ban"]
@@ -197,7 +198,7 @@ def folded(days: DataFrame, queries: DataFrame, box: Sandbox) -> DataFrame:
     """A row per query: plan, q (the query), every (all days), d (those asked for), s (what they name, with what is known of it).
     This is the evaluation's one shuffle by plan."""
     days = days.select("plan", "day", *DAY, *(["event", "points"] if box.finer else []))
-    rows = things(days, box.finer)
+    rows = kept(things(days, box.finer), "things")  # read for the different things, and for all
     rows = rows.join(known(rows, box), KEY, "left")
     own = rows.select("plan", F.struct("day", "place", "kind", "value", "x", "y", F.coalesce("n", F.lit(0)).alias("n"), "price", "occupancy", "nights", "words", "room", "items").alias("s"))
     each = days.select("plan", F.struct(*days.columns[1:]).alias("d"))
