@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sojourn.functions import text
+from sojourn.functions.binding import let
 from sojourn.operators import constraints, fine, lookup, windows
 from sojourn.operators.constraints import MEALS
 from sojourn.operators.steps import kept
@@ -126,7 +127,7 @@ def things(days: DataFrame, finer: bool) -> DataFrame:
     def slot(kind: str, look: str, values: Column, first: int, of: Column | None = None) -> Column:
         def one(v: Column, i: Column) -> Column:
             n = named(v, finer) if look != "event" else F.struct(fine.before_last_comma(v).alias("name"), fine.after_last_comma(v).alias("city"))
-            return thing(kind, look, v, n["name"], n["city"], place=i + first)
+            return let(n, lambda n: thing(kind, look, v, n["name"], n["city"], place=i + first))
 
         return F.transform(values, one)
 
@@ -260,27 +261,27 @@ def within_city(finer: bool) -> Column:
     """What a day names lies where the day is: transports name all its cities, lodgings the last one, the rest any. In the coarser form a
     day without travel is held against the letters of its city, one by one, as the published rates were; the finer form refuses it."""
 
-    def elsewhere(day: Column) -> Column:
+    def allowed(day: Column) -> Column:
         city = day["current_city"]
-        ends = text.from_to(city)
         if finer:
-            allowed = F.array(ends["origin"], ends["destination"])
-        else:
-            letters = F.transform(F.sequence(F.lit(1), F.greatest(F.length(bare(city)), F.lit(1))), lambda i: F.substring(bare(city), i, F.lit(1)))
-            allowed = F.when(city.contains("from"), F.array(bare(ends["origin"]), bare(ends["destination"]))).otherwise(letters)
+            return let(text.from_to(city), lambda e: F.array(e["origin"], e["destination"]))
+        letters = let(bare(city), lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.substring(c, i, F.lit(1))))
+        return F.when(city.contains("from"), let(text.from_to(city), lambda e: F.array(bare(e["origin"]), bare(e["destination"])))).otherwise(letters)
+
+    def elsewhere(day: Column, cities: Column) -> Column:
         inside = lambda v, c: F.coalesce(v.contains(c), F.lit(False))
         drives = F.lit(False)
         if finer:
             drives = day["transportation"].contains("Self-driving") | day["transportation"].contains("Taxi")
-        lost = given(day["transportation"]) & ~drives & F.exists(allowed, lambda c: ~inside(day["transportation"], c))
-        anywhere = lambda v: ~F.exists(allowed, lambda c: inside(v, c))
+        lost = given(day["transportation"]) & ~drives & F.exists(cities, lambda c: ~inside(day["transportation"], c))
+        anywhere = lambda v: ~F.exists(cities, lambda c: inside(v, c))
         for m in MEALS:
             lost |= given(day[m]) & anywhere(day[m])
         lost |= F.exists(sights(day["attraction"], finer), anywhere)
-        lost |= given(day["accommodation"]) & ~inside(day["accommodation"], F.try_element_at(allowed, F.lit(-1)))
-        return (~city.contains("from") | lost) if finer else lost
+        lost |= given(day["accommodation"]) & ~inside(day["accommodation"], F.try_element_at(cities, F.lit(-1)))
+        return (~day["current_city"].contains("from") | lost) if finer else lost
 
-    return ~F.exists("d", lambda d: F.coalesce(elsewhere(d), F.lit(True)))
+    return ~F.exists("d", lambda d: F.coalesce(let(allowed(d), lambda c: elsewhere(d, c)), F.lit(True)))
 
 
 def stops_known() -> Column:
@@ -289,24 +290,31 @@ def stops_known() -> Column:
     spots = ["accommodation", "event", "attraction", *MEALS]
     blank = F.struct(*(F.lit(None).cast("string").alias(c) for c in ("city", "origin", "destination")), F.lit(False).alias("bad"))
 
-    def step(was: Column, day: Column) -> Column:
-        asked = legs(day, True)[0]
-        at = text.from_to(day["current_city"])
-        low, moves = F.lower(day["transportation"]), given(day["transportation"])
+    def leg(was: Column, day: Column) -> Column:
+        """The ends of the last leg so far."""
+        asked, at, low = legs(day, True)[0], text.from_to(day["current_city"]), F.lower(day["transportation"])
         drives = low.contains("self-driving") | low.contains("taxi")
-        end = {c: F.when(~moves, was[c]).when(flies(day["transportation"]), asked[c]).when(drives, F.coalesce(asked[c], F.lit("-"))).otherwise(at[c]) for c in ("origin", "destination")}
-        own = F.filter("s", lambda s: (s["day"] == day["day"]) & s["kind"].isin(*spots))
-        city = F.coalesce(F.try_element_at(own, F.lit(-1))["y"], was["city"])
+        ends = F.when(~given(day["transportation"]), F.struct(was["origin"].alias("origin"), was["destination"].alias("destination"))).when(flies(day["transportation"]), asked)
+        driven = let(asked, lambda e: F.struct(F.coalesce(e["origin"], F.lit("-")).alias("origin"), F.coalesce(e["destination"], F.lit("-")).alias("destination")))
+        return ends.when(drives, driven).otherwise(F.struct(at["origin"].alias("origin"), at["destination"].alias("destination")))
+
+    def after(was: Column, day: Column, end: Column, city: Column) -> Column:
         n, i = F.col("q.days"), day["day"]
         leaves = F.trim(F.substring_index(F.substring_index(day["current_city"], "from ", -1), " to ", 1))
         moving = ((n == 5) & (i == 3)) | ((n == 7) & i.isin(3, 5))
-        lies = F.when(moving, F.array(end["origin"], end["destination"])).when((i == n) & n.isin(3, 5, 7), F.array(leaves)).otherwise(F.array(city))
+        lies = F.array_compact(F.when(moving, F.array(end["origin"], end["destination"])).when((i == n) & n.isin(3, 5, 7), F.array(leaves)).otherwise(F.array(city)))
         stops = F.filter("s", lambda s: (s["day"] == i) & (s["kind"] == "stop"))
-        lost = n.isin(3, 5, 7) & F.exists(stops, lambda s: ~F.coalesce(F.exists(s["items"], lambda c: F.coalesce(F.array_contains(F.array_compact(lies), c["a"]), F.lit(False))), F.lit(False)))
+        known_there = lambda s, cities: F.coalesce(F.exists(s["items"], lambda c: F.coalesce(F.array_contains(cities, c["a"]), F.lit(False))), F.lit(False))
+        lost = n.isin(3, 5, 7) & let(lies, lambda cities: F.exists(stops, lambda s: ~known_there(s, cities)))
         listed = F.filter(F.split(day["points"], ";"), lambda p: p.contains("nearest transit:"))
         broken = given(day["points"]) & F.exists(listed, lambda p: ~F.get(F.split(p, "nearest transit:"), F.lit(1)).contains(","))
         return F.struct(city.alias("city"), end["origin"].alias("origin"), end["destination"].alias("destination"), (was["bad"] | F.coalesce(lost | broken, F.lit(False))).alias("bad"))
 
+    def step(was: Column, day: Column) -> Column:
+        own = F.filter("s", lambda s: (s["day"] == day["day"]) & s["kind"].isin(*spots))
+        city = F.coalesce(F.try_element_at(own, F.lit(-1))["y"], was["city"])
+        return let(F.struct(leg(was, day).alias("leg"), city.alias("city")), lambda x: after(was, day, x["leg"], x["city"]))
+
     return ~F.aggregate("d", blank, step)["bad"]
 
 
@@ -361,11 +369,7 @@ def meal_gaps(least: float = 4.0) -> Column:
     """fine.meal_gaps on one plan's days."""
 
     def bad(d: Column) -> Column:
-        unread, close = fine.meals_apart([d[m] for m in MEALS], d["points"], least)
-        out = F.lit(False)
-        for b in (*unread, *close):
-            out |= b
-        return out
+        return let(fine.meals_apart([d[m] for m in MEALS], d["points"], least), lambda m: F.exists(F.concat(m["unread"], m["close"]), lambda x: x))
 
     return ~F.exists("d", bad)
 
@@ -376,8 +380,11 @@ def poi_sequence() -> Column:
     blank = F.struct(F.lit("abc").alias("home"), F.lit(None).cast("string").alias("before"), F.lit(False).alias("bad"))
 
     def step(was: Column, day: Column) -> Column:
+        home = fine.before_last_comma(F.when(day["accommodation"] != "-", day["accommodation"]).otherwise(was["home"]))
+        return let(home, lambda h: at_home(was, day, h))
+
+    def at_home(was: Column, day: Column, home: Column) -> Column:
         new = day["accommodation"] != "-"
-        home = fine.before_last_comma(F.when(new, day["accommodation"]).otherwise(was["home"]))
         inside = lambda x: F.coalesce(day["points"].contains(x), F.lit(False))
         points = F.split(day["points"], ";")
         first, last = F.get(points, F.lit(0)), F.try_element_at(points, F.lit(-1))

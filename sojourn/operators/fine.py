@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sojourn.functions import text
+from sojourn.functions.binding import let
 from sojourn.operators import constraints, lookup
 from sojourn.operators.constraints import MEALS, filled, first_fault, result
 
@@ -98,24 +99,35 @@ def clock(s: Column) -> Column:
 
 def meal_times(meal: Column, points: Column) -> Column:
     """struct(from, to), in hours, of the first point with the meal's name; null if none has it, its fields null if they can't be read."""
-    own = F.get(F.filter(F.split(points, ";"), lambda p: F.contains(p, before_last_comma(meal)) & ~p.isin("", "-")), F.lit(0))
-    parts = F.split(F.coalesce(F.get(F.split(own, "from"), F.lit(1)), F.lit("")), "to")
-    return F.when((meal != "-") & own.isNotNull(), F.struct(clock(F.get(parts, F.lit(0))).alias("from"), clock(F.substring_index(F.get(parts, F.lit(1)), ",", 1)).alias("to")))
+    named = let(before_last_comma(meal), lambda name: F.get(F.filter(F.split(points, ";"), lambda p: F.contains(p, name) & ~p.isin("", "-")), F.lit(0)))
 
+    def times(own: Column) -> Column:
+        parts = F.split(F.coalesce(F.get(F.split(own, "from"), F.lit(1)), F.lit("")), "to")
+        read = let(parts, lambda p: F.struct(clock(F.get(p, F.lit(0))).alias("from"), clock(F.substring_index(F.get(p, F.lit(1)), ",", 1)).alias("to")))
+        return F.when((meal != "-") & own.isNotNull(), read)
 
-def meals_apart(meals: list[Column], points: Column, least: float) -> tuple[list[Column], list[Column]]:
-    """Whether each meal's time is there but can't be read, and whether each meal but the first starts too soon after the one before."""
-    times = [meal_times(m, points) for m in meals]
-    unread = [F.coalesce(t.isNotNull() & (t["from"].isNull() | t["to"].isNull()), F.lit(False)) for t in times]
-    return unread, [F.coalesce(b["from"] - a["to"] < least, F.lit(False)) for a, b in zip(times, times[1:])]
+    return let(named, times)
+
+
+def meals_apart(meals: list[Column], points: Column, least: float) -> Column:
+    """For meals in order, two arrays: whether each one's time is there but can't be read, and whether each but the first starts too soon
+    after the one before."""
+
+    def judged(times: Column) -> Column:
+        each = [F.get(times, F.lit(i)) for i in range(len(meals))]
+        unread = [F.coalesce(t.isNotNull() & (t["from"].isNull() | t["to"].isNull()), F.lit(False)) for t in each]
+        close = [F.coalesce(b["from"] - a["to"] < least, F.lit(False)) for a, b in zip(each, each[1:])]
+        return F.struct(F.array(*unread).alias("unread"), F.array(*close).alias("close"))
+
+    return let(F.array(*(meal_times(m, points) for m in meals)), judged)
 
 
 def meal_gaps(days: DataFrame, least: float = 4.0) -> DataFrame:
     """From the end of a meal to the start of the next of the day's meals lie so many hours, where both are among the points; a meal
     among the points whose time can't be read fails the plan."""
-    unread, close = meals_apart([F.col(m) for m in MEALS], F.col("points"), least)
-    faults = [*((bad, f"no time of {m}") for m, bad in zip(MEALS, unread)), *((bad, f"{a} and {b} too close") for a, b, bad in zip(MEALS, MEALS[1:], close))]
-    return first_fault(asked_days(days), faults, days.select("plan").distinct())
+    d = asked_days(days).withColumn("_m", meals_apart([F.col(m) for m in MEALS], F.col("points"), least))
+    faults = [*((F.col("_m.unread")[i], f"no time of {m}") for i, m in enumerate(MEALS)), *((F.col("_m.close")[i], f"{a} and {b} too close") for i, (a, b) in enumerate(zip(MEALS, MEALS[1:])))]
+    return first_fault(d, faults, days.select("plan").distinct())
 
 
 def not_absent(days: DataFrame, queries: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sojourn.functions.binding import let
 from sojourn.operators.steps import kept
 
 
@@ -37,14 +38,18 @@ def sequence_ok(cities: Column) -> Column:
         F.expr("cast(array() as array<struct<city:string,n:int>>)"),
         lambda acc, c: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["city"] == c), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(c.alias("city"), (F.try_element_at(acc, F.lit(-1))["n"] + 1).alias("n"))))).otherwise(F.concat(acc, F.array(F.struct(c.alias("city"), F.lit(1).alias("n"))))),
     )
-    names = F.transform(runs_, lambda r: r["city"])
-    inner = F.slice(names, F.lit(2), F.greatest(F.size(names) - 2, F.lit(0)))
-    ends_apart = F.size(F.array_intersect(inner, F.array(F.try_element_at(names, F.lit(1)), F.try_element_at(names, F.lit(-1))))) == 0
-    distinct = F.size(F.array_distinct(inner)) == F.size(inner)
-    middle = F.slice(runs_, F.lit(2), F.greatest(F.size(runs_) - 2, F.lit(0)))
-    last = F.try_element_at(runs_, F.lit(-1))
-    stays_again = (last["n"] > 1) & F.array_contains(F.slice(names, F.lit(1), F.greatest(F.size(names) - 1, F.lit(0))), last["city"])
-    return F.when(F.size(cities) < 3, False).otherwise(distinct & ends_apart & ~F.coalesce(stays_again, F.lit(False)) & F.forall(middle, lambda r: r["n"] > 1))
+
+    def valid(runs_: Column) -> Column:
+        names = F.transform(runs_, lambda r: r["city"])
+        inner = F.slice(names, F.lit(2), F.greatest(F.size(names) - 2, F.lit(0)))
+        ends_apart = F.size(F.array_intersect(inner, F.array(F.try_element_at(names, F.lit(1)), F.try_element_at(names, F.lit(-1))))) == 0
+        distinct = F.size(F.array_distinct(inner)) == F.size(inner)
+        middle = F.slice(runs_, F.lit(2), F.greatest(F.size(runs_) - 2, F.lit(0)))
+        last = F.try_element_at(runs_, F.lit(-1))
+        stays_again = (last["n"] > 1) & F.array_contains(F.slice(names, F.lit(1), F.greatest(F.size(names) - 1, F.lit(0))), last["city"])
+        return distinct & ends_apart & ~F.coalesce(stays_again, F.lit(False)) & F.forall(middle, lambda r: r["n"] > 1)
+
+    return F.when(F.size(cities) < 3, False).otherwise(let(runs_, valid))
 
 
 def closed_loop(cities: Column) -> Column:
