@@ -55,6 +55,7 @@ def strategy(tight: Column, short: Column, large: Column, several_cities: Column
     return F.array_max(F.array(*(F.struct(s.alias("s"), F.lit(-i).alias("i"), F.lit(n).alias("n")) for i, (n, s) in enumerate(scores.items()))))["n"]
 
 
+#: What queries may wish for.
 CUISINES = ["Chinese", "American", "Italian", "Mexican", "Indian", "Mediterranean", "French"]
 HOUSE_RULES = ["parties", "smoking", "children under 10", "visitors", "pets"]
 ROOM_TYPES = ["shared room", "not shared room", "private room", "entire room"]
