@@ -106,3 +106,8 @@ def global_rank(df: DataFrame, keys: list[tuple[Column, bool]], name: str = "ran
     starts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_c")).select("_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))
     own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return dealt.withColumn(name, own).join(starts, "_part").withColumn(name, (F.col(name) + F.col("_start")).cast("long")).select(*(c for c in df.columns if c != name), name)
+
+
+def ranked(df: DataFrame, order: list, name: str, group: list[str]) -> DataFrame:
+    """Ordinals from 1 within a group."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("long"))
