@@ -72,9 +72,12 @@ def _grams(c: Column, sizes: list[int]) -> Column:
 
 
 def containing(left: DataFrame, right: DataFrame, on: list[str], text_column: str, name: str, q: int = 3) -> DataFrame:
-    """Equal in `on`, and right's text has left's name in it. Texts are indexed by their runs of q letters (a shorter name's own length);
+    """Equal in `on`, and the text has the name in it; the two are columns of different sides. Texts are indexed by their runs of q letters (a shorter name's own length);
     each different name looks among the texts of its rarest run, so the texts of a hot key are split by runs and few of them are
     compared. Names with a run that no text has match nothing. Empty names match every text of their key."""
+    if name not in left.columns:
+        rest = [c for c in (*left.columns, *right.columns) if c not in on]
+        return containing(right, left, on, text_column, name, q).select(*on, *rest)
     names = left.select(*on, F.col(name).alias("_name")).where(F.col("_name").isNotNull()).distinct()
     each = names.withColumn("_gram", F.explode(F.when(F.length("_name") < q, F.array("_name")).otherwise(F.array_remove(_grams(F.col("_name"), [q]), ""))))
     texts = right.withColumn("_gram", F.explode(_grams(F.col(text_column), list(range(1, q + 1)))))

@@ -20,6 +20,8 @@ def test_containing_by_grams(spark):
     assert got.columns == ["city", "n", "name", "t", "text"]
     want = [(c, i, n, j, t) for i, c, n in names for j, d, t in texts if c is not None and c == d and n is not None and t is not None and n in t]
     assert sorted(map(tuple, got.collect())) == sorted(want)
+    other = lookup.containing(right, left, ["city"], "text", "name")
+    assert other.columns == ["city", "t", "text", "n", "name"] and other.count() == len(want)
 
 
 @pytest.mark.parametrize("tolerance", [0.0, 0.1, 3.0, 100.0])
