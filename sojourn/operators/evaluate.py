@@ -167,11 +167,13 @@ def known(rows: DataFrame, box: Sandbox, tolerance: float = 5.0) -> DataFrame:
     places = places.unionByName(entity("attraction", box.attractions, **({"words": "subcategories"} if box.finer else {})))
     if box.finer:
         places = places.unionByName(entity("event", box.events, segment="segment", date="date"))
-    met = lookup.containing(keys.where(F.col("look").isin("restaurant", "accommodation", "attraction", "event")), places, ["look", "y"], "name", "x")
-    first = F.min_by(F.struct("price", "occupancy", "nights", "words", "room"), F.struct("row_id", "price", "words")).alias("v")
-    dated = F.array_sort(F.collect_list(F.when(F.col("look") == "event", F.struct("row_id", "segment", "date"))))
+    # of equal names in a city (and equal dates of events) only the first row counts, and how many there are
+    rows_at = places.groupBy("look", "y", "name", "date").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row_id", "price", "words", "occupancy", "nights", "room", "segment")).alias("f"))
+    met = lookup.containing(keys.where(F.col("look").isin("restaurant", "accommodation", "attraction", "event")), rows_at, ["look", "y"], "name", "x")
+    met = met.groupBy(*KEY, "date").agg(F.sum("n").alias("n"), F.min("f").alias("f"))
+    dated = F.array_sort(F.collect_list(F.when(F.col("look") == "event", F.struct("f.row_id", "f.segment", "date"))))
     items = F.transform(dated, lambda e: F.struct(e["segment"].alias("a"), e["date"].alias("b")))
-    out = met.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), first, items.alias("items")).select(*KEY, "n", "v.*", "items")
+    out = met.groupBy(*KEY).agg(F.sum("n").alias("n"), F.min("f").alias("v"), items.alias("items")).select(*KEY, "n", *(f"v.{c}" for c in ("price", "occupancy", "nights", "words", "room")), "items")
 
     def fact(table: DataFrame, look: str, x: str | Column, y: str | Column, n: Column, price: Column, items: Column) -> DataFrame:
         by = table.groupBy(F.lit(look).alias("look"), F.lit("").alias("z"), (F.col(x) if isinstance(x, str) else x).alias("x"), (F.col(y) if isinstance(y, str) else y).alias("y"))
@@ -185,7 +187,7 @@ def known(rows: DataFrame, box: Sandbox, tolerance: float = 5.0) -> DataFrame:
     out = out.unionByName(fact(box.states, "city", "city", F.lit(""), rows_of, F.lit(None), F.array(F.struct(F.min("state").alias("a"), F.lit("").alias("b")))))
     if box.finer:
         near = F.contains("stop", "y") & (F.abs(F.col("stop_distance") - F.col("z").cast("double")) <= tolerance)
-        stops = keys.where("look = 'stop'").join(box.stops.select(F.col("poi").alias("x"), "city", "stop", "stop_distance"), "x").where(near)
+        stops = keys.where("look = 'stop'").join(box.stops.select(F.col("poi").alias("x"), "city", "stop", "stop_distance").distinct(), "x").where(near)
         cities = stops.groupBy(*KEY).agg(F.collect_set(F.struct(F.col("city").alias("a"), F.lit("").alias("b"))).alias("items"))
         out = out.unionByName(cities.select(*KEY, F.lit(1).cast("long").alias("n"), *(none(t).alias(c) for c, t in (("price", "double"), ("occupancy", "double"), ("nights", "double"), ("words", "string"), ("room", "string"))), "items"))
     return out

@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from sojourn.operators import constraints, fine, lookup
+from sojourn.operators import constraints, evaluate, fine, lookup
 
 N = 40
 
@@ -58,3 +58,17 @@ def test_events_meet_once(spark, met):
     asked = spark.createDataFrame([(p, [date(3), date(4)] if p % 2 else [date(9), date(9)]) for p in range(N)], "plan int, dates array<date>")
     assert sorted((r.plan, r["values"]) for r in fine.event_types(d, asked, events).collect()) == [(p, ["s3"]) for p in range(N) if p % 2]
     assert met == [(1, 5)]
+
+
+def test_facts_of_names_are_few(spark, met):
+    t = table(spark)
+    none = lambda schema: spark.createDataFrame([], schema)
+    events = spark.createDataFrame([(i, "E1", "c0", f"2024-01-0{1 + i % 5}", f"s{i}") for i in range(N)], "row_id int, name string, city string, date string, segment string")
+    rooms = t.where("kind = 'accommodation'").withColumn("minimum_nights", F.lit(1))
+    box = evaluate.Sandbox(t.where("kind = 'restaurant'"), rooms, none("row_id int, name string, city string, price int, subcategories string"), none("row_id int, flight_number string, origin string, dest string, price int"), none("origin string, destination string, km double"), none("city string, state string"), events, none("poi string, city string, stop string, stop_distance double"))
+    keys = spark.createDataFrame([("event", "E1", "c0", ""), ("restaurant", "R", "c0", ""), ("accommodation", "L1", "c0", "")], "look string, x string, y string, z string")
+    got = {r.look: r for r in evaluate.known(keys, box).collect()}
+    assert [(i.a, i.b) for i in got["event"]["items"]] == [(f"s{i}", f"2024-01-0{1 + i}") for i in range(5)] and got["event"].n == N
+    assert (got["restaurant"].n, got["restaurant"].price, got["restaurant"].words) == (N // 2, 10.0, "K0")
+    assert (got["accommodation"].n, got["accommodation"].room) == (N // 2, "Shared room")
+    assert max(max(m) for m in met) <= 7
