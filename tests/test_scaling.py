@@ -24,6 +24,13 @@ def test_containing_by_grams(spark):
     assert other.columns == ["city", "t", "text", "n", "name"] and other.count() == len(want)
 
 
+def test_containing_sends_no_side_to_all_tasks(spark):
+    """The runs of a small file's texts are many times the file, which planning doesn't see."""
+    left, right = (spark.range(9).select("id", F.lit("c").alias("city"), F.col("id").cast("string").alias(c)) for c in ("name", "text"))
+    plan = lookup.containing(left, right.withColumnRenamed("id", "t"), ["city"], "text", "name")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+
+
 @pytest.mark.parametrize("tolerance", [0.0, 0.1, 3.0, 100.0])
 def test_band(spark, tolerance):
     rnd = random.Random(2)
