@@ -16,9 +16,10 @@ import gc
 import hashlib
 import os
 from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +35,15 @@ from sojourn.llm.common import bound_batches, byte_view, materialize, slices, te
 from sojourn.llm.dictionary import pack, unpack, unpack_codes
 
 BLOCK_BYTES = 8 << 20
-#: Parts of words of a task that are remembered from block to block; then it forgets them all.
+#: Words, and parts of words, of a task that are remembered from block to block; then it forgets them all.
 KNOWN = 400_000
 #: White space before a word, and the word; a space or line feed ends it, other white space doesn't. Spaces at the text's end go with the last word.
 WORDS = regex.compile(r"\s*\S+(?:[^\S ]\s*\S+)*(?:\s+\Z)?|\s+")
 #: Code points that are white space to some libraries only: a text with them is one word.
 ODD = regex.compile("[\x1c-\x1f\x85\u180e\u200b\u2060\ufeff]")
 SPLIT = regex.compile(PATTERN).findall
+#: What may close a word of letters; the first vocabulary splits it off as one.
+CLOSING = ".,;:!?\"')"
 PAIR = 1 << 20
 
 
@@ -149,7 +152,12 @@ class Words:
 
     def cut(self, word: str) -> list[tuple[str, list[str]]]:
         """The parts of a word, each with how the first vocabulary splits it."""
-        split = SPLIT(word) if word.isascii() or not RARE.search(word) else [word[a:b] for _, (a, b) in self.split.pre_tokenize_str(word)]
+        if not word.isascii() and RARE.search(word):
+            split = [word[a:b] for _, (a, b) in self.split.pre_tokenize_str(word)]
+        elif word[0] == " " and (core := word.rstrip(CLOSING))[1:].isalpha():
+            split = [word] if len(core) == len(word) else [core, word[len(core) :]]
+        else:
+            split = SPLIT(word)
         if len(split) == 1 or "▁" in word:
             return [(word, split)]
         out, begin = [], 0
@@ -197,14 +205,14 @@ class Words:
         names, other = self.names
         ids, more, groups, i, j = [names[x] for x in a], [other[x] for x in b], [], 0, 0
         for k, m in cuts:
-            groups.append(f"{','.join(ids[i:k])}|{','.join(more[j:m])}")
+            groups.append(f"{ids[i] if k - i == 1 else ','.join(ids[i:k])}|{more[j] if m - j == 1 else ','.join(more[j:m])}")
             i, j = k, m
         return ";".join(groups), len(a), len(b), array("q", [a[k - 1] * PAIR + b[m - 1] for k, m in cuts]).tobytes()
 
     def forget(self) -> None:
-        self.known.clear()
-        if len(self.parts) > KNOWN:
-            self.parts.clear()
+        for kept in (self.known, self.parts):
+            if len(kept) > KNOWN:
+                kept.clear()
 
 
 def words_of(text: str) -> list[str]:
@@ -224,30 +232,28 @@ class Block:
 
     def __init__(self, number: int, words: Words, keep: bool) -> None:
         self.number, self.words, self.keep, self.size = number, words, keep, 0
-        self.code: dict[str, int] = {}
+        self.code: dict[str, int] = defaultdict(count().__next__)  # no cycle: they aren't collected here
         self.entries: list[tuple] = []
         self.texts: list[str] = []
         self.broken: set[int] = set()
         self.ids, self.codes, self.digests, self.groups = [], [], [], []
 
     def add(self, doc: int | None, text: str, size: int) -> None:
-        own, code = words_of(text) if text else [], self.code
-        fresh = [w for w in dict.fromkeys(own) if w not in code]
-        if fresh:
-            known = self.words.known
+        own, n = words_of(text) if text else [], len(self.code)
+        codes = list(map(self.code.__getitem__, own))
+        if len(self.code) > n:
+            known, fresh = self.words.known, [*islice(reversed(self.code), len(self.code) - n)][::-1]
             self.words.add([w for w in fresh if w not in known])
-            for w in fresh:
-                code[w] = len(self.entries)
+            for k, w in enumerate(fresh, n):
                 entry = known[w]
                 if entry is None:
-                    self.broken.add(len(self.entries))
-                self.entries.append(entry or ("", 0, 0, b""))
-                self.texts.append(self.entries[-1][0])
-        codes = [code[w] for w in own]
-        if not self.broken.isdisjoint(codes):
+                    self.broken.add(k)
+                    entry = ("", 0, 0, b"")
+                self.entries.append(entry)
+                self.texts.append(entry[0])
+        if self.broken and not self.broken.isdisjoint(codes):
             codes = []
-        texts = self.texts
-        groups = ";".join([texts[c] for c in codes])
+        groups = ";".join(map(self.texts.__getitem__, codes))
         self.ids.append(doc)
         self.codes.append(np.array(codes, np.int32))
         self.digests.append(hashlib.sha256(groups.encode()).hexdigest() if codes else "")

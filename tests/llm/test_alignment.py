@@ -114,3 +114,25 @@ def test_query(spark, plain):
     got = {r.doc_id: r for r in __spark_entry__.queries()["op11_align"](spark, folder).collect()}
     names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     assert {d: tuple(got[d][n] for n in names) for d in got} == {d: w[:7] for d, w in zip(docs, want)}
+
+
+def test_words_split_as_the_pattern():
+    words = alignment.Words(A, B)
+    signs = [chr(c) for c in range(0x3100) if not alignment.RARE.search(chr(c)) and not chr(c).isspace()]
+    several = [f"{s}{head}{c}{tail}" for s in (" ", "", "\n") for head in ("a", "é1", "'") for c in signs for tail in ("", ",", ".\"'", "'s", "n't", "1!")]
+    assert all([p for _, own in words.cut(w) for p in own] == ([w] if "▁" in w and len(alignment.SPLIT(w)) == 1 else alignment.SPLIT(w)) for w in several)
+
+
+def test_words_are_aligned_once_over_blocks(monkeypatch):
+    words, seen = alignment.Words(A, B), []
+    cut = alignment.Words.cut
+    monkeypatch.setattr(alignment.Words, "cut", lambda self, word: seen.append(word) or cut(self, word))
+    for number in range(3):
+        block = alignment.Block(number, words, True)
+        block.add(1, "once, again; once, more", 23)
+        block.row()
+        words.forget()
+    assert sorted(seen) == [" again;", " more", " once,"]
+    monkeypatch.setattr(alignment, "KNOWN", 2)
+    words.forget()
+    assert not words.known and not words.parts
