@@ -63,21 +63,12 @@ def word_units(length: int = 51) -> Units:
     return Units(length, max(1, length // 5), True, True)
 
 
-class Words(dict):
-    """A word's 64-bit hash, kept for a bounded number of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        self[word] = x = xxhash.xxh3_64_intdigest(word)
-        return x
-
-
-def units_of(text: bytes, units: Units, known: Words) -> np.ndarray:
+def units_of(text: bytes, units: Units) -> np.ndarray:
+    """The bytes of a text, or a 64-bit hash of each word, which takes no longer than to look it up."""
     if not units.words:
         return np.frombuffer(text, np.uint8)
     words = text.split()
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def digest(data: bytes) -> bytes:
@@ -97,19 +88,22 @@ def scan(docs: DataFrame, units: Units) -> DataFrame:
     """doc_id, same (digest of the text), n_bytes, sha256 (null for words), and of each run: gram, content, anchor, lo, hi."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds, known = [pa.int64(), pa.binary(), pa.int64(), pa.string(), *[pa.list_(pa.int64())] * 2, *[pa.list_(pa.int32())] * 3], Words()
+        w, n = units.width, units.length
         for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             data, starts = byte_view(batch.column("text"))
-            rows = []
-            for doc, a, b in zip(batch.column("doc_id").to_pylist(), starts[:-1].tolist(), starts[1:].tolist()):
-                text = data[a:b].tobytes()
-                own, w = units_of(text, units, known), units.width
-                grams, at, lo, hi = anchors.runs(own, units.length, units.gram)
-                raw = own.tobytes()
-                content = np.fromiter((xxhash.xxh3_64_intdigest(raw[x * w : (y + units.length) * w], z - x) for x, y, z in zip(lo.tolist(), hi.tolist(), at.tolist())), np.uint64, len(lo)).view(np.int64)
-                sha256 = None if units.words else hashlib.sha256(text).hexdigest()
-                rows.append((doc, text_digest(text), len(text), sha256, grams.view(np.int64), content, at.astype(np.int32), lo.astype(np.int32), hi.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["doc_id", "same", "n_bytes", "sha256", "gram", "content", "anchor", "lo", "hi"])
+            texts = [data[a:b].tobytes() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
+            own, begin = data, starts
+            if units.words:
+                split = [units_of(text, units) for text in texts]
+                own, begin = np.concatenate(split), np.cumsum([0, *map(len, split)])
+            grams, at, lo, hi, runs = anchors.runs_of_many(own, begin, n, units.gram)
+            raw, base = own.view(np.uint8).data, np.repeat(begin[:-1], runs)
+            content = np.fromiter((xxhash.xxh3_64_intdigest(raw[x:y], z) for x, y, z in zip(((lo + base) * w).tolist(), ((hi + base + n) * w).tolist(), (at - lo).tolist())), np.uint64, len(lo))
+            ends = pa.array(np.cumsum(np.r_[0, runs]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (grams.view(np.int64), content.view(np.int64), at.astype(np.int32), lo.astype(np.int32), hi.astype(np.int32))]
+            sha256 = [None if units.words else hashlib.sha256(text).hexdigest() for text in texts]
+            columns = [batch.column("doc_id"), pa.array(list(map(text_digest, texts)), pa.binary()), pa.array(np.diff(starts)), pa.array(sha256, pa.string()), *lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "same", "n_bytes", "sha256", "gram", "content", "anchor", "lo", "hi"])
 
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
@@ -227,12 +221,12 @@ def cut_contexts(wanted: DataFrame, docs: DataFrame, units: Units) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-        names, length, w, known = [x.split()[0] for x in CONTEXT.split(", ")], units.length, units.width, Words()
+        names, length, w = [x.split()[0] for x in CONTEXT.split(", ")], units.length, units.width
         for batch in (b.slice(i, 100) for b in batches for i in range(0, b.num_rows, 100)):
             out = []
             for r in batch.to_pylist():
                 text = r["text"].encode()
-                text = units_of(text, units, known).tobytes()
+                text = units_of(text, units).tobytes()
                 part = lambda i, j: text[i * w : j * w]  # noqa: B023, E731
                 for x in r["runs"]:
                     a, lo, hi = x["anchor"], x["lo"], x["hi"]

@@ -187,3 +187,25 @@ def test_one_id_for_many_texts(spark, doc):
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()), key=str) == brute(rows, 400)
     lists = table.select("doc_id", repeats.same_of().alias("same"))
     assert repeats.texts_of(table, lists).count() == 40
+
+
+@pytest.mark.parametrize("kind", [np.uint8, np.uint64])
+def test_runs_of_texts_side_by_side(kind, monkeypatch):
+    monkeypatch.setattr(anchors, "TOGETHER", 900)
+    rng = np.random.default_rng(5)
+    sizes = [0, 30, 99, 100, 101, 0, 0, 2000, *rng.integers(0, 400, 60).tolist(), 5, 0]
+    starts = np.cumsum([0, *sizes])
+    data = rng.integers(0, 3, starts[-1]).astype(kind)
+    *got, counts = anchors.runs_of_many(data, starts, 100, 16)
+    each = [anchors.runs(data[a:b], 100, 16) for a, b in zip(starts[:-1], starts[1:])]
+    assert counts.tolist() == [len(x[0]) for x in each] and counts.sum() > 100
+    assert all(np.array_equal(x, np.concatenate(y)) for x, y in zip(got, zip(*each)))
+    assert [len(x) for x in anchors.runs_of_many(data[:0], np.zeros(1, np.int64), 100, 16)] == [0] * 5
+
+
+def test_texts_are_hashed_side_by_side(monkeypatch):
+    calls, hashes = [], anchors.gram_hashes
+    monkeypatch.setattr(anchors, "gram_hashes", lambda data, k: calls.append(len(data)) or hashes(data, k))
+    texts = [bytes(np.random.default_rng(i).integers(97, 120, 500).astype(np.uint8)) for i in range(40)]
+    anchors.runs_of_many(np.frombuffer(b"".join(texts), np.uint8), np.arange(41) * 500, 400, 64)
+    assert calls == [20_000]
