@@ -98,16 +98,16 @@ def _deal(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, listed, counted in (x for b in batches for x in zip(b.column("block").to_pylist(), b.column("words"), b.column("counts"))):
-            words, counts, rows = listed.values.cast(pa.binary()).to_pylist(), counted.values.to_numpy().astype(np.int64), []
-            bucket = bucket_of(words, buckets)
+            words, counts, rows = listed.values.cast(pa.large_binary()), counted.values.to_numpy().astype(np.int64), []
+            bucket = bucket_of(words.to_pylist(), buckets)
             order = np.argsort(bucket, kind="stable")
+            data, starts = byte_view(words.take(pa.array(order)))
             cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=buckets))
             for a, b in zip(cuts[:-1], cuts[1:]):
                 at = order[a:b]
-                raw = [words[k] for k in at]
-                text = pack(np.fromiter(map(len, raw), np.int64, len(raw)))
-                data = zstandard.ZstdCompressor(level=1).compress(b"".join(raw))
-                rows.append((int(bucket[at[0]]), block, pack(np.diff(at, prepend=0)), len(text).to_bytes(4) + text + data, pack(counts[at])))
+                text = pack(np.diff(starts[a : b + 1]))
+                raw = zstandard.ZstdCompressor(level=1).compress(data[starts[a] : starts[b]].tobytes())
+                rows.append((int(bucket[at[0]]), block, pack(np.diff(at, prepend=0)), len(text).to_bytes(4) + text + raw, pack(counts[at])))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 5, DEALT.values())], names=list(DEALT))
 
     return run

@@ -138,20 +138,31 @@ class Lanes:
             yield m, given, self.values[np.minimum(at, len(self.values) - 1)], (t + np.arange(n))[:, None] < self.size[:m]
 
 
+def by_gate(weights: np.ndarray) -> np.ndarray:
+    """(gate, row, hidden) of rows that hold the three gates' weights side by side."""
+    return np.ascontiguousarray(weights.reshape(-1, 3, HIDDEN).transpose(1, 0, 2))
+
+
 def forward(p: Params, h: np.ndarray, given: np.ndarray, table: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
-    """States after each input (time, lane, hidden), and what the way back needs. table: inputs of units, if `given` has units."""
-    x, out, kept, n = (p["x"] if table is None else table)[given], np.empty((*given.shape, HIDDEN), h.dtype), [], HIDDEN
+    """States after each input (time, lane, hidden), and what the way back needs. table: inputs of units, if `given` has units. Each
+    gate's numbers lie together."""
+    u, out, kept = by_gate(p["u"]), np.empty((*given.shape, HIDDEN), h.dtype), []
+    x = np.take(by_gate(p["x"] if table is None else table), given, axis=1)
     for t in range(len(given)):
-        a = h @ p["u"]
-        g = x[t, :, : 2 * n] + a[:, : 2 * n]
+        a = h @ u
+        g = a[:2]
+        g += x[:2, t]
         np.exp(np.negative(g, out=g), out=g)
         g += 1
         np.reciprocal(g, out=g)
-        z, r = g[:, :n], g[:, n:]
-        new = np.tanh(x[t, :, 2 * n :] + r * a[:, 2 * n :])
-        kept.append((h, z, r, new, a[:, 2 * n :]))
-        h = new + z * (h - new)
-        out[t] = h
+        z, r = g
+        new = r * a[2]
+        new += x[2, t]
+        np.tanh(new, out=new)
+        kept.append((h, z, r, new, a[2]))
+        h = np.subtract(h, new, out=out[t])
+        h *= z
+        h += new
     return out, kept
 
 
@@ -226,13 +237,21 @@ def backward(p: Params, kept: list[tuple[np.ndarray, ...]], given: np.ndarray, s
     for t in range(len(given) - 1, -1, -1):
         h, z, r, new, a = kept[t]
         dh = dh + dh_out[t]
-        dn = dh * (1 - z) * (1 - new * new)
-        dz = dh * (h - new) * z * (1 - z)
-        dr = dn * a * r * (1 - r)
-        dx[t, :, :n], dx[t, :, n : 2 * n], dx[t, :, 2 * n :] = dz, dr, dn
-        da[:, :n], da[:, n : 2 * n], da[:, 2 * n :] = dz, dr, dn * r
+        rest = 1 - z
+        rest *= dh
+        dz = (h - new) * z
+        dz *= rest
+        dn = 1 - new * new
+        dn *= rest
+        back = dn * r
+        dr = (1 - r) * a
+        dr *= back
+        da[:, :n], da[:, n : 2 * n], da[:, 2 * n :] = dz, dr, dn
+        dx[t] = da
+        da[:, 2 * n :] = back
         out["u"] += h.T @ da
-        dh = dh * z + da @ ut
+        dh *= z
+        dh += da @ ut
     order = np.argsort(given.ravel().astype(np.uint16), kind="stable")  # units are under 65536
     own = given.ravel()[order]
     starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])

@@ -161,3 +161,16 @@ def test_units_of_many_words_are_those_of_each():
     assert known.units(pa.array(words, pa.string())).tolist() == [known.unit(w) for w in words]
     assert known.units(pa.array([], pa.string())).tolist() == []
     assert lm.Inventory([], []).units(pa.array(["x", ""])).tolist() == [lm.Inventory([], []).unit(w) for w in ("x", "")]
+
+
+def test_gates_lie_together_and_agree_with_the_formula():
+    rng = np.random.default_rng(3)
+    p = {"x": rng.normal(0, 1, (9, 3 * lm.HIDDEN)), "u": rng.normal(0, 1, (lm.HIDDEN, 3 * lm.HIDDEN))}
+    h, given, n = rng.normal(0, 0.5, (5, lm.HIDDEN)), rng.integers(0, 9, (7, 5)), lm.HIDDEN
+    states, kept = lm.forward(p, h, given)
+    assert all(x.flags["C_CONTIGUOUS"] for step in kept for x in step)
+    for t, own in enumerate(given):
+        x, a = p["x"][own], h @ p["u"]
+        z, r = (1 / (1 + np.exp(-x[:, i : i + n] - a[:, i : i + n])) for i in (0, n))
+        h = z * h + (1 - z) * np.tanh(x[:, 2 * n :] + r * a[:, 2 * n :])
+        assert np.allclose(states[t], h, atol=1e-12)
