@@ -12,3 +12,11 @@ def test_scored_pairs_of_alike_rows_are_shared_by_tasks(spark):
     tasks = got.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"), F.sum("score").alias("s"), F.count_if(F.col("b") > F.col("a")).alias("more"), F.countDistinct("a", "b").alias("d")).collect()
     assert (sum(t.n for t in tasks), sum(t.d for t in tasks), sum(t.s for t in tasks), sum(t.more for t in tasks)) == (1500 * 1500 + 1, 1500 * 1500 + 1, 1500 * 1500 * 11 + 22, 1500 * 1499 // 2)
     assert max(t.n for t in tasks) < 1_000_000
+
+
+def test_every_part_is_compared_with_its_brand(spark, tmp_path):
+    from sojourn.plans import catalog, catalog_more  # noqa: F401
+
+    spark.createDataFrame([(k, "b", f"A {k % 2}") for k in (1, 2, 3)] + [(4, "c", "A")], "p_partkey long, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    got = catalog.QUERIES["jaccard_tokens"](spark, str(tmp_path)).collect()
+    assert {(r.a, r.b, r.j) for r in got} == {(1, 2, 0.333333), (2, 1, 0.333333), (1, 3, 1.0), (3, 1, 1.0), (2, 3, 0.333333), (3, 2, 0.333333)} and len(got) == 6
