@@ -20,3 +20,12 @@ def test_every_part_is_compared_with_its_brand(spark, tmp_path):
     spark.createDataFrame([(k, "b", f"A {k % 2}") for k in (1, 2, 3)] + [(4, "c", "A")], "p_partkey long, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
     got = catalog.QUERIES["jaccard_tokens"](spark, str(tmp_path)).collect()
     assert {(r.a, r.b, r.j) for r in got} == {(1, 2, 0.333333), (2, 1, 0.333333), (1, 3, 1.0), (3, 1, 1.0), (2, 3, 0.333333), (3, 2, 0.333333)} and len(got) == 6
+
+
+def test_every_customer_is_compared_with_its_nation(spark, tmp_path):
+    from sojourn.plans import catalog, stored  # noqa: F401
+
+    spark.createDataFrame([(1, 1), (2, 1), (13, 1), (4, 2)], "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    got = catalog.QUERIES["vector_conflicts"](spark, str(tmp_path)).collect()
+    assert {(r.a, r.b) for r in got} == {(1, 2), (2, 1), (1, 13), (13, 1), (2, 13), (13, 2)} and len(got) == 6
+    assert {r.conflict for r in got if {r.a, r.b} == {1, 13}} == {0.0}
